@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravox.llm.decontaminate import contamination
 from terravox.llm.jaccard import jaccard_groups
 
 QUERIES: dict = {}
@@ -40,3 +41,25 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_ngram_jaccard_join"] = f"""WITH RECURSIVE d AS (SELECT * FROM documents), {JACCARD_SQL}
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: Common table expressions of what is found in d(doc_id, text): p(doc_id, n_words, n_hit, items).
+CONTAMINATION_SQL = f"""
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM d),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM iw WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM win),
+dwin AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)),
+f AS (SELECT DISTINCT doc_id, item_id, i, k FROM dwin JOIN win USING (k, s)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS j FROM f) GROUP BY doc_id),
+it AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM f GROUP BY doc_id),
+p AS (SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(it.items, CAST([] AS VARCHAR[])) AS items FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id))"""
+ORACLES["op4_benchmark_decontamination"] = f"""WITH d AS (SELECT * FROM documents), {CONTAMINATION_SQL}
+SELECT doc_id, n_words, n_hit, len(items) AS n_items, sha256(array_to_string(items, ',')) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM p"""
