@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravox.llm.decontaminate import contamination
 from terravox.llm.jaccard import jaccard_groups
+from terravox.llm.sentence_spans import without_repeats
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +64,8 @@ it AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM f GROUP BY
 p AS (SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(it.items, CAST([] AS VARCHAR[])) AS items FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id))"""
 ORACLES["op4_benchmark_decontamination"] = f"""WITH d AS (SELECT * FROM documents), {CONTAMINATION_SQL}
 SELECT doc_id, n_words, n_hit, len(items) AS n_items, sha256(array_to_string(items, ',')) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM p"""
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
