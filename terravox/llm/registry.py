@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravox.llm.byte_bpe import round_trip
 from terravox.llm.decontaminate import contamination
 from terravox.llm.jaccard import jaccard_groups
 from terravox.llm.sentence_spans import without_repeats
@@ -69,3 +71,9 @@ SELECT doc_id, n_words, n_hit, len(items) AS n_items, sha256(array_to_string(ite
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
