@@ -141,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, remove: str | None = No
     Adds ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``items`` (sorted ids, as strings, of items
     with occurring windows) and ``contaminated`` (at least one word and ``percent`` per cent of the words hit). With
     ``remove="documents"`` contaminated rows go and nothing is added; with ``remove="spans"`` the hit words leave the
-    text instead. Columns of ``docs`` that have an added name are replaced. Null and empty texts have no words; items
+    text instead; with ``remove="both"`` contaminated rows go and hit words leave the other texts. Columns of ``docs`` that have an added name are replaced. Null and empty texts have no words; items
     without id, text or words have no windows; an empty benchmark hits nothing; repeated rows are treated alike.
     """
     spark, names = docs.sparkSession, docs.columns
@@ -153,9 +153,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, remove: str | None = No
         docs = (cut(docs) if turn else docs).withColumn("__hits", look(text, F.col("__hits")))
     hits = F.col("__hits")
     contaminated = (hits["n_hit"] > 0) & (100 * hits["n_hit"] >= percent * hits["n_words"])
+    if remove in ("documents", "both"):
+        docs = docs.where(~contaminated)
     if remove == "documents":
-        return docs.where(~F.coalesce(contaminated, F.lit(False))).select(*[F.col(f"`{c}`") for c in names])
-    if remove == "spans":
+        return docs.select(*[F.col(f"`{c}`") for c in names])
+    if remove in ("spans", "both"):
         shorter = F.arrow_udf(lambda t, spans: pa.array([_cut_out(x or "", s or []) for x, s in zip(t.to_pylist(), spans.to_pylist(), strict=True)], pa.string()), "string")
         own = F.col(f"`{text_column}`")
         return docs.select(*[F.when(hits["n_hit"] > 0, shorter(text, hits["spans"])).otherwise(own).alias(c) if c == text_column else F.col(f"`{c}`") for c in names])

@@ -10,6 +10,7 @@ from terravox.llm.byte_bpe import round_trip
 from terravox.llm.decontaminate import contamination
 from terravox.llm.jaccard import jaccard_groups
 from terravox.llm.sentence_spans import without_repeats
+from terravox.llm.toxicity import with_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,12 @@ def query(f):
     return f
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_toxicity(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
