@@ -10,6 +10,7 @@ from terravox.llm.byte_bpe import round_trip
 from terravox.llm.decontaminate import contamination
 from terravox.llm.jaccard import jaccard_groups
 from terravox.llm.sentence_spans import without_repeats
+from terravox.llm.sharding import shard_documents
 from terravox.llm.toxicity import with_toxicity
 
 QUERIES: dict = {}
@@ -84,3 +85,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16).drop("text")
