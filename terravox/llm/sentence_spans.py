@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import SPACED, _powers_to, chunks, mix, words
+from terravox.llm.words import SPACED, Words, _powers_to, chunks, mix, words
 from terravox.plans.storage import cut
 
 #: A run has at least so many sentences and so many words.
@@ -42,9 +42,16 @@ class Runs(NamedTuple):
     of: np.ndarray  #: text of each run
 
 
-def sentence_runs(data: np.ndarray, off: np.ndarray) -> Runs:
-    """The sentences and runs of a chunk of texts. A sentence ends after a word that ends with . ! or ?, at a line break,
-    or after SENTENCE_WORDS words."""
+class Sentences(NamedTuple):
+    words: Words
+    start: np.ndarray  #: first word of each sentence
+    end: np.ndarray  #: word after it
+    units: np.ndarray  #: index of each text's first sentence, and the count of sentences at the end
+
+
+def sentences(data: np.ndarray, off: np.ndarray) -> Sentences:
+    """The sentences of a chunk of texts. One ends after a word that ends with . ! or ?, at a line break, or after
+    SENTENCE_WORDS words."""
     w = words(data, off, SPACED)
     n = len(w.hashes)
     heads = np.zeros(n + 1, bool)
@@ -55,8 +62,13 @@ def sentence_runs(data: np.ndarray, off: np.ndarray) -> Runs:
     sentence = np.flatnonzero(heads[:n])
     place = np.arange(n) - np.repeat(sentence, np.diff(np.append(sentence, n)))
     start = np.flatnonzero(place % SENTENCE_WORDS == 0)
-    end = np.append(start[1:], n)
-    units = np.searchsorted(start, w.first)
+    return Sentences(w, start, np.append(start[1:], n), np.searchsorted(start, w.first))
+
+
+def sentence_runs(data: np.ndarray, off: np.ndarray) -> Runs:
+    """The runs of a chunk of texts."""
+    w, start, end, units = sentences(data, off)
+    n = len(w.hashes)
     text = np.repeat(np.arange(len(off) - 1), np.diff(units))
     last = np.repeat(units[1:] - 1, np.diff(units))
     here = np.arange(len(start))
