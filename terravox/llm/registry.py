@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravox.llm.byte_bpe import round_trip
+import uuid
+
+from terravox.llm.byte_bpe import round_trip, with_ids
+from terravox.llm.chat import rotate_perspectives
 from terravox.llm.decontaminate import contamination
+from terravox.llm.fingerprints import version_fingerprints
 from terravox.llm.jaccard import jaccard_groups
 from terravox.llm.sentence_spans import without_repeats
 from terravox.llm.sharding import shard_documents
 from terravox.llm.toxicity import with_toxicity
+from terravox.llm.training_order import materialise, record_digests
+from terravox.plans.storage import shared_root
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +44,20 @@ def query(f):
     return f
 
 
+@query
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of the shards of all documents, with the digest of every record as it stands in the files."""
+    folder = f"{shared_root(spark)}/shards-{uuid.uuid4().hex}"
+    coded = with_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    manifest = materialise(coded.drop("text"), folder, length=256, end=50256, pad=50256, key=20260101, per_shard=8192)
+    return manifest.join(record_digests(spark, folder, 256, "<u2", 8192), "slot")
+
+
+@query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,3 +110,21 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16).drop("text")
+
+
+@query
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_fingerprints(_table(spark, sf_dir, "documents"))
+
+ORACLES["op2_chat_formatting"] = """WITH t AS (
+  SELECT conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\\r\\n]+', ' ', 'g') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+h AS (SELECT t.conv_id, p.perspective, t.turn, t.speaker, t.text,
+    '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM h),
+s AS (SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM r)
+SELECT conv_id, perspective, turn, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker ELSE 'user' END AS role,
+  CASE WHEN speaker <> perspective AND speaker <> 'system' THEN speaker END AS name, e - length(rendered) AS start, e AS "end", rendered,
+  CASE WHEN speaker = perspective THEN e - length(rendered) + length(head) ELSE e END AS mask_start,
+  CASE WHEN speaker = perspective THEN e - length(rendered) + length(head) + length(text) + 10 ELSE e END AS mask_end FROM s"""
