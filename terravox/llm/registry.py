@@ -12,6 +12,7 @@ from terravox.llm.byte_bpe import round_trip, with_ids
 from terravox.llm.chat import rotate_perspectives
 from terravox.llm.decontaminate import contamination
 from terravox.llm.fingerprints import version_fingerprints
+from terravox.llm.html_text import main_text
 from terravox.llm.jaccard import jaccard_groups
 from terravox.llm.sentence_spans import without_repeats
 from terravox.llm.sharding import shard_documents
@@ -128,3 +129,8 @@ SELECT conv_id, perspective, turn, CASE WHEN speaker = perspective THEN 'assista
   CASE WHEN speaker <> perspective AND speaker <> 'system' THEN speaker END AS name, e - length(rendered) AS start, e AS "end", rendered,
   CASE WHEN speaker = perspective THEN e - length(rendered) + length(head) ELSE e END AS mask_start,
   CASE WHEN speaker = perspective THEN e - length(rendered) + length(head) + length(text) + 10 ELSE e END AS mask_end FROM s"""
+
+
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
