@@ -165,10 +165,10 @@ def _entries(fragment: int, table: pa.Table) -> pa.RecordBatch | pa.Table:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(entry, node, n, rest): each set's entries, rarest first, as long as the weight from there on can still reach
-    the threshold."""
+    """(entry, node, n, rest, share): each set's entries, rarest first, as long as the weight from there on can still
+    reach the threshold; share is the part of the set that other sets hold too, in millionths."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for node, n, entries in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("entries"), strict=True):
             e = np.sort(entries.values.to_numpy(zero_copy_only=False))
             rest = np.cumsum((e & _WEIGHT)[::-1])[::-1]
@@ -178,7 +178,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             out[1].append(np.full(k, node))
             out[2].append(np.full(k, n))
             out[3].append(rest[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["entry", "node", "n", "rest"])
+            out[4].append(np.full(k, rest[0] * 1_000_000 // n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["entry", "node", "n", "rest", "share"])
 
 
 def _overlap(a: str, b: str):
@@ -209,9 +210,14 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
     weight = F.aggregate("entries", F.lit(0).cast("long"), lambda total, x: total + x.bitwiseAND(F.lit(_WEIGHT).cast("long")))
     near = cut(entries.where(F.size("entries") > 0).join(sets.select("node", "n"), "node").where(100 * weight >= percent * F.col("n")))
 
-    prefixes = near.mapInArrow(lambda it: _prefixes(it, percent), "entry long, node long, n long, rest long")
-    ends = prefixes.groupBy("entry").agg(F.count("*").alias("holders"), F.min(F.struct("node", "n", "rest")).alias("low"), F.max(F.struct("node", "n", "rest")).alias("high"))
-    shared = cut(prefixes.join(ends.where("holders > 1").drop("holders"), "entry"))
+    prefixes = near.mapInArrow(lambda it: _prefixes(it, percent), "entry long, node long, n long, rest long, share long")
+    # The two holders that all others are tried with: one at random, and the one that has least of its own, as the
+    # text that the others are edited from.
+    ends = prefixes.groupBy("entry").agg(F.count("*").alias("holders"), F.min(F.struct("node", "n", "rest")).alias("low"), F.max(F.struct("share", "node", "n", "rest")).alias("high"), F.min("n").alias("least"))
+    # No partner is smaller than the smallest holder, nor than the threshold allows.
+    partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    useful = prefixes.join(ends.where("holders > 1").drop("holders"), "entry").where((100 + percent) * F.col("rest") >= percent * (F.col("n") + partner))
+    shared = cut(useful.drop("least"))
 
     def can_reach(n, rest, n2, rest2):
         return ((100 + percent) * F.least(rest, rest2) >= percent * (n + n2)) & (100 * F.least(n, n2) >= percent * F.greatest(n, n2))
@@ -232,12 +238,10 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
     # Entries whose holders are in several components: all pairs between different components.
     placed = shared.select("entry", "node", "n", "rest").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("entry")
-    placed = cut(placed.join(mixed, "entry"))
-    grouped = placed.groupBy("entry", "component").agg(F.collect_list(F.struct("node", "n", "rest")).alias("held"))
-    left, right = grouped.toDF("entry", "c1", "h1"), grouped.toDF("entry", "c2", "h2")
-    apart = left.join(right, "entry").where("c1 < c2").select(F.explode("h1").alias("x"), "h2").select("x", F.explode("h2").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    apart = apart.where(can_reach(x["n"], x["rest"], y["n"], y["rest"])).select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
+    placed = cut(placed.join(mixed, "entry").select("entry", "node", "n", "rest", "component"))
+    left, right = placed.toDF("entry", "a", "na", "ra", "ca"), placed.toDF("entry", "b", "nb", "rb", "cb")
+    apart = left.join(right, (left.entry == right.entry) & (F.col("ca") < F.col("cb")) & can_reach(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb")))
+    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(linked(apart.join(tried, ["a", "b"], "left_anti")))
     # One component for each node: links of the second kind join components of the first.
     of = part.toDF("node", "component")
