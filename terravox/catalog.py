@@ -1,6 +1,648 @@
-"""Queries over the driver's tables, one per operator, with the DuckDB SQL that gives the same rows."""
+"""Queries over the driver's tables, one per operator, with the DuckDB SQL that gives the same rows.
+
+Three tables are seen as clouds: ``embeddings`` (first three dimensions), ``lineitem`` (quantity, price in thousands,
+discount in per cent) and ``events`` (user, hours since the start of 2024, value). Results are rounded to six digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import math
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terravox.functions import colors, vectors
+from terravox.functions.vectors import vec
+from terravox.operators import fits, grid, neighborhood, octree, points, spatial, surfaces
+from terravox.plans.storage import cut, shared_root
+from terravox.sources import binary, text, writers
+from terravox.streaming import extents as streaming
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+E_SQL = "e AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label FROM embeddings)"
+L_SQL = "l AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, l_returnflag AS class FROM lineitem)"
+V_SQL = "v AS (SELECT event_id AS id, CAST(user_id AS DOUBLE) AS x, epoch_us(ts - TIMESTAMP '2024-01-01') / 3600000000 AS y, value AS z FROM events)"
+
+
+def E(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/embeddings.parquet")
+    return t.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")], "label")
+
+
+def L(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    return t.select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"), F.col("l_returnflag").alias("class"))
+
+
+def V(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/events.parquet")
+    hours = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) / 3600000000D")
+    return t.select(F.col("event_id").alias("id"), F.col("user_id").cast("double").alias("x"), hours.alias("y"), F.col("value").alias("z"))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles and floats to six digits, without negative zero."""
+    return df.select(*[(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__
+        QUERIES[name] = lambda spark, d: rounded(f(spark, d))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+R = 0.1
+D2_SQL = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+PAIRS_SQL = f"p AS (SELECT a.id AS qid, b.id AS nid, {D2_SQL} AS d2, b.x AS px, b.y AS py, b.z AS pz, a.x AS x, a.y AS y, a.z AS z FROM e a, e b)"
+NEAR = f"WITH {E_SQL}, {PAIRS_SQL}, n AS (SELECT qid, count(*) AS neighbours FROM p WHERE d2 <= {R} * {R} GROUP BY qid)"
+
+
+# Distance joins and neighbourhoods
+
+
+@query(f"{NEAR} SELECT qid, neighbours, round(neighbours / (4.0 / 3.0 * pi() * {R} * {R} * {R}), 6) AS density, neighbours < 4 AS outlier FROM n")
+def density_flagship(s, d):
+    n = spatial.radius_counts(E(s, d), R)
+    return n.select("qid", "neighbours", (F.col("neighbours") / (4.0 / 3.0 * math.pi * R * R * R)).alias("density"), (F.col("neighbours") < 4).alias("outlier"))
+
+
+@query(f"{NEAR} SELECT * FROM n")
+def radius_count(s, d):
+    return spatial.radius_counts(E(s, d), R)
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL} SELECT qid, nid, round(d2, 6) AS d2 FROM p WHERE d2 < 0.05 * 0.05")
+def radius_pairs_strict(s, d):
+    return spatial.radius_join(E(s, d), E(s, d), 0.05, strict=True).select("qid", "nid", "d2")
+
+
+@query(f"{NEAR} SELECT round(sum(neighbours) / (count(*) * (4.0 / 3.0 * pi() * {R} * {R} * {R})), 6) AS density FROM n")
+def mean_density(s, d):
+    return neighborhood.mean_density(E(s, d), R)
+
+
+@query(f"{NEAR} SELECT qid AS id, neighbours FROM n WHERE neighbours < 4")
+def outliers(s, d):
+    return neighborhood.outliers(E(s, d), R, 4)
+
+
+@query(f"{NEAR} SELECT qid AS id, neighbours FROM n WHERE neighbours >= 4")
+def non_outliers(s, d):
+    return neighborhood.outliers(E(s, d), R, 4, keep=False)
+
+
+KNN = "SELECT qid, nid, round(d2, 6) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, nid) AS rank FROM p{}) WHERE rank <= {}"
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL} {KNN.format('', 5)}")
+def knn_k(s, d):
+    return spatial.knn_join(E(s, d), E(s, d), 5).select("qid", "nid", "d2", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL} {KNN.format(f' WHERE d2 < {R} * {R}', 4)}")
+def knn_radius_k(s, d):
+    return spatial.knn_radius(E(s, d), E(s, d), 4, R).select("qid", "nid", "d2", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL} SELECT qid, nid, d2 FROM ({KNN.format(' WHERE d2 > 0', 1)})")
+def nn_noncoincident(s, d):
+    return spatial.nearest_noncoincident(E(s, d)).select("qid", "nid", "d2")
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL} SELECT qid, nid, d2 FROM ({KNN.format(' WHERE qid <> nid', 1)})")
+def nn_other(s, d):
+    return spatial.nearest_other(E(s, d)).select("qid", "nid", "d2")
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL} SELECT round(sqrt(avg(m)), 6) AS rms FROM (SELECT min(d2) AS m FROM p WHERE d2 > 0 GROUP BY qid)")
+def rms_nn(s, d):
+    return neighborhood.rms_nearest(E(s, d))
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL}, r AS (SELECT qid, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, nid) AS rank FROM p) SELECT round(sqrt(avg(d2)), 6) AS rms FROM r WHERE rank = 10")
+def rms_kth(s, d):
+    return neighborhood.rms_kth(E(s, d), 10)
+
+
+# Filters and projections
+
+L_ROUND = "SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, class FROM l WHERE "
+BOX = ((10.0, 20.0, 2.0), (20.0, 40.0, 6.0))
+
+
+@query(f"WITH {L_SQL} {L_ROUND} x BETWEEN 10 AND 20 AND y BETWEEN 20 AND 40 AND z BETWEEN 2 AND 6")
+def box3d(s, d):
+    return L(s, d).where(points.in_box(*BOX))
+
+
+@query(f"WITH {L_SQL} {L_ROUND} x >= 10 AND x < 20 AND y >= 20 AND y < 40 AND z >= 2 AND z < 6")
+def box3d_half_open(s, d):
+    return L(s, d).where(points.in_box(*BOX, half_open=True))
+
+
+@query(f"WITH {L_SQL} {L_ROUND} x BETWEEN 10 AND 12 AND y BETWEEN 20 AND 22")
+def box2d(s, d):
+    return L(s, d).where(points.in_box(BOX[0][:2], (12.0, 22.0)))
+
+
+@query(f"WITH {L_SQL} SELECT count(*) AS n FROM l WHERE x BETWEEN 10 AND 20 AND y BETWEEN 20 AND 40 AND z BETWEEN 2 AND 6")
+def box_count(s, d):
+    return L(s, d).where(points.in_box(*BOX)).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {L_SQL} SELECT count(*) AS n FROM l WHERE x BETWEEN 9 AND 18 AND y BETWEEN 22 AND 42 AND z BETWEEN -1 AND 3")
+def box_source(s, d):
+    return L(s, d).where(points.in_source_box((10.0, 20.0, 2.0), (19.0, 40.0, 6.0), (1.0, -2.0, 3.0))).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {E_SQL} SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, label FROM e WHERE (x - 0.05) * (x - 0.05) + (y - 0.0) * (y - 0.0) + (z - 0.02) * (z - 0.02) <= 0.15 * 0.15")
+def sphere_filter(s, d):
+    return E(s, d).where(points.in_sphere((0.05, 0.0, 0.02), 0.15))
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT *, (x + 0.3) * 1.0 + (y - 0.0) * 0.2 + (z - 0.0) * 0.1 AS t FROM e) SELECT id FROM c WHERE t >= 0 AND t * t >= (0.9 * 0.9) * (1.0 * 1.0 + 0.2 * 0.2 + 0.1 * 0.1) * ((x + 0.3) * (x + 0.3) + y * y + z * z)")
+def cone_filter(s, d):
+    return E(s, d).where(points.in_cone((-0.3, 0.0, 0.0), (1.0, 0.2, 0.1), 0.9)).select("id")
+
+
+@query(f"WITH {E_SQL} SELECT id, label FROM e WHERE label IN (1, 3, 4)")
+def class_filter(s, d):
+    return E(s, d).where(points.in_classes(0b11010, "label")).select("id", "label")
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT id, (x - 0.0) * (x - 0.0) + (y - 0.0) * (y - 0.0) AS r2, z FROM e) SELECT id FROM c WHERE r2 <= 0.2 * 0.2 AND (z <= -0.16 OR r2 + (z + 0.16) * (z + 0.16) <= 0.2 * 0.2)")
+def capsule_filter(s, d):
+    return E(s, d).where(points.in_capsule(vec(), vec(0, 0, 0.05), 0.2, 0.01)).select("id")
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL}, c AS (SELECT *, (px - x) * (px - x) + (py - y) * (py - y) AS r2, z - 0.02 - 0.15 AS t FROM p) SELECT e.id AS qid, coalesce(n, 0) AS below FROM e LEFT JOIN (SELECT qid, count(*) AS n FROM c WHERE r2 <= 0.15 * 0.15 AND (pz <= t OR r2 + (pz - t) * (pz - t) <= 0.15 * 0.15) GROUP BY qid) ON qid = e.id")
+def capsule_counts(s, d):
+    return surfaces.below_counts(E(s, d), 0.15, 0.02)
+
+
+@query(f"WITH {E_SQL} SELECT id, CASE WHEN x < 0.5 THEN ((x - 0.0) * (x - 0.0) + y * y + z * z < 0.2 * 0.2) AND NOT ((x - 0.1) * (x - 0.1) + y * y + z * z < 0.1 * 0.1) OR ((x + 0.2) * (x + 0.2) + y * y + z * z < 0.05 * 0.05) END AS selected FROM e")
+def brush_select(s, d):
+    o = 0.0
+    return points.brush_select(E(s, d), [("add", (0.3, o, o), 9.0), ("clear", (o, o, o), 0.0), ("add", (o, o, o), 0.2), ("subtract", (0.1, o, o), 0.1), ("add", (-0.2, o, o), 0.05)]).select("id", "selected")
+
+
+@query(f"WITH {E_SQL} SELECT id FROM e b WHERE EXISTS (SELECT 1 FROM e a WHERE a.label = 2 AND {D2_SQL} <= 0.06 * 0.06)")
+def selection_propagation(s, d):
+    e = E(s, d)
+    return spatial.propagate_selection(e.withColumn("selected", F.col("label") == 2), e, 0.06).select("id")
+
+
+@query(f"WITH {E_SQL} SELECT id, round((x + 10.5) * 2 + (y - 3) * 0 + (z + 1) * 0 + 1, 6) AS x, round((y - 3) * 0.5 + (z + 1) * -0.5, 6) AS y, round((z + 1) * 3, 6) AS z FROM e")
+def offset_transform(s, d):
+    m = [[2, 0, 0, 1], [0, 0.5, -0.5, 0], [0, 0, 3, 0]]
+    return points.transform(points.translate(E(s, d), (10.5, -3, 1)), m).select("id", "x", "y", "z")
+
+
+CH = "least(greatest({} * {}, 0), 255)"
+
+
+@query(f"WITH {E_SQL} SELECT id, " + ", ".join(f"CAST(floor(least(greatest({c} * 1000 * {m}, 0), 255) + 0.5) AS SMALLINT) AS {k}" for c, k, m in (("x", "r", 1.5), ("y", "g", 1.0), ("z", "b", 0.5))) + " FROM e")
+def color_clamp(s, d):
+    m = colors.masked(tuple(F.col(c) * 1000 for c in "xyz"), (1.5, 1.0, 0.5))
+    return E(s, d).select("id", *[c.alias(k) for c, k in zip(m, "rgb", strict=True)])
+
+
+@query(f"WITH {E_SQL}, g AS (SELECT id, label * 25 AS v FROM e) SELECT id, CAST(0 AS SMALLINT) AS r, CAST(CASE WHEN v * 0.299 + v * 0.587 + v * 0.114 < 128 THEN v * 0.299 + v * 0.587 + v * 0.114 + 127 ELSE v * 0.299 + v * 0.587 + v * 0.114 - 127 END - 0.5 AS SMALLINT) AS g, CAST(0 AS SMALLINT) AS b FROM g")
+def highlight_colour(s, d):
+    v = F.col("label") * 25
+    c = colors.highlight(colors.luma(v, v, v))
+    return E(s, d).select("id", *[x.alias(k) for x, k in zip(c, "rgb", strict=True)])
+
+
+@query(f"WITH {E_SQL} SELECT id, CASE WHEN label < 2.5 THEN 'green' WHEN label < 3.5 THEN 'yellow' WHEN label < 4.5 THEN 'orange' WHEN label < 5.5 THEN 'red' ELSE 'violet' END AS colour FROM e")
+def damage_colour(s, d):
+    return E(s, d).select("id", colors.category_colour(F.col("label")).alias("colour"))
+
+
+@query(f"WITH {E_SQL} SELECT id, round(x * 0.6 + y * 0.0 + z * 0.8 - 0.05, 6) AS distance, round((x * 0.6 + y * 0.0 + z * 0.8 - 0.05) / 2 + 0.5, 6) AS attribute FROM e")
+def plane_distance(s, d):
+    dist = vectors.plane_distance(vec(), vec(0.6, 0.0, 0.8), F.lit(0.05))
+    return E(s, d).select("id", dist.alias("distance"), vectors.distance_attribute(dist, 2.0).alias("attribute"))
+
+
+@query(f"WITH {E_SQL}, p AS (SELECT *, (x * 0.6 + z * 0.8 - 0.05) * 2 AS k FROM e) SELECT id, round(x + k * 0.6, 6) AS x, round(y, 6) AS y, round(z + k * 0.8, 6) AS z FROM p")
+def exaggerate(s, d):
+    out = vectors.exaggerate(vec(), vec(0.6, 0.0, 0.8), F.lit(0.05), 3.0)
+    return E(s, d).select("id", *[c.alias(k) for c, k in zip(out, "xyz", strict=True)])
+
+
+@query("SELECT n_nationkey AS id, round(cos(radians(n_nationkey * 3.0)) * sin(radians(n_nationkey * 15.0)), 6) AS x, round(cos(radians(n_nationkey * 3.0)) * cos(radians(n_nationkey * 15.0)), 6) AS y, round(sin(radians(n_nationkey * 3.0)), 6) AS z FROM nation")
+def sun_vector(s, d):
+    n = F.col("n_nationkey")
+    v = vectors.sun_vector(n * 15.0, n * 3.0)
+    return s.read.parquet(f"{d}/nation.parquet").select(n.alias("id"), *[c.alias(k) for c, k in zip(v, "xyz", strict=True)])
+
+
+# Extents
+
+
+BOUNDS_SQL = "count(*) AS n, " + ", ".join(f"round({f}({c}), 6) AS {f}_{c}" for c in "xyz" for f in ("min", "max"))
+
+
+@query(f"WITH {L_SQL} SELECT class, {BOUNDS_SQL} FROM l GROUP BY ROLLUP (class)")
+def extent_profile(s, d):
+    return points.extents(L(s, d), "class", rollup=True)
+
+
+@query(f"WITH {L_SQL} SELECT class, {BOUNDS_SQL} FROM l GROUP BY class")
+def extent_by_class(s, d):
+    return points.extents(L(s, d), "class")
+
+
+@query(f"WITH {L_SQL} SELECT " + ", ".join(f"round(-(min({c}) + max({c})) / 2, 6) AS offset_{c}" for c in "xyz") + " FROM l")
+def recommended_offset(s, d):
+    return points.recommended_offset(L(s, d))
+
+
+# Sets of points
+
+J_SQL = "j AS (SELECT id, x + 0.001 AS x, y, z FROM e WHERE id % 3 = 0)"
+
+
+def _jittered(s, d) -> DataFrame:
+    return E(s, d).where("id % 3 = 0").select("id", (F.col("x") + 0.001).alias("x"), "y", "z")
+
+
+@query(f"WITH {E_SQL}, {J_SQL} SELECT id FROM e a WHERE NOT EXISTS (SELECT 1 FROM j b WHERE {D2_SQL} < 0.02 * 0.02)")
+def eps_subtract(s, d):
+    return spatial.eps_subtract(E(s, d), _jittered(s, d), 0.02).select("id")
+
+
+@query(f"WITH {E_SQL}, {J_SQL} SELECT id FROM e a WHERE EXISTS (SELECT 1 FROM j b WHERE {D2_SQL} < 0.02 * 0.02)")
+def eps_match(s, d):
+    return spatial.eps_match(E(s, d), _jittered(s, d), 0.02).select("id")
+
+
+@query(f"WITH {E_SQL}, {J_SQL}, c AS (SELECT (SELECT count(*) FROM e a WHERE EXISTS (SELECT 1 FROM j b WHERE {D2_SQL} < 0.02 * 0.02)) AS ab, (SELECT count(*) FROM j a WHERE EXISTS (SELECT 1 FROM e b WHERE {D2_SQL} < 0.02 * 0.02)) AS ba, (SELECT count(*) FROM e) AS na, (SELECT count(*) FROM j) AS nb) SELECT *, round(100.0 * (ab + ba) / (na + nb), 6) AS percent FROM c")
+def similarity_pct(s, d):
+    return spatial.similarity(E(s, d), _jittered(s, d), 0.02)
+
+
+@query(f"WITH {E_SQL}, {V_SQL} SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(0 AS INTEGER) AS dataset_id FROM e UNION ALL SELECT id, round(x, 6), round(y, 6), round(z, 6), 1 FROM v")
+def union_clouds(s, d):
+    return points.union_clouds(E(s, d).drop("label"), V(s, d))
+
+
+@query(f"WITH {L_SQL}, u AS (SELECT DISTINCT x, y, z FROM l WHERE x = 10) SELECT count(*) AS n FROM l JOIN u USING (x, y, z)")
+def position_join(s, d):
+    c = L(s, d)
+    return spatial.position_join(c, c.where("x = 10").select("x", "y", "z").distinct()).agg(F.count("*").alias("n"))
+
+
+# Covariances, normals, features
+
+COV_SQL = "count(*) AS n, " + ", ".join(f"round(avg({p}{c}), 6) AS c{c}" for p in ("",) for c in "xyz") + ", " + ", ".join(f"round(covar_pop({a}, {b}), 6) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+@query(f"WITH {E_SQL} SELECT label, {COV_SQL} FROM e GROUP BY label")
+def cov_by_class(s, d):
+    return neighborhood.covariance(E(s, d), "label")
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL}, q AS (SELECT qid, px AS x, py AS y, pz AS z FROM p WHERE d2 <= {R} * {R}) SELECT qid, {COV_SQL} FROM q GROUP BY qid")
+def cov_neighborhood(s, d):
+    return neighborhood.covariance(spatial.radius_join(E(s, d), E(s, d), R), "qid", ("px", "py", "pz"))
+
+
+@query()
+def plane_normals(s, d):
+    return neighborhood.normals(E(s, d), radius=0.15)
+
+
+@query()
+def plane_normals_knn(s, d):
+    return neighborhood.normals(E(s, d), k=12)
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL}, q AS (SELECT qid, px AS x, py AS y, pz AS z FROM p WHERE d2 <= 0.2 * 0.2), m AS (SELECT qid, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS f, covar_pop(x, z) AS g, covar_pop(y, z) AS h FROM q GROUP BY qid) SELECT qid, round(a + b + c, 6) AS trace, round((a * (b * c - h * h) - f * (f * c - h * g) + g * (f * h - b * g)) * 1000000, 6) AS determinant FROM m")
+def eigen_invariants(s, d):
+    m = neighborhood.covariance(spatial.radius_join(E(s, d), E(s, d), 0.2), "qid", ("px", "py", "pz"))
+    f = neighborhood.eigen_features(m, "qid")
+    return f.select("qid", (F.col("l0") + F.col("l1") + F.col("l2")).alias("trace"), (F.col("l0") * F.col("l1") * F.col("l2") * 1000000).alias("determinant"))
+
+
+@query()
+def eigen_features(s, d):
+    return neighborhood.eigen_features(neighborhood.covariance(E(s, d), "label"), "label")
+
+
+@query()
+def ridge_class(s, d):
+    return neighborhood.ridges(E(s, d), 0.2)
+
+
+@query()
+def node_normals(s, d):
+    e = E(s, d)
+    n = cut(neighborhood.normals(e, radius=0.15).withColumnRenamed("qid", "id").join(e, "id"))
+    return neighborhood.average_normals(e.where("id % 8 = 0"), n, 0.1)
+
+
+# Grids and profiles
+
+LOW, HIGH, CELL, LOBES = (1.0, 1.0), (48.0, 95.0), (5.0, 10.0), 2
+_SHAPE, _ORIGIN = grid.grid_shape(LOW, HIGH, CELL)
+SINC = lambda t, n: f"CASE WHEN abs({t}) >= {n} THEN 0.0 WHEN {t} = 0 THEN 1.0 ELSE sin({t} * pi()) / ({t} * pi()) * sin({t} * pi() / {n}) / ({t} * pi() / {n}) END"
+GRID_SQL = f"g AS (SELECT CAST(i % {_SHAPE[0]} AS INTEGER) AS gx, CAST(i // {_SHAPE[0]} AS INTEGER) AS gy, {_ORIGIN[0]} + (i % {_SHAPE[0]}) * {CELL[0]} AS x, {_ORIGIN[1]} + (i // {_SHAPE[0]}) * {CELL[1]} AS y FROM range({_SHAPE[0] * _SHAPE[1]}) t(i))"
+REACH = LOBES * max(CELL)
+LANCZOS_SQL = f"""WITH {L_SQL}, {GRID_SQL},
+w AS (SELECT gx, gy, l.z, ({SINC(f'((l.x - g.x) / {CELL[0]})', LOBES)}) * ({SINC(f'((l.y - g.y) / {CELL[1]})', LOBES)}) AS w FROM g JOIN l ON l.x BETWEEN g.x - {REACH} AND g.x + {REACH} AND l.y BETWEEN g.y - {REACH} AND g.y + {REACH}),
+h AS (SELECT gx, gy, sum(w) AS weight, sum(abs(w)) AS confidence, sum(w * z) AS wz FROM w GROUP BY gx, gy),
+z AS (SELECT gx, gy, weight, confidence, CASE WHEN abs(weight) > 1e-9 THEN wz / weight END AS z FROM h)"""
+
+
+def _grid(s, d) -> DataFrame:
+    return grid.lanczos_grid(grid.grid_vertices(s, LOW, HIGH, CELL), L(s, d), CELL, LOBES)
+
+
+@query(f"{LANCZOS_SQL} SELECT gx, gy, round(z, 6) AS z FROM z")
+def grid_lanczos(s, d):
+    return _grid(s, d).select("gx", "gy", "z")
+
+
+@query(f"{LANCZOS_SQL} SELECT gx, gy, round(weight, 6) AS weight, round(confidence, 6) AS confidence FROM z")
+def grid_confidence(s, d):
+    return _grid(s, d).select("gx", "gy", "weight", "confidence")
+
+
+DIFF = lambda a, b: f"(coalesce(lead(z) OVER (PARTITION BY {a} ORDER BY {b}), z) - coalesce(lag(z) OVER (PARTITION BY {a} ORDER BY {b}), z)) / (CASE WHEN lead(z) OVER (PARTITION BY {a} ORDER BY {b}) IS NULL OR lag(z) OVER (PARTITION BY {a} ORDER BY {b}) IS NULL THEN 1 ELSE 2 END * {CELL[0] if b == 'gx' else CELL[1]})"
+
+
+@query(f"{LANCZOS_SQL}, s AS (SELECT gx, gy, z, {DIFF('gy', 'gx')} AS dx, {DIFF('gx', 'gy')} AS dy FROM z) SELECT gx, gy, round(z, 6) AS z, round(-dx / sqrt(dx * dx + dy * dy + 1), 6) AS nx, round(-dy / sqrt(dx * dx + dy * dy + 1), 6) AS ny, round(1 / sqrt(dx * dx + dy * dy + 1), 6) AS nz FROM s")
+def grid_gradient(s, d):
+    return grid.grid_gradient(_grid(s, d).select("gx", "gy", "z"), CELL)
+
+
+@query(f"""{LANCZOS_SQL}, q AS (SELECT floor((x - {_ORIGIN[0]}) / {CELL[0]}) AS gx, floor((y - {_ORIGIN[1]}) / {CELL[1]}) AS gy, (x - {_ORIGIN[0]}) / {CELL[0]} AS u, (y - {_ORIGIN[1]}) / {CELL[1]} AS v, z FROM l)
+SELECT CAST(q.gx AS BIGINT) AS gx, CAST(q.gy AS BIGINT) AS gy, count(*) AS n, round(sqrt(avg(power(q.z - ((a.z * (1 - (u - q.gx)) + b.z * (u - q.gx)) * (1 - (v - q.gy)) + (c.z * (1 - (u - q.gx)) + d.z * (u - q.gx)) * (v - q.gy)), 2))), 6) AS rms
+FROM q JOIN z a ON a.gx = q.gx AND a.gy = q.gy JOIN z b ON b.gx = q.gx + 1 AND b.gy = q.gy JOIN z c ON c.gx = q.gx AND c.gy = q.gy + 1 JOIN z d ON d.gx = q.gx + 1 AND d.gy = q.gy + 1 GROUP BY ALL""")
+def grid_residual_rms(s, d):
+    return grid.bilinear_residuals(_grid(s, d).select("gx", "gy", "z"), L(s, d), _ORIGIN, CELL)
+
+
+@query()
+def grid_adaptive(s, d):
+    return grid.adaptive_grid(grid.grid_vertices(s, (-0.5, -0.5), (0.5, 0.5), (0.05, 0.05)), E(s, d), (0.05, 0.05))
+
+
+@query(f"WITH {E_SQL}, w AS (SELECT a.id AS site, b.z, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / 0.05 AS r FROM e a, e b WHERE a.id % 10 = 0), k AS (SELECT site, z, {SINC('r', 3)} AS w FROM w WHERE r * 0.05 < 0.05 * 3) SELECT site, round(sum(w), 6) AS weight, round(sum(w * z) / sum(w), 6) AS z FROM k GROUP BY site")
+def radial_lanczos(s, d):
+    e = E(s, d)
+    return grid.radial_elevations(e.where("id % 10 = 0"), e, 0.05, 3, id_column="id")
+
+
+PROFILE = [(5.0, 10.0), (25.0, 50.0), (45.0, 50.0)]
+_legs = [(math.hypot(b[0] - a[0], b[1] - a[1]), a, b) for a, b in zip(PROFILE, PROFILE[1:], strict=False)]
+_KER = lambda t: f"CASE WHEN abs({t} * pi()) >= 3 THEN 0.0 WHEN {t} = 0 THEN 1.0 ELSE sin({t} * pi()) / ({t} * pi()) * sin({t} * pi() / 3) / ({t} * pi() / 3) END"
+
+
+def _profile_sql() -> str:
+    rows, first = [], 0
+    for length, a, b in _legs:
+        n = max(1, int(length / 2.0 + 0.5))
+        k = n * 2
+        ux, uy = (b[0] - a[0]) / length * n / length, (b[1] - a[1]) / length * n / length
+        rows += [f"({first + i}, {a[0]!r} + {i} * {(b[0] - a[0]) / k!r}::DOUBLE, {a[1]!r} + {i} * {(b[1] - a[1]) / k!r}::DOUBLE, {ux!r}, {uy!r})" for i in range(k)]
+        first += k
+    rows.append(f"({first}, {PROFILE[-1][0]!r}, {PROFILE[-1][1]!r}, {ux!r}, {uy!r})")
+    along = "((l.x - s.x) * ux + (l.y - s.y) * uy)"
+    across = "(((l.y - s.y) * ux - (l.x - s.x) * uy) / sqrt(ux * ux + uy * uy) / 1.0)"
+    return f"""WITH {L_SQL}, s AS (SELECT CAST(c0 AS BIGINT) AS seq, CAST(c1 AS DOUBLE) AS x, CAST(c2 AS DOUBLE) AS y, CAST(c3 AS DOUBLE) AS ux, CAST(c4 AS DOUBLE) AS uy FROM (VALUES {', '.join(rows)}) t(c0, c1, c2, c3, c4)),
+w AS (SELECT seq, l.z, ({_KER(along)}) * ({_KER(across)}) AS w FROM s JOIN l ON l.x BETWEEN s.x - 5 AND s.x + 5 AND l.y BETWEEN s.y - 5 AND s.y + 5)
+SELECT s.seq, round(s.x, 6) AS x, round(s.y, 6) AS y, round(h.z, 6) AS z FROM s LEFT JOIN (SELECT seq, CASE WHEN abs(sum(w)) > 1e-9 THEN sum(w * z) / sum(w) END AS z FROM w WHERE w <> 0 GROUP BY seq) h USING (seq)"""
+
+
+@query(_profile_sql())
+def profile(s, d):
+    return grid.profile(grid.profile_samples(s, PROFILE, 2.0, 2), L(s, d), 1.0, 3, 2.0)
+
+
+@query(f"WITH {E_SQL}, {PAIRS_SQL}, c AS (SELECT *, (px - x) * (px - x) + (py - y) * (py - y) AS r2 FROM p), h AS (SELECT qid, max(pz + sqrt(0.05 * 0.05 - r2)) AS centre FROM c WHERE r2 <= 0.05 * 0.05 AND pz <= z + 0.05 GROUP BY qid) SELECT e.id AS qid, round(centre, 6) AS centre, round(centre - 0.05, 6) AS surface FROM e LEFT JOIN h ON qid = e.id")
+def falling_sphere(s, d):
+    return spatial.falling_spheres(E(s, d), E(s, d), 0.05)
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT id, id % 2 AS dataset_id, x + 0.5 AS dx, y - 0.0 AS dy, z - 0.0 AS dz FROM e) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, id, round(dx, 6) AS along FROM c WHERE dx >= 0 AND dx * dx >= 0.98 * 0.98 * (dx * dx + dy * dy + dz * dz) ORDER BY along, dataset_id, id LIMIT 1")
+def ray_pick(s, d):
+    return spatial.ray_pick(E(s, d).withColumn("dataset_id", F.col("id") % 2), (-0.5, 0.0, 0.0), (1.0, 0.0, 0.0), 0.98)
+
+
+# Octrees
+
+CUBE, LEVEL = (0.0, 0.0, 0.0, 128.0), 5
+_digit = lambda k: "CAST(" + " + ".join(f"{w} * ((CAST(floor({c} / 128 * 32) AS BIGINT) >> {k}) & 1)" for w, c in ((1, "x"), (2, "y"), (4, "z"))) + " AS VARCHAR)"
+KEY_SQL = f"k AS (SELECT *, {' || '.join(_digit(k) for k in reversed(range(LEVEL)))} AS key FROM l)"
+COUNTS_SQL = f"WITH {L_SQL}, {KEY_SQL}, c AS (SELECT substr(key, 1, i) AS node_key, CAST(i AS INTEGER) AS level, count(*) AS n FROM k, range({LEVEL + 1}) t(i) GROUP BY ALL)"
+NODES_SQL = f"{COUNTS_SQL}, o AS (SELECT c.node_key, c.level, c.n, c.n <= 500 OR c.level = {LEVEL} AS is_leaf FROM c LEFT JOIN c p ON p.node_key = substr(c.node_key, 1, c.level - 1) AND p.level = c.level - 1 WHERE c.level = 0 OR p.n > 500)"
+
+
+def _keyed(s, d) -> DataFrame:
+    return L(s, d).withColumn("key", octree.octree_key(CUBE, LEVEL))
+
+
+def _nodes(s, d) -> DataFrame:
+    return octree.node_table(_keyed(s, d), LEVEL, 500)
+
+
+@query(f"{COUNTS_SQL} SELECT node_key, level, CAST(n AS BIGINT) AS n FROM c")
+def octree_level_counts(s, d):
+    return octree.level_counts(_keyed(s, d), LEVEL)
+
+
+@query(f"{NODES_SQL} SELECT node_key, level, CAST(n AS BIGINT) AS n, is_leaf FROM o")
+def octree_nodes(s, d):
+    return octree.prefix_order(_nodes(s, d))
+
+
+@query(f"{NODES_SQL} SELECT o.node_key, o.level AS leaf_level, count(*) AS n, round(min(k.x), 6) AS min_x, round(max(k.z), 6) AS max_z FROM k JOIN o ON o.is_leaf AND starts_with(k.key, o.node_key) GROUP BY ALL")
+def octree_leaves(s, d):
+    p = octree.assign_leaves(_keyed(s, d), _nodes(s, d), LEVEL)
+    return p.groupBy("node_key", F.length("node_key").alias("leaf_level")).agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.max("z").alias("max_z"))
+
+
+_cell = lambda bit: "list_sum([((CAST(substr(node_key, i, 1) AS INTEGER) >> " + str(bit) + ") & 1) * (1 << (level - i)) for i in range(1, level + 1)])"
+BOXES_SQL = f"{NODES_SQL}, b AS (SELECT *, 128.0 / (1 << level) AS edge, " + ", ".join(f"coalesce({_cell(i)}, 0) * (128.0 / (1 << level)) AS m{c}" for i, c in enumerate("xyz")) + " FROM o WHERE is_leaf)"
+
+
+@query(f"{BOXES_SQL} SELECT CAST(coalesce(sum(n) FILTER (mx >= 8 AND mx + edge <= 40 AND my >= 16 AND my + edge <= 64 AND mz >= 0 AND mz + edge <= 16), 0) AS BIGINT) AS lower, CAST(coalesce(sum(n) FILTER (mx <= 40 AND mx + edge >= 8 AND my <= 64 AND my + edge >= 16 AND mz <= 16 AND mz + edge >= 0), 0) AS BIGINT) AS upper FROM b")
+def octree_bounds(s, d):
+    return octree.count_bounds(_nodes(s, d), CUBE, (8.0, 16.0, 0.0), (40.0, 64.0, 16.0))
+
+
+@query(f"WITH {L_SQL} SELECT count(*) AS n FROM l WHERE x BETWEEN 8 AND 15 AND y BETWEEN 16 AND 30 AND z BETWEEN 0 AND 5")
+def octree_box_scan(s, d):
+    low, high = (8.0, 16.0, 0.0), (15.0, 30.0, 5.0)
+    return _keyed(s, d).where(octree.box_prefixes(CUBE, low, high, 3) & points.in_box(low, high)).agg(F.count("*").alias("n"))
+
+
+def _e_tree(s, d):
+    e = E(s, d)
+    cube = (-1.0, -1.0, -1.0, 2.0)
+    keyed = e.withColumn("key", octree.octree_key(cube, 6))
+    nodes = octree.node_table(keyed, 6, 32)
+    return cube, nodes, octree.lod_samples(octree.assign_leaves(keyed, nodes, 6), nodes, 32)
+
+
+@query()
+def lod_subsample(s, d):
+    return _e_tree(s, d)[2]
+
+
+@query()
+def lod_cut(s, d):
+    cube, nodes, lod = _e_tree(s, d)
+    return octree.lod_cut(nodes, lod, cube, (0.5, 0.5, 0.5), 16, focus=((0.0, 0.0, 0.0), 0.2, 1.0))
+
+
+# Primitives
+
+
+@query()
+def fit_plane(s, d):
+    return fits.fit_planes(E(s, d), "label")
+
+
+@query()
+def fit_line(s, d):
+    return fits.fit_lines(E(s, d), "label")
+
+
+@query()
+def fit_sphere(s, d):
+    return fits.fit_spheres(E(s, d), "label")
+
+
+@query()
+def fit_cylinder(s, d):
+    return fits.fit_cylinders(E(s, d), "label")
+
+
+P_SQL = "f AS (SELECT id, x / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS nx, y / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS ny, (abs(z) + 0.1) / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS nz, x AS offset_ FROM e WHERE id < 15)"
+
+
+def _planes(s, d) -> DataFrame:
+    up = F.abs("z") + 0.1
+    n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + up * up)
+    return E(s, d).where("id < 15").select("id", (F.col("x") / n).alias("nx"), (F.col("y") / n).alias("ny"), (up / n).alias("nz"), F.col("x").alias("offset"))
+
+
+@query(f"WITH {E_SQL}, {P_SQL} SELECT id, round(CASE WHEN degrees(atan2(nx, ny)) < 0 THEN degrees(atan2(nx, ny)) + 360 ELSE degrees(atan2(nx, ny)) END, 6) AS azimuth, round(degrees(acos(nz / sqrt(nx * nx + ny * ny + nz * nz))), 6) AS dip FROM f")
+def strike_dip(s, d):
+    azimuth, dip = vectors.strike_dip(vec("nx", "ny", "nz"))
+    return _planes(s, d).select("id", azimuth.alias("azimuth"), dip.alias("dip"))
+
+
+CROSS_SQL = "c AS (SELECT a.id AS a, b.id AS b, a.ny * b.nz - a.nz * b.ny AS x, a.nz * b.nx - a.nx * b.nz AS y, a.nx * b.ny - a.ny * b.nx AS z, a.offset_ * b.nx - b.offset_ * a.nx AS mx, a.offset_ * b.ny - b.offset_ * a.ny AS my, a.offset_ * b.nz - b.offset_ * a.nz AS mz FROM f a JOIN f b ON a.id < b.id), g AS (SELECT *, x * x + y * y + z * z AS dd FROM c)"
+
+
+@query(f"WITH {E_SQL}, {P_SQL}, {CROSS_SQL} SELECT a, b, round(x / sqrt(dd), 6) AS dx, round(y / sqrt(dd), 6) AS dy, round(z / sqrt(dd), 6) AS dz, round((my * z - mz * y) / dd, 6) AS px, round((mz * x - mx * z) / dd, 6) AS py, round((mx * y - my * x) / dd, 6) AS pz FROM g WHERE dd > 1e-9")
+def plane_intersections(s, d):
+    return fits.plane_pairs(_planes(s, d))
+
+
+@query(f"WITH {E_SQL}, {P_SQL}, t AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.nx * (b.ny * c.nz - b.nz * c.ny) + a.ny * (b.nz * c.nx - b.nx * c.nz) + a.nz * (b.nx * c.ny - b.ny * c.nx) AS det, " + ", ".join(f"a.offset_ * (b.n{p} * c.n{q} - b.n{q} * c.n{p}) + b.offset_ * (c.n{p} * a.n{q} - c.n{q} * a.n{p}) + c.offset_ * (a.n{p} * b.n{q} - a.n{q} * b.n{p}) AS {k}" for k, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))) + " FROM f a JOIN f b ON a.id < b.id JOIN f c ON b.id < c.id WHERE c.id < 8) SELECT a, b, c, round(x / det, 4) AS x, round(y / det, 4) AS y, round(z / det, 4) AS z FROM t WHERE abs(det) > 0.001")
+def plane_points(s, d):
+    t = fits.plane_triples(_planes(s, d).where("id < 8"), parallel=0.001)
+    return t.select("a", "b", "c", *[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {E_SQL}, {P_SQL} SELECT f.id AS plane, e.id AS line, round(e.x + (offset_ - (nx * e.x + ny * e.y + nz * e.z)) / (nx * 0.0 + ny * 0.0 + nz * 1.0) * 0.0, 6) AS x, round(e.y, 6) AS y, round(e.z + (offset_ - (nx * e.x + ny * e.y + nz * e.z)) / nz, 6) AS z FROM f, e WHERE e.id % 100 = 0")
+def plane_line_points(s, d):
+    lines = E(s, d).where("id % 100 = 0").select(F.col("id").alias("line"), *[F.col(c).alias(f"c{c}") for c in "xyz"], F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"))
+    return fits.plane_line(_planes(s, d), lines)
+
+
+@query(f"WITH {E_SQL}, {P_SQL} SELECT id, CAST(0 AS INTEGER) AS prim_type, round(abs(0.1 * nx + 0.1 * ny + 0.1 * nz - offset_), 6) AS distance FROM f WHERE abs(0.1 * nx + 0.1 * ny + 0.1 * nz - offset_) <= 0.5 ORDER BY abs(0.1 * nx + 0.1 * ny + 0.1 * nz - offset_), id LIMIT 1")
+def pick_primitive(s, d):
+    p = _planes(s, d).withColumn("prim_type", F.lit(0)).withColumns({n: F.lit(None).cast("double") for n in ("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z", "radius")})
+    return fits.pick_primitive(p, (0.1, 0.1, 0.1), 0.5)
+
+
+# Surfaces
+
+
+@query()
+def ground_class(s, d):
+    return surfaces.classify_ground(E(s, d), 0.15, 0.0, 270.0)
+
+
+@query()
+def ground_class_ordered(s, d):
+    return surfaces.ordered_ground(E(s, d), 0.15, 0.0, 270.0)
+
+
+IMAGES = [(0, 0.04, 0.0, 0.0, -0.04, -0.4, 0.4, 15, 15), (1, 0.02, 0.001, 0.001, -0.02, -0.2, 0.3, 30, 25)]
+_IMAGE_COLUMNS = ("img_id", "a", "d", "b", "e", "c", "f", "width", "height")
+
+
+@query(f"""WITH {E_SQL}, i AS (SELECT * FROM (VALUES {', '.join(f"({', '.join(f'CAST({v} AS DOUBLE)' if 0 < k < 7 else str(v) for k, v in enumerate(r))})" for r in IMAGES)}) t({', '.join(_IMAGE_COLUMNS)})),
+h AS (SELECT e.id, img_id, width, height, (i.e * (e.x - c) - b * (e.y - f)) / (a * i.e - b * d) AS u, (a * (e.y - f) - d * (e.x - c)) / (a * i.e - b * d) AS v FROM e, i),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY img_id) AS k FROM h WHERE u >= 0 AND u < width - 1 AND v >= 0 AND v < height - 1) WHERE k = 1),
+x AS (SELECT id, img_id, floor(u) + p AS col, floor(v) + q AS row_, (CASE WHEN p = 1 THEN u - floor(u) ELSE 1 - u + floor(u) END) * (CASE WHEN q = 1 THEN v - floor(v) ELSE 1 - v + floor(v) END) AS w FROM o, range(2) t(p), range(2) s(q)),
+n AS (SELECT id, min(img_id) AS img_id, {', '.join(f"CAST(floor(least(greatest(sum(w * ((col * {m} + row_ * {k} + img_id * 50) % 256)), 0), 255) + 0.5) AS SMALLINT) AS {c}" for c, m, k in (('r', 7, 3), ('g', 5, 11), ('b', 2, 1)))} FROM x GROUP BY id)
+SELECT e.id, n.img_id, {', '.join(f'coalesce(n.{c}, CAST(label AS SMALLINT)) AS {c}' for c in 'rgb')} FROM e LEFT JOIN n ON n.id = e.id WHERE n.img_id IS NOT NULL""")
+def raster_color(s, d):
+    images = s.createDataFrame(IMAGES, "img_id int, a double, d double, b double, e double, c double, f double, width int, height int")
+    col, row = F.col("id") % 30, F.floor(F.col("id") / 30) % 25
+    img = F.floor(F.col("id") / 750).cast("int")
+    pixels = s.range(1500).select(img.alias("img_id"), col.alias("col"), row.alias("row"), *[((col * m + row * k + img * 50) % 256).alias(c) for c, m, k in (("r", 7, 3), ("g", 5, 11), ("b", 2, 1))])
+    cloud = E(s, d).select("id", "x", "y", *[F.col("label").cast("short").alias(c) for c in "rgb"])
+    return surfaces.raster_colour(cloud, images, pixels).where("img_id is not null").select("id", "img_id", "r", "g", "b")
+
+
+@query(f"WITH i AS (SELECT * FROM (VALUES {', '.join(str(r) for r in IMAGES)}) t({', '.join(_IMAGE_COLUMNS)})), k AS (SELECT img_id, a * u * (width - 1) + b * v * (height - 1) + c AS x, d * u * (width - 1) + e * v * (height - 1) + f AS y FROM i, range(2) p(u), range(2) q(v)) SELECT CAST(img_id AS INTEGER) AS img_id, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y FROM k GROUP BY img_id")
+def image_footprints(s, d):
+    images = s.createDataFrame(IMAGES, "img_id int, a double, d double, b double, e double, c double, f double, width int, height int")
+    return surfaces.image_footprints(images).select("img_id", "min_x", "max_x", "min_y", "max_y")
+
+
+# Files and streams
+
+
+def _file(s: SparkSession, name: str) -> str:
+    folder = shared_root(s)
+    files, path = binary.open_path(f"{folder}/files")
+    files.create_dir(path, recursive=True)
+    return f"{folder}/files/{uuid.uuid4().hex}-{name}"
+
+
+@query(f"WITH {E_SQL}, o AS (SELECT (max(x) + min(x)) / 2 AS ox, (max(y) + min(y)) / 2 AS oy, (max(z) + min(z)) / 2 AS oz FROM e) SELECT " + ", ".join(f"round(floor(({c} - o{c}) / 0.001 + 0.5) * 0.001 + o{c}, 6) AS {c}" for c in "xyz") + " FROM e, o")
+def las_round_trip(s, d):
+    path = _file(s, "cloud.las")
+    writers.write_las(E(s, d), path)
+    return binary.read_records(s, path, "las").select("x", "y", "z")
+
+
+@query(f"WITH {E_SQL} SELECT round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS x, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 5) AS y, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 5) AS z, CAST(label AS DOUBLE) AS r FROM e")
+def bin_round_trip(s, d):
+    path = _file(s, "cloud.bin")
+    e = E(s, d).withColumns({c: F.col("label").cast("double") for c in "rgb"})
+    writers.write_bin(e, path, colour=True)
+    return binary.read_records(s, path, "binrgb").select(*[F.round(c, 5).alias(c) for c in "xyz"], "r")
+
+
+@query(f"WITH {E_SQL} SELECT round(x + 100, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(label AS DOUBLE) AS r, 7.0::DOUBLE AS g, 9.0::DOUBLE AS b FROM e")
+def text_round_trip(s, d):
+    path = _file(s, "cloud.xyzrgb")
+    e = E(s, d).select("x", "y", "z", F.col("label").alias("r"), F.lit(7).alias("g"), F.lit(9).alias("b"))
+    writers.write_text(writers.text_lines(e, (100.0, 0.0, 0.0)), path)
+    return text.read_plain(s, path, colour=True)
+
+
+@query(f"WITH {V_SQL} SELECT count(*) AS n, " + ", ".join(f"round({f}({c}), 6) AS {f}_{c}" for c in "xyz" for f in ("min", "max")) + " FROM v")
+def streaming_extents(s, d):
+    return streaming.running_extents(s, f"{d}/events.parquet", F.col("user_id").cast("double"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) / 3600000000D"), F.col("value"))

@@ -41,3 +41,12 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand at most so many rows at a time to Python workers from now on in this session (never more than it is set to).
+    Rows with whole texts are wide; the default batch of 10,000 of them takes hundreds of megabytes in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
