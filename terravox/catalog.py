@@ -49,12 +49,27 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def _without_negative_zero(sql: str) -> str:
+    """The SQL with 0.0 added to every rounded value: DuckDB keeps the sign of zero, Spark's rounding doesn't."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 0, start + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out += [sql[at:start], f"(round({_without_negative_zero(sql[start + 6 : end - 1])}) + 0.0)"]
+        at = end
+    return "".join([*out, sql[at:]])
+
+
 def query(sql: str | None = None):
     def add(f):
         name = f.__name__
         QUERIES[name] = lambda spark, d: rounded(f(spark, d))
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = _without_negative_zero(sql)
         return f
 
     return add
@@ -216,7 +231,7 @@ def color_clamp(s, d):
     return E(s, d).select("id", *[c.alias(k) for c, k in zip(m, "rgb", strict=True)])
 
 
-@query(f"WITH {E_SQL}, g AS (SELECT id, label * 25 AS v FROM e) SELECT id, CAST(0 AS SMALLINT) AS r, CAST(CASE WHEN v * 0.299 + v * 0.587 + v * 0.114 < 128 THEN v * 0.299 + v * 0.587 + v * 0.114 + 127 ELSE v * 0.299 + v * 0.587 + v * 0.114 - 127 END - 0.5 AS SMALLINT) AS g, CAST(0 AS SMALLINT) AS b FROM g")
+@query(f"WITH {E_SQL}, g AS (SELECT id, CAST(label * 25 AS DOUBLE) AS v FROM e) SELECT id, CAST(0 AS SMALLINT) AS r, CAST(trunc(CASE WHEN v * 0.299 + v * 0.587 + v * 0.114 < 128 THEN v * 0.299 + v * 0.587 + v * 0.114 + 127 ELSE v * 0.299 + v * 0.587 + v * 0.114 - 127 END) AS SMALLINT) AS g, CAST(0 AS SMALLINT) AS b FROM g")
 def highlight_colour(s, d):
     v = F.col("label") * 25
     c = colors.highlight(colors.luma(v, v, v))

@@ -55,7 +55,7 @@ def in_sphere(centre: Triple, radius: float, strict: bool = False) -> Column:
 
 def in_classes(mask: int, column: str = "class") -> Column:
     """F8: class ids as a bit mask."""
-    return F.shiftleft(F.lit(1), F.col(column).cast("int").bitwiseAND(31)).bitwiseAND(F.lit(mask)) != 0
+    return F.expr(f"shiftleft(1, cast(`{column}` as int) & 31) & {int(mask)}") != 0
 
 
 def in_capsule(p, centre, radius: float, tolerance: float) -> Column:

@@ -241,7 +241,7 @@ def read_records(spark: SparkSession, paths: str | list[str], layout: str, class
     made = spark.read.format("terravox_records").options(layout=layout, paths=paths if isinstance(paths, str) else "\n".join(paths), **options).load()
     if classes is None:
         return made
-    return made.where(F.shiftleft(F.lit(1), F.col("classification").bitwiseAND(31)).bitwiseAND(F.lit(classes)) != 0)
+    return made.where(f"shiftleft(1, classification & 31) & {int(classes)} != 0")
 
 
 def read_galaxies(spark: SparkSession, paths: str | list[str]) -> DataFrame:

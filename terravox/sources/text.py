@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PLACE = F.struct("path", "block", "row")
-
 
 def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(path, block, row, value): lines in file order; ``row`` counts from the start of a block of the file."""
