@@ -625,6 +625,56 @@ def image_footprints(s, d):
     return surfaces.image_footprints(images).select("img_id", "min_x", "max_x", "min_y", "max_y")
 
 
+def _ramp_sql(v: str, k: int) -> str:
+    stops = colors.BATHYMETRY
+    out = f"{stops[0][1][k]}::DOUBLE"
+    for (v0, c0), (v1, c1) in zip(stops, stops[1:], strict=False):
+        out = f"CASE WHEN {v} >= {v0} THEN {c0[k]} + (least({v}, {v1}::DOUBLE) - {v0}) / {v1 - v0} * {c1[k] - c0[k]} ELSE {out} END"
+    return f"CAST(floor(least(greatest({out}, 0), 255) + 0.5) AS SMALLINT)"
+
+
+@query(f"WITH {E_SQL}, d AS (SELECT id, z * 100 - 15 AS v FROM e WHERE z * 100 - 15 < 0) SELECT id, {', '.join(f'{_ramp_sql("v", k)} AS {c}' for k, c in enumerate('rgb'))} FROM d")
+def bathymetry_colour(s, d):
+    v = F.col("z") * 100 - 15
+    c = colors.ramp(v, colors.BATHYMETRY)
+    return E(s, d).where(v < 0).select("id", *[x.alias(k) for x, k in zip(c, "rgb", strict=True)])
+
+
+@query(f"WITH {E_SQL}, g AS (SELECT id, CAST(label * 25 AS DOUBLE) AS v, z < 0 AS ground FROM e), u AS (SELECT *, v * 0.299 + v * 0.587 + v * 0.114 AS l FROM g) SELECT id, " + ", ".join(f"CAST(floor(least(greatest(CASE WHEN ground THEN l * {a}::DOUBLE ELSE l * {b}::DOUBLE END, 0), 255) + 0.5) AS SMALLINT) AS {c}" for c, a, b in (("r", 1.0, 0.4), ("g", 0.75, 1.0), ("b", 0.5, 0.4))) + " FROM u")
+def ground_colour(s, d):
+    v = (F.col("label") * 25).cast("double")
+    c = colors.ground_colour(colors.luma(v, v, v), F.col("z") < 0)
+    return E(s, d).select("id", *[x.alias(k) for x, k in zip(c, "rgb", strict=True)])
+
+
+@query(f"WITH {E_SQL} SELECT id FROM e WHERE x * 1.0 + y * 0.0 + z * 0.0 <= 0.2 AND x * -1.0 + y * 0.5 + z * 0.0 <= 0.3 AND x * 0.0 + y * -1.0 + z * 0.2 <= 0.1")
+def frustum_filter(s, d):
+    return E(s, d).where(points.plane_sides([((1, 0, 0), 0.2), ((-1, 0.5, 0), 0.3), ((0, -1, 0.2), 0.1)])).select("id")
+
+
+@query(f"WITH {E_SQL} SELECT min(label * 25) AS min_r, max(label * 25) AS max_r, count(*) FILTER (label * 25 > 100) AS bright FROM e")
+def colour_range(s, d):
+    r = F.col("label") * 25
+    return E(s, d).agg(F.min(r).alias("min_r"), F.max(r).alias("max_r"), F.count_if(r > 100).alias("bright"))
+
+
+@query(f"WITH {E_SQL}, {V_SQL} SELECT CAST(1 AS INTEGER) AS dataset_id, count(*) AS n FROM v")
+def visible_datasets(s, d):
+    return points.union_clouds(E(s, d).drop("label"), V(s, d)).where("dataset_id = 1").groupBy("dataset_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {E_SQL} SELECT id, round(x, 6) AS x, label FROM e WHERE label > 6")
+def side_file_join(s, d):
+    e = E(s, d)
+    return e.select("id", "x").join(e.where("label > 6").select("id", "label"), "id")
+
+
+@query(f"WITH {E_SQL}, {P_SQL}, u AS (SELECT cos(radians(30.0)) * sin(radians(135.0)) AS x, cos(radians(30.0)) * cos(radians(135.0)) AS y, sin(radians(30.0)) AS z) SELECT id, round(greatest(0, nx * x + ny * y + nz * z), 6) AS shade FROM f, u")
+def hillshade(s, d):
+    sun = vectors.sun_vector(F.lit(135.0), F.lit(30.0))
+    return _planes(s, d).select("id", F.greatest(F.lit(0.0), vectors.dot(vec("nx", "ny", "nz"), sun)).alias("shade"))
+
+
 # Files and streams
 
 
