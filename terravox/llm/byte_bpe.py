@@ -20,12 +20,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import _powers_to, mix, ragged
+from terravox.llm.words import _powers_to, give_back, mix, ragged
+from terravox.plans.storage import bound_batches
 
 #: Distinct pre-tokens whose ids a worker remembers; beyond it starts anew. It bounds memory, not results.
-REMEMBERED = 3_000_000
+REMEMBERED = 500_000
 #: Characters of text handled at a time (or one text).
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -215,12 +216,23 @@ _IDS = pa.list_(pa.int32())
 _CODED = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+def encode_texts(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a text column, one after the other, and where each text's begin (and the last's end)."""
+    bpe, ids, counts = coder(path, pattern), [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+    for some in _batches(texts):
+        found, bounds = bpe.encode_all(some)
+        ids.append(found)
+        counts.append(np.diff(bounds))
+    return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+
 def _encoded(texts: pa.Array, path: str, pattern: str) -> pa.Array:
     """Lists of ids."""
     bpe, out = coder(path, pattern), []
     for some in _batches(texts):
         ids, bounds = bpe.encode_all(some)
         out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
+    give_back()
     return pa.concat_arrays(out) if out else pa.array([], _IDS)
 
 
@@ -243,16 +255,19 @@ def _digests(texts: pa.Array, path: str, pattern: str) -> pa.Array:
         n += np.diff(bounds).tolist()
         ids_hex += [sha256(x).hexdigest() for x in bpe.write_all(ids, bounds)]
         bytes_hex += [sha256(x).hexdigest() for x in bpe.decode_all(ids, bounds)]
+    give_back()
     return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((n, ids_hex, bytes_hex), _CODED, strict=True)], fields=list(_CODED))
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, text_column: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with a column of token ids (array<int>); null texts count as empty, empty texts have no ids."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(to, F.arrow_udf(lambda t: _encoded(t, path, pattern), "array<int>")(F.col(f"`{text_column}`").cast("string")))
 
 
 def with_bytes(coded: DataFrame, path: str, pattern: str, ids_column: str = "ids", to: str = "decoded") -> DataFrame:
     """``coded`` with the bytes of its token ids; a null list gives no bytes."""
+    bound_batches(coded.sparkSession)
     return coded.withColumn(to, F.arrow_udf(lambda x: _decoded(x, path, pattern), "binary")(F.col(f"`{ids_column}`")))
 
 
@@ -263,6 +278,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_column: str = "tex
     Null texts count as empty; empty texts have no ids. Columns of these names are replaced, all others stay; repeated
     rows give repeated results.
     """
+    bound_batches(docs.sparkSession)
     coded = F.arrow_udf(lambda t: _digests(t, path, pattern), "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col(f"`{text_column}`").cast("string"))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     return docs.withColumn("__coded", coded).select(*own, "__coded.n_tokens", "__coded.ids_sha256", "__coded.decoded_sha256")

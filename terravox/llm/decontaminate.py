@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import ALNUM, buffers, chunks, ngrams, words
-from terravox.plans.storage import cut
+from terravox.llm.words import ALNUM, buffers, chunks, give_back, ngrams, words
+from terravox.plans.storage import bound_batches, cut
 
 #: Words in a window.
 WINDOW = 13
@@ -121,6 +121,7 @@ def _found(texts: pa.Array, before: pa.Array, block: Block) -> pa.Array:
             all_items.append(sorted(found))
             edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0])))) if n_hit[-1] else np.zeros(0)
             all_spans.append(edge.tolist())
+    give_back()
     return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((n_words, n_hit, all_items, all_spans), _HITS_ARROW, strict=True)], fields=list(_HITS_ARROW))
 
 
@@ -145,6 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, remove: str | None = No
     without id, text or words have no windows; an empty benchmark hits nothing; repeated rows are treated alike.
     """
     spark, names = docs.sparkSession, docs.columns
+    bound_batches(spark)
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
     docs = docs.withColumn("__hits", F.lit(None).cast(f"struct<{_HITS}>"))
     for turn, items in enumerate(_blocks(benchmark, item_column, text_column)):

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.llm.sentence_spans import sentences
-from terravox.llm.words import _powers_to, chunks, mix
+from terravox.llm.words import _powers_to, chunks, give_back, mix
+from terravox.plans.storage import bound_batches
 
 #: Cells of a fingerprint; each retry doubles them. A multiple of three.
 CELLS = 24
@@ -158,6 +159,7 @@ def written(d: Digests, texts: int) -> list[str]:
 
 def fingerprints(docs: DataFrame, text_column: str = "text", to: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of each text; null counts as empty, and equal texts have equal fingerprints."""
+    bound_batches(docs.sparkSession)
     own = F.arrow_udf(lambda t: pa.array(written(paragraph_digests(t), len(t)), pa.string()), "string")
     return docs.withColumn(to, own(F.col(f"`{text_column}`").cast("string")))
 
@@ -184,6 +186,7 @@ def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, e, x = (paragraph_digests(pa.array(t, pa.string())) for t in (own, edited, after))
             columns = [[ids[i] for i in rows], [len(t) for t in own], [sha256(t.encode()).hexdigest() for t in edited], written(d, len(rows)), written(e, len(rows)), likeness(d, e), likeness(d, x)]
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _VERSIONS, strict=True)], schema=_VERSIONS)
+        give_back()
         ids, texts, guest = ids[-1:], texts[-1:], guest[-1:]
         chars = len(texts[0]) if texts else 0
         return out
@@ -209,6 +212,7 @@ def version_fingerprints(docs: DataFrame, bucket_bytes: int = 32 << 20, id_colum
     the first; a table of one row is its own next. Null texts count as empty; two empty texts are alike (1.0). Rows go
     to ranges of ids in one shuffle; each range is also sent the first row of the range that follows, its guest.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

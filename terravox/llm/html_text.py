@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.plans.storage import cut
+from terravox.llm.words import give_back
+from terravox.plans.storage import bound_batches, cut
 
 #: Pages a host must have of a path before its importance counts, and the importance below which the branch goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
@@ -163,6 +164,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[2].append(kind)
                 out[3].append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], ["host", "path", "kind", "value"])
+        give_back()
 
 
 def host_of(url):
@@ -196,6 +198,7 @@ def _texts(pages: pa.Array, low: pa.Array) -> pa.Array:
         if key not in known:
             known[key] = frozenset(key)
         out.append(page_text(page or "", known[key]))
+    give_back()
     return pa.array(out, pa.string())
 
 
@@ -206,6 +209,7 @@ def main_text(pages: DataFrame, url_column: str = "url", html_column: str = "htm
     markup alone. A text column that is there already is replaced, all other columns stay; repeated rows count as
     repeated pages of their host and get the same text; an empty table gives no rows.
     """
+    bound_batches(pages.sparkSession)
     names = [c for c in pages.columns if c not in ("text", html_column)]
     keyed = pages.withColumn("__host", host_of(F.col(f"`{url_column}`"))).withColumn("__html", F.col(f"`{html_column}`").cast("string"))
     tree = style_tree(keyed.select(F.col("__host").alias("host"), F.col("__html").alias("html")))

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.llm.components import connected_components
-from terravox.llm.words import SPACED, chunks, mix, ngrams, sequence_hash, words
-from terravox.plans.storage import cut
+from terravox.llm.words import SPACED, chunks, give_back, mix, ngrams, sequence_hash, words
+from terravox.plans.storage import bound_batches, cut
 
 #: N-grams that a fragment is meant to hold; the number of fragments grows with the input.
 FRAGMENT_GRAMS = 3_000_000
 #: N-grams a task gathers before it hands out its segments.
-TASK_GRAMS = 4_000_000
+TASK_GRAMS = 1_500_000
 #: Bytes of a hash that a segment keeps, beside those that name its fragment.
 KEPT = 5
 _WEIGHT = 0xFFFF
@@ -112,11 +112,14 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int, bits: int, directori
             if total >= TASK_GRAMS or len(ids) >= 200_000:
                 yield handed_out()
                 ids, nodes, sizes, held, total = [], [], [], {}, 0
+                give_back()
     if ids:
         yield handed_out()
+    held.clear()
+    give_back()
 
 
-def _entries(fragment: int, table: pa.Table) -> pa.RecordBatch | pa.Table:
+def _entries(fragment: int, table: pa.Table) -> pa.Table:
     """The weighted entries of each set in one fragment; a directory's rows as they are."""
     seen: set[int] = set()
     all_nodes, all_counts, all_grams = [], [], []
@@ -164,6 +167,12 @@ def _entries(fragment: int, table: pa.Table) -> pa.RecordBatch | pa.Table:
     return pa.table({"node": owner[begins], "doc_id": pa.nulls(len(begins), pa.int64()), "n": pa.nulls(len(begins), pa.int64()), "entries": lists_of}, schema=_ENTRIES)
 
 
+def _fragment(key: tuple, table: pa.Table) -> pa.Table:
+    made = _entries(key[0].as_py(), table)
+    give_back()
+    return made
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(entry, node, n, rest, share): each set's entries, rarest first, as long as the weight from there on can still
     reach the threshold; share is the part of the set that other sets hold too, in millionths."""
@@ -196,13 +205,14 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
     part in links, and names no component unless all ids of its component are null. Repeated rows give repeated
     results. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     amount = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     bits = int(np.ceil(np.log2(max(1, (amount[0] or 0) / 6 / FRAGMENT_GRAMS))))
     bits = min(bits, 15)
     directories = 1 + amount[1] // 100_000
     segments = docs.mapInArrow(lambda it: _segments(it, size, bits, directories), "fragment long, nodes binary, counts binary, grams binary, ids array<long>")
-    found = cut(segments.groupBy("fragment").applyInArrow(lambda key, t: _entries(key[0].as_py(), t), "node long, doc_id long, n long, entries array<long>"))
+    found = cut(segments.groupBy("fragment").applyInArrow(_fragment, "node long, doc_id long, n long, entries array<long>"))
 
     directory = found.where("entries is null").select("node", "doc_id", "n")
     sets = directory.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))

@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import SPACED, Words, _powers_to, chunks, mix, words
-from terravox.plans.storage import cut
+from terravox.llm.words import SPACED, Words, _powers_to, chunks, give_back, mix, words
+from terravox.plans.storage import bound_batches, cut
 
 #: A run has at least so many sentences and so many words.
 RUN_SENTENCES, RUN_WORDS = 3, 25
 #: A longer sentence is cut after each so many words, counted from its start.
 SENTENCE_WORDS = 16
 #: Runs that a fragment is meant to hold, and that a task gathers before it hands them out.
-FRAGMENT_RUNS, TASK_RUNS = 2_500_000, 3_000_000
+FRAGMENT_RUNS, TASK_RUNS = 2_500_000, 1_500_000
 _LAST = np.iinfo(np.int64).max
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
@@ -140,8 +140,11 @@ def _postings(batches: Iterator[pa.RecordBatch], bits: int, spread: int) -> Iter
         if total >= TASK_RUNS:
             yield handed_out()
             ids, keys, hashes, texts, total, n = [], [], [], [], 0, 0
+            give_back()
     if n:
         yield handed_out()
+        ids, keys, hashes, texts = [], [], [], []
+    give_back()
 
 
 def _replies(table: pa.Table) -> pa.Table:
@@ -175,6 +178,7 @@ def _replies(table: pa.Table) -> pa.Table:
         order = np.argsort(k, kind="stable")
         owner, lists = _lists(k[order], h[order])
         out.append(pa.table({"key": owner, "later": lists, "again": pa.nulls(len(owner), lists.type)}, schema=_REPLY))
+    give_back()
     return pa.concat_tables(out) if out else _REPLY.empty_table()
 
 
@@ -213,6 +217,7 @@ def _shortened(texts: pa.Array, later: pa.Array, again: pa.Array) -> pa.Array:
                 kept = b"".join(raw[cuts[k] : cuts[k + 1]] for k in np.flatnonzero(~covered))
                 raw = kept.rstrip() if covered[-1] else kept
             out.append(raw.decode())
+    give_back()
     return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((out, counts, gone), _SHORT, strict=True)], fields=list(_SHORT))
 
 
@@ -225,6 +230,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text count as one text and get the same result; texts of fewer than three sentences or 25 words are never touched;
     an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "__key")]
     text = F.col(f"`{text_column}`").cast("string")
     keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{id_column}`").cast("long"), text))

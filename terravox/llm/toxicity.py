@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import ALNUM, Words, chunks, gram_hash, ragged, words
+from terravox.llm.words import ALNUM, Words, chunks, give_back, gram_hash, ragged, words
+from terravox.plans.storage import bound_batches
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_LABELLED = 16_384
@@ -83,6 +84,8 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), pa.array(w[kept])], ["coordinate", "weight"])
         if not len(kept):  # nothing was learned: a weight of zero still says that rows were there
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0.0])], ["coordinate", "weight"])
+    rows.clear()
+    give_back()
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray] | None:
@@ -108,6 +111,7 @@ def scores(texts: pa.Array, coordinates: np.ndarray, weights: np.ndarray) -> np.
         distinct = np.unique(np.concatenate(found))
         total = np.bincount(distinct >> BITS, dense[distinct & ((1 << BITS) - 1)], minlength=hi - lo)
         out.append(1 / (1 + np.exp(-np.clip(total + dense[-1], -35, 35))))
+    give_back()
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -124,6 +128,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     empty texts have only the bias. Without any labelled row nothing is known and every score is 0. Columns of the added
     names are replaced, all others stay.
     """
+    bound_batches(docs.sparkSession)
     learn = labels.where(F.col(label_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(f"`{id_column}`").alias("doc_id")).agg(F.max(label_column).alias("label"))
     learn = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * MAX_LABELLED)  # ids without a text leave gaps
     texts = (docs if fit_on is None else fit_on).select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))

@@ -7,6 +7,7 @@ chunk, then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,9 +18,18 @@ import pyarrow.compute as pc
 #: Bytes of text handled at a time; a longer text is a chunk of its own.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers stay for later tasks, and what they once
+    needed would stay with them."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all others."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
