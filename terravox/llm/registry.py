@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import functools
 import uuid
 
-from terravox.llm.byte_bpe import round_trip, with_ids
+from terravox.llm.byte_bpe import encode_texts, round_trip
 from terravox.llm.chat import rotate_perspectives
 from terravox.llm.decontaminate import contamination
 from terravox.llm.fingerprints import version_fingerprints
@@ -49,9 +50,9 @@ def query(f):
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of the shards of all documents, with the digest of every record as it stands in the files."""
     folder = f"{shared_root(spark)}/shards-{uuid.uuid4().hex}"
-    coded = with_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    manifest = materialise(coded.drop("text"), folder, length=256, end=50256, pad=50256, key=20260101, per_shard=8192)
-    return manifest.join(record_digests(spark, folder, 256, "<u2", 8192), "slot")
+    encode = functools.partial(encode_texts, path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    manifest = materialise(_table(spark, sf_dir, "documents"), folder, length=2048, end=50256, pad=50256, key=20260101, per_shard=4096, ids_column="text", encode=encode)
+    return manifest.join(record_digests(spark, folder, 2048, "<u2", 4096), "slot")
 
 
 @query

@@ -1,30 +1,36 @@
 """Training-order materialisation of token ids.
 
-Every text becomes sequences of a fixed number of 16- or 32-bit ids. All sequences are numbered without gaps by a hash of
-their document, and a keyed Feistel permutation with cycle-walking sends each number to its slot in training order.
-Ranges of slots are written as shards of fixed-stride records, so that slot s lies at byte (s mod per_shard) * stride of
-shard s div per_shard: a reader starts, skips and resumes anywhere by a seek.
+Documents, each closed by an end id, are laid one after the other and cut into sequences of a fixed number of 16- or
+32-bit ids; only the last sequence of an input partition is padded. All sequences are numbered without gaps by
+partition, and a keyed Feistel permutation with cycle-walking sends each number to its slot in training order. Ranges
+of slots are written as shards of fixed-stride records, so that slot s lies at byte (s mod per_shard) * stride of shard
+s div per_shard: a reader starts, skips and resumes anywhere by a seek.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravox.plans.storage import cut
+from terravox.llm.words import give_back
+from terravox.plans.storage import bound_batches, cut
 
-#: Documents that one task numbers, about.
-DOCS_PER_BUCKET = 50_000
+#: Sequences in one packed row, and those that a task gathers before it hands them to shards.
+BLOCK, GATHERED = 64, 2048
+#: Partitions whose offsets are broadcast at most; beyond, they are joined.
+BROADCAST_PARTS = 200_000
 ROUNDS = 6
 
 
@@ -59,90 +65,144 @@ def permute(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
     return out.astype(np.int64)
 
 
-def _coded(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    """Packs the ids of each document."""
-    press = zstandard.ZstdCompressor(level=3)
+def listed(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a column of lists, one after the other, and where each list begins (and the last ends); null is empty."""
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    return ids.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
+
+
+_PACKED = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int32())), ("docs", pa.list_(pa.list_(pa.int64()))), ("ids", pa.binary())])
+_PACKED_SQL = "part long, first long, n long, tokens array<int>, docs array<array<long>>, ids binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch], encode: Callable, length: int, end: int, pad: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """The sequences of one input partition in blocks, with the documents in each."""
+    press, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+    held: list[np.ndarray] = []  # ids of documents that no block has yet
+    begins: list[tuple[int, int | None]] = []  # where each of their documents begins, and its id
+    size, first = 0, 0
+
+    def block(closing: bool) -> pa.RecordBatch | None:
+        nonlocal held, begins, size, first
+        ids = np.concatenate(held) if held else np.zeros(0, kind)
+        n = -(-len(ids) // length) if closing else len(ids) // length
+        if not n:
+            held = [ids]
+            return None
+        cut = min(n * length, len(ids))
+        own = ids[:cut]
+        tokens = [min(length, cut - k * length) for k in range(n)]
+        if cut < n * length:
+            own = np.concatenate([own, np.full(n * length - cut, pad, kind)])
+        starts = np.array([b for b, _ in begins], np.int64)
+        docs = []
+        for k in range(n):
+            lo, hi = np.searchsorted(starts, k * length, "right") - 1, np.searchsorted(starts, (k + 1) * length, "left")
+            docs.append([begins[i][1] for i in range(max(lo, 0), hi)])
+        out = pa.RecordBatch.from_pylist([{"part": part, "first": first, "n": n, "tokens": tokens, "docs": docs, "ids": press.compress(own.tobytes())}], _PACKED)
+        keep = max(int(np.searchsorted(starts, cut, "right")) - 1, 0)
+        held, begins = [ids[cut:]], [(b - cut, i) for b, i in begins[keep:]] if cut < len(ids) else []
+        size, first = len(ids) - cut, first + n
+        return out
+
     for b in batches:
-        ids = b.column(2)
-        packed = [press.compress((x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0)).astype(kind).tobytes()) for x in ids]
-        n = [len(x.values) if x.is_valid else 0 for x in ids]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "h", "n_ids", "ids"])
+        ids, bounds = encode(b.column(1))
+        ids = ids.astype(kind)
+        for doc_id, lo, hi in zip(b.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            begins.append((size, doc_id))
+            held += [ids[lo:hi], np.array([end], kind)]
+            size += hi - lo + 1
+            if size >= BLOCK * length and (out := block(False)) is not None:
+                yield out
+        give_back()
+    if size and (out := block(True)) is not None:
+        yield out
+
+
+_HANDED = pa.schema([("shard", pa.int64()), ("slots", pa.list_(pa.int64())), ("sequences", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32())), ("docs", pa.list_(pa.list_(pa.int64()))), ("ids", pa.binary())])
+_HANDED_SQL = "shard long, slots array<long>, sequences array<long>, tokens array<int>, docs array<array<long>>, ids binary"
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], length: int, end: int, kind: str, n: int, key: int) -> Iterator[pa.RecordBatch]:
-    """The sequences of each document with their slots; the last is shorter."""
+def _handed(batches: Iterator[pa.RecordBatch], length: int, kind: str, total: int, key: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+    """Sequences with their slots, those for one shard together."""
     press, open_up = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    numbers: list[np.ndarray] = []
+    records: list[np.ndarray] = []
+    tokens: list[int] = []
+    docs: list[list] = []
+
+    def out() -> pa.RecordBatch:
+        number, record = np.concatenate(numbers), np.concatenate(records)
+        slot = permute(number.astype(np.uint64), total, key)
+        order = np.argsort(slot)
+        shard = slot[order] // per_shard
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        rows = []
+        for some in np.split(order, cuts):
+            rows.append({"shard": int(slot[some[0]] // per_shard), "slots": slot[some].tolist(), "sequences": number[some].tolist(), "tokens": [tokens[i] for i in some], "docs": [docs[i] for i in some], "ids": press.compress(record[some].tobytes())})
+        return pa.RecordBatch.from_pylist(rows, _HANDED)
+
     for b in batches:
-        for lo in range(0, b.num_rows, 512):
-            some = b.slice(lo, 512)
-            docs, numbers, parts, firsts = [], [], [], []
-            for doc_id, first, packed in zip(some.column("doc_id").to_pylist(), some.column("first").to_pylist(), some.column("ids").to_pylist(), strict=True):
-                ids = np.append(np.frombuffer(open_up.decompress(packed), kind), np.array([end], kind))
-                for k in range(0, len(ids), length):
-                    docs.append(doc_id)
-                    numbers.append(k // length)
-                    firsts.append(first + k // length)
-                    parts.append(ids[k : k + length])
-            slots = permute(np.array(firsts, np.uint64), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(slots), pa.array([len(p) for p in parts], pa.int64()), pa.array([press.compress(p.tobytes()) for p in parts], pa.binary())], ["doc_id", "sequence", "slot", "n_tokens", "ids"])
-
-
-def _write(batches: Iterator[pa.RecordBatch], folder: str, length: int, pad: int, kind: str, per_shard: int) -> Iterator[pa.RecordBatch]:
-    """Writes the shards of one task, whose rows come by slot; a shard appears under its name when it is complete, so a
-    task that is run again does no harm."""
-    files, base = pafs.FileSystem.from_uri(folder)
-    open_up = zstandard.ZstdDecompressor()
-    shard, out, temporary = None, None, ""
+        for start, n, t, d, packed in zip(*(b.column(k).to_pylist() for k in ("start", "n", "tokens", "docs", "ids")), strict=True):
+            numbers.append(start + np.arange(n))
+            records.append(np.frombuffer(open_up.decompress(packed), kind).reshape(n, length))
+            tokens += t
+            docs += d
+            if len(tokens) >= GATHERED:
+                yield out()
+                numbers, records, tokens, docs = [], [], [], []
+                give_back()
+    if tokens:
+        yield out()
+    give_back()
 
-    def finish() -> None:
-        if out is not None:
-            out.close()
-            files.move(temporary, f"{base}/shard-{shard:08d}.bin")
 
-    for b in batches:
-        slots = b.column("slot").to_pylist()
-        for slot, packed in zip(slots, b.column("ids").to_pylist(), strict=True):
-            if slot // per_shard != shard:
-                finish()
-                shard = slot // per_shard
-                temporary = f"{base}/_{uuid.uuid4().hex}"
-                out = files.open_output_stream(temporary)
-            ids = np.frombuffer(open_up.decompress(packed), kind)
-            record = np.full(length, pad, kind)
-            record[: len(ids)] = ids
-            out.write(record.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sequence"), b.column("slot"), pa.array([s // per_shard for s in slots], pa.int64()), pa.array([s % per_shard for s in slots], pa.int64()), b.column("n_tokens")], ["doc_id", "sequence", "slot", "shard", "record", "n_tokens"])
-    finish()
-
-
-def materialise(docs: DataFrame, folder: str, length: int, end: int, pad: int, key: int = 0, kind: str = "<u2", per_shard: int = 8192, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
-    """Write the token ids of ``docs`` to ``folder`` in training order, and return the manifest: ``doc_id``, ``sequence``
-    (number in its document), ``slot``, ``shard``, ``record`` (in the shard) and ``n_tokens`` (before padding).
+_MANIFEST = "slot long, sequence long, shard long, record long, n_tokens int, doc_ids array<long>"
+
 
+def _shard(table: pa.Table, folder: str, length: int, kind: str, per_shard: int) -> pa.Table:
+    """Writes one shard; it appears under its name when it is complete, so a task that is run again does no harm."""
+    open_up = zstandard.ZstdDecompressor()
+    rows = table.to_pylist()
+    slots = np.concatenate([r["slots"] for r in rows]).astype(np.int64)
+    records = np.concatenate([np.frombuffer(open_up.decompress(r["ids"]), kind).reshape(-1, length) for r in rows])
+    order = np.argsort(slots)
+    files, base = pafs.FileSystem.from_uri(folder)
+    shard = int(slots[0]) // per_shard
+    temporary = f"{base}/_{uuid.uuid4().hex}"
+    with files.open_output_stream(temporary) as f:
+        f.write(np.ascontiguousarray(records[order]).tobytes())
+    files.move(temporary, f"{base}/shard-{shard:08d}.bin")
+    flat = {k: [x for r in rows for x in r[k]] for k in ("sequences", "tokens", "docs")}
+    made = {"slot": slots[order], "sequence": [flat["sequences"][i] for i in order], "shard": np.full(len(slots), shard), "record": slots[order] % per_shard, "n_tokens": pa.array([flat["tokens"][i] for i in order], pa.int32()), "doc_ids": pa.array([flat["docs"][i] for i in order], pa.list_(pa.int64()))}
+    give_back()
+    return pa.table(made)
+
+
+def materialise(docs: DataFrame, folder: str, length: int, end: int, pad: int, key: int = 0, kind: str = "<u2", per_shard: int = 4096, id_column: str = "doc_id", ids_column: str = "ids", encode: Callable = listed) -> DataFrame:
+    """Write the token ids of ``docs`` to ``folder`` in training order, and return the manifest: ``slot``, ``sequence``
+    (number before the permutation), ``shard``, ``record`` (in the shard), ``n_tokens`` (before padding) and ``doc_ids``
+    (of the documents in the sequence, in order).
+
+    ``encode`` turns an Arrow array of the ids column into ids and bounds; by default the column holds lists of ids.
     ``folder`` is a URI that executors can write to (anything ``pyarrow.fs`` opens). Every document ends with the id
-    ``end``, so null and empty lists make one sequence; sequences shorter than ``length`` are padded with ``pad``. Rows
-    without an id are kept (their ``doc_id`` is null); repeated rows are written as often as they occur. An empty table
-    writes no shard. Other columns are ignored.
+    ``end``; null and empty documents are that id alone. Rows without an id stay (null in ``doc_ids``); repeated rows are
+    written as often as they occur. An empty table writes no shard. Other columns are ignored. Sequence numbers follow
+    the input's partitions and order, as they are when the packed sequences are written.
     """
     spark = docs.sparkSession
-    chosen = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(f"`{id_column}`", f"`{ids_column}`").alias("h"), F.col(f"`{ids_column}`").alias("ids"))
-    packed = chosen.mapInArrow(lambda it: _coded(it, kind), "doc_id long, h long, n_ids long, ids binary").withColumn("n", F.floor((F.col("n_ids")) / length) + 1)
-    packed = cut(packed)
-    rows = packed.count()
-    buckets = max(1, rows // DOCS_PER_BUCKET)
-    packed = packed.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sums = packed.groupBy("bucket").agg(F.sum("n").alias("size"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = sums.agg(F.sum("size")).first()[0] or 0
-    inside = Window.partitionBy("bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = packed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums.select("bucket", "before"), "bucket")
-    numbered = numbered.select("doc_id", (F.col("before") + F.col("inside")).alias("first"), "ids")
-    sequences = numbered.mapInArrow(lambda it: _sequences(it, length, end, kind, total, key), "doc_id long, sequence long, slot long, n_tokens long, ids binary")
-    shards = -(-total // per_shard)
-    placed = sequences.repartition(max(1, min(shards, 100_000)), F.floor(F.col("slot") / per_shard)).sortWithinPartitions("slot")
+    bound_batches(spark)
+    chosen = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{ids_column}`").alias("ids"))
+    packed = cut(chosen.mapInArrow(lambda it: _packed(it, encode, length, end, pad, kind), _PACKED_SQL))
+    sums = packed.groupBy("part").agg(F.sum("n").alias("size"))
+    sums = cut(sums.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    parts, total = sums.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    offsets = sums.select("part", "before")
+    placed = packed.join(F.broadcast(offsets) if parts <= BROADCAST_PARTS else offsets, "part").select((F.col("before") + F.col("first")).alias("start"), "n", "tokens", "docs", "ids")
+    handed = placed.mapInArrow(lambda it: _handed(it, length, kind, total, key, per_shard), _HANDED_SQL)
     files, base = pafs.FileSystem.from_uri(folder)
     files.create_dir(base, recursive=True)
-    manifest = cut(placed.mapInArrow(lambda it: _write(it, folder, length, pad, kind, per_shard), "doc_id long, sequence long, slot long, shard long, record long, n_tokens long"))
+    manifest = cut(handed.groupBy("shard").applyInArrow(lambda t: _shard(t, folder, length, kind, per_shard), _MANIFEST))
     with files.open_output_stream(f"{base}/meta.json") as out:
         out.write(json.dumps({"sequences": total, "length": length, "end": end, "pad": pad, "key": key, "kind": kind, "per_shard": per_shard}).encode())
     return manifest

@@ -418,23 +418,34 @@ def test_permutation(n):
     assert n < 100 or (training_order.permute(np.arange(n), n, 43) != slots).mean() > 0.9
 
 
-def test_shards_round_trip(spark, tmp_path):
+def test_shards_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "BLOCK", 4)
     rng = random.Random(6)
-    docs = [(i, [rng.randrange(50_000) for _ in range(rng.randrange(0, 60))]) for i in range(200)] + [(None, [1, 2]), (7, None), (7, None)]
-    df = spark.createDataFrame(docs, "doc_id long, ids array<int>").withColumn("slot", F.lit("clash"))
+    docs = [(i, [rng.randrange(50_000) for _ in range(rng.choice([0, 3, 15, 16, 17, 60, 300]))]) for i in range(200)] + [(None, [1, 2]), (7, None), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id long, ids array<int>").withColumn("slot", F.lit("clash")).coalesce(2)
     folder = f"file://{tmp_path}/out"
-    m = training_order.materialise(df, folder, length=16, end=50256, pad=50256, key=9, per_shard=64).collect()
-    want = sum(-(-(len(x or []) + 1) // 16) for _, x in docs)
-    assert sorted(r.slot for r in m) == list(range(want))
+    m = sorted(training_order.materialise(df, folder, length=16, end=50256, pad=50257, key=9, per_shard=64).collect(), key=lambda r: r.sequence)
+    assert sorted(r.slot for r in m) == [r.sequence for r in m] == list(range(len(m)))
     records = training_order.read_slots(folder, 0, 10**9)
-    assert len(records) == want and (training_order.read_slots(folder, 70, 5) == records[70:75]).all()
-    parts = defaultdict(dict)
-    for r in m:
-        assert (r.shard, r.record) == divmod(r.slot, 64)
-        parts[r.doc_id].setdefault(r.sequence, []).append(records[r.slot][: r.n_tokens].tolist())
-    for i, ids in docs:
-        if i not in (None, 7):
-            assert sum((parts[i][k][0] for k in sorted(parts[i])), []) == [*ids, 50256]
+    assert len(records) == len(m) and (training_order.read_slots(folder, 70, 5) == records[70:75]).all()
+    assert all((r.shard, r.record) == divmod(r.slot, 64) for r in m)
+    assert sum(r.n_tokens < 16 for r in m) <= 2  # one padded sequence for each input partition
+    assert all((records[r.slot][r.n_tokens :] == 50257).all() for r in m)
+    stream = [t for r in m for t in records[r.slot][: r.n_tokens].tolist()]
+    got = "/".join(map(str, stream)).split("/50256")
+    assert sorted(x.strip("/") for x in got) == sorted([*("/".join(map(str, x or [])) for _, x in docs), ""])
+    inside, holders = iter([r.doc_ids for r in m]), defaultdict(int)
+    for ids in inside:
+        assert len(ids) >= 1
+        for i in ids:
+            holders[i] += 1
+    assert set(holders) == {i for i, _ in docs}
+    at = 0
+    order = [r for r in df.collect()]
+    for i, ids in ((r.doc_id, r["ids"] or []) for r in order[: len(order) // 4]):  # the first documents, in order
+        for k in range(at // 16, (at + len(ids)) // 16 + 1):
+            assert i in m[k].doc_ids
+        at += len(ids) + 1
     digests = {r.slot: r.record_sha256 for r in training_order.record_digests(spark, folder, 16, "<u2", 64).collect()}
     assert digests == {k: hashlib.sha256(r.tobytes()).hexdigest() for k, r in enumerate(records)}
     assert training_order.materialise(df.limit(0), f"file://{tmp_path}/none", 16, 0, 0).count() == 0
