@@ -5,8 +5,8 @@ the ordered groups fit into so many shards is found by binary search, each capac
 are cut there.
 
 The ordered group sizes are never gathered whole. Runs of neighbouring groups are summed up by a prefix of the hash; a
-greedy check over the sums alone either settles a capacity or stops inside one run, and the runs that any check still
-in question stops in are opened one level deeper, until no check is in question. What the driver holds is bounded by
+greedy check over the sums alone either settles a capacity or cuts inside some runs, and the runs that any check still
+in question cuts are opened one level deeper, until no check is in question. What the driver holds is bounded by
 the number of shards and the fan-out, not by the number of groups.
 """
 
@@ -19,8 +19,10 @@ from pyspark.sql.window import Window
 
 from terravox.plans.storage import cut
 
-#: Hexadecimal digits of the hash that each level of sums adds.
-DIGITS = 3
+#: Hexadecimal digits of the hash that the first level of sums has, and that each further level adds.
+DIGITS, MORE_DIGITS = 3, 2
+#: Capacities that one round of the search tries.
+PROBES = 7
 #: Rows that one task numbers, about.
 ROWS_PER_BUCKET = 100_000
 
@@ -28,68 +30,64 @@ ROWS_PER_BUCKET = 100_000
 class OrderedSums:
     """Prefix sums of group sizes over the ordered hashes, known down to the prefixes that were asked for."""
 
-    def __init__(self, groups: DataFrame, digits: int = DIGITS):
-        self.groups, self.digits = groups, digits
-        self.keys: list[str] = []
-        self.sizes: list[int] = []
-        self.largest: list[int] = []
-        self.groups_in: list[int] = []
-        self._splice(None)
+    def __init__(self, groups: DataFrame):
+        self.groups = groups
+        self.runs: dict[str, tuple[int, int, int]] = {}  # prefix: size, largest group, groups
+        self.open(None)
 
-    def _splice(self, opened: list[str] | None) -> None:
-        """Read the sums of the first level, or open the given runs one level deeper."""
+    def open(self, prefixes: set[str] | None) -> None:
+        """Read the sums of the first level, or of the given runs one level deeper."""
         runs = self.groups
-        if opened is None:
-            width = F.lit(self.digits)
+        if prefixes is None:
+            width = F.lit(DIGITS)
         else:
-            depths = sorted({len(k) for k in opened})
-            runs = runs.where(" or ".join(f"substring(h, 1, {d}) in ({', '.join(repr(k) for k in opened if len(k) == d)})" for d in depths))
-            width = F.coalesce(*[F.when(F.substring("h", 1, d).isin([k for k in opened if len(k) == d]), F.lit(d + self.digits)) for d in depths])
+            runs = runs.where(" or ".join(f"(h >= '{k}' and h < '{k}g')" for k in sorted(prefixes)))  # ranges, so that the scan skips the rest
+            width = F.coalesce(*[F.when(F.substring("h", 1, d).isin(sorted(k for k in prefixes if len(k) == d)), F.lit(d + MORE_DIGITS)) for d in sorted({len(k) for k in prefixes})])
         found = runs.withColumn("w", width).groupBy(F.expr("substring(h, 1, w)").alias("k"))
-        rows = found.agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.count("*").alias("n")).collect()
-        kept = [r for r in zip(self.keys, self.sizes, self.largest, self.groups_in, strict=True) if opened is None or r[0] not in set(opened)]
-        rows = sorted(kept + [(r.k, int(r["size"]), int(r.largest), r.n) for r in rows])
-        self.keys, self.sizes, self.largest, self.groups_in = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
-        self.ends = np.cumsum(np.array(self.sizes, dtype=object)) if rows else np.zeros(0, object)
+        for k in prefixes or ():
+            del self.runs[k]
+        self.runs |= {r.k: (int(r["size"]), int(r.largest), r.n) for r in found.agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.count("*").alias("n")).collect()}
+        self.keys = sorted(self.runs)
+        self.ends = np.cumsum(np.array([self.runs[k][0] for k in self.keys], dtype=object))
+        self.total = int(self.ends[-1]) if self.keys else 0
 
     def greedy(self, capacity: int, shards: int) -> tuple[list[str] | None, set[str]]:
         """First hashes (prefixes) of the shards after the first, or None if the groups don't fit; and the runs that must
-        be opened before that is sure (then the first part is void)."""
+        be opened before that is sure (then the first part is void). Behind a cut inside a run, which lies at most one
+        group before the full capacity, the check goes on from there, to find the next runs to open as well."""
         cuts: list[str] = []
+        doubtful: set[str] = set()
         at = 0  # size before the current shard
-        total = self.ends[-1] if len(self.ends) else 0
-        while total - at > capacity:
-            if len(cuts) == shards - 1:
-                return None, set()
+        while self.total - at > capacity and len(cuts) < shards - 1:
             i = int(np.searchsorted(self.ends, at + capacity, "right"))
-            if self.groups_in[i] > 1:  # the cut lies inside this run
-                return None, {self.keys[i]}
-            start = self.ends[i] - self.sizes[i]
-            if start == at:  # one group alone exceeds the capacity
-                return None, set()
-            cuts.append(self.keys[i])
-            at = start
-        return cuts, set()
+            key = self.keys[i]
+            start = self.ends[i] - self.runs[key][0]
+            cuts.append(key)
+            if self.runs[key][2] > 1:  # the cut lies inside this run
+                doubtful.add(key)
+                at += capacity
+            elif start <= at:  # one group alone exceeds the capacity
+                return None, doubtful
+            else:
+                at = start
+        return (cuts if self.total - at <= capacity else None), doubtful
 
 
 def smallest_capacity(sums: OrderedSums, shards: int) -> tuple[int, list[str]]:
-    """The least capacity that suffices, and the first hashes of the shards after the first."""
-    total = int(sums.ends[-1]) if len(sums.ends) else 0
-    low, high = max([0, *sums.largest, -(-total // shards)]), total
-    while low < high:
-        middle = (low + high) // 2
-        cuts, doubtful = sums.greedy(middle, shards)
-        if doubtful:
-            sums._splice(sorted(doubtful))
-        elif cuts is None:
-            low = middle + 1
-        else:
-            high = middle
+    """The least capacity that suffices, and the first hashes of the shards after the first: binary search, of which one
+    round of greedy checks takes three steps at once."""
+    low, high = max([0, *(r[1] for r in sums.runs.values()), -(-sums.total // shards)]), sums.total
     while True:
-        cuts, doubtful = sums.greedy(low, shards)
-        if not doubtful:
-            return low, cuts or []
-        sums._splice(sorted(doubtful))
+        probes = sorted({low + (high - low) * k // (PROBES + 1) for k in range(PROBES + 1)})
+        checks = {c: sums.greedy(c, shards) for c in probes}
+        if doubtful := set().union(*(d for _, d in checks.values())):
+            sums.open(doubtful)
+            continue
+        fits = [c for c in probes if checks[c][0] is not None]
+        if fits and fits[0] == low:
+            return low, checks[low][0] or []
+        high = min([*fits, high])
+        low = max(c for c in probes if checks[c][0] is None) + 1
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -105,6 +103,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id"
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     sized = docs.select(*own, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text.cast("binary")).alias("__h"))
     groups = cut(sized.groupBy(F.col("__h").alias("h")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    groups = cut(groups.repartitionByRange("h").sortWithinPartitions("h"))
     rows = groups.agg(F.sum("rows")).first()[0] or 0
     _, cuts = smallest_capacity(OrderedSums(groups), shards)
     shard = F.lit(0)
