@@ -225,5 +225,5 @@ def version_fingerprints(docs: DataFrame, bucket_bytes: int = 32 << 20, id_colum
     hosts = docs.sparkSession.createDataFrame([(o, h, b) for (o, h), b in after], "o long, h long, host int")
     guests = docs.withColumn("o", order).join(F.broadcast(hosts), ["o", "h"]).select("doc_id", "text", F.col("host").alias("bucket"), "h", F.lit(True).alias("guest"))
     all_rows = docs.select("doc_id", "text", "bucket", "h", F.lit(False).alias("guest")).unionByName(guests)
-    rows = all_rows.repartition(max(1, len(heads)), "bucket").sortWithinPartitions(F.desc("bucket"), "guest", F.desc_nulls_last("doc_id"), F.desc("h"))
+    rows = all_rows.repartitionByRange(max(1, len(heads)), "bucket").sortWithinPartitions(F.desc("bucket"), "guest", F.desc_nulls_last("doc_id"), F.desc("h"))
     return rows.select("guest", "doc_id", "text").mapInArrow(_versions, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
