@@ -27,7 +27,7 @@ RUN_SENTENCES, RUN_WORDS = 3, 25
 #: A longer sentence is cut after each so many words, counted from its start.
 SENTENCE_WORDS = 16
 #: Runs that a fragment is meant to hold, and that a task gathers before it hands them out.
-FRAGMENT_RUNS, TASK_RUNS = 2_500_000, 1_500_000
+FRAGMENT_RUNS, TASK_RUNS = 1_200_000, 750_000
 _LAST = np.iinfo(np.int64).max
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
