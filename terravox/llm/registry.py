@@ -100,7 +100,7 @@ SELECT doc_id, n_words, n_hit, len(items) AS n_items, sha256(array_to_string(ite
 
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), shifted=True)
 
 
 @query

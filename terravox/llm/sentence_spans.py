@@ -7,6 +7,11 @@ non-first occurrence of a run covers are removed.
 The join is by fragments of the hash space. A task first joins its own texts: later occurrences inside it are settled
 there and then, and only one posting per distinct hash goes out, so a passage that a third of all texts hold costs one
 row for each task.
+
+Sentences of any length can be cut in two ways. At fixed offsets, a passage that stands elsewhere in a sentence is cut
+elsewhere. With ``shifted``, a cut depends only on the words around it and no piece has more than PIECE_WORDS words, so
+that two texts agree in all cuts of a common passage but those of PIECE_WORDS words at either end: whatever 50 words
+they share hold a run of at least 25, wherever they stand and however their lines are broken.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from terravox.plans.storage import bound_batches, cut
 RUN_SENTENCES, RUN_WORDS = 3, 25
 #: A longer sentence is cut after each so many words, counted from its start.
 SENTENCE_WORDS = 16
+#: With ``shifted``, the longest piece of a sentence; two of them are shorter than a run.
+PIECE_WORDS = 12
 #: Runs that a fragment is meant to hold, and that a task gathers before it hands them out.
 FRAGMENT_RUNS, TASK_RUNS = 1_200_000, 750_000
 _LAST = np.iinfo(np.int64).max
@@ -49,13 +56,36 @@ class Sentences(NamedTuple):
     units: np.ndarray  #: index of each text's first sentence, and the count of sentences at the end
 
 
-def sentences(data: np.ndarray, off: np.ndarray) -> Sentences:
+def _local_cuts(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Heads, and in each window of PIECE_WORDS words without one the word of the least hash (of it and the word before
+    it; the last of equals)."""
+    size, n = PIECE_WORDS, len(hashes)
+    if n < size:
+        return heads
+    value = mix(hashes ^ (np.concatenate((hashes[:1], hashes[:-1])) * np.uint64(0xA24BAED4963EE407)))
+    least = value[size - 1 :].copy()
+    at = np.arange(size - 1, n)
+    for k in range(size - 2, -1, -1):
+        less = value[k : n - size + 1 + k] < least
+        least[less] = value[k : n - size + 1 + k][less]
+        at[less] = np.flatnonzero(less) + k
+    seen = np.concatenate(([0], np.cumsum(heads)))
+    cuts = heads.copy()
+    cuts[at[seen[size:] == seen[:-size]]] = True
+    return cuts
+
+
+def sentences(data: np.ndarray, off: np.ndarray, shifted: bool = False) -> Sentences:
     """The sentences of a chunk of texts. One ends after a word that ends with . ! or ?, at a line break, or after
-    SENTENCE_WORDS words."""
+    SENTENCE_WORDS words; with ``shifted`` after such a word or at a local cut."""
     w = words(data, off, SPACED)
     n = len(w.hashes)
     heads = np.zeros(n + 1, bool)
     heads[w.first] = True
+    if n and shifted:
+        heads[1:n] |= _STOPS[data[w.end[:-1] - 1]]
+        start = np.flatnonzero(_local_cuts(w.hashes, heads[:n]))
+        return Sentences(w, start, np.append(start[1:], n), np.searchsorted(start, w.first))
     if n:
         lines = np.cumsum((data == 10) | (data == 13))
         heads[1:n] |= _STOPS[data[w.end[:-1] - 1]] | (lines[w.start[1:]] > lines[w.end[:-1] - 1])
@@ -65,9 +95,9 @@ def sentences(data: np.ndarray, off: np.ndarray) -> Sentences:
     return Sentences(w, start, np.append(start[1:], n), np.searchsorted(start, w.first))
 
 
-def sentence_runs(data: np.ndarray, off: np.ndarray) -> Runs:
+def sentence_runs(data: np.ndarray, off: np.ndarray, shifted: bool = False) -> Runs:
     """The runs of a chunk of texts."""
-    w, start, end, units = sentences(data, off)
+    w, start, end, units = sentences(data, off, shifted)
     n = len(w.hashes)
     text = np.repeat(np.arange(len(off) - 1), np.diff(units))
     last = np.repeat(units[1:] - 1, np.diff(units))
@@ -97,7 +127,7 @@ def _lists(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListAr
     return owner[begin], pa.ListArray.from_arrays(pa.array(np.append(begin, len(owner)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], bits: int, spread: int) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], bits: int, spread: int, shifted: bool) -> Iterator[pa.RecordBatch]:
     """First occurrences inside the task by fragment; from fragment ``1 << bits`` on what is settled already."""
     ids, keys, hashes, texts, total = [], [], [], [], 0
 
@@ -132,7 +162,7 @@ def _postings(batches: Iterator[pa.RecordBatch], bits: int, spread: int) -> Iter
         ids.append(batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False))
         keys.append(batch.column(1).to_numpy(zero_copy_only=False))
         for lo, _, data, off in chunks(batch.column(2)):
-            runs = sentence_runs(data, off)
+            runs = sentence_runs(data, off, shifted)
             hashes.append(runs.hashes)
             texts.append(runs.of + (n + lo))
             total += len(runs.hashes)
@@ -185,11 +215,11 @@ def _replies(table: pa.Table) -> pa.Table:
 _SHORT = pa.struct([("text", pa.string()), ("sentences", pa.int64()), ("removed", pa.int64())])
 
 
-def _shortened(texts: pa.Array, later: pa.Array, again: pa.Array) -> pa.Array:
+def _shortened(texts: pa.Array, later: pa.Array, again: pa.Array, shifted: bool) -> pa.Array:
     """Each text without the sentences covered by a run in ``later``, or by a run in ``again`` after its first time."""
     out, counts, gone = [], [], []
     for lo, hi, data, off in chunks(texts):
-        runs = sentence_runs(data, off)
+        runs = sentence_runs(data, off, shifted)
         order = np.argsort(runs.of, kind="stable")
         bounds = np.searchsorted(runs.of[order], np.arange(hi - lo + 1))
         for i in range(hi - lo):
@@ -221,14 +251,15 @@ def _shortened(texts: pa.Array, later: pa.Array, again: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((out, counts, gone), _SHORT, strict=True)], fields=list(_SHORT))
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shifted: bool = False) -> DataFrame:
     """``docs`` with the sentences removed that a non-first occurrence of a run covers.
 
     Order is by id (null last), then by a hash of the text, then by place. The text column is replaced; the columns
     ``n_sentences`` and ``n_removed`` are added (columns of those names are replaced); all other columns stay. Every
     row stays, though its text may become empty. Null texts stay null and have no sentences; rows that agree in id and
     text count as one text and get the same result; texts of fewer than three sentences or 25 words are never touched;
-    an empty table gives no rows.
+    an empty table gives no rows. With ``shifted``, sentences are cut at local cuts, so that no text keeps 50 words that
+    an earlier one has; ``n_sentences`` and ``n_removed`` then count the pieces.
     """
     bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "__key")]
@@ -237,10 +268,10 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     amount = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     bits = min(15, int(np.ceil(np.log2(max(1, (amount[0] or 0) / 25 / FRAGMENT_RUNS)))))
     spread = 1 + (amount[0] or 0) // (64 << 20)
-    postings = keyed.select(F.col(f"`{id_column}`").cast("long"), "__key", text).mapInArrow(lambda it: _postings(it, bits, spread), "fragment long, ids binary, keys binary, texts binary, hashes binary, counts binary")
+    postings = keyed.select(F.col(f"`{id_column}`").cast("long"), "__key", text).mapInArrow(lambda it: _postings(it, bits, spread, shifted), "fragment long, ids binary, keys binary, texts binary, hashes binary, counts binary")
     replies = cut(postings.groupBy("fragment").applyInArrow(_replies, "key long, later array<long>, again array<long>"))
     together = replies.groupBy(F.col("key").alias("__key")).agg(F.flatten(F.collect_list("later")).alias("__later"), F.flatten(F.collect_list("again")).alias("__again"))
-    short = F.arrow_udf(_shortened, "text string, sentences long, removed long")
+    short = F.arrow_udf(lambda t, later, again: _shortened(t, later, again, shifted), "text string, sentences long, removed long")
     found = keyed.join(together, "__key", "left").withColumn("__short", short(F.coalesce(text, F.lit("")), "__later", "__again"))
     kept = [F.when(text.isNotNull(), F.col("__short")["text"]).alias(c) if c == text_column else F.col(f"`{c}`") for c in names]
     return found.select(*kept, F.col("__short")["sentences"].alias("n_sentences"), F.col("__short")["removed"].alias("n_removed"))

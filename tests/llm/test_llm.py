@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terravox.llm import byte_bpe, chat, components, decontaminate, fingerprints, html_text, jaccard, sentence_spans, sharding, toxicity, training_order, words
+from terravox.llm import byte_bpe, chat, components, decontaminate, fingerprints, html_text, jaccard, registry, sentence_spans, sharding, toxicity, training_order, words
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -239,6 +239,46 @@ def test_repeats_edges(spark):
     assert sorted((r.doc_id or 9, r.n_removed) for r in rows) == [(1, 0), (1, 0), (2, 40), (9, 40)]
 
 
+def windows(text, size):
+    w = text.lower().split()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+
+@pytest.mark.parametrize("size", [2_000_000, 300])
+def test_no_window_stays_wherever_it_stands(spark, size, monkeypatch):
+    monkeypatch.setattr(sentence_spans, "FRAGMENT_RUNS", size)
+    monkeypatch.setattr(sentence_spans, "TASK_RUNS", size)
+    rng = random.Random(6)
+    passages = [prose(rng, 50, stops=False), prose(rng, 90), " ".join(["same"] * 60), " ".join(WORDS[:7] * 9)]
+    texts, inside = [prose(rng, 200, stops=k % 2 > 0) for k in range(20)], {}
+    for p in passages:  # at every distance from the sentence's start, in other lines, after an edit
+        for before in range(18):
+            inside[len(texts)] = p
+            texts.append(" ".join([prose(rng, 30), *prose(rng, before, stops=False).split(), p.replace(" ", "\n", before), prose(rng, 25, stops=False)]))
+    w = texts[0].split()
+    texts.append(" ".join([*w[:60], "inserted", *w[60:]]))
+    got = sentence_spans.without_repeats(table(spark, texts), shifted=True).orderBy("doc_id").collect()
+    seen = set()
+    for k, (r, t) in enumerate(zip(got, texts, strict=True)):
+        assert not windows(r.text, 50) & seen
+        if k < 20:
+            assert r.text == t and r.n_removed == 0
+        elif k in inside and windows(t, 50) & seen:
+            own, kept, p = t.split(), r.text.split(), inside[k].split()
+            start = next(i for i in range(len(own)) if own[i : i + len(p)] == p)
+            assert kept[:start] == own[:start] and kept[len(kept) - 25 :] == own[-25:]  # nothing around it goes
+            assert len(own) - len(kept) >= len(p) - 2 * sentence_spans.PIECE_WORDS
+        seen |= windows(t, 50)
+    assert got[-1].n_removed > 0 and len(got[-1].text.split()) <= 1 + 50
+
+
+def test_op6_finds_a_passage_at_another_distance(spark, tmp_path):
+    rng = random.Random(7)
+    p = prose(rng, 60, stops=False)
+    table(spark, [p + " end", prose(rng, 5, stops=False) + " " + p]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.n_removed > 0 for r in registry.op6_substring_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [False, True]
+
+
 # 8: byte BPE
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
