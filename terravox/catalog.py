@@ -549,10 +549,14 @@ def fit_cylinder(s, d):
 P_SQL = "f AS (SELECT id, x / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS nx, y / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS ny, (abs(z) + 0.1) / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS nz, x AS offset_ FROM e WHERE id < 15)"
 
 
-def _planes(s, d) -> DataFrame:
+def _all_planes(s, d) -> DataFrame:
     up = F.abs("z") + 0.1
     n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + up * up)
-    return E(s, d).where("id < 15").select("id", (F.col("x") / n).alias("nx"), (F.col("y") / n).alias("ny"), (up / n).alias("nz"), F.col("x").alias("offset"))
+    return E(s, d).select("id", (F.col("x") / n).alias("nx"), (F.col("y") / n).alias("ny"), (up / n).alias("nz"), F.col("x").alias("offset"))
+
+
+def _planes(s, d) -> DataFrame:
+    return _all_planes(s, d).where("id < 15")
 
 
 @query(f"WITH {E_SQL}, {P_SQL} SELECT id, round(CASE WHEN degrees(atan2(nx, ny)) < 0 THEN degrees(atan2(nx, ny)) + 360 ELSE degrees(atan2(nx, ny)) END, 6) AS azimuth, round(degrees(acos(nz / sqrt(nx * nx + ny * ny + nz * nz))), 6) AS dip FROM f")
@@ -587,6 +591,43 @@ def pick_primitive(s, d):
     return fits.pick_primitive(p, (0.1, 0.1, 0.1), 0.5)
 
 
+# The same over whole tables: row-wise operators over all rows, pairs and triples of the planes fitted to each label
+
+ALL_P_SQL = P_SQL.replace(" WHERE id < 15", "")
+
+
+def _fitted(s, d) -> DataFrame:
+    return fits.fit_planes(E(s, d), "label").select(F.col("label").alias("id"), "nx", "ny", "nz", "offset")
+
+
+@query(ORACLES["strike_dip"].replace(P_SQL, ALL_P_SQL))
+def strike_dip_all(s, d):
+    azimuth, dip = vectors.strike_dip(vec("nx", "ny", "nz"))
+    return _all_planes(s, d).select("id", azimuth.alias("azimuth"), dip.alias("dip"))
+
+
+@query(ORACLES["pick_primitive"].replace(P_SQL, ALL_P_SQL))
+def pick_primitive_all(s, d):
+    p = _all_planes(s, d).withColumn("prim_type", F.lit(0)).withColumns({n: F.lit(None).cast("double") for n in ("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z", "radius")})
+    return fits.pick_primitive(p, (0.1, 0.1, 0.1), 0.5)
+
+
+@query()
+def plane_intersections_all(s, d):
+    return fits.plane_pairs(_fitted(s, d))
+
+
+@query()
+def plane_points_all(s, d):
+    return fits.plane_triples(_fitted(s, d), parallel=0.001)
+
+
+@query()
+def plane_line_points_all(s, d):
+    lines = E(s, d).select(F.col("id").alias("line"), *[F.col(c).alias(f"c{c}") for c in "xyz"], F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"))
+    return fits.plane_line(_fitted(s, d), lines)
+
+
 # Surfaces
 
 
@@ -675,6 +716,12 @@ def hillshade(s, d):
     return _planes(s, d).select("id", F.greatest(F.lit(0.0), vectors.dot(vec("nx", "ny", "nz"), sun)).alias("shade"))
 
 
+@query(ORACLES["hillshade"].replace(P_SQL, ALL_P_SQL))
+def hillshade_all(s, d):
+    sun = vectors.sun_vector(F.lit(135.0), F.lit(30.0))
+    return _all_planes(s, d).select("id", F.greatest(F.lit(0.0), vectors.dot(vec("nx", "ny", "nz"), sun)).alias("shade"))
+
+
 # Files and streams
 
 

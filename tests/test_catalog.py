@@ -49,3 +49,14 @@ def test_oracle(spark, tables, name):
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.ORACLES])
 def test_rows(spark, name):
     assert entry_module.queries()[name](spark, DATA).count() > 0
+
+
+def test_planes_of_whole_tables(spark):
+    e = catalog.E(spark, DATA)
+    rows, labels = e.count(), e.select("label").distinct().count()
+    count = lambda name: catalog.QUERIES[name](spark, DATA).count()
+    assert count("strike_dip_all") == count("hillshade_all") == rows
+    assert count("plane_intersections_all") == labels * (labels - 1) // 2
+    assert count("plane_line_points_all") == labels * rows
+    assert count("plane_points_all") > 0
+    assert catalog.ALL_P_SQL != catalog.P_SQL and "id <" not in catalog.ORACLES["strike_dip_all"]
