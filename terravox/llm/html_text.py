@@ -12,8 +12,10 @@ the pages: as a broadcast where they are few, else by a join on the host that Sp
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,6 +28,8 @@ from terravox.plans.storage import bound_batches, cut
 
 #: Pages a host must have of a path before its importance counts, and the importance below which the branch goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
+#: Characters of a path; of a longer one the parent's part is a hash.
+PATH_CHARS = 1_000
 #: Weight of an element's own presentation against its content.
 PRESENTATION = 0.1
 #: Paths of low importance that are broadcast at most.
@@ -63,6 +67,10 @@ class Element(NamedTuple):
     children: list
 
 
+def _digest(value: str) -> str:
+    return "#" + hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t\r") else {}
 
@@ -71,6 +79,12 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
     """The text blocks of a page in order, and all its elements with the sequence of their children."""
     root = Element("", "", False, False, False, [])
     stack, elements, blocks, held = [root], [], [], []
+    open_tags: Counter = Counter()
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            open_tags[e.tag] -= 1
+        del stack[k:]
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
@@ -93,11 +107,11 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             if tag in BLOCKS:
                 flush()
             while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1].tag, ()):
-                stack.pop()
-            if tag == "p" or tag in BLOCKS and tag != "br":  # an open paragraph ends, with the inline elements in it
+                close(len(stack) - 1)
+            if open_tags["p"] and (tag == "p" or tag in BLOCKS and tag != "br"):  # an open paragraph ends, with the inline elements in it
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].tag in BLOCKS:
                         break
@@ -114,21 +128,20 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             starts_main = tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"
             noise = up.noise or tag in NOISE_TAGS or hidden or a.get("role") in NOISE_ROLES or (tag not in ("html", "body", "article", "main") and bool(words & NOISE_WORDS)) or (tag == "article" and bool(words & {"comment", "comments", "reply"})) or (tag == "header" and not up.main)
             mark = ".".join(sorted(words))
-            e = Element(tag, f"{up.path}/{tag}{'.' + mark if mark else ''}", noise, up.main or (starts_main and not noise), bool(mark) or tag not in _PLAIN, [])
-            if len(up.children) < 64:
-                up.children.append(e.path)
-            if len(stack) < 256:
-                stack.append(e)
-                elements.append(e)
+            e = Element(tag, f"{up.path if len(up.path) <= PATH_CHARS else _digest(up.path)}/{tag}{'.' + mark if mark else ''}", noise, up.main or (starts_main and not noise), bool(mark) or tag not in _PLAIN, [])
+            up.children.append(e.path)
+            stack.append(e)
+            open_tags[tag] += 1
+            elements.append(e)
             if m[2].endswith("/") and tag in ("svg", "path"):
-                stack.pop()
+                close(len(stack) - 1)
         elif m[3]:
             tag = m[3].lower()
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("article", "main", "body") and tag not in BLOCKS:
                     break
@@ -155,7 +168,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list, list] = ([], [], [], [])
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             blocks, elements = parse(page or "")
-            seen = {(e.path, 0, "|".join(e.children)) for e in elements}
+            seen = {(e.path, 0, _digest("|".join(e.children))) for e in elements}
             seen |= {(e.path, 2, "") for e in elements}
             seen |= {(p, 1, x.text) for x in blocks for p in x.paths}
             for path, kind, value in seen:

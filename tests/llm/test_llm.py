@@ -424,6 +424,19 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_deep_pages_and_many_children():
+    deep = "<div>" * 700
+    page = f"<article><p>first</p>{deep}<nav>menu</nav><p hidden>gone</p><p>inner</p>{'</div>' * 700}<p>last</p></article><p>outside</p>"
+    assert html_text.page_text(page) == "first\ninner\nlast"
+    assert html_text.page_text(f"<body>{deep}<article><p>a</p></article>{'</div>' * 700}<p>b</p></body>") == "a"
+    looks = []
+    for tail in ("<b>x</b>", "<i>x</i>"):
+        batch = pa.RecordBatch.from_arrays([pa.array(["h"]), pa.array(["<ul>" + "<li>y</li>" * 100 + tail + "</ul>"]), pa.array([1.0])], ["host", "html", "weight"])
+        rows = [r for b in html_text._features(iter([batch])) for r in b.to_pylist()]
+        looks.append({r["value"] for r in rows if r["path"] == "/ul" and r["kind"] == 0})
+    assert looks[0] != looks[1]
+
+
 # 2: chat
 
 
