@@ -6,6 +6,9 @@ features occur on all pages); branches that look and read alike on many pages ar
 each page. What a page's own markup says (menus, headers, footers, scripts, forms, hidden or commented parts, class
 names of adverts and notices) is cut as well, and where a page marks its article, only that is kept.
 
+Copies of a page (same text by their own markup, on the same host) count as one page of the tree together, or an
+article that a host shows under many addresses would look like its furniture.
+
 Trees are sums of (host, path, feature) counts, made before the shuffle; only the paths of low importance go back to
 the pages: as a broadcast where they are few, else by a join on the host that Spark may split.
 """
@@ -32,7 +35,7 @@ LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
 PATH_CHARS = 1_000
 #: Weight of an element's own presentation against its content.
 PRESENTATION = 0.1
-#: Paths of low importance that are broadcast at most.
+#: Paths of low importance, and pages that have copies, that are broadcast at most.
 BROADCAST_PATHS = 200_000
 
 # Names in HTML and in the usual class names.
@@ -162,11 +165,11 @@ def page_text(page: str, low: frozenset[str] = frozenset()) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, value): each page's presentations (kind 0) and content features (kind 1), once each, and the
-    path itself (kind 2)."""
+    """(host, path, kind, value, weight): each page's presentations (kind 0) and content features (kind 1), once each, and
+    the path itself (kind 2), with the page's weight."""
     for b in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        for host, page, weight in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             blocks, elements = parse(page or "")
             seen = {(e.path, 0, _digest("|".join(e.children))) for e in elements}
             seen |= {(e.path, 2, "") for e in elements}
@@ -176,7 +179,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[1].append(path)
                 out[2].append(kind)
                 out[3].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], ["host", "path", "kind", "value"])
+                out[4].append(weight)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.float64())], ["host", "path", "kind", "value", "weight"])
         give_back()
 
 
@@ -185,17 +189,33 @@ def host_of(url):
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def _own_texts(pages: pa.Array) -> pa.Array:
+    out = pa.array([_digest(page_text(page or "")) for page in pages.to_pylist()], pa.string())
+    give_back()
+    return out
+
+
+def _weighted(pages: DataFrame) -> DataFrame:
+    """Pages with ``weight``, one over the number of pages of their host with the same text by their own markup."""
+    same = pages.select("host", F.xxhash64("html").alias("look"), F.arrow_udf(_own_texts, "string")("html").alias("own"))
+    looks = same.groupBy("host", "own", "look").agg(F.count("*").alias("n"))
+    copies = looks.groupBy("host", "own").agg(F.sum("n").alias("copies"), F.collect_set("look").alias("looks")).where("copies > 1")
+    copies = cut(copies.select("host", F.explode("looks").alias("look"), "copies"))
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_PATHS else copies
+    return pages.withColumn("look", F.xxhash64("html")).join(few, ["host", "look"], "left").select("host", "html", (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"))
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, importance) of pages (host, html): 0.1 of the presentation's entropy and 0.9 of one less the
+    """(host, path, n_pages, importance) of pages (host, html), of which copies count as one: 0.1 of the presentation's entropy and 0.9 of one less the
     mean evenness of the content features, both to the base of the number of pages."""
-    features = pages.where("host is not null").select("host", "html").mapInArrow(_features, "host string, path string, kind int, value string")
-    counts = features.groupBy("host", "path", "kind", F.xxhash64("value").alias("v")).agg(F.count("*").alias("n"))
-    log = F.log(F.col("n").cast("double"))
+    features = _weighted(pages.where("host is not null").select("host", "html")).mapInArrow(_features, "host string, path string, kind int, value string, weight double")
+    counts = features.groupBy("host", "path", "kind", F.xxhash64("value").alias("v")).agg(F.round(F.sum("weight"), 6).alias("n"))
+    log = F.log("n")
     sums = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("n_pages"),
         F.sum(F.when(F.col("kind") == 0, F.col("n") * log)).alias("looks"),
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("all_looks"),
-        F.avg(F.when(F.col("kind") == 1, log)).alias("evenness"),
+        F.avg(F.when(F.col("kind") == 1, F.greatest(log, F.lit(0.0)))).alias("evenness"),
     )
     m = F.log(F.col("n_pages").cast("double"))
     presentation = F.log(F.col("all_looks").cast("double")) - F.col("looks") / F.col("all_looks")
@@ -220,7 +240,7 @@ def main_text(pages: DataFrame, url_column: str = "url", html_column: str = "htm
 
     Null and empty html, and pages without main text, give the empty text. Pages without a host are read by their own
     markup alone. A text column that is there already is replaced, all other columns stay; repeated rows count as
-    repeated pages of their host and get the same text; an empty table gives no rows.
+    one page of their host and get the same text; an empty table gives no rows.
     """
     bound_batches(pages.sparkSession)
     names = [c for c in pages.columns if c not in ("text", html_column)]

@@ -437,6 +437,20 @@ def test_deep_pages_and_many_children():
     assert looks[0] != looks[1]
 
 
+def test_copies_are_no_boilerplate(spark):
+    rng = random.Random(3)
+    table_, cell = prose(rng, 12), prose(rng, 12)
+    article = f"<article><p>{prose(rng, 30)}</p><div class='data'>{table_}</div><table><tr><td>{cell}</td></tr></table></article>"
+    rows = [(i, f"http://a.example/p?print={i}", f"<body><div class='v{i % 2}'>v</div>{article}</body>") for i in range(10)]
+    rows += [(10 + i, "http://b.example/x", f"<body>{article}</body>") for i in range(10)]  # the same row again and again
+    # different pages still have their furniture cut
+    rows += [(20 + i, f"http://c.example/{i}", f"<body><div class='top'>Welcome</div><div class='text'>{prose(rng, 30)}</div></body>") for i in range(10)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert table_ in got[i] and cell in got[i]
+    assert not any("Welcome" in got[i] for i in range(20, 30))
+
+
 # 2: chat
 
 
