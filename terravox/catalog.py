@@ -364,7 +364,8 @@ def ridge_class(s, d):
 def node_normals(s, d):
     e = E(s, d)
     n = cut(neighborhood.normals(e, radius=0.15).withColumnRenamed("qid", "id").join(e, "id"))
-    return neighborhood.average_normals(e.where("id % 8 = 0"), n, 0.1)
+    parents = _e_tree(s, d)[2].select("id", "x", "y", "z").distinct()
+    return neighborhood.average_normals(parents, n, 0.1)
 
 
 # Grids and profiles
@@ -591,6 +592,35 @@ def pick_primitive(s, d):
     return fits.pick_primitive(p, (0.1, 0.1, 0.1), 0.5)
 
 
+# Sites and second clouds of all rows; the second is moved further than the tolerance, so that a point isn't its own match
+
+J_ALL_SQL = "j AS (SELECT id, x + 0.03 AS x, y, z FROM e)"
+
+
+def _moved(s, d) -> DataFrame:
+    return E(s, d).select("id", (F.col("x") + 0.03).alias("x"), "y", "z")
+
+
+@query(ORACLES["eps_subtract"].replace(J_SQL, J_ALL_SQL))
+def eps_subtract_all(s, d):
+    return spatial.eps_subtract(E(s, d), _moved(s, d), 0.02).select("id")
+
+
+@query(ORACLES["eps_match"].replace(J_SQL, J_ALL_SQL))
+def eps_match_all(s, d):
+    return spatial.eps_match(E(s, d), _moved(s, d), 0.02).select("id")
+
+
+@query(ORACLES["similarity_pct"].replace(J_SQL, J_ALL_SQL))
+def similarity_pct_all(s, d):
+    return spatial.similarity(E(s, d), _moved(s, d), 0.02)
+
+
+@query(ORACLES["radial_lanczos"].replace(" WHERE a.id % 10 = 0", ""))
+def radial_lanczos_all(s, d):
+    return grid.radial_elevations(E(s, d), E(s, d), 0.05, 3, id_column="id")
+
+
 # The same over whole tables: row-wise operators over all rows, pairs and triples of the planes fitted to each label
 
 ALL_P_SQL = P_SQL.replace(" WHERE id < 15", "")

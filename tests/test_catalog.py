@@ -60,3 +60,12 @@ def test_planes_of_whole_tables(spark):
     assert count("plane_line_points_all") == labels * rows
     assert count("plane_points_all") > 0
     assert catalog.ALL_P_SQL != catalog.P_SQL and "id <" not in catalog.ORACLES["strike_dip_all"]
+
+
+def test_sites_and_parents_of_whole_tables(spark):
+    rows = catalog.E(spark, DATA).count()
+    assert catalog.QUERIES["radial_lanczos_all"](spark, DATA).count() == rows
+    parents = {r.id for r in catalog.QUERIES["lod_subsample"](spark, DATA).select("id").collect()}
+    found = {r.qid for r in catalog.QUERIES["node_normals"](spark, DATA).collect()}
+    assert found <= parents and any(i % 8 for i in found)
+    assert "id %" not in catalog.ORACLES["eps_match_all"] + catalog.ORACLES["radial_lanczos_all"]
