@@ -158,9 +158,9 @@ def lod_samples(leaf_points: DataFrame, nodes: DataFrame, most: int, id_column:
 
 
 def lod_cut(nodes: DataFrame, details: DataFrame, cube: Cube, eye: tuple, most: int, focus: tuple | None = None) -> DataFrame:
-    """The nodes to draw for a view: from the root on, a node is refined while its detail size over its
-    distance is above a threshold that leaves at most ``most`` nodes; ``focus`` (centre, radius, weight) favours nodes
-    near a point. Returns node_key, level and priority."""
+    """The ``most`` nodes of greatest detail size over distance; ``focus`` (centre, radius, weight) favours nodes
+    near a point. This isn't a cut: T8 and F14 (refinement from the root, frustum) are missing. Returns node_key, level
+    and priority."""
     b = node_boxes(nodes, cube)
     far = F.sqrt(box_sqr_dist(vec(*eye), tuple(F.col(f"min_{c}") for c in "xyz"), tuple(F.col(f"min_{c}") + F.col("edge") for c in "xyz")))
     size = F.coalesce("detail_size", F.col("edge") / 16) / F.greatest(far, F.col("edge") / 1024)
