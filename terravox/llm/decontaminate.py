@@ -1,91 +1,139 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams is held against every training window.
 
-The windows of the benchmark are few and small beside the corpus; their hashes go to every task in blocks of a fixed
-size, so what is broadcast has a bound whatever the benchmark's size. A window whose hash is in the set is compared
-word by word before it counts. Texts never move: the scan is one pass per block, without a shuffle for one block.
+The words of the benchmark, lower-cased and joined by single blanks, go to every task together with the sorted 64-bit
+hashes of their windows, in blocks of at most BLOCK_BYTES of benchmark text (or one longer item): about four times the
+text, so what is broadcast has a bound whatever the benchmark's size. A window whose hash is in the set is compared
+word by word before it counts. With one block the scan, the verdict and the cut are one pass without a shuffle. With
+several, each block is one pass that leaves only the texts it hits, by their MD5; these are joined back once.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import ALNUM, buffers, chunks, give_back, ngrams, words
+from terravox.llm.words import ALNUM, Words, buffers, chunks, give_back, ngrams, ragged, words
 from terravox.plans.storage import bound_batches, cut
 
 #: Words in a window.
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast block; the windows of one block take about ten times as much.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in one broadcast block.
+BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+class Plain(NamedTuple):
+    """Words in lower case, joined by single blanks, so that every window is one slice."""
+
+    text: bytes
+    start: np.ndarray  #: of each word
+    end: np.ndarray
+
+    def window(self, at: int, size: int) -> bytes:
+        return self.text[self.start[at] : self.end[at + size - 1]]
+
+
+def plain(data: np.ndarray, w: Words) -> Plain:
+    lengths = w.end - w.start + 1
+    end = np.cumsum(lengths) - 1
+    out = _FOLD[np.append(data, np.uint8(32))[ragged(w.start, lengths)]]
+    out[end] = 32
+    return Plain(out.tobytes(), (end - lengths + 1).astype(np.uint32), end.astype(np.uint32))
 
 
 class Block(NamedTuple):
-    """Windows of some benchmark items: by number of words the sorted hashes, and for each hash its texts and items."""
+    """Windows of some benchmark items, by number of words: sorted hashes, and for each the place of one such window and
+    the items that hold it. Windows that share a hash but not the words stand one after the other."""
 
+    plain: Plain
     hashes: dict[int, np.ndarray]
-    texts: dict[int, dict[int, dict[bytes, list[str]]]]
+    place: dict[int, np.ndarray]
+    holders: dict[int, tuple[np.ndarray, np.ndarray]]  #: items, and where those of each window begin (and the last's end)
     filters: dict[int, np.ndarray]
-
-
-def _lower(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    names: list[str]
 
 
 def build_block(items: list[tuple[str, str]], window: int) -> Block:
     """The windows of items (id, text); an item of fewer words, but not none, is one window."""
-    texts: dict[int, dict[int, dict[bytes, list[str]]]] = defaultdict(lambda: defaultdict(dict))
-    for item_id, text in items:
-        data, off = buffers(pa.array([text], pa.string()))
-        data = data[off[0] : off[-1]]
-        w = words(data, off - off[0], ALNUM)
-        size = min(window, len(w.hashes))
-        if not size:
-            continue
-        low = _lower(data).tobytes()
+    data, off = buffers(pa.array([text for _, text in items], pa.string()))
+    data, off = data[off[0] : off[-1]], off - off[0]
+    w = words(data, off, ALNUM)
+    p = plain(data, w)
+    n_words = np.diff(w.first)
+    hashes, place, holders, filters = {}, {}, {}, {}
+    for size in np.unique(np.minimum(n_words[n_words > 0], window)).tolist():
         grams, at = ngrams(w, size)
-        for h, i in zip(grams.tolist(), at.tolist(), strict=True):
-            plain = b" ".join(low[w.start[k] : w.end[k]] for k in range(i, i + size))
-            held = texts[size][h].setdefault(plain, [])
-            if item_id not in held:
-                held.append(item_id)
-    hashes = {n: np.sort(np.fromiter(by, np.uint64, len(by))) for n, by in texts.items()}
-    filters = {}
-    for n, h in hashes.items():
-        filters[n] = np.zeros(1 << _FILTER_BITS, bool)
-        filters[n][h >> np.uint64(64 - _FILTER_BITS)] = True
-    return Block(hashes, {n: dict(by) for n, by in texts.items()}, filters)
-
-
-def scan(texts: pa.Array, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]]:
-    """For each chunk: first index, words' starts and ends, first word of each text, which words are hit, and the items
-    found in each text."""
+        of = np.searchsorted(w.first, at, "right") - 1
+        own = n_words[of] == size if size < window else np.ones(len(at), bool)
+        grams, at, of = grams[own], at[own], of[own]
+        order = np.lexsort((of, grams))
+        grams, at, of = grams[order], at[order], of[order]
+        kind = np.cumsum(np.concatenate(([False], grams[1:] != grams[:-1])))
+        same = np.flatnonzero(grams[1:] == grams[:-1]) + 1
+        if any(p.window(at[k], size) != p.window(at[k - 1], size) for k in same.tolist()):  # the hash isn't enough
+            by_text = np.array([p.window(a, size) for a in at.tolist()], object)
+            order = np.array(sorted(range(len(at)), key=lambda k: (grams[k], by_text[k], of[k])))
+            grams, at, of, by_text = grams[order], at[order], of[order], by_text[order]
+            kind = np.cumsum(np.concatenate(([False], (grams[1:] != grams[:-1]) | (by_text[1:] != by_text[:-1]))))
+        fresh = np.concatenate(([True], (kind[1:] != kind[:-1]) | (of[1:] != of[:-1])))
+        first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        hashes[size], place[size] = grams[first], at[first].astype(np.uint32)
+        holders[size] = of[fresh].astype(np.uint32), np.searchsorted(kind[fresh], np.arange(len(first) + 1)).astype(np.uint32)
+        filters[size] = np.zeros(1 << _FILTER_BITS, bool)
+        filters[size][grams >> np.uint64(64 - _FILTER_BITS)] = True
+    return Block(p, hashes, place, holders, filters, [i for i, _ in items])
+
+
+class Scanned(NamedTuple):
+    lo: int  #: first text of the chunk
+    data: np.ndarray
+    off: np.ndarray
+    words: Words
+    hit: np.ndarray  #: of each word, whether a window covers it
+    items: list[set[str]]  #: of each text
+
+
+def scan(texts: pa.Array, block: Block) -> Iterator[Scanned]:
+    """Every chunk of a text column with its hit words and the items found in each text."""
     for lo, hi, data, off in chunks(texts):
         w = words(data, off, ALNUM)
-        hit = np.zeros(len(w.hashes), bool)
+        edges = np.zeros(len(w.hashes) + 1, np.int64)
         items: list[set[str]] = [set() for _ in range(hi - lo)]
-        low = None
+        own = None
         for size, known in block.hashes.items():
             grams, at = ngrams(w, size)
             maybe = block.filters[size][grams >> np.uint64(64 - _FILTER_BITS)]
             grams, at = grams[maybe], at[maybe]
-            place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            found = known[place] == grams
-            for h, i in zip(grams[found].tolist(), at[found].tolist(), strict=True):
-                if low is None:
-                    low = _lower(data).tobytes()
-                plain = b" ".join(low[w.start[k] : w.end[k]] for k in range(i, i + size))
-                of = block.texts[size][h].get(plain)
-                if of:
-                    hit[i : i + size] = True
-                    items[int(np.searchsorted(w.first, i, "right")) - 1].update(of)
-        yield lo, w.start, w.end, w.first, hit, items
+            place = np.searchsorted(known, grams)
+            found = known[np.minimum(place, len(known) - 1)] == grams
+            if found.any() and own is None:
+                own = plain(data, w)
+            true, kinds = [], []
+            for h, i, k in zip(grams[found].tolist(), at[found].tolist(), place[found].tolist(), strict=True):
+                while k < len(known) and known[k] == h:
+                    if block.plain.window(block.place[size][k], size) == own.window(i, size):
+                        true.append(i)
+                        kinds.append(k)
+                        break
+                    k += 1
+            if not true:
+                continue
+            true, kinds = np.array(true), np.array(kinds)
+            np.add.at(edges, true, 1)
+            np.add.at(edges, true + size, -1)
+            of = np.searchsorted(w.first, true, "right") - 1
+            holders, bounds = block.holders[size]
+            pairs = np.unique(np.stack((of, kinds)), axis=1)
+            for t, k in pairs.T.tolist():
+                items[t].update(block.names[x] for x in holders[bounds[k] : bounds[k + 1]])
+        yield Scanned(lo, data, off, w, np.cumsum(edges)[:-1] > 0, items)
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[str, str]]]:
@@ -94,46 +142,104 @@ def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[
     held, size = [], 0
     for r in rows:
         held.append((r.i, r.t))
-        size += len(r.t)
+        size += len(r.t.encode())
         if size >= BLOCK_BYTES:
             yield held
             held, size = [], 0
     yield held  # the last, which may be empty: words are counted even for an empty benchmark
 
 
-_HITS = "n_words long, n_hit long, items array<string>, spans array<int>"
-_HITS_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int32()))])
-
-
-def _found(texts: pa.Array, before: pa.Array, block: Block) -> pa.Array:
-    """For each text its words, hit words, items and the hit spans (first word, word after), with what earlier blocks
-    found."""
-    n_words, n_hit, all_items, all_spans = [], [], [], []
-    for lo, _, _, first, hit, items in scan(texts, block):
-        for i, found in enumerate(items):
-            flags = hit[first[i] : first[i + 1]]
-            if (old := before[lo + i].as_py()) and old["n_hit"]:
-                for a, b in zip(old["spans"][::2], old["spans"][1::2], strict=True):
-                    flags[a:b] = True
-                found.update(old["items"])
-            n_words.append(len(flags))
-            n_hit.append(int(flags.sum()))
-            all_items.append(sorted(found))
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0])))) if n_hit[-1] else np.zeros(0)
-            all_spans.append(edge.tolist())
-    give_back()
-    return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((n_words, n_hit, all_items, all_spans), _HITS_ARROW, strict=True)], fields=list(_HITS_ARROW))
+_HITS = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int32())), ("left", pa.string())])
+_HITS_SQL = "n_words long, n_hit long, items array<string>, spans array<int>, left string"
+
 
+def _spans(flags: np.ndarray) -> list[int]:
+    """First word and word after it of every run of hit words."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0])))).tolist() if flags.any() else []
 
-def _cut_out(text: str, spans: list[int]) -> str:
-    """The text without the words of the spans and what stands between them."""
-    raw = text.encode()
-    w = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
+
+def _without(data: np.ndarray, start: np.ndarray, end: np.ndarray, spans: list[int]) -> str:
+    """A text without the words of the spans and what stands between them."""
     kept, at = [], 0
     for a, b in zip(spans[::2], spans[1::2], strict=True):
-        kept.append(raw[at : w.start[a]])
-        at = int(w.end[b - 1])
-    return b"".join([*kept, raw[at:]]).decode()
+        kept.append(data[at : start[a]].tobytes())
+        at = int(end[b - 1])
+    return b"".join([*kept, data[at:].tobytes()]).decode()
+
+
+def _struct(columns: tuple) -> pa.Array:
+    give_back()
+    return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _HITS, strict=True)], fields=list(_HITS))
+
+
+def _judged(texts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, set[str]]], percent: int, shorten: bool) -> pa.Array:
+    """The struct column for texts given by bytes, word starts, word ends, flags and items."""
+    out: tuple[list, ...] = ([], [], [], [], [])
+    for data, start, end, flags, items in texts:
+        n, hit, spans = len(flags), int(flags.sum()), _spans(flags)
+        keep = shorten and hit and not _contaminated(hit, n, percent)
+        for column, value in zip(out, (n, hit, sorted(items), spans, _without(data, start, end, spans) if keep else None), strict=True):
+            column.append(value)
+    return _struct(out)
+
+
+def _contaminated(n_hit, n_words, percent: int):
+    return (n_hit > 0) & (100 * n_hit >= percent * n_words)
+
+
+def _found(texts: pa.Array, block: Block, percent: int, shorten: bool) -> pa.Array:
+    """What one block finds in each text; ``left`` is the text without the hit words where it is wanted."""
+
+    def each():
+        for s in scan(texts, block):
+            for i, items in enumerate(s.items):
+                a, b = s.words.first[i], s.words.first[i + 1]
+                yield s.data[s.off[i] : s.off[i + 1]], s.words.start[a:b] - s.off[i], s.words.end[a:b] - s.off[i], s.hit[a:b], items
+
+    return _judged(each(), percent, shorten)
+
+
+def _together(texts: pa.Array, items: pa.Array, spans: pa.Array, percent: int, shorten: bool) -> pa.Array:
+    """The same from the items and spans that several blocks found (null: nothing)."""
+
+    def each():
+        for lo, hi, data, off in chunks(texts):
+            w = words(data, off, ALNUM)
+            for i in range(hi - lo):
+                a, b = w.first[i], w.first[i + 1]
+                flags = np.zeros(b - a, bool)
+                s = spans[lo + i].as_py() or []
+                for x, y in zip(s[::2], s[1::2], strict=True):
+                    flags[x:y] = True
+                yield data[off[i] : off[i + 1]], w.start[a:b] - off[i], w.end[a:b] - off[i], flags, set(items[lo + i].as_py() or ())
+
+    return _judged(each(), percent, shorten)
+
+
+def _with_hits(docs: DataFrame, text: Column, blocks: Iterator[list[tuple[str, str]]], window: int, percent: int, shorten: bool, name: str) -> DataFrame:
+    """``docs`` with the struct of hits as the column ``name``. The functions count as nondeterministic, so that no filter
+    on the result is moved below them and makes them run twice."""
+    spark, first = docs.sparkSession, next(blocks)
+    sent = spark.sparkContext.broadcast(build_block(first, window))
+    second = next(blocks, None)
+    if second is None:
+        return docs.withColumn(name, F.arrow_udf(lambda t: _found(t, sent.value, percent, shorten), _HITS_SQL).asNondeterministic()(text))
+    parts = []
+    while sent is not None:
+        look = F.arrow_udf(lambda t, sent=sent: _found(t, sent.value, percent, False), _HITS_SQL).asNondeterministic()
+        hits = docs.select(F.md5(text.cast("binary")).alias("key"), look(text).alias("h")).where("h.n_hit > 0").select("key", "h.items", "h.spans")
+        parts.append(cut(hits.groupBy("key").agg(F.first("items").alias("items"), F.first("spans").alias("spans"))))
+        sent.destroy()
+        sent = None if second is None else spark.sparkContext.broadcast(build_block(second, window))
+        second = next(blocks, None)
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    key, items, spans = f"{name}_key", f"{name}_items", f"{name}_spans"
+    whole = whole.groupBy(F.col("key").alias(key)).agg(F.flatten(F.collect_set("items")).alias(items), F.flatten(F.collect_list("spans")).alias(spans))
+    joined = docs.withColumn(key, F.md5(text.cast("binary"))).join(whole, key, "left")
+    merge = F.arrow_udf(lambda t, i, s: _together(t, i, s, percent, shorten), _HITS_SQL).asNondeterministic()
+    return joined.withColumn(name, merge(text, F.col(items), F.col(spans)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, remove: str | None = None, window: int = WINDOW, percent: int = 5, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
@@ -142,26 +248,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, remove: str | None = No
     Adds ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``items`` (sorted ids, as strings, of items
     with occurring windows) and ``contaminated`` (at least one word and ``percent`` per cent of the words hit). With
     ``remove="documents"`` contaminated rows go and nothing is added; with ``remove="spans"`` the hit words leave the
-    text instead; with ``remove="both"`` contaminated rows go and hit words leave the other texts. Columns of ``docs`` that have an added name are replaced. Null and empty texts have no words; items
-    without id, text or words have no windows; an empty benchmark hits nothing; repeated rows are treated alike.
+    text instead; with ``remove="both"`` contaminated rows go and hit words leave the other texts. Columns of ``docs``
+    that have an added name are replaced, all others stay, whatever their names. Null and empty texts have no words;
+    items without id, text or words have no windows; an empty benchmark hits nothing and empty ``docs`` give no rows;
+    repeated rows and repeated items are treated alike; a text of any length is scanned whole, in one piece.
     """
-    spark, names = docs.sparkSession, docs.columns
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
+    names = docs.columns
+    hidden = "_hits"
+    while any(c.lower().startswith(hidden) for c in names):
+        hidden = f"_{hidden}"
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    docs = docs.withColumn("__hits", F.lit(None).cast(f"struct<{_HITS}>"))
-    for turn, items in enumerate(_blocks(benchmark, item_column, text_column)):
-        sent = spark.sparkContext.broadcast(build_block(items, window))
-        look = F.arrow_udf(lambda texts, before, sent=sent: _found(texts, before, sent.value), _HITS)
-        docs = (cut(docs) if turn else docs).withColumn("__hits", look(text, F.col("__hits")))
-    hits = F.col("__hits")
-    contaminated = (hits["n_hit"] > 0) & (100 * hits["n_hit"] >= percent * hits["n_words"])
+    docs = _with_hits(docs, text, _blocks(benchmark, item_column, text_column), window, 101 if remove == "spans" else percent, remove in ("spans", "both"), hidden)
+    hits = F.col(hidden)
+    contaminated = _contaminated(hits["n_hit"], hits["n_words"], percent)
     if remove in ("documents", "both"):
         docs = docs.where(~contaminated)
     if remove == "documents":
         return docs.select(*[F.col(f"`{c}`") for c in names])
     if remove in ("spans", "both"):
-        shorter = F.arrow_udf(lambda t, spans: pa.array([_cut_out(x or "", s or []) for x, s in zip(t.to_pylist(), spans.to_pylist(), strict=True)], pa.string()), "string")
         own = F.col(f"`{text_column}`")
-        return docs.select(*[F.when(hits["n_hit"] > 0, shorter(text, hits["spans"])).otherwise(own).alias(c) if c == text_column else F.col(f"`{c}`") for c in names])
+        return docs.select(*[F.when(hits["n_hit"] > 0, hits["left"]).otherwise(own).alias(c) if c == text_column else F.col(f"`{c}`") for c in names])
     added = {"n_words": hits["n_words"], "n_hit": hits["n_hit"], "items": hits["items"], "contaminated": contaminated}
     return docs.select(*[F.col(f"`{c}`") for c in names if c not in added], *[v.alias(k) for k, v in added.items()])
