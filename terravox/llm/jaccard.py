@@ -13,7 +13,10 @@ one segment per fragment, and each fragment is handled apart from the others:
    are still in different components, all pairs between different components are tried as well, so no link is lost.
 4. A candidate's partial overlaps are summed over its fragments and held against the threshold in whole numbers.
 
-Texts with equal sets are one node from the start, so groups of exact copies cost one node.
+Texts with equal sets are one node from the start, so groups of exact copies cost one node. A fragment's size is fixed,
+their number isn't: the first deal makes up to 2 ** FIRST_BITS, a second one deals those on. An n-gram that a large share
+of all texts holds would be a list without a bound in its fragment; such n-grams are found beforehand and become entries
+of their own in the tasks that read the texts.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from terravox.llm.components import connected_components
 from terravox.llm.words import SPACED, chunks, give_back, mix, ngrams, sequence_hash, words
@@ -33,8 +37,10 @@ from terravox.plans.storage import bound_batches, cut
 FRAGMENT_GRAMS = 3_000_000
 #: N-grams a task gathers before it hands out its segments.
 TASK_GRAMS = 1_500_000
-#: Bytes of a hash that a segment keeps, beside those that name its fragment.
-KEPT = 5
+#: Bits of a hash that name the fragments of the first deal; more fragments are dealt from those in a second one.
+FIRST_BITS = 12
+#: Texts from which very frequent n-grams are known beforehand, about, and how often those must be among them.
+SAMPLED, SAMPLED_OFTEN = 200_000, 16
 _WEIGHT = 0xFFFF
 
 
@@ -56,47 +62,82 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndar
         yield lo, sets
 
 
-def _pack(grams: np.ndarray, bits: int) -> bytes:
-    """The KEPT bytes of each hash below the first ``bits`` bits."""
-    rest = (grams << np.uint64(bits)) >> np.uint64(64 - 8 * KEPT)
-    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+def _kept(bits: int) -> int:
+    """Bytes that hold what is left of a hash below its first ``bits`` bits."""
+    return (64 - bits + 7) // 8
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // KEPT, 8), np.uint8)
-    out[:, :KEPT] = np.frombuffer(packed, np.uint8).reshape(-1, KEPT)
-    return out.reshape(-1).view("<u8")
+def _pack(grams: np.ndarray, bits: int, done: int = 0) -> bytes:
+    """What is left of each hash below the first ``bits`` bits, of hashes that have lost ``done`` bits at the upper end."""
+    kept = _kept(bits + done)
+    return ((grams << np.uint64(bits)) >> np.uint64(64 - 8 * kept)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :kept].tobytes()
 
 
-_SEGMENTS = pa.schema([("fragment", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("ids", pa.list_(pa.int64()))])
-_ENTRIES = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("entries", pa.list_(pa.int64()))])
+def _unpack(packed: bytes, bits: int) -> np.ndarray:
+    """The same at the upper end of 64 bits."""
+    kept = _kept(bits)
+    out = np.zeros((len(packed) // kept, 8), np.uint8)
+    out[:, :kept] = np.frombuffer(packed, np.uint8).reshape(-1, kept)
+    return out.reshape(-1).view("<u8") << np.uint64(64 - 8 * kept)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], size: int, bits: int, directories: int) -> Iterator[pa.RecordBatch]:
-    """Segments by fragment, and from ``1 << bits`` on the directory: which text has which set."""
+def _segments_type(id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("fragment", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("ids", pa.list_(id_type))])
+
+
+def _entries_type(id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("node", pa.int64()), ("doc_id", id_type), ("n", pa.int64()), ("entries", pa.list_(pa.int64()))])
+
+
+def _row(fragment: int, nodes: np.ndarray, counts: np.ndarray, grams: bytes = b"", ids: list | None = None) -> dict:
+    return {"fragment": fragment, "nodes": nodes.tobytes(), "counts": counts.astype(np.uint32).tobytes(), "grams": grams, "ids": ids or []}
+
+
+def _dealt(nodes: np.ndarray, lengths: np.ndarray, grams: np.ndarray, bits: int, before: int, done: int) -> Iterator[dict]:
+    """The segments of sets (node, n-grams; one after the other) by the first ``bits`` bits of their n-grams, of which
+    ``done`` bits above are dealt already and made fragment ``before``."""
+    if not len(grams):
+        return
+    fragment = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+    order = np.argsort(fragment.astype(np.uint16) if bits <= 16 else fragment, kind="stable")
+    fragment, of = fragment[order], np.repeat(np.arange(len(nodes)), lengths)[order]
+    grams = grams[order]
+    head = np.flatnonzero(np.concatenate(([True], (fragment[1:] != fragment[:-1]) | (of[1:] != of[:-1]))))
+    counts = np.diff(np.append(head, len(grams)))
+    node, part = nodes[of[head]], fragment[head]
+    begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True):
+        a, b = int(head[lo]), int(head[hi]) if hi < len(head) else len(grams)
+        yield _row(before << bits | int(part[lo]), node[lo:hi], counts[lo:hi], _pack(grams[a:b], bits, done))
+
+
+def _direct(grams: np.ndarray) -> np.ndarray:
+    """An entry of its own for each n-gram that is known to be very frequent: last in the order, of weight 1."""
+    return (np.int64(127) << np.int64(56)) | ((mix(grams) >> np.uint64(24)).astype(np.int64) << np.int64(16)) | np.int64(1)
+
+
+def _segments(batches: Iterator[pa.RecordBatch], size: int, bits: int, directories: int, frequent: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Segments by fragment; from ``1 << bits`` on the directory (which text has which set; counts are the sizes) and the
+    entries of frequent n-grams (no ids)."""
+    schema = _segments_type(id_type)
     ids: list = []
     nodes: list[int] = []
     sizes: list[int] = []
     held: dict[int, np.ndarray] = {}
+    often: dict[int, np.ndarray] = {}
     total, turn = 0, 0
 
     def handed_out() -> pa.RecordBatch:
         nonlocal turn
         own = np.array(list(held), np.int64)
         grams = np.concatenate(list(held.values())) if held else np.zeros(0, np.uint64)
-        lengths = np.array([len(g) for g in held.values()], np.int64)
-        fragment = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
-        counts = np.bincount(np.repeat(np.arange(len(own)), lengths) * (1 << bits) + fragment, minlength=len(own) << bits).reshape(len(own), 1 << bits)
-        grams = grams[np.argsort(fragment.astype(np.uint16), kind="stable")]
-        ends = np.concatenate(([0], np.cumsum(counts.sum(axis=0))))
-        rows = []
-        for f in range(1 << bits):
-            some = counts[:, f] > 0
-            if some.any():
-                rows.append({"fragment": f, "nodes": own[some].tobytes(), "counts": counts[some, f].astype(np.uint32).tobytes(), "grams": _pack(grams[ends[f] : ends[f + 1]], bits), "ids": []})
+        rows = list(_dealt(own, np.array([len(g) for g in held.values()], np.int64), grams, bits, 0, 0))
         turn += 1
-        rows.append({"fragment": (1 << bits) + hash((nodes[0], turn)) % directories, "nodes": np.array(nodes, np.int64).tobytes(), "counts": np.array(sizes, np.uint32).tobytes(), "grams": b"", "ids": list(ids)})
-        return pa.RecordBatch.from_pylist(rows, _SEGMENTS)
+        aside = (1 << bits) + hash((nodes[0], turn)) % directories
+        rows.append(_row(aside, np.array(nodes, np.int64), np.array(sizes), ids=list(ids)))
+        if often:
+            rows.append(_row(aside, np.array(list(often), np.int64), np.array([len(g) for g in often.values()]), np.concatenate(list(often.values())).tobytes()))
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
@@ -107,11 +148,16 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int, bits: int, directori
                 nodes.append(node)
                 sizes.append(len(g))
                 if len(g) and node not in held:
+                    if len(frequent):
+                        hot = frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] == g
+                        if hot.any():
+                            often[node] = _direct(g[hot])
+                            g = g[~hot]
                     held[node] = g
                     total += len(g)
             if total >= TASK_GRAMS or len(ids) >= 200_000:
                 yield handed_out()
-                ids, nodes, sizes, held, total = [], [], [], {}, 0
+                ids, nodes, sizes, held, often, total = [], [], [], {}, {}, 0
                 give_back()
     if ids:
         yield handed_out()
@@ -119,26 +165,70 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int, bits: int, directori
     give_back()
 
 
-def _entries(fragment: int, table: pa.Table) -> pa.Table:
-    """The weighted entries of each set in one fragment; a directory's rows as they are."""
-    seen: set[int] = set()
+def _dealt_again(batches: Iterator[pa.RecordBatch], done: int, more: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Segments of fragments of ``done`` bits, in their order, dealt to fragments of ``more`` bits more."""
+    schema = _segments_type(id_type)
+    nodes, counts, grams, total, now = [], [], [], 0, -1
+
+    def handed_out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(list(_dealt(np.concatenate(nodes), np.concatenate(counts), np.concatenate(grams), more, now, done)), schema)
+
+    for batch in batches:
+        aside = []
+        for r in batch.to_pylist():
+            if r["fragment"] >= 1 << done:
+                aside.append(r | {"fragment": r["fragment"] - (1 << done) + (1 << done + more)})
+                continue
+            if total and (r["fragment"] != now or total >= TASK_GRAMS):
+                yield handed_out()
+                nodes, counts, grams, total = [], [], [], 0
+                give_back()
+            now = r["fragment"]
+            nodes.append(np.frombuffer(r["nodes"], np.int64))
+            counts.append(np.frombuffer(r["counts"], np.uint32).astype(np.int64))
+            grams.append(_unpack(r["grams"], done))
+            total += len(grams[-1])
+        if aside:
+            yield pa.RecordBatch.from_pylist(aside, schema)
+    if total:
+        yield handed_out()
+    give_back()
+
+
+def _lists(owner: np.ndarray, values: np.ndarray, schema: pa.Schema, n: int | None) -> pa.Table:
+    """A row of entries for each owner; owners are sorted."""
+    begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(owner)).astype(np.int32)), pa.array(values))
+    return pa.table({"node": owner[begins], "doc_id": pa.nulls(len(begins), schema.field("doc_id").type), "n": pa.array([n] * len(begins), pa.int64()), "entries": lists}, schema=schema)
+
+
+def _entries(fragment: int, table: pa.Table, bits: int, id_type: pa.DataType) -> pa.Table:
+    """The weighted entries of each set in one fragment. Of a directory the texts' sets; entries that are known already
+    stay as they are, with n = -1."""
+    schema = _entries_type(id_type)
     all_nodes, all_counts, all_grams = [], [], []
     out = []
     for r in table.to_batches():
         for nodes, counts, grams, ids in zip(r.column("nodes").to_pylist(), r.column("counts").to_pylist(), r.column("grams").to_pylist(), r.column("ids"), strict=True):
             own, count = np.frombuffer(nodes, np.int64), np.frombuffer(counts, np.uint32).astype(np.int64)
             if len(ids.values):
-                out.append(pa.table({"node": own, "doc_id": ids.values, "n": count, "entries": pa.nulls(len(own), pa.list_(pa.int64()))}, schema=_ENTRIES))
-                continue
-            new = np.array([x not in seen for x in own.tolist()], bool)
-            seen.update(own.tolist())
-            all_nodes.append(own[new])
-            all_counts.append(count[new])
-            all_grams.append(_unpack(grams)[np.repeat(new, count)])
-    if out:
-        return pa.concat_tables(out)
-    nodes = np.repeat(np.concatenate(all_nodes), np.concatenate(all_counts)) if all_nodes else np.zeros(0, np.int64)
-    grams = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
+                out.append(pa.table({"node": own, "doc_id": ids.values, "n": count, "entries": pa.nulls(len(own), pa.list_(pa.int64()))}, schema=schema))
+            elif fragment >= 1 << bits:
+                out.append(_lists(np.repeat(own, count), np.frombuffer(grams, np.int64), schema, -1))
+            else:
+                all_nodes.append(own)
+                all_counts.append(count)
+                all_grams.append(_unpack(grams, bits))
+    if out or not all_nodes:
+        return pa.concat_tables(out) if out else schema.empty_table()
+    nodes, counts, grams = (np.concatenate(x) for x in (all_nodes, all_counts, all_grams))
+    _, once = np.unique(nodes, return_index=True)  # a set that several tasks had
+    if len(once) < len(nodes):
+        new = np.zeros(len(nodes), bool)
+        new[once] = True
+        grams = grams[np.repeat(new, counts)]
+        nodes, counts = nodes[new], counts[new]
+    nodes = np.repeat(nodes, counts)
     order = np.argsort(grams)
     grams = grams[order]
     head = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
@@ -146,33 +236,50 @@ def _entries(fragment: int, table: pa.Table) -> pa.Table:
     nodes = nodes[order][np.repeat(holders > 1, holders)]
     holders = holders[holders > 1]
     if not len(holders):
-        return _ENTRIES.empty_table()
+        return schema.empty_table()
     head = np.cumsum(holders) - holders
     salt = np.uint64((fragment + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
     lists = mix(np.add.reduceat(mix(nodes.astype(np.uint64)), head) ^ salt)
-    _, first, group, weight = np.unique(lists, return_index=True, return_inverse=True, return_counts=True)
+    _, first, weight = np.unique(lists, return_index=True, return_counts=True)
     # A weight that its 16 bits can't hold is spread over several entries of the same list.
     parts = (weight + _WEIGHT - 1) // _WEIGHT
     which = np.repeat(np.arange(len(first)), parts)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
     part = np.minimum(weight[which] - nth * _WEIGHT, _WEIGHT)
-    rarity = np.minimum(127, np.floor(3 * np.log2(holders[first][which])).astype(np.int64))
+    rarity = np.minimum(126, np.floor(3 * np.log2(holders[first][which])).astype(np.int64))
     entry = (rarity << 56) | ((mix(lists[first][which] + nth.astype(np.uint64)) >> np.uint64(24)).astype(np.int64) << 16) | part
     at = np.repeat(head[first][which] - (np.cumsum(holders[first][which]) - holders[first][which]), holders[first][which]) + np.arange(holders[first][which].sum())
     owner, values = nodes[at], np.repeat(entry, holders[first][which])
     order = np.argsort(owner, kind="stable")
-    owner, values = owner[order], values[order]
-    begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    lists_of = pa.ListArray.from_arrays(pa.array(np.append(begins, len(owner)).astype(np.int32)), pa.array(values))
-    return pa.table({"node": owner[begins], "doc_id": pa.nulls(len(begins), pa.int64()), "n": pa.nulls(len(begins), pa.int64()), "entries": lists_of}, schema=_ENTRIES)
+    return _lists(owner[order], values[order], schema, None)
 
 
-def _fragment(key: tuple, table: pa.Table) -> pa.Table:
-    made = _entries(key[0].as_py(), table)
+def _fragment(key: tuple, table: pa.Table, bits: int, id_type: pa.DataType) -> pa.Table:
+    made = _entries(key[0].as_py(), table, bits, id_type)
     give_back()
     return made
 
 
+def _grams_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, sets in shingle_sets(batch.column(0), size):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["gram"])
+    give_back()
+
+
+def frequent_grams(docs: DataFrame, rows: int, size: int) -> np.ndarray:
+    """Sorted hashes of n-grams so frequent in a sample of about SAMPLED texts that one fragment had better not list their
+    holders. Only the layout depends on the sample, never a result: a frequent n-gram is an entry of its own. No text is
+    looked at where a fragment can hold a list of all rows. At most the sample's n-grams over SAMPLED_OFTEN are sent."""
+    if rows <= FRAGMENT_GRAMS:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, SAMPLED / rows)
+    often = max(SAMPLED_OFTEN, int(share * FRAGMENT_GRAMS / 4))
+    grams = docs.where(F.rand(0) < share).select("text").mapInArrow(lambda it: _grams_of(it, size), "gram long")
+    found = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= often).select("gram").toPandas()
+    return np.sort(found.gram.to_numpy(np.int64).view(np.uint64))
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(entry, node, n, rest, share): each set's entries, rarest first, as long as the weight from there on can still
     reach the threshold; share is the part of the set that other sets hold too, in millionths."""
@@ -201,22 +308,34 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
 
     Two texts link when 100 * intersection >= percent * union of their sets of distinct ``size``-word shingles; a text
     of fewer words has its whole sequence as its one shingle. ``component_id`` is the smallest id reachable by links.
-    Null and empty texts and texts of white space have no shingles and link with nothing. A null id stays null, takes
-    part in links, and names no component unless all ids of its component are null. Repeated rows give repeated
-    results. An empty table gives no rows.
+    Null and empty texts and texts of white space have no shingles and link with nothing. Ids are whole numbers or
+    strings, and ordered as such. A null id stays null, takes part in links, and names no component unless all ids of its
+    component are null. Repeated rows give repeated results. A text of any length is one set, of whole 64-bit hashes. An
+    empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    sql_type = "long" if isinstance(docs.schema[id_column].dataType, IntegralType) else "string"
+    id_type = pa.int64() if sql_type == "long" else pa.string()
+    docs = docs.select(F.col(f"`{id_column}`").cast(sql_type).alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     amount = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     bits = int(np.ceil(np.log2(max(1, (amount[0] or 0) / 6 / FRAGMENT_GRAMS))))
-    bits = min(bits, 15)
+    first = min(bits, FIRST_BITS)
     directories = 1 + amount[1] // 100_000
-    segments = docs.mapInArrow(lambda it: _segments(it, size, bits, directories), "fragment long, nodes binary, counts binary, grams binary, ids array<long>")
-    found = cut(segments.groupBy("fragment").applyInArrow(_fragment, "node long, doc_id long, n long, entries array<long>"))
+    frequent = frequent_grams(docs, amount[1], size)
+    kept = f"fragment long, nodes binary, counts binary, grams binary, ids array<{sql_type}>"
+    segments = docs.mapInArrow(lambda it: _segments(it, size, first, directories, frequent, id_type), kept)
+    if bits > first:
+        # A fragment of the first deal has no bound: many tasks, of a bounded number of n-grams each, deal it again.
+        shares = int((amount[0] or 0) / 6 / (1 << first) / (16 * TASK_GRAMS)) + 1
+        spread = segments.repartition("fragment", F.pmod(F.xxhash64("nodes"), F.lit(shares))).sortWithinPartitions("fragment")
+        segments = spread.mapInArrow(lambda it: _dealt_again(it, first, bits - first, id_type), kept)
+    found = cut(segments.groupBy("fragment").applyInArrow(lambda k, t: _fragment(k, t, bits, id_type), f"node long, doc_id {sql_type}, n long, entries array<long>"))
 
     directory = found.where("entries is null").select("node", "doc_id", "n")
     sets = directory.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
-    entries = found.where("entries is not null").groupBy("node").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+    listed = found.where("entries is not null and n is null").select("node", "entries")
+    known = found.where("entries is not null and n = -1").groupBy("node").agg(F.first("entries").alias("entries"))  # the same from every task that had the set
+    entries = listed.unionByName(known).groupBy("node").agg(F.flatten(F.collect_list("entries")).alias("entries"))
     weight = F.aggregate("entries", F.lit(0).cast("long"), lambda total, x: total + x.bitwiseAND(F.lit(_WEIGHT).cast("long")))
     near = cut(entries.where(F.size("entries") > 0).join(sets.select("node", "n"), "node").where(100 * weight >= percent * F.col("n")))
 
@@ -224,9 +343,10 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
     # The two holders that all others are tried with: one at random, and the one that has least of its own, as the
     # text that the others are edited from.
     ends = prefixes.groupBy("entry").agg(F.count("*").alias("holders"), F.min(F.struct("node", "n", "rest")).alias("low"), F.max(F.struct("share", "node", "n", "rest")).alias("high"), F.min("n").alias("least"))
+    ends = cut(ends.where("holders > 1").drop("holders"))  # written, so that the join that follows may split a hot entry
     # No partner is smaller than the smallest holder, nor than the threshold allows.
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    useful = prefixes.join(ends.where("holders > 1").drop("holders"), "entry").where((100 + percent) * F.col("rest") >= percent * (F.col("n") + partner))
+    useful = prefixes.join(ends, "entry").where((100 + percent) * F.col("rest") >= percent * (F.col("n") + partner))
     shared = cut(useful.drop("least"))
 
     def can_reach(n, rest, n2, rest2):
@@ -247,7 +367,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
     part = cut(connected_components(links))
     # Entries whose holders are in several components: all pairs between different components.
     placed = shared.select("entry", "node", "n", "rest").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("entry")
+    mixed = cut(placed.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("entry"))
     placed = cut(placed.join(mixed, "entry").select("entry", "node", "n", "rest", "component"))
     left, right = placed.toDF("entry", "a", "na", "ra", "ca"), placed.toDF("entry", "b", "nb", "rb", "cb")
     apart = left.join(right, (left.entry == right.entry) & (F.col("ca") < F.col("cb")) & can_reach(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb")))

@@ -95,6 +95,25 @@ def test_jaccard_groups_are_brute_force(spark, corpus):
     assert got == brute_groups(corpus)
 
 
+@pytest.mark.parametrize("frequent", [False, True])
+def test_jaccard_of_many_fragments(spark, corpus, monkeypatch, frequent):
+    """More fragments than one deal makes, and n-grams that are known to be frequent, change nothing."""
+    monkeypatch.setattr(jaccard, "FRAGMENT_GRAMS", 20 if frequent else 0.12)
+    monkeypatch.setattr(jaccard, "FIRST_BITS", 3)
+    if frequent:
+        monkeypatch.setattr(jaccard, "SAMPLED_OFTEN", 4)
+        docs = table(spark, corpus).select("doc_id", "text")
+        assert len(jaccard.frequent_grams(docs, len(corpus), 5)) > 40
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(table(spark, corpus)).collect()}
+    assert got == brute_groups(corpus)
+
+
+def test_jaccard_of_text_ids(spark, corpus):
+    named = table(spark, corpus).withColumn("doc_id", F.concat(F.lit("d"), F.format_string("%05d", "doc_id")))
+    got = {int(r.doc_id[1:]): (r.n_shingles, int(r.component_id[1:])) for r in jaccard.jaccard_groups(named).collect()}
+    assert got == brute_groups(corpus)
+
+
 def test_jaccard_of_many_near_copies(spark):
     """A large family whose members link only partly: every link counts, none is lost to the choice of leaders."""
     rng = random.Random(3)
@@ -542,3 +561,24 @@ def test_pipeline_stages(spark, corpus, tmp_path):
         if i in want and not found[k][1]:
             assert got[i].decoded_sha256 == hashlib.sha256(want[i].encode()).hexdigest()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "substring_dedup", "decontamination", "byte_bpe"]
+
+
+def test_near_duplicates_loses_no_document(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "all of these words are its own alone"
+    rows = [(7, a), (7, b), (7, a), (None, a), (None, c), (None, c), (3, b), (9, None), (9, None), (8, ""), (8, "")]
+    docs = table(spark, rows).withColumn("row_id", F.lit(1)).withColumn("node", F.lit(2))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, a), (3, b), (None, c), (9, None), (8, "")], key=str)
+
+
+def test_pipeline_stages_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, None), (None, "a b"), (4, "x y z"), (4, "x y z"), (5, "")]
+    for docs, least in ((table(spark, []), 0), (table(spark, rows), 4)):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs.withColumn("extra", F.lit(1)).withColumn("score", F.lit("s")), str(tmp_path))
+            assert docs.count() == (least if name not in ("toxicity",) or not least else 5)
+            if name != "byte_bpe":
+                assert docs.columns == list(corpus_pipeline.COLUMNS)
