@@ -1,6 +1,9 @@
 """Every query with an oracle against DuckDB on the smallest tables; the others must give a stable schema and rows."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -39,6 +42,15 @@ def test_names():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_training_data_operators(tmp_path, also):
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "*.pyc", *also))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 50 and set(e.oracle_sql()) <= set(q)"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path / "copy")}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, check=True)
+
+
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.ORACLES])
 def test_oracle(spark, tables, name):
     got, want = entry_module.queries()[name](spark, DATA).toPandas(), tables.execute(catalog.ORACLES[name]).df()
