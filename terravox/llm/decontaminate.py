@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import ALNUM, Words, buffers, chunks, give_back, ngrams, ragged, words
+from terravox.llm.words import ALNUM, Words, buffers, chunks, free_name, give_back, ngrams, ragged, words
 from terravox.plans.storage import bound_batches, cut
 
 #: Words in a window.
@@ -255,9 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, remove: str | None = No
     """
     bound_batches(docs.sparkSession)
     names = docs.columns
-    hidden = "_hits"
-    while any(c.lower().startswith(hidden) for c in names):
-        hidden = f"_{hidden}"
+    hidden = free_name(names, "_hits")
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
     docs = _with_hits(docs, text, _blocks(benchmark, item_column, text_column), window, 101 if remove == "spans" else percent, remove in ("spans", "both"), hidden)
     hits = F.col(hidden)

@@ -333,6 +333,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
 
     directory = found.where("entries is null").select("node", "doc_id", "n")
     sets = directory.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
+    sets = cut(sets)  # written, as other sides of later joins are, so that those may split what one hot node has
     listed = found.where("entries is not null and n is null").select("node", "entries")
     known = found.where("entries is not null and n = -1").groupBy("node").agg(F.first("entries").alias("entries"))  # the same from every task that had the set
     entries = listed.unionByName(known).groupBy("node").agg(F.flatten(F.collect_list("entries")).alias("entries"))
@@ -382,7 +383,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
     named = whole.join(sets.select("node", "least"), "node")
     names = named.groupBy("whole").agg(F.min("least").alias("name"))
     named = named.join(names, "whole").select("node", "name")
-    of_set = sets.join(named, "node", "left").select("node", F.coalesce("name", "least").alias("name"))
+    of_set = cut(sets.join(named, "node", "left").select("node", F.coalesce("name", "least").alias("name")))
     return (
         directory.join(of_set, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("name", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -24,7 +24,10 @@ _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 def give_back() -> None:
     """Return freed memory to the system, where the C library can: workers stay for later tasks, and what they once
-    needed would stay with them."""
+    needed would stay with them. Powers for a text longer than a chunk go too."""
+    global _powers
+    if len(_powers[0]) > CHUNK + 1:
+        _powers = (_powers[0][: CHUNK + 1].copy(), _powers[1][: CHUNK + 1].copy())
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
@@ -92,8 +95,15 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
         lo = hi
 
 
-def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> Words:
-    """All words of a chunk, in order."""
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that none of the columns begins with: for columns that a plan needs in between."""
+    while any(c.lower().startswith(name) for c in columns):
+        name = f"_{name}"
+    return name
+
+
+def words(data: np.ndarray, off: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> Words:
+    """All words of a chunk, in order; at ``cuts`` (bytes, ascending) a word ends and another begins."""
     n = len(data)
     values = table[data]
     inside = values != 0
@@ -107,6 +117,9 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> Words:
     if n:
         after[-1] = False
     after[heads[heads > 0] - 1] = False
+    if cuts is not None:
+        before[cuts] = False
+        after[cuts[cuts > 0] - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     power, inverse = _powers_to(n)

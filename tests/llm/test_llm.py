@@ -201,7 +201,20 @@ def test_contamination_edges(spark):
 # 6: sentence spans
 
 
-def brute_without_repeats(texts):
+def brute_pieces(raw, found):
+    """First words of the pieces of one text: behind stops, and in each window without one at the word of least value."""
+    w = words.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), words.SPACED)
+    value = [0, *words.mix(w.hashes[1:] ^ (w.hashes[:-1] * np.uint64(0xA24BAED4963EE407))).tolist()]
+    heads = {0} | {k + 1 for k in range(len(found) - 1) if raw[found[k][1] - 1 : found[k][1]] in (b".", b"!", b"?")}
+    cuts = set(heads)
+    for i in range(len(found) - sentence_spans.PIECE_WORDS + 1):
+        window = range(i, i + sentence_spans.PIECE_WORDS)
+        if not heads & set(window):
+            cuts.add(min(window, key=lambda k: (value[k], -k)))
+    return sorted(cuts) if found else []
+
+
+def brute_without_repeats(texts, shifted=False):
     """Runs by their words, in order of id and place; what a later occurrence covers goes."""
     docs = []
     for t in texts:
@@ -214,6 +227,9 @@ def brute_without_repeats(texts):
             if last or k - first + 1 == sentence_spans.SENTENCE_WORDS:
                 units.append((first, k + 1))
                 first = k + 1
+        if shifted:
+            heads = brute_pieces(raw, found)
+            units = list(zip(heads, [*heads[1:], len(found)], strict=False))
         runs = set()
         for i in range(len(units)):
             for j in range(i + sentence_spans.RUN_SENTENCES - 1, len(units)):
@@ -239,13 +255,17 @@ def brute_without_repeats(texts):
     return out, [len(g) for g in gone]
 
 
-@pytest.mark.parametrize("size", [2_000_000, 300])
-def test_repeats_are_brute_force(spark, corpus, size, monkeypatch):
+@pytest.mark.parametrize("shifted", [False, True])
+@pytest.mark.parametrize(("size", "bits"), [(2_000_000, 12), (300, 12), (0.02, 3)])  # the last: more than 16 bits, dealt twice
+def test_repeats_are_brute_force(spark, corpus, size, bits, shifted, monkeypatch):
     monkeypatch.setattr(sentence_spans, "FRAGMENT_RUNS", size)
-    monkeypatch.setattr(sentence_spans, "TASK_RUNS", size)
+    monkeypatch.setattr(sentence_spans, "TASK_RUNS", max(size, 300))
+    monkeypatch.setattr(sentence_spans, "FIRST_BITS", bits)
     texts = [*corpus, corpus[0] + "\n" + corpus[0]]
-    got = sentence_spans.without_repeats(table(spark, texts).withColumn("n_removed", F.lit("clash"))).orderBy("doc_id").collect()
-    want, counts = brute_without_repeats(texts)
+    got = sentence_spans.without_repeats(table(spark, texts).withColumn("n_removed", F.lit("clash")).withColumn("_spans", F.lit(1)).withColumn("__key", F.lit(2)), shifted=shifted)
+    assert {"_spans", "__key"} <= set(got.columns)
+    got = got.orderBy("doc_id").collect()
+    want, counts = brute_without_repeats(texts, shifted)
     assert [r.n_removed for r in got] == counts
     assert [r.text or "" for r in got] == want
     assert [r.text is None for r in got] == [t is None for t in texts]
@@ -258,6 +278,40 @@ def test_repeats_edges(spark):
     assert sorted((r.doc_id or 9, r.n_removed) for r in rows) == [(1, 0), (1, 0), (2, 40), (9, 40)]
 
 
+def test_a_forced_collision_removes_nothing(spark, monkeypatch):
+    """Runs that agree in the first 64 bits, but not in the check, are different runs."""
+    real = sentence_spans.sentence_runs
+
+    def collide(data, off, shifted=False):
+        runs = real(data, off, shifted)
+        return runs._replace(hashes=np.full_like(runs.hashes, 12345))
+
+    rng = random.Random(8)
+    texts = pa.array([prose(rng, 120) for _ in range(6)])
+    monkeypatch.setattr(sentence_spans, "sentence_runs", collide)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(range(10, 16), pa.int64()), texts], ["i", "k", "t"])
+    rows = [r for b in sentence_spans._postings([batch], 0, 1, False) for r in b.to_pylist()]
+    assert all(r["fragment"] == 0 for r in rows)  # nothing is settled in the task
+    assert sentence_spans._replies(pa.Table.from_pylist(rows, sentence_spans._OUT)).num_rows == 0
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(range(10, 22), pa.int64()), pa.array(texts.to_pylist() * 2)], ["i", "k", "t"])
+    rows = [r for b in sentence_spans._postings([batch], 0, 1, False) for r in b.to_pylist()]
+    found = sentence_spans._replies(pa.Table.from_pylist(rows, sentence_spans._OUT)).to_pylist()
+    assert {r["key"] for r in found if r["later"]} == set(range(16, 22))
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(9)
+    clause = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    passage = "".join(clause(12) + "。" for _ in range(6))
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(60))
+    texts = [clause(30) + "！" + passage + clause(20) + "？", clause(40) + "。" + passage + clause(15) + "。", clause(90), thai + " " + clause(5), clause(7) + " " + thai]
+    for shifted in (False, True):
+        got = [r.text for r in sentence_spans.without_repeats(table(spark, texts), shifted=shifted).orderBy("doc_id").collect()]
+        assert got[0] == texts[0] and got[2] == texts[2] and got[3] == texts[3]
+        assert len(got[1]) <= len(texts[1]) - (len(passage) - 26)
+        assert not shifted or len(got[4]) <= len(texts[4]) - (60 - 32)
+
+
 def windows(text, size):
     w = text.lower().split()
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
@@ -552,7 +606,7 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     groups = brute_groups([left[i] for i in ids])
     left = {i: left[i] for k, i in enumerate(ids) if groups[k][1] == k}
     ids = sorted(left)
-    texts, _ = brute_without_repeats([left[i] for i in ids])
+    texts, _ = brute_without_repeats([left[i] for i in ids], shifted=True)
     found = brute_contamination(texts, items)
     want = {i: t for i, t, f in zip(ids, texts, found, strict=True) if not f[3]}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
