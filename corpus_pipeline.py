@@ -49,7 +49,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Sentences covered by a run that occurred before leave the texts; every row stays, though its text may become empty.
     Null texts stay null, rows that agree in id and text are treated alike, an empty table gives no rows, other columns
     are dropped. Texts are read whole, whatever their length."""
-    return without_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
+    return without_repeats(docs.select(*COLUMNS), shifted=True).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
