@@ -9,10 +9,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,17 +38,39 @@ def _drop(spark: SparkSession, folder: str) -> None:
         pass
 
 
+#: Session setting under which Spark removes an execution's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table; executors that are lost later cost nothing."""
-    path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Hand at most so many rows at a time to Python workers from now on in this session (never more than it is set to).
-    Rows with whole texts are wide; the default batch of 10,000 of them takes hundreds of megabytes in a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+    """Write ``df`` to the shared folder and return the written table; executors that are lost later cost nothing. The
+    shuffles that made it are removed at once: nothing will read them again."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` returned and that no result to come reads."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            hadoop = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Hand at most so many rows, and about so many bytes, at a time to Python workers from now on in this session (never
+    more than it is set to). Rows with whole texts are wide; the default batch of 10,000 of them, or 64 MB, takes hundreds
+    of megabytes in a worker. Plans read these settings when they run, so they can't be put back before."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name, str(most + 1)) or str(most + 1)
+        if not now.strip("bB").lstrip("-").isdigit() or int(now.strip("bB")) <= 0 or int(now.strip("bB")) > most:
+            spark.conf.set(name, str(most))
