@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.plans.storage import cut
+from terravox.plans.storage import cut, discard
 
 
 def _to_minimum(edges: DataFrame, by: str, other: str) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_minimum(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = _to_minimum(large, "u", "v")
-        ends = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        before, ends = ends, cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        discard(before)
         state = ends.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == known:
             break

@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs, cut into sentences, are digested; each digest goes to three cells of a small table that keep a
+A text's paragraphs (what stands between line breaks; a long one counts as several of PARAGRAPH_WORDS words, counted from
+its start) are digested; each digest goes to three cells of a small table that keep a
 count, the sum of the digests and the sum of their checks. Two versions' tables are subtracted cell by cell; what they
 share cancels, and peeling cells that hold one digest recovers the digests that differ and on which side they are. A
 table too small for the difference shows that by not peeling to zero and is built again twice as large.
@@ -16,15 +17,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from terravox.llm.sentence_spans import sentences
-from terravox.llm.words import _powers_to, chunks, give_back, mix
-from terravox.plans.storage import bound_batches
+from terravox.llm.words import SPACED, _powers_to, chunks, give_back, mix, words
+from terravox.plans.storage import bound_batches, cut
 
 #: Cells of a fingerprint; each retry doubles them. A multiple of three.
 CELLS = 24
+#: Words of the longest paragraph that has one digest.
+PARAGRAPH_WORDS = 32
 _RAW = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -36,11 +40,21 @@ class Digests(NamedTuple):
 
 
 def paragraph_digests(texts: pa.Array) -> Digests:
-    """A digest for each sentence of each text; a repeated sentence counts with the number of its repetition."""
+    """A digest for each paragraph of each text; a repeated paragraph counts with the number of its repetition."""
     keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, hi, data, off in chunks(texts):
-        w, start, end, units = sentences(data, off)
-        a, b = w.start[start], w.end[end - 1]
+        w = words(data, off, SPACED)
+        n = len(w.hashes)
+        heads = np.zeros(n + 1, bool)
+        heads[w.first] = True
+        if n:
+            lines = np.cumsum((data == 10) | (data == 13))
+            heads[1:n] |= lines[w.start[1:]] > lines[w.end[:-1] - 1]
+        paragraph = np.flatnonzero(heads[:n])
+        place = np.arange(n) - np.repeat(paragraph, np.diff(np.append(paragraph, n)))
+        start = np.flatnonzero(place % PARAGRAPH_WORDS == 0)
+        units = np.searchsorted(start, w.first)
+        a, b = w.start[start], w.end[np.append(start[1:], n)[: len(start)] - 1]
         power, inverse = _powers_to(len(data))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_RAW[data] * power[: len(data)], out=total[1:])
@@ -149,58 +163,86 @@ def likeness(a: Digests, b: Digests) -> np.ndarray:
     return np.where(total > 0, (total - only_a - only_b) / np.maximum(total, 1), 1.0)
 
 
-def written(d: Digests, texts: int) -> list[str]:
-    """Fingerprints as text: of every cell, in hexadecimal, the count (4 digits), digest sum (16) and check sum (8)."""
+def written(d: Digests, texts: int) -> list[bytes]:
+    """Fingerprints: of every cell the count (2 bytes), digest sum (8) and check sum (4)."""
     t = build(d.keys, d.of, texts, CELLS)
     raw = np.empty((texts, CELLS), [("n", ">u2"), ("k", ">u8"), ("c", ">u4")])
     raw["n"], raw["k"], raw["c"] = t.count & 0xFFFF, t.keys, t.checks & _LOW
-    return [r.tobytes().hex() for r in raw]
+    return [r.tobytes() for r in raw]
+
+
+def _as_text(column: str) -> Column:
+    return F.lower(F.hex(column)).alias(column)
 
 
 def fingerprints(docs: DataFrame, text_column: str = "text", to: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of each text; null counts as empty, and equal texts have equal fingerprints."""
+    """``docs`` with the fingerprint of each text in hexadecimal, as the column ``to`` (replaced if it is there).
+
+    Null counts as empty, an empty text has empty cells, and equal texts have equal fingerprints; a text of any length is
+    read whole; all other columns and repeated rows stay; an empty table gives no rows."""
     bound_batches(docs.sparkSession)
-    own = F.arrow_udf(lambda t: pa.array(written(paragraph_digests(t), len(t)), pa.string()), "string")
-    return docs.withColumn(to, own(F.col(f"`{text_column}`").cast("string")))
+    own = F.arrow_udf(lambda t: pa.array(written(paragraph_digests(t), len(t)), pa.binary()), "binary")
+    return docs.withColumn(to, F.lower(F.hex(own(F.col(f"`{text_column}`").cast("string")))))
 
 
-_VERSIONS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_OF_PAIR = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_OF_PAIR_SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_VERSIONS = pa.schema([*_OF_PAIR, ("kind", pa.int32()), ("part", pa.int64()), ("text", pa.string())])
+_DONE, _FIRST, _LAST = 0, 1, 2
+#: Code points of text that are handled at a time (or two rows).
 _STEP_CHARS = 2 << 20
 
 
+def _against(ids: list, own: list[str], after: list[str]) -> list:
+    """The columns of rows (id, text) with the text after each."""
+    edited = [a[: len(a) - len(a) // 3] + b[: len(a) // 3] for a, b in zip(own, after, strict=True)]
+    d, e, x = (paragraph_digests(pa.array(t, pa.string())) for t in (own, edited, after))
+    n = len(own)
+    columns = [ids, [len(t) for t in own], [sha256(t.encode()).hexdigest() for t in edited], written(d, n), written(e, n), likeness(d, e), likeness(d, x)]
+    return [pa.array(c, t) for c, (_, t) in zip(columns, _OF_PAIR, strict=True)]
+
+
+def _edge(kind: int, part: int, doc_id: int | None, text: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"kind": kind, "part": part, "doc_id": doc_id, "text": text}], _VERSIONS)
+
+
 def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order (bucket, guest, doc_id, text): each own row against the one after it."""
+    """Rows (doc_id, text) in order: each against the one after it. The text of the partition's first row and its last row,
+    which has no successor here, come as rows of their own kinds."""
+    part = TaskContext.get().partitionId()
     ids: list = []
     texts: list[str] = []
-    guest: list[bool] = []
-    chars = 0
+    chars, begun = 0, False
 
-    def handed_out() -> pa.RecordBatch | None:
+    def handed_out() -> pa.RecordBatch:
         """All rows but the last, whose successor isn't known yet."""
-        nonlocal ids, texts, guest, chars
-        rows = [i for i in range(len(ids) - 1) if not guest[i]]
-        out = None
-        if rows:
-            own, after = [texts[i] for i in rows], [texts[i + 1] for i in rows]
-            edited = [a[: len(a) - len(a) // 3] + b[: len(a) // 3] for a, b in zip(own, after, strict=True)]
-            d, e, x = (paragraph_digests(pa.array(t, pa.string())) for t in (own, edited, after))
-            columns = [[ids[i] for i in rows], [len(t) for t in own], [sha256(t.encode()).hexdigest() for t in edited], written(d, len(rows)), written(e, len(rows)), likeness(d, e), likeness(d, x)]
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _VERSIONS, strict=True)], schema=_VERSIONS)
+        nonlocal ids, texts, chars
+        n = len(ids) - 1
+        columns = _against(ids[:-1], texts[:-1], texts[1:])
         give_back()
-        ids, texts, guest = ids[-1:], texts[-1:], guest[-1:]
-        chars = len(texts[0]) if texts else 0
-        return out
+        ids, texts = ids[-1:], texts[-1:]
+        chars = len(texts[0])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([_DONE] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], schema=_VERSIONS)
 
     for batch in batches:
-        for g, i, t in zip(batch.column("guest").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not begun:
+                begun = True
+                yield _edge(_FIRST, part, None, t)
             ids.append(i)
             texts.append(t)
-            guest.append(g)
             chars += len(t)
-            if chars >= _STEP_CHARS and len(ids) > 1 and (out := handed_out()) is not None:
-                yield out
-    if (out := handed_out()) is not None:
-        yield out
+            if chars >= _STEP_CHARS and len(ids) > 1:
+                yield handed_out()
+    if len(ids) > 1:
+        yield handed_out()
+    if begun:
+        yield _edge(_LAST, part, ids[0], texts[0])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays(_against(*(b.column(k).to_pylist() for k in ("doc_id", "text", "after"))), [n for n, _ in _OF_PAIR])
 
 
 def version_fingerprints(docs: DataFrame, bucket_bytes: int = 32 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -208,22 +250,23 @@ def version_fingerprints(docs: DataFrame, bucket_bytes: int = 32 << 20, id_colum
     by as many of the first of the next row), both fingerprints, and the likeness of its fingerprint to those of the
     edited text and of the next row.
 
-    The next row is the next by descending id (null ids last; rows of one id by a hash of their text), after the last
-    the first; a table of one row is its own next. Null texts count as empty; two empty texts are alike (1.0). Rows go
-    to ranges of ids in one shuffle; each range is also sent the first row of the range that follows, its guest.
+    Ids are whole numbers. The next row is the next by descending id (null ids last; rows of one id by a hash of their
+    text), after the last the first; a table of one row is its own next, an empty one gives no rows. Null texts count as
+    empty; two empty texts are alike (1.0); repeated rows follow each other. Texts of any length are read whole, other
+    columns ignored. Rows go to ranges of the order in one shuffle, as many as the bytes of text ask for; every range
+    leaves its own rows' results and the texts at its two ends, from which the rows between two ranges are made.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(20_000, amount // bucket_bytes))
-    bounds = sorted(set(docs.select(order.cast("double").alias("o")).approxQuantile("o", [k / (n + 1) for k in range(1, n + 1)], 0.2 / (n + 1)))) if n else []
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= order.cast("double"))) if bounds else F.lit(0)
-    docs = docs.withColumn("bucket", bucket.cast("int")).withColumn("h", F.xxhash64("text"))
-    heads = sorted(((r.bucket, r.top.o, r.top.h) for r in docs.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), "h")).alias("top")).collect()), reverse=True)
-    after = [(heads[(i + 1) % len(heads)][1:], b) for i, (b, _, _) in enumerate(heads)]
-    hosts = docs.sparkSession.createDataFrame([(o, h, b) for (o, h), b in after], "o long, h long, host int")
-    guests = docs.withColumn("o", order).join(F.broadcast(hosts), ["o", "h"]).select("doc_id", "text", F.col("host").alias("bucket"), "h", F.lit(True).alias("guest"))
-    all_rows = docs.select("doc_id", "text", "bucket", "h", F.lit(False).alias("guest")).unionByName(guests)
-    rows = all_rows.repartitionByRange(max(1, len(heads)), "bucket").sortWithinPartitions(F.desc("bucket"), "guest", F.desc_nulls_last("doc_id"), F.desc("h"))
-    return rows.select("guest", "doc_id", "text").mapInArrow(_versions, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+    amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Rows that agree in id and text may stand in any order, so the input's partition may spread them.
+    order = [F.desc_nulls_last("doc_id"), F.desc("h"), F.asc("source")]
+    ranged = rows.withColumn("h", F.xxhash64("text")).withColumn("source", F.spark_partition_id()).repartitionByRange(amount // bucket_bytes + 1, *order)
+    made = cut(ranged.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_versions, f"{_OF_PAIR_SQL}, kind int, part long, text string"))
+    firsts = made.where(F.col("kind") == _FIRST).select(F.col("part").alias("next_part"), F.col("text").alias("after"))
+    parts = made.where(F.col("kind") == _FIRST).select("part")  # one number for each range, without texts
+    ring = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next_part"))
+    lasts = made.where(F.col("kind") == _LAST).select("part", "doc_id", "text")
+    between = lasts.join(ring, "part").join(firsts, "next_part").select("doc_id", "text", "after").mapInArrow(_pairs, _OF_PAIR_SQL)
+    whole = made.where(F.col("kind") == _DONE).select(*[n for n, _ in _OF_PAIR]).unionByName(between)
+    return whole.select("doc_id", "n_chars", "edited_sha256", _as_text("fingerprint"), _as_text("edited_fingerprint"), "near_edited", "near_next")

@@ -31,7 +31,7 @@ from pyspark.sql.types import IntegralType
 
 from terravox.llm.components import connected_components
 from terravox.llm.words import SPACED, chunks, give_back, mix, ngrams, sequence_hash, words
-from terravox.plans.storage import bound_batches, cut
+from terravox.plans.storage import bound_batches, cut, discard
 
 #: N-grams that a fragment is meant to hold; the number of fragments grows with the input.
 FRAGMENT_GRAMS = 3_000_000
@@ -377,13 +377,14 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
     # One component for each node: links of the second kind join components of the first.
     of = part.toDF("node", "component")
     ends_of = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = cut(connected_components(ends_of)).toDF("component", "whole")
+    joined = cut(connected_components(ends_of).toDF("component", "whole"))
     lone = joined.join(part.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), "whole")
     whole = part.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("whole")).unionByName(lone)
     named = whole.join(sets.select("node", "least"), "node")
     names = named.groupBy("whole").agg(F.min("least").alias("name"))
     named = named.join(names, "whole").select("node", "name")
     of_set = cut(sets.join(named, "node", "left").select("node", F.coalesce("name", "least").alias("name")))
+    discard(sets, near, ends, shared, tried, links, part, mixed, placed, more, joined)
     return (
         directory.join(of_set, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("name", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

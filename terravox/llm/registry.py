@@ -51,7 +51,7 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of the shards of all documents, with the digest of every record as it stands in the files."""
     folder = f"{shared_root(spark)}/shards-{uuid.uuid4().hex}"
     encode = functools.partial(encode_texts, path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
-    manifest = materialise(_table(spark, sf_dir, "documents"), folder, length=2048, end=50256, pad=50256, key=20260101, per_shard=4096, ids_column="text", encode=encode)
+    manifest = materialise(_table(spark, sf_dir, "documents"), folder, length=2048, end=50256, pad=50257, key=20260101, per_shard=4096, ids_column="text", encode=encode)
     return manifest.join(record_digests(spark, folder, 2048, "<u2", 4096), "slot")
 
 

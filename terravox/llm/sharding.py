@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravox.plans.storage import cut
+from terravox.llm.words import free_name
+from terravox.plans.storage import cut, discard
 
 #: Hexadecimal digits of the hash that the first level of sums has, and that each further level adds.
 DIGITS, MORE_DIGITS = 3, 2
@@ -94,26 +95,32 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id"
     """``docs`` with ``size`` (UTF-8 bytes of the text plus 1), ``text_crc32``, ``law`` ("bytes"), ``shard`` (from 0),
     ``slot`` (gapless from 0 in each shard) and ``grown_shard`` (null under this law).
 
-    Rows with equal texts share a shard; null texts have no bytes and form the group of the empty text. Columns of these
-    names are replaced, all others stay; repeated rows get neighbouring slots in no particular order; an empty table
-    gives no rows. Slots follow a hash of the id, then the id (null first), so that many tasks number one shard.
+    Rows with equal texts share a shard; null texts have no bytes and form the group of the empty text; a text of any
+    length is one group. Columns of the added names are replaced, all others stay, whatever their names; repeated rows
+    get neighbouring slots in no particular order; ids are of any one type and may be null; an empty table gives no rows.
+    Slots follow a hash of id and text, then the id (null first), so that many tasks number one shard, even where an id
+    is frequent.
     """
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    own_name = free_name([*docs.columns, *added], "_h")
+    h, bucket, before = (f"{own_name}{x}" for x in ("", "_bucket", "_before"))
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    sized = docs.select(*own, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text.cast("binary")).alias("__h"))
-    groups = cut(sized.groupBy(F.col("__h").alias("h")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
-    groups = cut(groups.repartitionByRange("h").sortWithinPartitions("h"))
+    sized = docs.select(*own, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text.cast("binary")).alias(h))
+    groups = cut(sized.groupBy(F.col(h).alias("h")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    unordered, groups = groups, cut(groups.repartitionByRange("h").sortWithinPartitions("h"))
+    discard(unordered)
     rows = groups.agg(F.sum("rows")).first()[0] or 0
     _, cuts = smallest_capacity(OrderedSums(groups), shards)
+    discard(groups)
     shard = F.lit(0)
     for k, first in enumerate(cuts, 1):
-        shard = F.when(F.col("__h") >= first, k).otherwise(shard)
+        shard = F.when(F.col(h) >= first, k).otherwise(shard)
     buckets = max(1, rows // (shards * ROWS_PER_BUCKET) + 1)
-    placed = sized.withColumn("shard", shard.cast("int")).withColumn("__b", F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(buckets)))
-    counts = placed.groupBy("shard", "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy("shard", "__b").orderBy(F.col(f"`{id_column}`"), "__h")
-    numbered = placed.join(offsets, ["shard", "__b"]).withColumn("slot", F.col("__before") + F.row_number().over(inside) - 1)
+    placed = sized.withColumn("shard", shard.cast("int")).withColumn(bucket, F.pmod(F.xxhash64(F.col(f"`{id_column}`"), F.col(h)), F.lit(buckets)))
+    counts = placed.groupBy("shard", bucket).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy("shard", bucket).orderBy(F.col(f"`{id_column}`"), h)
+    numbered = placed.join(offsets, ["shard", bucket]).withColumn("slot", F.col(before) + F.row_number().over(inside) - 1)
     return numbered.select(*own, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

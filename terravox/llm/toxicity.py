@@ -4,8 +4,9 @@ Features are the distinct words, word pairs, triples and pairs with one or two w
 of coordinates. Learning rates are per coordinate and an L1 term keeps weights at exactly zero unless evidence adds up,
 so the model is a short list of coordinates that is broadcast to score every whole text without a shuffle.
 
-The fit reads a bounded sample of labelled rows (``MAX_LABELLED``, those with the least hash of their id) in one task;
-scoring reads everything.
+The fit takes a bounded sample of labelled rows (``MAX_LABELLED``, those with the least hash of their id, and of those as
+many as have ``MAX_COORDINATES`` features together, the first at least). Their features are found in many tasks; one
+task, which holds at most 4 bytes a feature, learns from them. Scoring reads everything.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terravox.llm.words import ALNUM, Words, chunks, give_back, gram_hash, ragged, words
-from terravox.plans.storage import bound_batches
+from terravox.plans.storage import bound_batches, cut, discard
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_LABELLED = 16_384
+#: Features of all rows that a model is fitted on, at most (the first row's are always taken).
+MAX_COORDINATES = 64_000_000
 #: Coordinates: 2 ** BITS, the last of which is the bias.
 BITS = 20
 #: Offsets of the words in a feature.
@@ -73,10 +77,17 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, settings: Settings = Se
     return weights(z, n)
 
 
+def _found(texts: pa.Array) -> pa.Array:
+    """The coordinates of each text as bytes."""
+    out = pa.array([x.astype(np.int32).tobytes() for x in text_features(texts)], pa.binary())
+    give_back()
+    return out
+
+
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, labels = [], []
     for batch in batches:
-        rows += list(text_features(batch.column("text")))
+        rows += [np.frombuffer(x, np.int32) for x in batch.column("found").to_pylist()]
         labels += batch.column("label").to_pylist()
     if rows:
         w = fit_ftrl(rows, np.array(labels, float))
@@ -88,13 +99,26 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray] | None:
-    """(coordinates, weights) learned from rows (doc_id, text, label 0 or 1), at most ``max_rows`` of them, in the order
-    of a hash of the id; None without any row that has a label and an id."""
+def fit(labelled: DataFrame, max_rows: int = MAX_LABELLED, max_coordinates: int = MAX_COORDINATES) -> tuple[np.ndarray, np.ndarray] | None:
+    """(coordinates, weights) learned from rows (doc_id, text, label 0 or 1), at most ``max_rows`` of them with at most
+    ``max_coordinates`` features, in the order of a hash of the id; None without any row that has a label and an id."""
     some = labelled.where("label is not null and doc_id is not null").select("text", "label", F.xxhash64("doc_id").alias("o"), "doc_id")
-    some = some.orderBy("o", "doc_id", "label", "text").limit(max_rows).repartition(1).sortWithinPartitions("o", "doc_id", "label", "text")
-    got = some.select(F.coalesce("text", F.lit("")).alias("text"), "label").mapInArrow(_fit_task, "coordinate int, weight double").toPandas()
-    return (got.coordinate.to_numpy(), got.weight.to_numpy()) if len(got) else None
+    some = some.orderBy("o", "doc_id", "label", "text").limit(max_rows)
+    tasks = max(1, max_rows // 512)
+    found = F.arrow_udf(_found, "binary").asNondeterministic()
+    rows = cut(some.repartition(tasks, "o").select("o", "doc_id", "label", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("t"), found(F.coalesce("text", F.lit(""))).alias("found")))
+    # At most max_rows lengths: one task adds them up.
+    order = Window.orderBy("o", "doc_id", "label", "t")
+    sizes = rows.select("o", "doc_id", "label", "t", (F.octet_length("found") / 4).alias("n"))
+    used = sizes.withColumn("nth", F.row_number().over(order)).withColumn("sum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("sum") <= max_coordinates) | (F.col("nth") == 1))
+    last = used.agg(F.max(F.struct("o", "doc_id", "label", "t")).alias("last")).first()["last"]
+    if last is None:
+        return None
+    key = F.struct("o", "doc_id", "label", "t")
+    taken = rows.where(key <= F.struct(*[F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in ("o", "doc_id", "label", "t")]))
+    got = taken.repartition(1).sortWithinPartitions("o", "doc_id", "label", "t").select("found", "label").mapInArrow(_fit_task, "coordinate int, weight double").toPandas()
+    discard(rows)
+    return got.coordinate.to_numpy(), got.weight.to_numpy()
 
 
 def scores(texts: pa.Array, coordinates: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -125,8 +149,9 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
     Labels are learned from the rows of ``fit_on`` (``docs`` unless given) that are labelled and not held out; a row with
     several labels counts as the largest, rows without a label, and ids without a row, are not learned from. Null and
-    empty texts have only the bias. Without any labelled row nothing is known and every score is 0. Columns of the added
-    names are replaced, all others stay.
+    empty texts have only the bias; texts of any length are scored whole; repeated rows are scored alike, and of those
+    that carry a label each is learned from. Without any labelled row nothing is known and every score is 0. Ids are of
+    any one type. Columns of the added names are replaced, all others stay; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     learn = labels.where(F.col(label_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(f"`{id_column}`").alias("doc_id")).agg(F.max(label_column).alias("label"))

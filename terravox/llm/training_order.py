@@ -1,8 +1,10 @@
 """Training-order materialisation of token ids.
 
 Documents, each closed by an end id, are laid one after the other and cut into sequences of a fixed number of 16- or
-32-bit ids; only the last sequence of an input partition is padded. All sequences are numbered without gaps by
-partition, and a keyed Feistel permutation with cycle-walking sends each number to its slot in training order. Ranges
+32-bit ids. Their order is that of a hash of id and content, in buckets of about BUCKET_BYTES whose number follows from
+the amount of content alone, so the same documents and key give the same shards however the input is partitioned; only
+the last sequence of a bucket is padded. All sequences are numbered without gaps by bucket, and a keyed Feistel
+permutation with cycle-walking sends each number to its slot in training order. Ranges
 of slots are written as shards of fixed-stride records, so that slot s lies at byte (s mod per_shard) * stride of shard
 s div per_shard: a reader starts, skips and resumes anywhere by a seek.
 """
@@ -19,17 +21,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from terravox.llm.words import give_back
-from terravox.plans.storage import bound_batches, cut
+from terravox.plans.storage import bound_batches, cut, discard
 
 #: Sequences in one packed row, and those that a task gathers before it hands them to shards.
 BLOCK, GATHERED = 64, 2048
-#: Partitions whose offsets are broadcast at most; beyond, they are joined.
+#: Bytes of content in one bucket, about.
+BUCKET_BYTES = 64 << 20
+#: Buckets whose offsets are broadcast at most; beyond, they are joined.
 BROADCAST_PARTS = 200_000
 ROUNDS = 6
 
@@ -76,8 +80,8 @@ _PACKED_SQL = "part long, first long, n long, tokens array<int>, docs array<arra
 
 
 def _packed(batches: Iterator[pa.RecordBatch], encode: Callable, length: int, end: int, pad: int, kind: str) -> Iterator[pa.RecordBatch]:
-    """The sequences of one input partition in blocks, with the documents in each."""
-    press, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+    """The sequences of buckets, which come one after the other, in blocks, with the documents in each."""
+    press, part = zstandard.ZstdCompressor(level=3), -1
     held: list[np.ndarray] = []  # ids of documents that no block has yet
     begins: list[tuple[int, int | None]] = []  # where each of their documents begins, and its id
     size, first = 0, 0
@@ -108,7 +112,11 @@ def _packed(batches: Iterator[pa.RecordBatch], encode: Callable, length: int, en
     for b in batches:
         ids, bounds = encode(b.column(1))
         ids = ids.astype(kind)
-        for doc_id, lo, hi in zip(b.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for doc_id, bucket, lo, hi in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if bucket != part:
+                if size and (out := block(True)) is not None:
+                    yield out
+                part, held, begins, size, first = bucket, [], [], 0, 0
             begins.append((size, doc_id))
             held += [ids[lo:hi], np.array([end], kind)]
             size += hi - lo + 1
@@ -186,14 +194,20 @@ def materialise(docs: DataFrame, folder: str, length: int, end: int, pad: int, k
 
     ``encode`` turns an Arrow array of the ids column into ids and bounds; by default the column holds lists of ids.
     ``folder`` is a URI that executors can write to (anything ``pyarrow.fs`` opens). Every document ends with the id
-    ``end``; null and empty documents are that id alone. Rows without an id stay (null in ``doc_ids``); repeated rows are
-    written as often as they occur. An empty table writes no shard. Other columns are ignored. Sequence numbers follow
-    the input's partitions and order, as they are when the packed sequences are written.
+    ``end``; null and empty documents are that id alone. Ids are whole numbers; rows without one stay (null in
+    ``doc_ids``). Repeated rows are written as often as they occur, one after the other. A document of any length goes on
+    over as many sequences as it takes. An empty table writes no shard. Other columns are ignored. Sequences, slots and
+    files are the same whatever the input's partitions and order: documents follow a hash of id and content (ties by id
+    and content) in buckets by that hash.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     chosen = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{ids_column}`").alias("ids"))
-    packed = cut(chosen.mapInArrow(lambda it: _packed(it, encode, length, end, pad, kind), _PACKED_SQL))
+    ids_are_text = not isinstance(docs.schema[ids_column].dataType, ArrayType)
+    amount = chosen.agg(F.sum(F.octet_length(F.col("ids").cast("string"))) if ids_are_text else F.sum(4 * F.greatest(F.size("ids"), F.lit(0)))).first()[0] or 0
+    placed = chosen.withColumn("key", F.xxhash64("doc_id", "ids")).withColumn("bucket", F.pmod("key", F.lit(amount // BUCKET_BYTES + 1)))
+    sorted_rows = placed.repartition("bucket").sortWithinPartitions("bucket", "key", "doc_id", "ids").select("doc_id", "ids", "bucket")
+    packed = cut(sorted_rows.mapInArrow(lambda it: _packed(it, encode, length, end, pad, kind), _PACKED_SQL))
     sums = packed.groupBy("part").agg(F.sum("n").alias("size"))
     sums = cut(sums.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     parts, total = sums.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -203,6 +217,7 @@ def materialise(docs: DataFrame, folder: str, length: int, end: int, pad: int, k
     files, base = pafs.FileSystem.from_uri(folder)
     files.create_dir(base, recursive=True)
     manifest = cut(handed.groupBy("shard").applyInArrow(lambda t: _shard(t, folder, length, kind, per_shard), _MANIFEST))
+    discard(packed, sums)
     with files.open_output_stream(f"{base}/meta.json") as out:
         out.write(json.dumps({"sequences": total, "length": length, "end": end, "pad": pad, "key": key, "kind": kind, "per_shard": per_shard}).encode())
     return manifest

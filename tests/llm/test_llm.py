@@ -4,7 +4,7 @@ import base64
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -399,7 +399,46 @@ def test_toxicity_held_out(spark):
     assert again == {r.doc_id: r.score for r in got}
 
 
+def test_ftrl_is_the_naive_one():
+    """The update rule written out, one coordinate at a time."""
+    rng = random.Random(3)
+    rows = [np.array(sorted(rng.sample(range(40), 8))) for _ in range(60)]
+    labels = np.array([float(3 in r or 7 in r) for r in rows])
+    s = toxicity.Settings(l1=0.3, epochs=2)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - (s.l1 if z[i] > 0 else -s.l1)) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for x, y in zip(rows, labels, strict=True):
+            w = {int(i): weight(int(i)) for i in x}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in w:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / s.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = toxicity.fit_ftrl(rows, labels, s)
+    assert np.allclose(got[:40], [weight(i) for i in range(40)]) and not got[40:].any()
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30) + (" vile words here" if i % 2 else "")) for i in range(80)]
+    labelled = spark.createDataFrame([(i, t, i % 2) for i, t in rows], "doc_id long, text string, label int")
+    sizes = {i: len(next(toxicity.text_features(pa.array([t])))) for i, t in rows}
+    order = [r.doc_id for r in labelled.orderBy(F.xxhash64("doc_id")).collect()]
+    whole = toxicity.fit(labelled)
+    few = toxicity.fit(labelled, max_coordinates=sum(sizes[i] for i in order[:20]))
+    want = toxicity.fit_ftrl([next(toxicity.text_features(pa.array([dict(rows)[i]]))) for i in order[:20]], np.array([float(i % 2) for i in order[:20]]))
+    assert dict(zip(*few, strict=True)) == {k: want[k] for k in np.flatnonzero(want)} != dict(zip(*whole, strict=True))
+    assert toxicity.fit(labelled, max_coordinates=1) is not None and toxicity.fit(labelled.limit(0)) is None
+
+
 def test_toxicity_edges(spark):
+    assert toxicity.with_toxicity(table(spark, []), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.with_toxicity(table(spark, ["a", None, ""]), none).collect()] == [0.0] * 3
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
@@ -437,6 +476,13 @@ def test_shards_are_minimax(spark, corpus, shards):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
+def test_shards_of_odd_rows(spark):
+    rows = sharding.shard_documents(table(spark, [(None, "a"), (None, "a"), (3, None), (3, ""), (3, "b"), (3, "b")]).withColumn("__h", F.lit("own")).withColumn("_shard", F.lit(1)), 2).collect()
+    assert len(rows) == 6 and all(r["__h"] == "own" and r._shard == 1 for r in rows)
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_shards_of_nothing(spark):
     assert sharding.shard_documents(table(spark, [])).count() == 0
 
@@ -444,16 +490,36 @@ def test_shards_of_nothing(spark):
 # 10: fingerprints
 
 
-def test_versions(spark, corpus):
+def brute_paragraphs(text):
+    """The paragraphs of a text, long ones in pieces of PARAGRAPH_WORDS words, with how often each occurs."""
+    out = Counter()
+    for line in re.split(rb"[\r\n]", text.encode()):
+        w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", line)]
+        for k in range(0, len(w), fingerprints.PARAGRAPH_WORDS):
+            some = w[k : k + fingerprints.PARAGRAPH_WORDS]
+            out[line[some[0][0] : some[-1][1]]] += 1
+    return out
+
+
+def brute_likeness(a, b):
+    a, b = brute_paragraphs(a), brute_paragraphs(b)
+    return 2 * (a & b).total() / (a.total() + b.total()) if a or b else 1.0
+
+
+@pytest.mark.parametrize("bucket_bytes", [400, 9000, 1 << 30])  # more ranges than rows in the first
+def test_versions(spark, corpus, bucket_bytes):
     texts = [t for t in corpus]
-    rows = fingerprints.version_fingerprints(table(spark, texts), bucket_bytes=9000).orderBy(F.desc("doc_id")).collect()
+    docs = table(spark, texts).withColumn("part", F.lit(1)).withColumn("kind", F.lit(2)).withColumn("h", F.lit(3))
+    rows = fingerprints.version_fingerprints(docs, bucket_bytes=bucket_bytes).orderBy(F.desc("doc_id")).collect()
     assert len(rows) == len(texts)
     plain = [t or "" for t in reversed(texts)]
     for k, r in enumerate(rows):
         t, after = plain[k], plain[(k + 1) % len(plain)]
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        assert (r.near_edited, r.near_next) == (brute_likeness(t, edited), brute_likeness(t, after))
+        cells = [bytes.fromhex(r.fingerprint)[k : k + 14] for k in range(0, 14 * fingerprints.CELLS, 14)]
+        assert sum(int.from_bytes(c[:2]) for c in cells) == 3 * brute_paragraphs(t).total()
     by_text = defaultdict(set)
     for t, r in zip(plain, rows, strict=True):
         by_text[t].add(r.fingerprint)
@@ -463,6 +529,10 @@ def test_versions(spark, corpus):
     assert fingerprints.version_fingerprints(table(spark, [])).count() == 0
     one = fingerprints.version_fingerprints(table(spark, ["abc. def."])).first()
     assert one.near_next == 1.0
+    rows = fingerprints.version_fingerprints(table(spark, [(None, "a"), (5, "b"), (5, "b"), (5, "c"), (None, None)]), bucket_bytes=1).collect()
+    assert sorted((r.doc_id is None, r.n_chars) for r in rows) == [(False, 1)] * 3 + [(True, 0), (True, 1)]
+    with_own = fingerprints.fingerprints(table(spark, ["x\ny", None, "x\ny"]).withColumn("fingerprint", F.lit(0))).collect()
+    assert with_own[0].fingerprint == with_own[2].fingerprint != with_own[1].fingerprint == "0" * 28 * fingerprints.CELLS
 
 
 def test_peeling_recovers_the_differences():
@@ -560,6 +630,7 @@ def test_permutation(n):
 
 def test_shards_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(training_order, "BLOCK", 4)
+    monkeypatch.setattr(training_order, "BUCKET_BYTES", 20_000)
     rng = random.Random(6)
     docs = [(i, [rng.randrange(50_000) for _ in range(rng.choice([0, 3, 15, 16, 17, 60, 300]))]) for i in range(200)] + [(None, [1, 2]), (7, None), (7, None)]
     df = spark.createDataFrame(docs, "doc_id long, ids array<int>").withColumn("slot", F.lit("clash")).coalesce(2)
@@ -569,7 +640,7 @@ def test_shards_round_trip(spark, tmp_path, monkeypatch):
     records = training_order.read_slots(folder, 0, 10**9)
     assert len(records) == len(m) and (training_order.read_slots(folder, 70, 5) == records[70:75]).all()
     assert all((r.shard, r.record) == divmod(r.slot, 64) for r in m)
-    assert sum(r.n_tokens < 16 for r in m) <= 2  # one padded sequence for each input partition
+    assert 1 < sum(r.n_tokens < 16 for r in m) <= 1 + sum(4 * len(x or []) for _, x in docs) // 20_000  # one padded sequence for each bucket
     assert all((records[r.slot][r.n_tokens :] == 50257).all() for r in m)
     stream = [t for r in m for t in records[r.slot][: r.n_tokens].tolist()]
     got = "/".join(map(str, stream)).split("/50256")
@@ -580,12 +651,14 @@ def test_shards_round_trip(spark, tmp_path, monkeypatch):
         for i in ids:
             holders[i] += 1
     assert set(holders) == {i for i, _ in docs}
-    at = 0
-    order = [r for r in df.collect()]
-    for i, ids in ((r.doc_id, r["ids"] or []) for r in order[: len(order) // 4]):  # the first documents, in order
-        for k in range(at // 16, (at + len(ids)) // 16 + 1):
-            assert i in m[k].doc_ids
-        at += len(ids) + 1
+    other = f"file://{tmp_path}/other"  # the same documents otherwise partitioned
+    again = sorted(training_order.materialise(df.repartition(7, "ids"), other, length=16, end=50256, pad=50257, key=9, per_shard=64).collect(), key=lambda r: r.sequence)
+    assert [r.asDict() for r in again] == [r.asDict() for r in m]
+    assert (training_order.read_slots(other, 0, 10**9) == records).all()
+    texts = table(spark, [(i, "/".join(map(str, x or []))) for i, x in docs])
+    encode = lambda t: training_order.listed(pa.array([[int(v) for v in (x or "").split("/") if v] for x in t.to_pylist()], pa.list_(pa.int64())))
+    of_texts = training_order.materialise(texts, f"file://{tmp_path}/texts", length=16, end=50256, pad=50257, key=9, per_shard=64, ids_column="text", encode=encode)
+    assert of_texts.agg(F.sum("n_tokens")).first()[0] == len(stream)
     digests = {r.slot: r.record_sha256 for r in training_order.record_digests(spark, folder, 16, "<u2", 64).collect()}
     assert digests == {k: hashlib.sha256(r.tobytes()).hexdigest() for k, r in enumerate(records)}
     assert training_order.materialise(df.limit(0), f"file://{tmp_path}/none", 16, 0, 0).count() == 0
