@@ -3,8 +3,10 @@
 The DOMs of one host are merged by element path. For every path the tree knows how varied its presentation is over the
 host's pages (the entropy of the sequences of child elements) and how varied its content (how evenly the same text
 features occur on all pages); branches that look and read alike on many pages are of low importance and are cut from
-each page. What a page's own markup says (menus, headers, footers, scripts, forms, hidden or commented parts, class
-names of adverts and notices) is cut as well, and where a page marks its article, only that is kept.
+each page. What a page's own markup says beyond doubt (menus, headers, footers, scripts, forms, hidden parts, class names
+of adverts and comments) is cut as well, and where a page marks its article, only that is kept. Class names that may mean
+anything (notice, share, related, ...) decide alone only outside the article; inside it such a branch goes only if the
+tree says that it is repeated, though less evenly than others have to be.
 
 Copies of a page (same text by their own markup, on the same host) count as one page of the tree together, or an
 article that a host shows under many addresses would look like its furniture.
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import give_back
+from terravox.llm.words import free_name, give_back
 from terravox.plans.storage import bound_batches, cut
 
 #: Pages a host must have of a path before its importance counts, and the importance below which the branch goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
+#: The same for a branch inside the article whose class name may mean furniture.
+LIKELY_IMPORTANCE = 0.5
 #: Characters of a path; of a longer one the parent's part is a hash.
 PATH_CHARS = 1_000
 #: Weight of an element's own presentation against its content.
@@ -39,11 +43,14 @@ PRESENTATION = 0.1
 BROADCAST_PATHS = 200_000
 
 # Names in HTML and in the usual class names.
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea select title noembed noframes".split())
+RAW = frozenset("script style noscript template iframe svg object canvas audio video textarea select title noembed noframes annotation annotation-xml".split())
 NOISE_TAGS = frozenset("nav footer aside form button dialog menu head datalist label input option fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup comment comments disqus reply replies respond sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social related recommended recommendations login search pagination pager copyright disclaimer toolbar alert skip".split())
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle comment comments disqus reply replies respond cookie cookies consent gdpr newsletter popup modal nav navbar breadcrumb breadcrumbs pagination pager sidebar".split())
+LIKELY_WORDS = SURE_WORDS | frozenset("sponsor sponsored promo promotion banner notice notices overlay subscribe subscription signup widget widgets menu navigation footer masthead topbar share sharing social related recommended recommendations login search copyright disclaimer toolbar alert skip".split())
+#: Words beside them in a class name that leave its meaning alone.
+NEUTRAL_WORDS = frozenset("box bar block container wrapper wrap section area list item items link links button buttons form panel row col inner outer top bottom left right global site page header slot unit posts articles stories icon icons".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: An open element of the first kind ends where one of the second begins.
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "option": frozenset({"option", "optgroup"}), "head": frozenset({"body"})}
@@ -51,7 +58,12 @@ CLOSED_BY = {"p": BLOCKS - {"br"}, "li": frozenset({"li"}), "dt": frozenset({"dt
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"[\s ]+")
-_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PLAIN = HEADINGS | frozenset("p blockquote pre li".split())
+#: Numbers in class names and ids that name one page, not a place in all of them.
+_NUMBER = re.compile(r"[0-9]{3,}|(?<=[-_])[0-9]+$")
+#: Before a path whose branch goes only where its class name may mean furniture.
+_WEAK = "~"
 
 
 class Block(NamedTuple):
@@ -59,6 +71,7 @@ class Block(NamedTuple):
     paths: tuple[str, ...]  #: of the elements around it, outermost first
     noise: bool  #: the page's own markup says so
     main: bool  #: inside the page's article
+    likely: tuple[str, ...]  #: those of the paths whose class names may mean furniture
 
 
 class Element(NamedTuple):
@@ -67,6 +80,7 @@ class Element(NamedTuple):
     noise: bool
     main: bool
     marked: bool  #: has a class or an id, or isn't a plain text element
+    likely: bool  #: its class name may mean furniture
     children: list
 
 
@@ -78,9 +92,18 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t\r") else {}
 
 
+def _names(tokens: list[str], words: frozenset[str]) -> bool:
+    """Whether one of the class names or ids is made of these words and neutral ones alone."""
+    for token in tokens:
+        parts = set(re.split(r"[^a-z]+", token)) - {""}
+        if parts & words and parts <= words | NEUTRAL_WORDS:
+            return True
+    return False
+
+
 def parse(page: str) -> tuple[list[Block], list[Element]]:
     """The text blocks of a page in order, and all its elements with the sequence of their children."""
-    root = Element("", "", False, False, False, [])
+    root = Element("", "", False, False, False, False, [])
     stack, elements, blocks, held = [root], [], [], []
     open_tags: Counter = Counter()
 
@@ -94,7 +117,7 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         held.clear()
         if text:
             top = stack[-1]
-            blocks.append(Block(text, tuple(e.path for e in stack[1:]), top.noise, top.main))
+            blocks.append(Block(text, tuple(e.path for e in stack[1:]), top.noise, top.main, tuple(e.path for e in stack[1:] if e.likely)))
 
     at, n = 0, len(page)
     while at < n:
@@ -125,13 +148,16 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
                 at = n if end is None else page.find(">", end.start()) + 1 or n
                 continue
             a = _attributes(m[2])
-            words = set(re.split(r"[^a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower())) - {""}
+            tokens = a.get("class", "").lower().split() + ([] if tag in HEADINGS else a.get("id", "").lower().split())
+            words = {w for token in tokens for w in re.split(r"[^a-z]+", token)} - {""}
             up = stack[-1]
             hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
             starts_main = tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"
-            noise = up.noise or tag in NOISE_TAGS or hidden or a.get("role") in NOISE_ROLES or (tag not in ("html", "body", "article", "main") and bool(words & NOISE_WORDS)) or (tag == "article" and bool(words & {"comment", "comments", "reply"})) or (tag == "header" and not up.main)
-            mark = ".".join(sorted(words))
-            e = Element(tag, f"{up.path if len(up.path) <= PATH_CHARS else _digest(up.path)}/{tag}{'.' + mark if mark else ''}", noise, up.main or (starts_main and not noise), bool(mark) or tag not in _PLAIN, [])
+            named = tag not in ("html", "body", "article", "main")
+            likely = named and _names(tokens, LIKELY_WORDS)
+            noise = up.noise or tag in NOISE_TAGS or hidden or a.get("role") in NOISE_ROLES or (named and _names(tokens, SURE_WORDS)) or (likely and not up.main) or (tag == "article" and bool(words & {"comment", "comments", "reply"})) or (tag == "header" and not up.main)
+            mark = ".".join(sorted({_NUMBER.sub("", t) for t in tokens} - {""}))
+            e = Element(tag, f"{up.path if len(up.path) <= PATH_CHARS else _digest(up.path)}/{tag}{'.' + mark if mark else ''}", noise, up.main or (starts_main and not noise), bool(mark) or tag not in _PLAIN, likely, [])
             up.children.append(e.path)
             stack.append(e)
             open_tags[tag] += 1
@@ -153,20 +179,21 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
 
 
 def page_text(page: str, low: frozenset[str] = frozenset()) -> str:
-    """The main text of a page whose host has paths ``low`` of low importance."""
+    """The main text of a page whose host has paths ``low`` of low importance; those that begin with ``~`` are low enough
+    only for branches inside the article whose class names may mean furniture."""
     blocks, elements = parse(page)
     kept = [b for b in blocks if not b.noise]
     marked = {e.path for e in elements if e.marked}
     if any(b.main for b in kept):
         kept = [b for b in kept if b.main]
     if low:
-        kept = [b for b in kept if not any(p in low and (p in marked or not b.main) for p in b.paths if not p.endswith(("/html", "/body", "/article", "/main")))]
+        kept = [b for b in kept if not any(p in low and (p in marked or not b.main) for p in b.paths if not p.endswith(("/html", "/body", "/article", "/main"))) and not any(_WEAK + p in low for p in b.likely)]
     return "\n".join(b.text for b in kept)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, value, weight): each page's presentations (kind 0) and content features (kind 1), once each, and
-    the path itself (kind 2), with the page's weight."""
+    """(host, path, kind, value, weight): each page's presentations (kind 0) and content features (kind 1), once each, the
+    path itself (kind 2), and (kind 3) that its class name may mean furniture, with the page's weight."""
     for b in batches:
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for host, page, weight in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -174,6 +201,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = {(e.path, 0, _digest("|".join(e.children))) for e in elements}
             seen |= {(e.path, 2, "") for e in elements}
             seen |= {(p, 1, x.text) for x in blocks for p in x.paths}
+            seen |= {(e.path, 3, "") for e in elements if e.likely and not e.noise}
             for path, kind, value in seen:
                 out[0].append(host)
                 out[1].append(path)
@@ -206,8 +234,9 @@ def _weighted(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, importance) of pages (host, html), of which copies count as one: 0.1 of the presentation's entropy and 0.9 of one less the
-    mean evenness of the content features, both to the base of the number of pages."""
+    """(host, path, n_pages, likely, importance) of pages (host, html), of which copies count as one: 0.1 of the
+    presentation's entropy and 0.9 of one less the mean evenness of the content features, both to the base of the number
+    of pages; ``likely`` where a class name may mean furniture. Pages without a host have no tree."""
     features = _weighted(pages.where("host is not null").select("host", "html")).mapInArrow(_features, "host string, path string, kind int, value string, weight double")
     counts = features.groupBy("host", "path", "kind", F.xxhash64("value").alias("v")).agg(F.round(F.sum("weight"), 6).alias("n"))
     log = F.log("n")
@@ -216,11 +245,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == 0, F.col("n") * log)).alias("looks"),
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("all_looks"),
         F.avg(F.when(F.col("kind") == 1, F.greatest(log, F.lit(0.0)))).alias("evenness"),
+        F.coalesce(F.max(F.col("kind") == 3), F.lit(False)).alias("likely"),
     )
     m = F.log(F.col("n_pages").cast("double"))
     presentation = F.log(F.col("all_looks").cast("double")) - F.col("looks") / F.col("all_looks")
     importance = F.when(F.col("n_pages") > 1, (PRESENTATION * presentation + (1 - PRESENTATION) * (m - F.coalesce("evenness", m))) / m).otherwise(1.0)
-    return sums.select("host", "path", "n_pages", importance.alias("importance"))
+    return sums.select("host", "path", "n_pages", "likely", importance.alias("importance"))
 
 
 def _texts(pages: pa.Array, low: pa.Array) -> pa.Array:
@@ -239,14 +269,21 @@ def main_text(pages: DataFrame, url_column: str = "url", html_column: str = "htm
     """``pages`` with ``text``: the blocks of the main text joined by one line break; the html column goes.
 
     Null and empty html, and pages without main text, give the empty text. Pages without a host are read by their own
-    markup alone. A text column that is there already is replaced, all other columns stay; repeated rows count as
-    one page of their host and get the same text; an empty table gives no rows.
+    markup alone. A text column that is there already is replaced, all other columns stay, whatever their names;
+    repeated rows count as one page of their host and get the same text; a page of any length or depth is read whole; an
+    empty table gives no rows.
     """
     bound_batches(pages.sparkSession)
     names = [c for c in pages.columns if c not in ("text", html_column)]
-    keyed = pages.withColumn("__host", host_of(F.col(f"`{url_column}`"))).withColumn("__html", F.col(f"`{html_column}`").cast("string"))
-    tree = style_tree(keyed.select(F.col("__host").alias("host"), F.col("__html").alias("html")))
-    low = cut(tree.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_list("path")).alias("__low")))
-    size = low.agg(F.sum(F.size("__low"))).first()[0] or 0
-    joined = keyed.join(F.broadcast(low) if size <= BROADCAST_PATHS else low, "__host", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], F.arrow_udf(_texts, "string")("__html", "__low").alias("text"))
+    own = free_name(pages.columns, "_tree")
+    host, source, low_paths = f"{own}_host", f"{own}_html", f"{own}_low"
+    keyed = pages.withColumn(host, host_of(F.col(f"`{url_column}`"))).withColumn(source, F.col(f"`{html_column}`").cast("string"))
+    tree = style_tree(keyed.select(F.col(host).alias("host"), F.col(source).alias("html")))
+    least = F.when(F.col("likely"), LIKELY_IMPORTANCE).otherwise(LEAST_IMPORTANCE)
+    found = tree.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < least))
+    path = F.when(F.col("importance") < LEAST_IMPORTANCE, F.col("path")).otherwise(F.concat(F.lit(_WEAK), F.col("path")))
+    also = F.when(F.col("likely") & (F.col("importance") < LEAST_IMPORTANCE), F.array(path, F.concat(F.lit(_WEAK), F.col("path")))).otherwise(F.array(path))
+    low = cut(found.select(F.col("host").alias(host), F.explode(also).alias("path")).groupBy(host).agg(F.sort_array(F.collect_list("path")).alias(low_paths)))
+    size = low.agg(F.sum(F.size(low_paths))).first()[0] or 0
+    joined = keyed.join(F.broadcast(low) if size <= BROADCAST_PATHS else low, host, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], F.arrow_udf(_texts, "string")(source, low_paths).alias("text"))

@@ -567,6 +567,87 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_class_names_inside_an_article_need_the_tree(spark):
+    names = ["share-price", "search-results", "notice", "related-work", "banner-image", "sponsor"]
+    rng = random.Random(12)
+    inside = lambda n: f"<div class='{n}'>{prose(rng, 9)}</div>"
+    page = "<article><p>a</p>" + "".join(inside(n) for n in names) + "<div class='ad'>buy</div><ul class='comment-list'><li>x</li></ul><h2 id='comments'>h</h2><math><mi>y</mi></math></article>"
+    text = html_text.page_text(page)
+    assert len(text.split("\n")) == 9 and "buy" not in text and "x" not in text.split("\n") and text.endswith("h\ny")
+    assert html_text.page_text("<div class='share-buttons'>s</div><div class='share-price'>9</div><div class='notice'>n</div><p>a</p>") == "9\na"
+    rows = [(i, f"http://a.example/{i}", f"<article><p>{prose(rng, 20)}</p><div class='notice'>seen by {i % 4}</div><div class='share-price'>at {i}</div></article>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_tree", F.lit(1)).withColumn("__host", F.lit("own"))
+    got = html_text.main_text(df)
+    assert {"_tree", "__host"} <= set(got.columns)
+    for r in got.collect():  # the notice is repeated unevenly, the other branch isn't repeated
+        assert r["__host"] == "own" and "seen by" not in r.text and f"at {r.page_id}" in r.text
+
+
+def brute_tree(pages):
+    """Importance of every path of one host's pages, none a copy of another, by the formulas."""
+    looks, features, having = defaultdict(Counter), defaultdict(Counter), Counter()
+    for html in pages:
+        blocks, elements = html_text.parse(html)
+        for path, children in {(e.path, tuple(e.children)) for e in elements}:
+            looks[path][children] += 1
+        for path, value in {(p, b.text) for b in blocks for p in b.paths}:
+            features[path][value] += 1
+        having.update({e.path for e in elements})
+    out = {}
+    for path, m in having.items():
+        if m == 1:
+            out[path] = (1, 1.0)
+            continue
+        total = looks[path].total()
+        entropy = -sum(n / total * np.log(n / total) for n in looks[path].values())
+        even = np.mean([np.log(n) for n in features[path].values()]) if features[path] else np.log(m)
+        out[path] = (m, (0.1 * entropy + 0.9 * (np.log(m) - even)) / np.log(m))
+    return out
+
+
+def test_importance_is_brute_force(spark):
+    rng = random.Random(13)
+    pages = [f"<body><div class='x'>{rng.choice(WORDS[:4])}</div><ul>{'<li>same</li>' * rng.randrange(1, 4)}</ul><div id='t'><p>{prose(rng, 12)}</p>{'<b>z</b>' * (i % 3)}</div></body>" for i in range(25)]
+    df = spark.createDataFrame([("h", p) for p in pages] + [("one", pages[0]), (None, pages[1])], "host string, html string")
+    got = {(r.host, r.path): (r.n_pages, r.importance) for r in html_text.style_tree(df).collect()}
+    for host, some in (("h", pages), ("one", pages[:1])):
+        want = brute_tree(some)
+        assert {p for h, p in got if h == host} == set(want)
+        for path, (n, importance) in want.items():
+            assert got[host, path][0] == n and got[host, path][1] == pytest.approx(importance)
+
+
+def planted_pages(rng, hosts=6, pages=25):
+    """Pages whose furniture no tag or class name gives away: (page_id, url, html), main text and planted furniture."""
+    rows = []
+    for h in range(hosts):
+        fixed = {k: prose(rng, 8) for k in "abcd"}
+        for i in range(pages):
+            body = [prose(rng, rng.randrange(8, 30)) for _ in range(rng.randrange(2, 5))]
+            main = "".join(f"<p>{p}</p>" for p in body)
+            top, end = f"<div class='c1'><a href='/'>{fixed['a']}</a> <span>{fixed['b']}</span></div>", f"<div class='c9'>{fixed['c']} {h}</div>"
+            inside = f"<div class='c5'>{fixed['d']}</div>"
+            page = f"<html><body>{top}<div class='c2'>{main}{inside}</div>{end}</body></html>" if h % 2 else f"<html><body>{top}<article>{main}{inside}</article>{end}</body></html>"
+            rows.append(((len(rows), f"https://h{h}.example/{i}", page), [" ".join(p.split()) for p in body], [" ".join(x.split()) for x in fixed.values()]))
+    return rows
+
+
+def test_the_tree_finds_unmarked_furniture(spark):
+    """With the tree against without: furniture that only repetition shows."""
+    rows = planted_pages(random.Random(14))
+    df = spark.createDataFrame([r for r, _, _ in rows], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    kept = cut = left = plain_left = changed = 0
+    for (i, _, page), body, furniture in rows:
+        alone = html_text.page_text(page)
+        kept += sum(p in texts[i].split("\n") for p in body)
+        cut += len(body)
+        left += sum(f in texts[i] for f in furniture)
+        plain_left += sum(f in alone for f in furniture)
+        changed += alone != texts[i]
+    assert kept == cut and left == 0 and plain_left >= 2 * len(rows) and changed == len(rows)
+
+
 def test_deep_pages_and_many_children():
     deep = "<div>" * 700
     page = f"<article><p>first</p>{deep}<nav>menu</nav><p hidden>gone</p><p>inner</p>{'</div>' * 700}<p>last</p></article><p>outside</p>"
