@@ -49,6 +49,7 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SURE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle comment comments disqus reply replies respond cookie cookies consent gdpr newsletter popup modal nav navbar breadcrumb breadcrumbs pagination pager sidebar".split())
 LIKELY_WORDS = SURE_WORDS | frozenset("sponsor sponsored promo promotion banner notice notices overlay subscribe subscription signup widget widgets menu navigation footer masthead topbar share sharing social related recommended recommendations login search copyright disclaimer toolbar alert skip".split())
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
 #: Words beside them in a class name that leave its meaning alone.
 NEUTRAL_WORDS = frozenset("box bar block container wrapper wrap section area list item items link links button buttons form panel row col inner outer top bottom left right global site page header slot unit posts articles stories icon icons".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -57,7 +58,8 @@ CLOSED_BY = {"p": BLOCKS - {"br"}, "li": frozenset({"li"}), "dt": frozenset({"dt
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_SPACE = re.compile(r"[\s ]+")
+#: Attributes without one of these names (id is in hidden) say nothing here.
+_TELLING = re.compile(r"class|id|role|style|itemprop", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PLAIN = HEADINGS | frozenset("p blockquote pre li".split())
 #: Numbers in class names and ids that name one page, not a place in all of them.
@@ -113,7 +115,10 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         del stack[k:]
 
     def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
+        if not held:
+            return
+        text = "".join(held)
+        text = " ".join((html.unescape(text) if "&" in text else text).split())
         held.clear()
         if text:
             top = stack[-1]
@@ -147,17 +152,21 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
                 end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(page, at)
                 at = n if end is None else page.find(">", end.start()) + 1 or n
                 continue
-            a = _attributes(m[2])
-            tokens = a.get("class", "").lower().split() + ([] if tag in HEADINGS else a.get("id", "").lower().split())
-            words = {w for token in tokens for w in re.split(r"[^a-z]+", token)} - {""}
             up = stack[-1]
-            hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-            starts_main = tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"
-            named = tag not in ("html", "body", "article", "main")
-            likely = named and _names(tokens, LIKELY_WORDS)
-            noise = up.noise or tag in NOISE_TAGS or hidden or a.get("role") in NOISE_ROLES or (named and _names(tokens, SURE_WORDS)) or (likely and not up.main) or (tag == "article" and bool(words & {"comment", "comments", "reply"})) or (tag == "header" and not up.main)
-            mark = ".".join(sorted({_NUMBER.sub("", t) for t in tokens} - {""}))
-            e = Element(tag, f"{up.path if len(up.path) <= PATH_CHARS else _digest(up.path)}/{tag}{'.' + mark if mark else ''}", noise, up.main or (starts_main and not noise), bool(mark) or tag not in _PLAIN, likely, [])
+            base = up.path if len(up.path) <= PATH_CHARS else _digest(up.path)
+            if m[2] and _TELLING.search(m[2]):
+                a = _attributes(m[2])
+                tokens = a.get("class", "").lower().split() + ([] if tag in HEADINGS else a.get("id", "").lower().split())
+                hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+                named = tokens and tag not in ("html", "body", "article", "main")
+                likely = bool(named) and _names(tokens, LIKELY_WORDS)
+                noise = up.noise or tag in NOISE_TAGS or hidden or a.get("role") in NOISE_ROLES or (likely and not up.main) or (likely and _names(tokens, SURE_WORDS)) or (tag == "article" and _names(tokens, COMMENT_WORDS)) or (tag == "header" and not up.main)
+                starts_main = tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"
+                mark = ".".join(sorted({_NUMBER.sub("", t) for t in tokens} - {""}))
+                e = Element(tag, f"{base}/{tag}{'.' + mark if mark else ''}", noise, up.main or (starts_main and not noise), bool(mark) or tag not in _PLAIN, likely, [])
+            else:
+                noise = up.noise or tag in NOISE_TAGS or (tag == "header" and not up.main)
+                e = Element(tag, f"{base}/{tag}", noise, up.main or (not noise and tag in ("article", "main")), tag not in _PLAIN, False, [])
             up.children.append(e.path)
             stack.append(e)
             open_tags[tag] += 1
