@@ -231,16 +231,22 @@ def color_clamp(s, d):
     return E(s, d).select("id", *[c.alias(k) for c, k in zip(m, "rgb", strict=True)])
 
 
-@query(f"WITH {E_SQL}, g AS (SELECT id, CAST(label * 25 AS DOUBLE) AS v FROM e) SELECT id, CAST(0 AS SMALLINT) AS r, CAST(trunc(CASE WHEN v * 0.299 + v * 0.587 + v * 0.114 < 128 THEN v * 0.299 + v * 0.587 + v * 0.114 + 127 ELSE v * 0.299 + v * 0.587 + v * 0.114 - 127 END) AS SMALLINT) AS g, CAST(0 AS SMALLINT) AS b FROM g")
+LUMA_SQL = "g AS (SELECT id, z, label * 25 * 0.299::DOUBLE + label * 28 * 0.587::DOUBLE + label * 20 * 0.114::DOUBLE AS v FROM e)"
+
+
+def _luma() -> F.Column:
+    label = F.col("label")
+    return colors.luma((label * 25).cast("double"), (label * 28).cast("double"), (label * 20).cast("double"))
+
+
+@query(f"WITH {E_SQL}, {LUMA_SQL} SELECT id, CAST(CASE WHEN v < 127.5 THEN 0 ELSE floor(v - 127.5) END AS SMALLINT) AS r, CAST(CASE WHEN v < 127.5 THEN floor(v + 127.5) ELSE 255 END AS SMALLINT) AS g, CAST(CASE WHEN v < 127.5 THEN 0 ELSE floor(v - 127.5) END AS SMALLINT) AS b FROM g")
 def highlight_colour(s, d):
-    v = F.col("label") * 25
-    c = colors.highlight(colors.luma(v, v, v))
-    return E(s, d).select("id", *[x.alias(k) for x, k in zip(c, "rgb", strict=True)])
+    return E(s, d).select("id", *[x.alias(k) for x, k in zip(colors.highlight(_luma()), "rgb", strict=True)])
 
 
-@query(f"WITH {E_SQL} SELECT id, CASE WHEN label < 2.5 THEN 'green' WHEN label < 3.5 THEN 'yellow' WHEN label < 4.5 THEN 'orange' WHEN label < 5.5 THEN 'red' ELSE 'violet' END AS colour FROM e")
+@query(f"WITH {E_SQL} SELECT id, CASE WHEN label < 2.5 THEN 1.0 WHEN label < 3.5 THEN 1.0 WHEN label < 4.5 THEN 0.5 ELSE 0.0 END::DOUBLE AS r, CASE WHEN label < 2.5 THEN 0.0 WHEN label < 3.5 THEN 0.5 ELSE 1.0 END::DOUBLE AS g, 0.0::DOUBLE AS b FROM e")
 def damage_colour(s, d):
-    return E(s, d).select("id", colors.category_colour(F.col("label")).alias("colour"))
+    return E(s, d).select("id", *[c.alias(k) for c, k in zip(colors.category_colour(F.col("label")), "rgb", strict=True)])
 
 
 @query(f"WITH {E_SQL} SELECT id, round(x * 0.6 + y * 0.0 + z * 0.8 - 0.05, 6) AS distance, round((x * 0.6 + y * 0.0 + z * 0.8 - 0.05) / 2 + 0.5, 6) AS attribute FROM e")
@@ -262,6 +268,12 @@ def sun_vector(s, d):
     return s.read.parquet(f"{d}/nation.parquet").select(n.alias("id"), *[c.alias(k) for c, k in zip(v, "xyz", strict=True)])
 
 
+@query("SELECT n_nationkey AS id, round((SELECT sum(n_nationkey * 0.1 / 100 / sqrt(0.3 * power(1 + i * (n_nationkey * 0.1 / 100), 3) + 0.7)) FROM range(100) t(i)) * 300000.0 / 71.0, 6) AS distance FROM nation")
+def scaled_distance(s, d):
+    n = F.col("n_nationkey")
+    return s.read.parquet(f"{d}/nation.parquet").select(n.alias("id"), vectors.scaled_distance(n * 0.1).alias("distance"))
+
+
 # Extents
 
 
@@ -285,26 +297,27 @@ def recommended_offset(s, d):
 
 # Sets of points
 
-J_SQL = "j AS (SELECT id, x + 0.001 AS x, y, z FROM e WHERE id % 3 = 0)"
+# The second cloud is moved further than the tolerance, so that a point isn't its own match.
+J_SQL = "j AS (SELECT id, x + 0.03 AS x, y, z FROM e)"
 
 
-def _jittered(s, d) -> DataFrame:
-    return E(s, d).where("id % 3 = 0").select("id", (F.col("x") + 0.001).alias("x"), "y", "z")
+def _moved(s, d) -> DataFrame:
+    return E(s, d).select("id", (F.col("x") + 0.03).alias("x"), "y", "z")
 
 
 @query(f"WITH {E_SQL}, {J_SQL} SELECT id FROM e a WHERE NOT EXISTS (SELECT 1 FROM j b WHERE {D2_SQL} < 0.02 * 0.02)")
 def eps_subtract(s, d):
-    return spatial.eps_subtract(E(s, d), _jittered(s, d), 0.02).select("id")
+    return spatial.eps_subtract(E(s, d), _moved(s, d), 0.02).select("id")
 
 
 @query(f"WITH {E_SQL}, {J_SQL} SELECT id FROM e a WHERE EXISTS (SELECT 1 FROM j b WHERE {D2_SQL} < 0.02 * 0.02)")
 def eps_match(s, d):
-    return spatial.eps_match(E(s, d), _jittered(s, d), 0.02).select("id")
+    return spatial.eps_match(E(s, d), _moved(s, d), 0.02).select("id")
 
 
 @query(f"WITH {E_SQL}, {J_SQL}, c AS (SELECT (SELECT count(*) FROM e a WHERE EXISTS (SELECT 1 FROM j b WHERE {D2_SQL} < 0.02 * 0.02)) AS ab, (SELECT count(*) FROM j a WHERE EXISTS (SELECT 1 FROM e b WHERE {D2_SQL} < 0.02 * 0.02)) AS ba, (SELECT count(*) FROM e) AS na, (SELECT count(*) FROM j) AS nb) SELECT *, round(100.0 * (ab + ba) / (na + nb), 6) AS percent FROM c")
 def similarity_pct(s, d):
-    return spatial.similarity(E(s, d), _jittered(s, d), 0.02)
+    return spatial.similarity(E(s, d), _moved(s, d), 0.02)
 
 
 @query(f"WITH {E_SQL}, {V_SQL} SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(0 AS INTEGER) AS dataset_id FROM e UNION ALL SELECT id, round(x, 6), round(y, 6), round(z, 6), 1 FROM v")
@@ -312,10 +325,10 @@ def union_clouds(s, d):
     return points.union_clouds(E(s, d).drop("label"), V(s, d))
 
 
-@query(f"WITH {L_SQL}, u AS (SELECT DISTINCT x, y, z FROM l WHERE x = 10) SELECT count(*) AS n FROM l JOIN u USING (x, y, z)")
+@query(f"WITH {L_SQL}, u AS (SELECT DISTINCT x, y, z FROM l) SELECT count(*) AS n FROM l JOIN u USING (x, y, z)")
 def position_join(s, d):
     c = L(s, d)
-    return spatial.position_join(c, c.where("x = 10").select("x", "y", "z").distinct()).agg(F.count("*").alias("n"))
+    return spatial.position_join(c, c.select("x", "y", "z").distinct()).agg(F.count("*").alias("n"))
 
 
 # Covariances, normals, features
@@ -350,11 +363,29 @@ def eigen_invariants(s, d):
     return f.select("qid", (F.col("l0") + F.col("l1") + F.col("l2")).alias("trace"), (F.col("l0") * F.col("l1") * F.col("l2") * 1000000).alias("determinant"))
 
 
-@query()
+#: Eigenvalues (largest first) of the covariances a, b, c (diagonal), f, g, h (xy, xz, yz) of m, by the trigonometric formula.
+EIGEN_SQL = """k AS (SELECT *, (a + b + c) / 3 AS q, sqrt((power(a - (a + b + c) / 3, 2) + power(b - (a + b + c) / 3, 2) + power(c - (a + b + c) / 3, 2) + 2 * (f * f + g * g + h * h)) / 6) AS w FROM m),
+t AS (SELECT *, CASE WHEN w = 0 THEN 0 ELSE acos(greatest(-1.0, least(1.0, ((a - q) * ((b - q) * (c - q) - h * h) - f * (f * (c - q) - h * g) + g * (f * h - (b - q) * g)) / (2 * w * w * w)))) / 3 END AS phi FROM k),
+v AS (SELECT *, q + 2 * w * cos(phi) AS l0, q + 2 * w * cos(phi + 2 * pi() / 3) AS l2 FROM t), ev AS (SELECT *, 3 * q - l0 - l2 AS l1 FROM v)"""
+
+
+@query(f"WITH {E_SQL}, m AS (SELECT label, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS f, covar_pop(x, z) AS g, covar_pop(y, z) AS h FROM e GROUP BY label), {EIGEN_SQL} SELECT label, round(l0, 6) AS l0, round(l1, 6) AS l1, round(l2, 6) AS l2, round((l0 - l2) / l0, 6) AS surfacity, round((l0 - l1) / l0, 6) AS curvacity, round(l1 / l0 * (l2 / l0), 6) AS pointicity FROM ev")
 def eigen_features(s, d):
     return neighborhood.eigen_features(neighborhood.covariance(E(s, d), "label"), "label")
 
 
+@query(f"WITH {E_SQL}, {PAIRS_SQL}, m AS (SELECT qid, count(*) AS n, sqrt(min(d2) FILTER (d2 > 0)) AS closest, var_pop(px) AS a, var_pop(py) AS b, var_pop(pz) AS c, covar_pop(px, py) AS f, covar_pop(px, pz) AS g, covar_pop(py, pz) AS h FROM p WHERE d2 <= 0.15 * 0.15 GROUP BY qid), {EIGEN_SQL} SELECT qid, n, round(CASE WHEN n < 3 THEN 0 ELSE closest END, 6) AS length, round(CASE WHEN n < 3 THEN 0 ELSE abs(l2) * 1000 END, 6) AS spread FROM ev")
+def normal_invariants(s, d):
+    """Length of each normal, and the variance along it, which no other direction undercuts; its sign doesn't matter."""
+    near = spatial.radius_join(E(s, d), E(s, d), 0.15)
+    m = neighborhood.covariance(near, "qid", ("px", "py", "pz"))
+    j = neighborhood.normals(E(s, d), radius=0.15).join(m.drop("n"), "qid")
+    x, y, z = (F.col(f"n{c}") for c in "xyz")
+    size = x * x + y * y + z * z
+    along = x * x * F.col("xx") + y * y * F.col("yy") + z * z * F.col("zz") + 2 * (x * y * F.col("xy") + x * z * F.col("xz") + y * z * F.col("yz"))
+    return j.select("qid", "n", F.sqrt(size).alias("length"), F.when(size > 0, F.abs(along / size) * 1000).otherwise(0.0).alias("spread"))
+
+
 @query()
 def ridge_class(s, d):
     return neighborhood.ridges(E(s, d), 0.2)
@@ -362,10 +393,10 @@ def ridge_class(s, d):
 
 @query()
 def node_normals(s, d):
-    e = E(s, d)
-    n = cut(neighborhood.normals(e, radius=0.15).withColumnRenamed("qid", "id").join(e, "id"))
-    parents = _e_tree(s, d)[2].select("id", "x", "y", "z").distinct()
-    return neighborhood.average_normals(parents, n, 0.1)
+    cube, keyed, nodes = _e_tree(s, d)
+    leaves = octree.assign_leaves(keyed, nodes, 6)
+    own = cut(neighborhood.normals(E(s, d), radius=0.15).withColumnRenamed("qid", "id").join(leaves, "id"))
+    return neighborhood.node_normals(own, octree.lod_samples(leaves, nodes, 32)).drop("detail_size")
 
 
 # Grids and profiles
@@ -415,10 +446,10 @@ def grid_adaptive(s, d):
     return grid.adaptive_grid(grid.grid_vertices(s, (-0.5, -0.5), (0.5, 0.5), (0.05, 0.05)), E(s, d), (0.05, 0.05))
 
 
-@query(f"WITH {E_SQL}, w AS (SELECT a.id AS site, b.z, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / 0.05 AS r FROM e a, e b WHERE a.id % 10 = 0), k AS (SELECT site, z, {SINC('r', 3)} AS w FROM w WHERE r * 0.05 < 0.05 * 3) SELECT site, round(sum(w), 6) AS weight, round(sum(w * z) / sum(w), 6) AS z FROM k GROUP BY site")
+@query(f"WITH {E_SQL}, w AS (SELECT a.id AS site, b.z, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / 0.05 AS r FROM e a, e b), k AS (SELECT site, z, {SINC('r', 3)} AS w FROM w WHERE r * 0.05 < 0.05 * 3) SELECT site, round(sum(w), 6) AS weight, round(sum(w * z) / sum(w), 6) AS z FROM k GROUP BY site")
 def radial_lanczos(s, d):
     e = E(s, d)
-    return grid.radial_elevations(e.where("id % 10 = 0"), e, 0.05, 3, id_column="id")
+    return grid.radial_elevations(e, e, 0.05, 3, id_column="id")
 
 
 PROFILE = [(5.0, 10.0), (25.0, 50.0), (45.0, 50.0)]
@@ -452,9 +483,9 @@ def falling_sphere(s, d):
     return spatial.falling_spheres(E(s, d), E(s, d), 0.05)
 
 
-@query(f"WITH {E_SQL}, c AS (SELECT id, id % 2 AS dataset_id, x + 0.5 AS dx, y - 0.0 AS dy, z - 0.0 AS dz FROM e) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, id, round(dx, 6) AS along FROM c WHERE dx >= 0 AND dx * dx >= 0.98 * 0.98 * (dx * dx + dy * dy + dz * dz) ORDER BY along, dataset_id, id LIMIT 1")
+@query(f"WITH {E_SQL}, c AS (SELECT id, id % 2 AS dataset_id, (x + 0.5) * 2.0 AS xd, (x + 0.5) * (x + 0.5) + y * y + z * z AS s2 FROM e), a AS (SELECT *, xd / 4.0 AS along, xd / 4.0 + sqrt(greatest(s2 - xd * xd / 4.0, 0) * 4.0 * 2.0) AS adjusted FROM c WHERE xd >= 0 AND xd * xd >= 0.98 * 0.98 * 4.0 * s2) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, id, round(along, 6) AS along, round(adjusted, 6) AS adjusted FROM a ORDER BY a.adjusted, dataset_id, id LIMIT 1")
 def ray_pick(s, d):
-    return spatial.ray_pick(E(s, d).withColumn("dataset_id", F.col("id") % 2), (-0.5, 0.0, 0.0), (1.0, 0.0, 0.0), 0.98)
+    return spatial.ray_pick(E(s, d).withColumn("dataset_id", F.col("id") % 2), (-0.5, 0.0, 0.0), (2.0, 0.0, 0.0), 0.98)
 
 
 # Octrees
@@ -506,22 +537,44 @@ def octree_box_scan(s, d):
 
 
 def _e_tree(s, d):
-    e = E(s, d)
     cube = (-1.0, -1.0, -1.0, 2.0)
-    keyed = e.withColumn("key", octree.octree_key(cube, 6))
-    nodes = octree.node_table(keyed, 6, 32)
-    return cube, nodes, octree.lod_samples(octree.assign_leaves(keyed, nodes, 6), nodes, 32)
+    keyed = E(s, d).withColumn("key", octree.octree_key(cube, 6))
+    return cube, keyed, octree.node_table(keyed, 6, 32)
+
+
+def _l_tree(s, d):
+    """The leaves' points, nodes and samples of the largest cloud; the id is a hash of the row."""
+    keyed = _keyed(s, d).withColumn("id", F.xxhash64("x", "y", "z", "class"))
+    nodes = _nodes(s, d)
+    leaves = cut(octree.assign_leaves(keyed, nodes, LEVEL))
+    return leaves, nodes, octree.lod_samples(leaves, nodes, 500)
 
 
 @query()
 def lod_subsample(s, d):
-    return _e_tree(s, d)[2]
+    return _l_tree(s, d)[2]
+
+
+VIEW = {"eye": (-20.0, 50.0, 5.0), "view": (1.0, 0.0, 0.0), "threshold": 0.02, "planes": [((0.0, 1.0, 0.0), 20.0), ((0.0, -1.0, 0.0), -90.0)], "focus": ((20.0, 50.0, 5.0), 15.0, 1.0)}
 
 
 @query()
 def lod_cut(s, d):
-    cube, nodes, lod = _e_tree(s, d)
-    return octree.lod_cut(nodes, lod, cube, (0.5, 0.5, 0.5), 16, focus=((0.0, 0.0, 0.0), 0.2, 1.0))
+    _, nodes, lod = _l_tree(s, d)
+    return octree.lod_cut(nodes, lod, CUBE, **VIEW)
+
+
+@query()
+def lod_points(s, d):
+    """The points that the cut shows, with their class."""
+    leaves, nodes, lod = _l_tree(s, d)
+    return octree.shown_points(octree.lod_cut(nodes, lod, CUBE, **VIEW), lod, leaves.drop("key"))
+
+
+@query("SELECT 64.0::DOUBLE AS center_x, 64.0::DOUBLE AS center_y, 64.0::DOUBLE AS center_z, 64.0::DOUBLE AS size")
+def octree_root(s, d):
+    values = octree.root_statistics(CUBE)
+    return s.range(1).select(*[F.lit(float(v)).alias(k) for k, v in values.items()])
 
 
 # Primitives
@@ -547,17 +600,18 @@ def fit_cylinder(s, d):
     return fits.fit_cylinders(E(s, d), "label")
 
 
-P_SQL = "f AS (SELECT id, x / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS nx, y / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS ny, (abs(z) + 0.1) / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS nz, x AS offset_ FROM e WHERE id < 15)"
+P_SQL = "f AS (SELECT id, x / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS nx, y / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS ny, (abs(z) + 0.1) / sqrt(x * x + y * y + (abs(z) + 0.1) * (abs(z) + 0.1)) AS nz, x AS offset_ FROM e)"
 
 
-def _all_planes(s, d) -> DataFrame:
+def _planes(s, d) -> DataFrame:
     up = F.abs("z") + 0.1
     n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + up * up)
     return E(s, d).select("id", (F.col("x") / n).alias("nx"), (F.col("y") / n).alias("ny"), (up / n).alias("nz"), F.col("x").alias("offset"))
 
 
-def _planes(s, d) -> DataFrame:
-    return _all_planes(s, d).where("id < 15")
+def _fitted(s, d) -> DataFrame:
+    """Few planes: one fitted to each label."""
+    return fits.fit_planes(E(s, d), "label").select(F.col("label").alias("id"), "nx", "ny", "nz", "offset")
 
 
 @query(f"WITH {E_SQL}, {P_SQL} SELECT id, round(CASE WHEN degrees(atan2(nx, ny)) < 0 THEN degrees(atan2(nx, ny)) + 360 ELSE degrees(atan2(nx, ny)) END, 6) AS azimuth, round(degrees(acos(nz / sqrt(nx * nx + ny * ny + nz * nz))), 6) AS dip FROM f")
@@ -566,107 +620,60 @@ def strike_dip(s, d):
     return _planes(s, d).select("id", azimuth.alias("azimuth"), dip.alias("dip"))
 
 
-CROSS_SQL = "c AS (SELECT a.id AS a, b.id AS b, a.ny * b.nz - a.nz * b.ny AS x, a.nz * b.nx - a.nx * b.nz AS y, a.nx * b.ny - a.ny * b.nx AS z, a.offset_ * b.nx - b.offset_ * a.nx AS mx, a.offset_ * b.ny - b.offset_ * a.ny AS my, a.offset_ * b.nz - b.offset_ * a.nz AS mz FROM f a JOIN f b ON a.id < b.id), g AS (SELECT *, x * x + y * y + z * z AS dd FROM c)"
-
-
-@query(f"WITH {E_SQL}, {P_SQL}, {CROSS_SQL} SELECT a, b, round(x / sqrt(dd), 6) AS dx, round(y / sqrt(dd), 6) AS dy, round(z / sqrt(dd), 6) AS dz, round((my * z - mz * y) / dd, 6) AS px, round((mz * x - mx * z) / dd, 6) AS py, round((mx * y - my * x) / dd, 6) AS pz FROM g WHERE dd > 1e-9")
+@query()
 def plane_intersections(s, d):
-    return fits.plane_pairs(_planes(s, d))
+    return fits.plane_pairs(_fitted(s, d))
 
 
-@query(f"WITH {E_SQL}, {P_SQL}, t AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.nx * (b.ny * c.nz - b.nz * c.ny) + a.ny * (b.nz * c.nx - b.nx * c.nz) + a.nz * (b.nx * c.ny - b.ny * c.nx) AS det, " + ", ".join(f"a.offset_ * (b.n{p} * c.n{q} - b.n{q} * c.n{p}) + b.offset_ * (c.n{p} * a.n{q} - c.n{q} * a.n{p}) + c.offset_ * (a.n{p} * b.n{q} - a.n{q} * b.n{p}) AS {k}" for k, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))) + " FROM f a JOIN f b ON a.id < b.id JOIN f c ON b.id < c.id WHERE c.id < 8) SELECT a, b, c, round(x / det, 4) AS x, round(y / det, 4) AS y, round(z / det, 4) AS z FROM t WHERE abs(det) > 0.001")
+@query()
 def plane_points(s, d):
-    t = fits.plane_triples(_planes(s, d).where("id < 8"), parallel=0.001)
-    return t.select("a", "b", "c", *[F.round(c, 4).alias(c) for c in "xyz"])
+    return fits.plane_triples(_fitted(s, d), parallel=0.001)
 
 
-@query(f"WITH {E_SQL}, {P_SQL} SELECT f.id AS plane, e.id AS line, round(e.x + (offset_ - (nx * e.x + ny * e.y + nz * e.z)) / (nx * 0.0 + ny * 0.0 + nz * 1.0) * 0.0, 6) AS x, round(e.y, 6) AS y, round(e.z + (offset_ - (nx * e.x + ny * e.y + nz * e.z)) / nz, 6) AS z FROM f, e WHERE e.id % 100 = 0")
+@query()
 def plane_line_points(s, d):
-    lines = E(s, d).where("id % 100 = 0").select(F.col("id").alias("line"), *[F.col(c).alias(f"c{c}") for c in "xyz"], F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"))
-    return fits.plane_line(_planes(s, d), lines)
-
-
-@query(f"WITH {E_SQL}, {P_SQL} SELECT id, CAST(0 AS INTEGER) AS prim_type, round(abs(0.1 * nx + 0.1 * ny + 0.1 * nz - offset_), 6) AS distance FROM f WHERE abs(0.1 * nx + 0.1 * ny + 0.1 * nz - offset_) <= 0.5 ORDER BY abs(0.1 * nx + 0.1 * ny + 0.1 * nz - offset_), id LIMIT 1")
-def pick_primitive(s, d):
-    p = _planes(s, d).withColumn("prim_type", F.lit(0)).withColumns({n: F.lit(None).cast("double") for n in ("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z", "radius")})
-    return fits.pick_primitive(p, (0.1, 0.1, 0.1), 0.5)
-
-
-# Sites and second clouds of all rows; the second is moved further than the tolerance, so that a point isn't its own match
-
-J_ALL_SQL = "j AS (SELECT id, x + 0.03 AS x, y, z FROM e)"
-
-
-def _moved(s, d) -> DataFrame:
-    return E(s, d).select("id", (F.col("x") + 0.03).alias("x"), "y", "z")
-
-
-@query(ORACLES["eps_subtract"].replace(J_SQL, J_ALL_SQL))
-def eps_subtract_all(s, d):
-    return spatial.eps_subtract(E(s, d), _moved(s, d), 0.02).select("id")
-
-
-@query(ORACLES["eps_match"].replace(J_SQL, J_ALL_SQL))
-def eps_match_all(s, d):
-    return spatial.eps_match(E(s, d), _moved(s, d), 0.02).select("id")
-
-
-@query(ORACLES["similarity_pct"].replace(J_SQL, J_ALL_SQL))
-def similarity_pct_all(s, d):
-    return spatial.similarity(E(s, d), _moved(s, d), 0.02)
-
-
-@query(ORACLES["radial_lanczos"].replace(" WHERE a.id % 10 = 0", ""))
-def radial_lanczos_all(s, d):
-    return grid.radial_elevations(E(s, d), E(s, d), 0.05, 3, id_column="id")
-
-
-# The same over whole tables: row-wise operators over all rows, pairs and triples of the planes fitted to each label
-
-ALL_P_SQL = P_SQL.replace(" WHERE id < 15", "")
-
-
-def _fitted(s, d) -> DataFrame:
-    return fits.fit_planes(E(s, d), "label").select(F.col("label").alias("id"), "nx", "ny", "nz", "offset")
+    lines = E(s, d).select(F.col("id").alias("line"), *[F.col(c).alias(f"c{c}") for c in "xyz"], F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"))
+    return fits.plane_line(_fitted(s, d), lines)
 
 
-@query(ORACLES["strike_dip"].replace(P_SQL, ALL_P_SQL))
-def strike_dip_all(s, d):
-    azimuth, dip = vectors.strike_dip(vec("nx", "ny", "nz"))
-    return _all_planes(s, d).select("id", azimuth.alias("azimuth"), dip.alias("dip"))
+# Rectangles of 0.2 by 0.4 around the planes' points nearest to the origin, with sides along u and v.
+RECT_SQL = "u AS (SELECT *, nz / sqrt(nx * nx + nz * nz) AS ux, -nx / sqrt(nx * nx + nz * nz) AS uz FROM f), w AS (SELECT *, ny * uz AS vx, nz * ux - nx * uz AS vy, -ny * ux AS vz FROM u), c AS (SELECT id, 0.1 * nx + 0.1 * ny + 0.1 * nz - offset_ AS flat, (0.1 - nx * offset_) * ux + (0.1 - nz * offset_) * uz AS a, (0.1 - nx * offset_) * vx + (0.1 - ny * offset_) * vy + (0.1 - nz * offset_) * vz AS b FROM w)"
+RECT_D_SQL = "sqrt(flat * flat + power(greatest((-b - 0.2) * 0.2, 0), 2) + power(greatest((a - 0.1) * 0.4, 0), 2) + power(greatest((b - 0.2) * 0.2, 0), 2) + power(greatest((-a - 0.1) * 0.4, 0), 2))"
 
 
-@query(ORACLES["pick_primitive"].replace(P_SQL, ALL_P_SQL))
-def pick_primitive_all(s, d):
-    p = _all_planes(s, d).withColumn("prim_type", F.lit(0)).withColumns({n: F.lit(None).cast("double") for n in ("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z", "radius")})
-    return fits.pick_primitive(p, (0.1, 0.1, 0.1), 0.5)
+def _rectangles(s, d) -> DataFrame:
+    n, o = vec("nx", "ny", "nz"), F.col("offset")
+    flat = F.sqrt(n[0] * n[0] + n[2] * n[2])
+    u = (n[2] / flat, F.lit(0.0), -n[0] / flat)
+    v = vectors.cross(n, u)
+    corner = lambda a, b, k: n[k] * o + a * u[k] + b * v[k]
+    corners = {f"corner{i}_{c}": corner(a, b, k) for i, (a, b) in enumerate(((-0.1, -0.2), (0.1, -0.2), (-0.1, 0.2), (0.1, 0.2))) for k, c in enumerate("xyz")}
+    empty = {c: F.lit(None).cast("double") for c in ("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z", "radius", "length")}
+    return _planes(s, d).withColumn("prim_type", F.lit(0)).withColumns(corners | empty)
 
 
-@query()
-def plane_intersections_all(s, d):
-    return fits.plane_pairs(_fitted(s, d))
+@query(f"WITH {E_SQL}, {P_SQL}, {RECT_SQL} SELECT id, CAST(0 AS INTEGER) AS prim_type, round({RECT_D_SQL}, 6) AS distance FROM c WHERE {RECT_D_SQL} < 0.5 ORDER BY {RECT_D_SQL}, id LIMIT 1")
+def pick_primitive(s, d):
+    return fits.pick_primitive(_rectangles(s, d), (0.1, 0.1, 0.1), 0.5)
 
 
-@query()
-def plane_points_all(s, d):
-    return fits.plane_triples(_fitted(s, d), parallel=0.001)
+@query(f"WITH {E_SQL}, {P_SQL}, {RECT_SQL} SELECT id, round({RECT_D_SQL}, 6) AS distance FROM c")
+def primitive_distances(s, d):
+    return _rectangles(s, d).select("id", fits.primitive_distance((0.1, 0.1, 0.1)).alias("distance"))
 
 
-@query()
-def plane_line_points_all(s, d):
-    lines = E(s, d).select(F.col("id").alias("line"), *[F.col(c).alias(f"c{c}") for c in "xyz"], F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"))
-    return fits.plane_line(_fitted(s, d), lines)
+# Surfaces
 
 
-# Surfaces
+BELOW_SQL = f"c AS (SELECT qid, nid, atan2(py - y, px - x) AS angle FROM (SELECT *, (px - x) * (px - x) + (py - y) * (py - y) AS r2, z - 0.0 - 0.15 AS t FROM p) WHERE r2 <= 0.15 * 0.15 AND (pz <= t OR r2 + (pz - t) * (pz - t) <= 0.15 * 0.15) AND (px <> x OR py <> y))"
 
 
-@query()
+@query(f"WITH {E_SQL}, {PAIRS_SQL}, {BELOW_SQL}, g AS (SELECT qid, degrees(angle) AS angle, degrees(angle) - lag(degrees(angle)) OVER (PARTITION BY qid ORDER BY angle) AS gap FROM (SELECT DISTINCT qid, angle FROM c)), k AS (SELECT qid, 360 - greatest(coalesce(max(gap), 0), 360 - max(angle) + min(angle)) AS span FROM g GROUP BY qid) SELECT e.id AS qid, coalesce(span < 270, TRUE) AS ground FROM e LEFT JOIN k ON k.qid = e.id")
 def ground_class(s, d):
     return surfaces.classify_ground(E(s, d), 0.15, 0.0, 270.0)
 
 
-@query()
+@query(f"WITH {E_SQL}, {PAIRS_SQL}, {BELOW_SQL}, o AS (SELECT qid, angle - first(angle) OVER (PARTITION BY qid ORDER BY nid) AS off FROM c), k AS (SELECT qid, greatest(max(degrees(atan2(sin(off), cos(off)))), 0) - least(min(degrees(atan2(sin(off), cos(off)))), 0) AS span FROM o GROUP BY qid) SELECT e.id AS qid, coalesce(span < 270, TRUE) AS ground FROM e LEFT JOIN k ON k.qid = e.id")
 def ground_class_ordered(s, d):
     return surfaces.ordered_ground(E(s, d), 0.15, 0.0, 270.0)
 
@@ -675,47 +682,58 @@ IMAGES = [(0, 0.04, 0.0, 0.0, -0.04, -0.4, 0.4, 15, 15), (1, 0.02, 0.001, 0.001,
 _IMAGE_COLUMNS = ("img_id", "a", "d", "b", "e", "c", "f", "width", "height")
 
 
+def _images(s) -> DataFrame:
+    return s.createDataFrame(IMAGES, "img_id int, a double, d double, b double, e double, c double, f double, width int, height int")
+
+
+def _coloured(s, d) -> DataFrame:
+    col, row = F.col("id") % 30, F.floor(F.col("id") / 30) % 25
+    img = F.floor(F.col("id") / 750).cast("int")
+    pixels = s.range(1500).select(img.alias("img_id"), col.alias("col"), row.alias("row"), *[((col * m + row * k + img * 50) % 256).alias(c) for c, m, k in (("r", 7, 3), ("g", 5, 11), ("b", 2, 1))])
+    cloud = E(s, d).select("id", "x", "y", *[F.col("label").cast("short").alias(c) for c in "rgb"])
+    return surfaces.raster_colour(cloud, _images(s), pixels).select("id", "img_id", "r", "g", "b")
+
+
 @query(f"""WITH {E_SQL}, i AS (SELECT * FROM (VALUES {', '.join(f"({', '.join(f'CAST({v} AS DOUBLE)' if 0 < k < 7 else str(v) for k, v in enumerate(r))})" for r in IMAGES)}) t({', '.join(_IMAGE_COLUMNS)})),
 h AS (SELECT e.id, img_id, width, height, (i.e * (e.x - c) - b * (e.y - f)) / (a * i.e - b * d) AS u, (a * (e.y - f) - d * (e.x - c)) / (a * i.e - b * d) AS v FROM e, i),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY img_id) AS k FROM h WHERE u >= 0 AND u < width - 1 AND v >= 0 AND v < height - 1) WHERE k = 1),
 x AS (SELECT id, img_id, floor(u) + p AS col, floor(v) + q AS row_, (CASE WHEN p = 1 THEN u - floor(u) ELSE 1 - u + floor(u) END) * (CASE WHEN q = 1 THEN v - floor(v) ELSE 1 - v + floor(v) END) AS w FROM o, range(2) t(p), range(2) s(q)),
 n AS (SELECT id, min(img_id) AS img_id, {', '.join(f"CAST(floor(least(greatest(sum(w * ((col * {m} + row_ * {k} + img_id * 50) % 256)), 0), 255) + 0.5) AS SMALLINT) AS {c}" for c, m, k in (('r', 7, 3), ('g', 5, 11), ('b', 2, 1)))} FROM x GROUP BY id)
-SELECT e.id, n.img_id, {', '.join(f'coalesce(n.{c}, CAST(label AS SMALLINT)) AS {c}' for c in 'rgb')} FROM e LEFT JOIN n ON n.id = e.id WHERE n.img_id IS NOT NULL""")
+SELECT e.id, coalesce(n.img_id, -1) AS img_id, {', '.join(f'coalesce(n.{c}, CAST(label AS SMALLINT)) AS {c}' for c in 'rgb')} FROM e LEFT JOIN n ON n.id = e.id""")
 def raster_color(s, d):
-    images = s.createDataFrame(IMAGES, "img_id int, a double, d double, b double, e double, c double, f double, width int, height int")
-    col, row = F.col("id") % 30, F.floor(F.col("id") / 30) % 25
-    img = F.floor(F.col("id") / 750).cast("int")
-    pixels = s.range(1500).select(img.alias("img_id"), col.alias("col"), row.alias("row"), *[((col * m + row * k + img * 50) % 256).alias(c) for c, m, k in (("r", 7, 3), ("g", 5, 11), ("b", 2, 1))])
-    cloud = E(s, d).select("id", "x", "y", *[F.col("label").cast("short").alias(c) for c in "rgb"])
-    return surfaces.raster_colour(cloud, images, pixels).where("img_id is not null").select("id", "img_id", "r", "g", "b")
+    return _coloured(s, d).withColumn("img_id", F.coalesce("img_id", F.lit(-1)))
 
 
 @query(f"WITH i AS (SELECT * FROM (VALUES {', '.join(str(r) for r in IMAGES)}) t({', '.join(_IMAGE_COLUMNS)})), k AS (SELECT img_id, a * u * (width - 1) + b * v * (height - 1) + c AS x, d * u * (width - 1) + e * v * (height - 1) + f AS y FROM i, range(2) p(u), range(2) q(v)) SELECT CAST(img_id AS INTEGER) AS img_id, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y FROM k GROUP BY img_id")
 def image_footprints(s, d):
-    images = s.createDataFrame(IMAGES, "img_id int, a double, d double, b double, e double, c double, f double, width int, height int")
-    return surfaces.image_footprints(images).select("img_id", "min_x", "max_x", "min_y", "max_y")
+    return surfaces.image_footprints(_images(s)).select("img_id", "min_x", "max_x", "min_y", "max_y")
+
 
+@query(ORACLES["raster_color"].split("SELECT e.id, coalesce(n.img_id")[0] + "SELECT count(*) AS n FROM n")
+def coloured_points(s, d):
+    return surfaces.coloured_count(_coloured(s, d))
 
-def _ramp_sql(v: str, k: int) -> str:
-    stops = colors.BATHYMETRY
-    out = f"{stops[0][1][k]}::DOUBLE"
-    for (v0, c0), (v1, c1) in zip(stops, stops[1:], strict=False):
-        out = f"CASE WHEN {v} >= {v0} THEN {c0[k]} + (least({v}, {v1}::DOUBLE) - {v0}) / {v1 - v0} * {c1[k] - c0[k]} ELSE {out} END"
-    return f"CAST(floor(least(greatest({out}, 0), 255) + 0.5) AS SMALLINT)"
 
+@query(f"{NODES_SQL.replace(L_SQL + ',', L_SQL + ',')}, b AS (SELECT node_key, " + ", ".join(f"coalesce({_cell(i)}, 0) * (128.0 / (1 << level)) AS m{c}" for i, c in enumerate("xy")) + ", 128.0 / (1 << level) AS edge FROM o), i AS (SELECT * FROM (VALUES (0, 3.0, 3.0, 20.0, 41.0), (1, 15.5, 30.0, 21.0, 33.0), (2, 60.0, 100.0, 90.0, 120.0)) t(img_id, x0, y0, x1, y1)) SELECT node_key, CAST(img_id AS INTEGER) AS img_id FROM b JOIN i ON mx <= x1 AND mx + edge >= x0 AND my <= y1 AND my + edge >= y0")
+def node_images(s, d):
+    # One pixel a unit, so that the footprints are the boxes (x0, y0, x1, y1).
+    boxes = [(0, 3.0, 3.0, 20.0, 41.0), (1, 15.5, 30.0, 21.0, 33.0), (2, 60.0, 100.0, 90.0, 120.0)]
+    images = s.createDataFrame([(k, (x1 - x0) / 10, 0.0, 0.0, (y1 - y0) / 10, x0, y0, 11, 11) for k, x0, y0, x1, y1 in boxes], "img_id int, a double, d double, b double, e double, c double, f double, width int, height int")
+    return surfaces.node_images(octree.node_boxes(_nodes(s, d), CUBE), images)
 
-@query(f"WITH {E_SQL}, d AS (SELECT id, z * 100 - 15 AS v FROM e WHERE z * 100 - 15 < 0) SELECT id, {', '.join(f'{_ramp_sql("v", k)} AS {c}' for k, c in enumerate('rgb'))} FROM d")
+
+_DEPTH = lambda *c: f"CAST(floor(CASE WHEN v >= -525 THEN {c[0]} WHEN v >= -1050 THEN {c[1]} WHEN v >= -1575 THEN {c[2]} ELSE {c[3]} END) AS SMALLINT)"
+
+
+@query(f"WITH {E_SQL}, d AS (SELECT id, z * 6000 - 800 AS v FROM e WHERE z * 6000 - 800 < 0) SELECT id, {_DEPTH('(v + 525) * 240 / 525', 0, 0, 0)} AS r, {_DEPTH('(v + 525) * 95 / 525 + 160', '(v + 1050) * 160 / 525', 0, 0)} AS g, {_DEPTH(255, 255, '(v + 1575) * 191 / 525 + 64', 64)} AS b FROM d")
 def bathymetry_colour(s, d):
-    v = F.col("z") * 100 - 15
-    c = colors.ramp(v, colors.BATHYMETRY)
-    return E(s, d).where(v < 0).select("id", *[x.alias(k) for x, k in zip(c, "rgb", strict=True)])
+    v = F.col("z") * 6000 - 800
+    return E(s, d).where(v < 0).select("id", *[x.alias(k) for x, k in zip(colors.bathymetry(v), "rgb", strict=True)])
 
 
-@query(f"WITH {E_SQL}, g AS (SELECT id, CAST(label * 25 AS DOUBLE) AS v, z < 0 AS ground FROM e), u AS (SELECT *, v * 0.299 + v * 0.587 + v * 0.114 AS l FROM g) SELECT id, " + ", ".join(f"CAST(floor(least(greatest(CASE WHEN ground THEN l * {a}::DOUBLE ELSE l * {b}::DOUBLE END, 0), 255) + 0.5) AS SMALLINT) AS {c}" for c, a, b in (("r", 1.0, 0.4), ("g", 0.75, 1.0), ("b", 0.5, 0.4))) + " FROM u")
+@query(f"WITH {E_SQL}, {LUMA_SQL} SELECT id, CAST(CASE WHEN z < 0 THEN floor(v * 0.5::DOUBLE + 0.5) ELSE 0 END AS SMALLINT) AS r, CAST(CASE WHEN z < 0 THEN floor(v * 0.333::DOUBLE + 0.5) ELSE floor(v + 0.5) END AS SMALLINT) AS g, CAST(0 AS SMALLINT) AS b FROM g")
 def ground_colour(s, d):
-    v = (F.col("label") * 25).cast("double")
-    c = colors.ground_colour(colors.luma(v, v, v), F.col("z") < 0)
-    return E(s, d).select("id", *[x.alias(k) for x, k in zip(c, "rgb", strict=True)])
+    return E(s, d).select("id", *[x.alias(k) for x, k in zip(colors.ground_colour(_luma(), F.col("z") < 0), "rgb", strict=True)])
 
 
 @query(f"WITH {E_SQL} SELECT id FROM e WHERE x * 1.0 + y * 0.0 + z * 0.0 <= 0.2 AND x * -1.0 + y * 0.5 + z * 0.0 <= 0.3 AND x * 0.0 + y * -1.0 + z * 0.2 <= 0.1")
@@ -746,12 +764,6 @@ def hillshade(s, d):
     return _planes(s, d).select("id", F.greatest(F.lit(0.0), vectors.dot(vec("nx", "ny", "nz"), sun)).alias("shade"))
 
 
-@query(ORACLES["hillshade"].replace(P_SQL, ALL_P_SQL))
-def hillshade_all(s, d):
-    sun = vectors.sun_vector(F.lit(135.0), F.lit(30.0))
-    return _all_planes(s, d).select("id", F.greatest(F.lit(0.0), vectors.dot(vec("nx", "ny", "nz"), sun)).alias("shade"))
-
-
 # Files and streams
 
 

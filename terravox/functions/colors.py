@@ -24,32 +24,57 @@ def masked(channels: tuple[Column, Column, Column], mask: tuple[float, float, fl
     return [clamp_round(c * m) for c, m in zip(channels, mask, strict=True)]
 
 
+def truncated(value: Column) -> Column:
+    """To a whole number, as a conversion from a floating point number in 0 to 255 does it."""
+    return F.floor(value).cast("short")
+
+
+# Parts of the luma in the red, green and blue of ground (brown) and of vegetation (green).
+GROUND, VEGETATION = (0.5, 0.333, 0.0), (0.0, 1.0, 0.0)
+#: Fixed value: luma at which a selected point counts as bright.
+BRIGHT = 127.5
+
+
 def ground_colour(value: Column, ground: Column) -> list[Column]:
     """Brown for ground, green for vegetation, as bright as the luma ``value``."""
-    return [clamp_round(F.when(ground, value * a).otherwise(value * b)) for a, b in ((1.0, 0.4), (0.75, 1.0), (0.5, 0.4))]
+    return [truncated(F.when(ground, value * a).otherwise(value * b) + 0.5) if a or b else F.lit(0).cast("short") for a, b in zip(GROUND, VEGETATION, strict=True)]
 
 
 def highlight(value: Column) -> list[Column]:
-    """Selection colour (F19): green on dark points, dark green on bright ones."""
-    dark = value < 128
-    return [F.lit(0).cast("short"), F.when(dark, value + 127).otherwise(value - 127).cast("short"), F.lit(0).cast("short")]
+    """Selection colour (F19): a green that a dark point brightens, and on bright points a light green."""
+    bright = value >= BRIGHT
+    side = truncated(F.when(bright, value - BRIGHT).otherwise(0.0))
+    return [side, truncated(F.when(bright, 255.0).otherwise(value + BRIGHT)), side]
 
 
-def ramp(value: Column, stops: list[tuple[float, tuple[float, float, float]]]) -> list[Column]:
+def ramp(value: Column, stops: list[tuple[float, tuple[float, float, float]]], convert=clamp_round) -> list[Column]:
     """Piecewise linear colour between stops of ascending value; the end colours hold beyond them."""
     out = []
     for k in range(3):
         c = F.lit(stops[0][1][k])
         for (v0, c0), (v1, c1) in zip(stops, stops[1:], strict=False):
-            c = F.when(value >= v0, c0[k] + (F.least(value, F.lit(v1)) - v0) / (v1 - v0) * (c1[k] - c0[k])).otherwise(c)
-        out.append(clamp_round(c))
+            c = F.when(value >= v0, (F.least(value, F.lit(v1)) - v0) * (c1[k] - c0[k]) / (v1 - v0) + c0[k]).otherwise(c)
+        out.append(convert(c))
     return out
 
 
-#: Depths below zero (F17): four bands from deep to shore.
-BATHYMETRY = [(-40.0, (0.0, 0.0, 96.0)), (-20.0, (0.0, 64.0, 192.0)), (-10.0, (0.0, 160.0, 224.0)), (-4.0, (96.0, 224.0, 224.0)), (0.0, (224.0, 255.0, 224.0))]
+# Depths (F17) and their colours, linear in between; below the first its colour holds.
+BATHYMETRY = [(-1575.0, (0.0, 0.0, 64.0)), (-1050.0, (0.0, 0.0, 255.0)), (-525.0, (0.0, 160.0, 255.0)), (0.0, (240.0, 255.0, 255.0))]
+# Damage levels (F23) below which a colour (0 to 1) holds; red is the least level. From the last on it's the last colour.
+DAMAGE = [(2.5, (1.0, 0.0, 0.0)), (3.5, (1.0, 0.5, 0.0)), (4.5, (0.5, 1.0, 0.0)), (5.5, (0.0, 1.0, 0.0))]
+
 
+def bathymetry(depth: Column) -> list[Column]:
+    """Colour of a height below zero."""
+    return ramp(depth, BATHYMETRY, truncated)
 
-def category_colour(level: Column) -> Column:
-    """Name of a damage level's colour (F23): thresholds at 2.5, 3.5, 4.5 and 5.5."""
-    return F.when(level < 2.5, "green").when(level < 3.5, "yellow").when(level < 4.5, "orange").when(level < 5.5, "red").otherwise("violet")
+
+def category_colour(level: Column) -> list[Column]:
+    """Colour of a damage level, channels from 0 to 1."""
+    out = []
+    for k in range(3):
+        c = F.lit(DAMAGE[-1][1][k])
+        for below, colour in reversed(DAMAGE):
+            c = F.when(level < below, colour[k]).otherwise(c)
+        out.append(c)
+    return out

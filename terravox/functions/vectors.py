@@ -74,10 +74,20 @@ def strike_dip(normal: Vector) -> tuple[Column, Column]:
     return F.when(azimuth < 0, azimuth + 360.0).otherwise(azimuth), F.degrees(F.acos(normal[2] / norm(normal)))
 
 
-def angular_diameter_distance(z: Column, steps: int = 100, omega_m: float = 0.3, omega_l: float = 0.7) -> Column:
-    """Integral of 1 / E(z) from 0 to z by the midpoint rule, over 1 + z (S8b); redshift to scaled distance."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: z / steps / F.sqrt(F.lit(omega_m) * F.pow(1 + z * (i + 0.5) / steps, 3) + omega_l))
-    return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / (1 + z)
+# Speed of light in km/s over the Hubble constant, and the shares of matter and dark energy.
+HUBBLE_DISTANCE, OMEGA_M, OMEGA_L = 3.0e5 / 71.0, 0.3, 0.7
+
+
+def scaled_distance(z: Column, steps: int = 100) -> Column:
+    """Distance of a redshift in a flat universe (S8b): the sum of dz / E(z) at the lower end of each step, times the
+    Hubble distance."""
+    dz = z / steps
+
+    def part(i: Column) -> Column:
+        a = 1 + i * dz
+        return dz / F.sqrt(OMEGA_M * a * a * a + OMEGA_L)
+
+    return F.lit(HUBBLE_DISTANCE) * F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), part), F.lit(0.0), lambda x, y: x + y)
 
 
 def cone_contains(p: Vector, apex: Vector, axis: Vector, cos_angle: float) -> Column:

@@ -104,7 +104,7 @@ def cylinder(points: np.ndarray) -> dict:
             to_axis = -(t[:, None] * n) / np.linalg.norm(q[3:6])
             return r - q[6], np.hstack([-n, to_axis - (to_axis @ a)[:, None] * a, -np.ones((len(p0), 1))])
 
-        x, f = minimise(residuals, np.concatenate([[0, 0, 0], axis, [1.0]]), most=300)
+        x, f = minimise(residuals, np.concatenate([[0, 0, 0], axis, [1.0]]))
         if best is None or f < best[1]:
             best = x, f
     x, f = best
@@ -170,14 +170,26 @@ def plane_line(planes: DataFrame, lines: DataFrame, parallel: float = 1e-9) -> D
 
 
 def primitive_distance(at: tuple) -> Column:
-    """Distance from a point to a primitive row, by prim_type: 0 plane, 1 sphere, 2 cylinder (its side), 3 line, 4 point."""
+    """Distance from a point to a primitive row, by prim_type: 0 plane, 1 sphere, 2 cylinder (its side), 3 line, 4 point.
+
+    A plane ends at the rectangle of its corners, a line and a cylinder at half their length from the centre; what lies
+    beyond adds to the distance. Beyond a rectangle's edge the reference multiplies the distance by the edge's length,
+    and so does this. Without corners or length there is no end. Axes and normals have unit length."""
     p, c, a, n = vec(*at), vec("center_x", "center_y", "center_z"), vec("axis_x", "axis_y", "axis_z"), vec("nx", "ny", "nz")
     d = sub(p, c)
-    aside = F.sqrt(F.greatest(dot(d, d) - dot(d, a) * dot(d, a) / dot(a, a), F.lit(0.0)))
+    corner = [vec(*[f"corner{i}_{k}" for k in "xyz"]) for i in range(4)]
+    flat = dot(p, n) - F.col("offset")
+    plane = flat * flat
+    for i, j in ((0, 1), (1, 3), (3, 2), (2, 0)):
+        beyond = F.greatest(dot(sub(p, corner[i]), cross(sub(corner[j], corner[i]), n)), F.lit(0.0))
+        plane = plane + F.coalesce(beyond * beyond, F.lit(0.0))
+    ends = F.coalesce(F.greatest(F.abs(dot(d, a)) - F.col("length") / 2, F.lit(0.0)), F.lit(0.0))
+    aside = norm(cross(a, d))
+    side = aside - F.col("radius")
     kind = F.col("prim_type")
-    return F.when(kind == 0, F.abs(dot(p, n) - F.col("offset"))).when(kind == 1, F.abs(norm(d) - F.col("radius"))).when(kind == 2, F.abs(aside - F.col("radius"))).when(kind == 3, aside).when(kind == 4, norm(d))
+    return F.when(kind == 0, F.sqrt(plane)).when(kind == 1, F.abs(norm(d) - F.col("radius"))).when(kind == 2, F.sqrt(ends * ends + side * side)).when(kind == 3, F.sqrt(ends * ends + aside * aside)).when(kind == 4, norm(d))
 
 
 def pick_primitive(primitives: DataFrame, at: tuple, within: float) -> DataFrame:
-    """The nearest primitive within a distance of a point; ties by id."""
-    return primitives.withColumn("distance", primitive_distance(at)).where(F.col("distance") <= within).orderBy("distance", "id").limit(1).select("id", "prim_type", "distance")
+    """The nearest primitive nearer to a point than a distance; ties by id."""
+    return primitives.withColumn("distance", primitive_distance(at)).where(F.col("distance") < within).orderBy("distance", "id").limit(1).select("id", "prim_type", "distance")

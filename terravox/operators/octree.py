@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravox.functions.vectors import box_sqr_dist, vec
 from terravox.plans.storage import cut
 
 Cube = tuple[float, float, float, float]  #: least corner and edge
@@ -106,28 +105,66 @@ def box_prefixes(cube: Cube, low: tuple, high: tuple, level: int) -> Column:
     return F.substring("key", 1, level).isin(keys)
 
 
+#: Points of the blocks among which neighbours are searched.
+_BLOCK = 48
+
+
+def _blocks(points: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Points in blocks by halving the longer side again and again; indices and bounds of each."""
+    done, todo = [], [np.arange(len(points))]
+    while todo:
+        some = todo.pop()
+        if len(some) <= _BLOCK:
+            done.append(some)
+            continue
+        axis = int(np.argmax(np.ptp(points[some], axis=0)))
+        order = np.argpartition(points[some, axis], len(some) // 2)
+        todo += [some[order[: len(some) // 2]], some[order[len(some) // 2 :]]]
+    return done, np.array([points[b].min(axis=0) for b in done]), np.array([points[b].max(axis=0) for b in done])
+
+
+def nearest_distances(points: np.ndarray, blocks: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distance of each point to the nearest other. A block's points look into the blocks that may be nearer than what
+    they found in their own."""
+    out = np.full(len(points), np.inf)
+    for k, own in enumerate(blocks):
+        p = points[own]
+        d2 = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
+        np.fill_diagonal(d2, np.inf)
+        best = d2.min(axis=1)
+        gap = np.maximum(0.0, np.maximum(low - high[k], low[k] - high))
+        others = np.flatnonzero((gap * gap).sum(axis=1) <= best.max())
+        for o in others[others != k].tolist():
+            q = points[blocks[o]]
+            best = np.minimum(best, ((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2).min(axis=1))
+        out[own] = np.sqrt(best)
+    return out
+
+
 def thin(points: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, float]:
     """Indices of at most ``most`` points that are spread out, and the greatest radius that was cleared.
 
-    Points are taken in the order of their distance to the nearest other (ties by id); each surviving one clears the
-    others within 1.9 times that distance, until few enough are left; where they aren't, distances are taken anew."""
+    Points are taken in the order of their distance to the nearest other (ties by id); each surviving one clears all
+    others within 1.9 times that distance, until few enough are left; where they aren't, distances are taken anew. Memory
+    is in proportion to the points."""
     left, detail = np.arange(len(points)), 0.0
     while len(left) > most:
         p = points[left]
-        d2 = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(d2, np.inf)
-        near = np.sqrt(d2.min(axis=1))
+        blocks, low, high = _blocks(p)
+        near = nearest_distances(p, blocks, low, high)
         alive, count = np.ones(len(left), bool), len(left)
-        for i in np.lexsort((ids[left], near)):
+        for i in np.lexsort((ids[left], near)).tolist():
             if not alive[i]:
                 continue
-            gone = alive & (d2[i] <= (1.9 * near[i]) ** 2)
-            gone[i] = False
-            if gone.any():
-                order = np.flatnonzero(gone)[: count - most]
-                alive[order] = False
-                count -= len(order)
-                detail = max(detail, 1.9 * float(near[i]))
+            radius = 1.9 * near[i]
+            detail = max(detail, float(radius))
+            gap = np.maximum(0.0, np.maximum(low - p[i], p[i] - high))
+            some = np.concatenate([blocks[b] for b in np.flatnonzero((gap * gap).sum(axis=1) <= radius * radius).tolist()])
+            d = p[some] - p[i]
+            gone = some[(d * d).sum(axis=1) <= radius * radius]
+            count -= int(alive[gone].sum()) - 1
+            alive[gone] = False
+            alive[i] = True
             if count <= most:
                 break
         left = left[alive]
@@ -135,39 +172,90 @@ def thin(points: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, fl
 
 
 def lod_samples(leaf_points: DataFrame, nodes: DataFrame, most: int, id_column: str = "id") -> DataFrame:
-    """Samples of all interior nodes, bottom up: (node_key, level, id, x, y, z, detail_size). A parent's sample is
-    thinned from its (at most eight) children's, so a group never has more than eight times ``most`` rows; leaves have
-    their own points (at the depth bound, thinned first) and detail size 0."""
+    """Samples of all interior nodes, bottom up: (node_key, level, id, x, y, z, detail_size) and all other
+    columns of the points, which samples carry along. A parent's sample is thinned from its (at most eight) children's, so
+    a group never has more than eight times ``most`` rows. Leaves give their own points and detail size 0; a leaf at the
+    depth bound with more than ``most`` points is thinned first, coincident points (the least id of each place stays) even
+    before its points come together."""
     deepest = nodes.agg(F.max("level")).first()[0] or 0
-    schema = "node_key string, level int, id long, x double, y double, z double, detail_size double"
+    fixed = ["node_key", "level", "id", "x", "y", "z", "detail_size"]
+    extra = [c for c in leaf_points.columns if c not in (*fixed, id_column, "key")]
+    keyed = leaf_points.select("node_key", F.length("node_key").alias("level"), F.col(id_column).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.lit(0.0).alias("detail_size"), *extra)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
 
     def sample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kept, detail = thin(pdf[["x", "y", "z"]].to_numpy(float), pdf["id"].to_numpy(), most)
-        return pdf.iloc[kept].assign(node_key=key[0], level=len(key[0]), detail_size=max(detail, float(pdf["detail_size"].max())))[["node_key", "level", "id", "x", "y", "z", "detail_size"]]
-
-    keyed = leaf_points.select("node_key", F.length("node_key").alias("level"), F.col(id_column).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.lit(0.0).alias("detail_size"))
+        return pdf.iloc[kept].assign(node_key=key[0], level=len(key[0]), detail_size=max(detail, float(pdf["detail_size"].max())))[[*fixed, *extra]]
+
+    crowded = nodes.where(f"is_leaf and n > {int(most)}").select("node_key")
+    keyed = cut(keyed)
+    places = keyed.join(crowded, "node_key").groupBy("node_key", "x", "y", "z").agg(F.min("id").alias("id"), *([F.min_by(F.struct(*extra), "id").alias("more")] if extra else []))
+    places = places.select("node_key", F.length("node_key").alias("level"), "id", "x", "y", "z", F.lit(0.0).alias("detail_size"), *[F.col(f"more.`{c}`").alias(c) for c in extra])
+    thinned = places.groupBy("node_key").applyInPandas(lambda key, pdf: sample(key, pdf).assign(detail_size=0.0), schema)
+    keyed = cut(keyed.join(crowded, "node_key", "left_anti").select(*fixed, *extra).unionByName(thinned))
     interior = nodes.where("not is_leaf").select("node_key")
     out, below = [], None
     for level in range(deepest - 1, -1, -1):
         own = keyed.where(F.col("level") == level + 1)
         children = own if below is None else own.unionByName(below)
-        parents = children.withColumn("node_key", F.expr(f"substring(node_key, 1, {level})")).join(interior, "node_key")
+        parents = children.withColumn("node_key", F.expr(f"substring(node_key, 1, {level})")).join(interior, "node_key").select(*fixed, *extra)
         below = cut(parents.groupBy("node_key").applyInPandas(sample, schema))
         out.append(below)
     return reduce(DataFrame.unionByName, out) if out else keyed.limit(0)
 
 
-def lod_cut(nodes: DataFrame, details: DataFrame, cube: Cube, eye: tuple, most: int, focus: tuple | None = None) -> DataFrame:
-    """The ``most`` nodes of greatest detail size over distance; ``focus`` (centre, radius, weight) favours nodes
-    near a point. This isn't a cut: T8 and F14 (refinement from the root, frustum) are missing. Returns node_key, level
-    and priority."""
+def root_statistics(cube: Cube) -> dict[str, float]:
+    """Centre of the root and its size, half the mean edge."""
+    return {f"center_{c}": o + cube[3] / 2 for c, o in zip("xyz", cube[:3], strict=True)} | {"size": cube[3] / 2}
+
+
+def with_view(nodes: DataFrame, details: DataFrame, cube: Cube, eye: tuple, view: tuple, planes: list[tuple[tuple, float]] = (), scale: float = 1.0, focus: tuple | None = None) -> DataFrame:
+    """nodes with ``visible`` (for every plane (normal, offset) some corner has normal * corner > offset) and
+    ``projected``, their detail size (of ``details``; 0 for leaves) times ``scale`` over the distance along the unit
+    vector ``view`` of their point nearest to the focus (the eye without one); infinite behind the eye. ``focus`` (centre,
+    radius, weight) makes nodes smaller whose distance from it, less half their diagonal, exceeds the radius."""
     b = node_boxes(nodes, cube)
-    far = F.sqrt(box_sqr_dist(vec(*eye), tuple(F.col(f"min_{c}") for c in "xyz"), tuple(F.col(f"min_{c}") + F.col("edge") for c in "xyz")))
-    size = F.coalesce("detail_size", F.col("edge") / 16) / F.greatest(far, F.col("edge") / 1024)
-    if focus:
-        centre, radius, weight = focus
-        away = F.sqrt(box_sqr_dist(vec(*centre), tuple(F.col(f"min_{c}") for c in "xyz"), tuple(F.col(f"min_{c}") + F.col("edge") for c in "xyz")))
-        size = F.when(away > radius, size * F.pow(radius / away, F.lit(float(weight)))).otherwise(size)
+    low, high = [F.col(f"min_{c}") for c in "xyz"], [F.col(f"min_{c}") + F.col("edge") for c in "xyz"]
+    visible = F.lit(True)
+    for normal, offset in planes:
+        visible = visible & (sum((float(n) * (h if n > 0 else lo) for n, lo, h in zip(normal, low, high, strict=True)), F.lit(0.0)) > float(offset))
+    centre, radius, weight = focus or (eye, 0.0, 0.0)
+    at = [F.least(F.greatest(F.lit(float(c)), lo), h) for c, lo, h in zip(centre, low, high, strict=True)]
+    depth = sum(((a - float(e)) * float(v) for a, e, v in zip(at, eye, view, strict=True)), F.lit(0.0))
+    detail = F.coalesce("detail_size", F.lit(0.0))
+    size = detail * float(scale) / depth
+    if weight > 0:
+        away = F.sqrt(sum(((a - float(c)) * (a - float(c)) for a, c in zip(at, centre, strict=True)), F.lit(0.0))) - F.col("edge") * (3**0.5 / 2)
+        size = F.when(away > radius, size * F.pow(F.lit(float(radius)) / away, F.lit(float(weight)))).otherwise(size)
     d = details.groupBy("node_key").agg(F.max("detail_size").alias("detail_size"))
-    ranked = b.join(d, "node_key", "left").withColumn("priority", size)
-    return ranked.orderBy(F.desc("priority"), "node_key").limit(most).select("node_key", "level", "priority")
+    joined = b.join(d, "node_key", "left")
+    return joined.select(*nodes.columns, visible.alias("visible"), F.when(depth > 0, size).otherwise(float("inf")).alias("projected"))
+
+
+def lod_cut(nodes: DataFrame, details: DataFrame, cube: Cube, eye: tuple, view: tuple, threshold: float, planes: list[tuple[tuple, float]] = (), scale: float = 1.0, focus: tuple | None = None) -> DataFrame:
+    """The cut of the tree for a view: from the root on, a visible node whose projected size is at least the threshold
+    is replaced by its children, unless it is a leaf. Returns node_key, level, is_leaf and projected of the visible nodes
+    that are shown; every point of the cloud lies in one shown node or outside the view.
+
+    A node is shown if it isn't refined itself and all its ancestors are, which one join on key prefixes tells."""
+    seen = with_view(nodes, details, cube, eye, view, planes, scale, focus)
+    refined = F.col("visible") & (F.col("projected") >= float(threshold)) & ~F.col("is_leaf")
+    ends = seen.where(F.col("visible") & ~refined)
+    inner = seen.where(refined).select(F.col("node_key").alias("ancestor"))
+    each = ends.where("level > 0").select("node_key", "level", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("k")).withColumn("ancestor", F.expr("substring(node_key, 1, k)"))
+    open_ends = each.join(inner, "ancestor").groupBy("node_key", "level").agg(F.count("*").alias("n")).where("n = level").select("node_key")
+    shown = ends.join(open_ends, "node_key", "left_semi").unionByName(ends.where("level = 0"))
+    return shown.select("node_key", "level", "is_leaf", "projected")
+
+
+def shown_points(shown: DataFrame, samples: DataFrame, leaf_points: DataFrame) -> DataFrame:
+    """The points of a cut: the samples of its interior nodes and the points of its leaves (columns of ``leaf_points``)."""
+    columns = [c for c in leaf_points.columns if c in samples.columns]
+    inner = samples.select(*columns).join(shown.where("not is_leaf").select("node_key"), "node_key", "left_semi")
+    return inner.unionByName(leaf_points.select(*columns).join(shown.where("is_leaf").select("node_key"), "node_key", "left_semi"))
+
+
+def coarsening_order(nodes: DataFrame) -> DataFrame:
+    """Nodes in the order in which they are coarsened: those not seen for the longest time (``render_pass``) first, of
+    those the ones of least ``projected`` size."""
+    return nodes.orderBy("render_pass", "projected", "node_key")

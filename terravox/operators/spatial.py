@@ -83,9 +83,11 @@ def knn_radius(queries: DataFrame, points: DataFrame, k: int, radius: float, id_
 def knn_join(queries: DataFrame, points: DataFrame, k: int, id_column: str = "id", keep: Column | None = None) -> DataFrame:
     """The k nearest of every query, without a radius; ``keep`` restricts pairs (as d2 > 0, or other ids).
 
-    Cells start at the width that holds k points on average. A query is settled once its k-th neighbour is no farther
-    than one cell, since all points that near lie in its 27 cells; the others are tried again with cells twice as wide,
-    until the cells cover all points. Every round joins only what is still open.
+    Every query has a search width of its own, a power of two times the width that holds k points on average, and looks
+    into the 27 cells of that width around it. It is settled once its k-th neighbour is no farther than that width. If
+    not, the k-th neighbour's distance, where there is one, bounds the next width, which then settles it; else the width
+    is doubled. So queries in dense and in thin places need a few rounds each, and a query far out widens its own cells
+    only. Every round joins what is still open, and points only in the widths that open queries have.
     """
     b = points.agg(F.count("*"), *[f(F.col(c).cast("double")) for c in "xyz" for f in (F.min, F.max)]).first()
     spans = [max(b[2 + 2 * i] - b[1 + 2 * i], 0.0) for i in range(3)] if b[0] else [0.0] * 3
@@ -93,21 +95,25 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, id_column: str = "id
     reach = max([1e-9] + [max(b[2 + 2 * i], q[1 + 2 * i]) - min(b[1 + 2 * i], q[2 * i]) for i in range(3) if b[0] and q[0] is not None])
     used = [s for s in spans if s > 0]
     width = (math.prod(used) * max(k, 1) / max(b[0], 1)) ** (1 / len(used)) if used else reach
-    side, probe = _side(points, id_column, "nid"), _side(queries, id_column, "qid")
-    settled, open_queries = [], probe
-    while True:
-        pairs = cell_join(open_queries, side, width).withColumn("d2", _d2())
-        found = ranked(pairs.where(keep) if keep is not None else pairs, k)
-        if width > reach:
-            settled.append(found)
-            break
-        found = cut(found)
-        done = found.groupBy("qid").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= width * width)).select("qid")
-        settled.append(found.join(done, "qid", "left_semi"))
-        open_queries = cut(open_queries.join(done, "qid", "left_anti"))
-        if open_queries.isEmpty():
-            break
-        width *= 2
+    last = max(0, math.ceil(math.log2(reach / width)) + 1) if width > 0 else 0  # cells that hold everything
+    side = _side(points, id_column, "nid")
+    settled, open_queries, classes = [], _side(queries, id_column, "qid").withColumn("class", F.lit(0)), [0]
+    while classes:
+        cell = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("class"))
+        located = side.withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
+        located = located.withColumns({n: F.floor(F.col(c) / cell) for n, c in zip(CELL, "xyz", strict=True)}).withColumnsRenamed({c: f"p{c}" for c in "xyz"})
+        probe = open_queries.withColumns({n: F.floor(F.col(c) / cell) for n, c in zip(CELL, "xyz", strict=True)})
+        for c in CELL:
+            probe = probe.withColumn("__d", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))).withColumn(c, F.col(c) + F.col("__d")).drop("__d")
+        pairs = probe.join(located, ["class", *CELL]).withColumn("d2", _d2())
+        found = cut(ranked(pairs.where(keep) if keep is not None else pairs, k).drop(*CELL))
+        far = found.groupBy("qid").agg(F.count("*").alias("n"), F.sqrt(F.max("d2")).alias("far"))
+        state = open_queries.join(far, "qid", "left").withColumn("done", (F.col("class") >= last) | F.coalesce((F.col("n") == k) & (F.col("far") <= cell), F.lit(False)))
+        wider = F.when(F.col("n") == k, F.greatest(F.ceil(F.log2(F.col("far") / float(width))).cast("int"), F.col("class") + 1)).otherwise(F.col("class") + 1)
+        state = cut(state.withColumn("next", F.least(wider, F.lit(last))))
+        settled.append(found.join(state.where("done").select("qid"), "qid", "left_semi").drop("class"))
+        open_queries = state.where("not done").select("qid", "x", "y", "z", F.col("next").alias("class"))
+        classes = sorted(r["class"] for r in open_queries.select("class").distinct().collect())
     return reduce(DataFrame.unionByName, settled)
 
 
@@ -180,11 +186,16 @@ def falling_spheres(probes: DataFrame, points: DataFrame, radius: float, id_colu
     return probes.select(F.col(id_column).alias("qid")).join(top, "qid", "left").select("qid", "centre", (F.col("centre") - radius).alias("surface"))
 
 
-def ray_pick(cloud: DataFrame, origin: tuple, direction: tuple, cos_angle: float, by: str = "dataset_id", id_column: str = "id") -> DataFrame:
-    """Over several clouds, the first point inside a cone around a ray, nearer ones first; one row or none."""
+def ray_pick(cloud: DataFrame, origin: tuple, direction: tuple, cos_angle: float, by: str = "dataset_id", id_column: str = "id", start: float = 0.0) -> DataFrame:
+    """Over several clouds, the first point inside a cone around a ray; one row or none. Points are taken by the
+    ray parameter, to which the distance from the ray is added times the square root of 2 (in units of the direction's
+    length), from ``start`` on; equal ones by cloud and id. ``along`` is the plain ray parameter."""
     from terravox.operators.points import in_cone
 
     d = [F.col(c) - float(o) for c, o in zip("xyz", origin, strict=True)]
-    along = d[0] * float(direction[0]) + d[1] * float(direction[1]) + d[2] * float(direction[2])
-    hits = cloud.where(in_cone(origin, direction, cos_angle)).withColumn("along", along)
-    return hits.orderBy("along", by, id_column).limit(1).select(by, id_column, "along")
+    d2 = sum(float(c) * float(c) for c in direction)
+    xd = d[0] * float(direction[0]) + d[1] * float(direction[1]) + d[2] * float(direction[2])
+    aside2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] - xd * xd / d2
+    adjusted = xd / d2 + F.sqrt(F.greatest(aside2, F.lit(0.0)) * d2 * 2.0)
+    hits = cloud.where(in_cone(origin, direction, cos_angle)).withColumns({"along": xd / d2, "adjusted": adjusted}).where(F.col("adjusted") >= start)
+    return hits.orderBy("adjusted", by, id_column).limit(1).select(by, id_column, "along", "adjusted")

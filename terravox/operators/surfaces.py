@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,16 +19,49 @@ def image_footprints(images: DataFrame) -> DataFrame:
     return images.withColumns({"min_x": F.least(*xs), "max_x": F.greatest(*xs), "min_y": F.least(*ys), "max_y": F.greatest(*ys)})
 
 
+def _in_cells(footprints: DataFrame, width: float) -> DataFrame:
+    """A row for every cell of the plane that a footprint (min_x ... max_y) touches."""
+    cell = lambda c: F.floor(F.col(c) / width)
+    out = footprints.withColumn("__cx", F.explode(F.sequence(cell("min_x"), cell("max_x"))))
+    return out.withColumn("__cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
+
+
+def _mean_extent(footprints: DataFrame) -> float:
+    """Cells as wide as footprints are on average: few cells for an image, few images in a cell."""
+    got = footprints.agg(F.avg(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()[0]
+    return float(got) if got and got > 0 else 1.0
+
+
+def node_images(boxes: DataFrame, images: DataFrame) -> DataFrame:
+    """(node_key, img_id) of nodes (with min_x, min_y and edge) and the images whose footprints overlap them."""
+    f = image_footprints(images).select("img_id", "min_x", "max_x", "min_y", "max_y")
+    width = _mean_extent(f)
+    nodes = boxes.select("node_key", F.col("min_x").alias("nx0"), (F.col("min_x") + F.col("edge")).alias("nx1"), F.col("min_y").alias("ny0"), (F.col("min_y") + F.col("edge")).alias("ny1"))
+    # Each image in its cells against nodes in theirs; nodes far larger than images go by the images' own bounds instead.
+    bounds = f.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
+    if bounds[0] is None:
+        return nodes.select("node_key", F.lit(None).cast(images.schema["img_id"].dataType).alias("img_id")).limit(0)
+    x0, x1, y0, y1 = (float(v) for v in bounds)
+    clipped = nodes.where((F.col("nx0") <= x1) & (F.col("nx1") >= x0) & (F.col("ny0") <= y1) & (F.col("ny1") >= y0))
+    cells = clipped.select("*", F.greatest("nx0", F.lit(x0)).alias("min_x"), F.least("nx1", F.lit(x1)).alias("max_x"), F.greatest("ny0", F.lit(y0)).alias("min_y"), F.least("ny1", F.lit(y1)).alias("max_y"))
+    pairs = _in_cells(cells, width).drop("min_x", "max_x", "min_y", "max_y").join(_in_cells(f, width), ["__cx", "__cy"])
+    overlap = (F.col("nx0") <= F.col("max_x")) & (F.col("nx1") >= F.col("min_x")) & (F.col("ny0") <= F.col("max_y")) & (F.col("ny1") >= F.col("min_y"))
+    return pairs.where(overlap).select("node_key", "img_id").distinct()
+
+
 def raster_colour(points: DataFrame, images: DataFrame, pixels: DataFrame, id_column: str = "id") -> DataFrame:
-    """Points with r, g, b from the first image (by img_id) they fall on, interpolated between four pixels;
-    points on no image keep their own. ``img_id`` is null for those. Images are few and go to the points as a list;
-    pixels are joined on image, column and row."""
-    i = images.select("img_id", "width", "height", *[F.col(k).alias(f"__{k}") for k in "adbecf"])
+    """Points with r, g, b from the first image (by img_id) they fall on, interpolated between four pixels; points on
+    no image keep their own. ``img_id`` is null for those. Points meet images in cells of the plane, pixels are joined on
+    image, column and row."""
+    i = image_footprints(images)
+    width = _mean_extent(i)
+    i = _in_cells(i.select("img_id", "width", "height", "min_x", "max_x", "min_y", "max_y", *[F.col(k).alias(f"__{k}") for k in "adbecf"]), width)
     a, d, b, e, c, f = (F.col(f"__{k}") for k in "adbecf")
     det, dx, dy = a * e - b * d, F.col("x") - c, F.col("y") - f
-    hits = points.join(F.broadcast(i), F.lit(True)).withColumn("u", (e * dx - b * dy) / det).withColumn("v", (a * dy - d * dx) / det)
+    located = points.select(id_column, "x", "y").withColumns({"__cx": F.floor(F.col("x") / width), "__cy": F.floor(F.col("y") / width)})
+    hits = located.join(i, ["__cx", "__cy"]).withColumn("u", (e * dx - b * dy) / det).withColumn("v", (a * dy - d * dx) / det)
     hits = hits.where((F.col("u") >= 0) & (F.col("u") < F.col("width") - 1) & (F.col("v") >= 0) & (F.col("v") < F.col("height") - 1))
-    first = hits.withColumn("__k", F.row_number().over(Window.partitionBy(id_column).orderBy("img_id"))).where("__k = 1")
+    first = hits.groupBy(id_column).agg(F.min(F.struct("img_id", "u", "v")).alias("__k")).select(id_column, "__k.*")
     corners = F.explode(F.array(*[F.struct((F.floor("u") + i).alias("col"), (F.floor("v") + j).alias("row"), ((F.col("u") - F.floor("u") if i else 1 - F.col("u") + F.floor("u")) * (F.col("v") - F.floor("v") if j else 1 - F.col("v") + F.floor("v"))).alias("w")) for i in (0, 1) for j in (0, 1)]))
     parts = first.select(id_column, "img_id", corners.alias("k")).select(id_column, "img_id", "k.*")
     px = pixels.select("img_id", F.col("col").cast("long").alias("col"), F.col("row").cast("long").alias("row"), *[F.col(c).alias(f"p{c}") for c in "rgb"])
@@ -39,6 +70,11 @@ def raster_colour(points: DataFrame, images: DataFrame, pixels: DataFrame, id_co
     return out.select(*[c for c in points.columns if c not in "rgb"], "img_id", *[F.coalesce(f"n{c}", F.col(c)).cast("short").alias(c) for c in "rgb"])
 
 
+def coloured_count(coloured: DataFrame) -> DataFrame:
+    """How many points have a colour from an image."""
+    return coloured.agg(F.count("img_id").alias("n"))
+
+
 def below_counts(cloud: DataFrame, radius: float, tolerance: float, id_column: str = "id") -> DataFrame:
     """(qid, below): points in the capsule below each point."""
     found = capsule_join(cloud, cloud, radius, tolerance, id_column).groupBy("qid").agg(F.count("*").alias("below"))
@@ -62,13 +98,8 @@ def ordered_ground(cloud: DataFrame, radius: float = 1.0, tolerance: float = 0.0
     """A18 in its order-dependent form: points below are taken by ascending id; the first gives the axis, each further one
     extends the widest angle on its side; ground while the two angles together stay below ``max_angle`` degrees."""
     found = capsule_join(cloud, cloud, radius, tolerance, id_column).where("px <> x or py <> y")
-
-    def spans(angles: pd.Series) -> float:
-        a = np.array(sorted(angles, key=lambda p: p["nid"]), object)
-        t = np.array([p["angle"] for p in a])
-        turn = np.angle(np.exp(1j * (t - t[0])))
-        return float(np.degrees(max(0.0, turn.max()) - min(0.0, turn.min())))
-
-    angles = found.groupBy("qid").agg(F.collect_list(F.struct("nid", F.atan2(F.col("py") - F.col("y"), F.col("px") - F.col("x")).alias("angle"))).alias("a"))
-    span = F.pandas_udf(lambda s: s.map(spans), "double")
-    return cloud.select(F.col(id_column).alias("qid")).join(angles.select("qid", span("a").alias("span")), "qid", "left").select("qid", F.coalesce(F.col("span") < max_angle, F.lit(True)).alias("ground"))
+    angles = found.select("qid", "nid", F.atan2(F.col("py") - F.col("y"), F.col("px") - F.col("x")).alias("angle"))
+    off = F.col("angle") - F.first("angle").over(Window.partitionBy("qid").orderBy("nid"))
+    turns = angles.select("qid", F.degrees(F.atan2(F.sin(off), F.cos(off))).alias("turn"))
+    span = turns.groupBy("qid").agg((F.greatest(F.max("turn"), F.lit(0.0)) - F.least(F.min("turn"), F.lit(0.0))).alias("span"))
+    return cloud.select(F.col(id_column).alias("qid")).join(span, "qid", "left").select("qid", F.coalesce(F.col("span") < max_angle, F.lit(True)).alias("ground"))

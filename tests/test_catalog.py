@@ -63,21 +63,20 @@ def test_rows(spark, name):
     assert entry_module.queries()[name](spark, DATA).count() > 0
 
 
-def test_planes_of_whole_tables(spark):
+def test_queries_read_whole_tables(spark):
     e = catalog.E(spark, DATA)
     rows, labels = e.count(), e.select("label").distinct().count()
     count = lambda name: catalog.QUERIES[name](spark, DATA).count()
-    assert count("strike_dip_all") == count("hillshade_all") == rows
-    assert count("plane_intersections_all") == labels * (labels - 1) // 2
-    assert count("plane_line_points_all") == labels * rows
-    assert count("plane_points_all") > 0
-    assert catalog.ALL_P_SQL != catalog.P_SQL and "id <" not in catalog.ORACLES["strike_dip_all"]
-
-
-def test_sites_and_parents_of_whole_tables(spark):
-    rows = catalog.E(spark, DATA).count()
-    assert catalog.QUERIES["radial_lanczos_all"](spark, DATA).count() == rows
-    parents = {r.id for r in catalog.QUERIES["lod_subsample"](spark, DATA).select("id").collect()}
-    found = {r.qid for r in catalog.QUERIES["node_normals"](spark, DATA).collect()}
-    assert found <= parents and any(i % 8 for i in found)
-    assert "id %" not in catalog.ORACLES["eps_match_all"] + catalog.ORACLES["radial_lanczos_all"]
+    assert count("strike_dip") == count("hillshade") == count("radial_lanczos") == count("raster_color") == count("primitive_distances") == rows
+    assert count("plane_intersections") == labels * (labels - 1) // 2
+    assert count("plane_line_points") == labels * rows
+    assert count("plane_points") > 0
+    assert not any(f in sql for sql in catalog.ORACLES.values() for f in ("WHERE id <", "WHERE id %", "WHERE a.id %", "WHERE x = 10"))
+
+
+def test_training_data_oracles(spark, tables):
+    registry = pytest.importorskip("terravox.llm.registry")
+    for name, sql in registry.ORACLES.items():
+        got, want = entry_module.queries()[name](spark, DATA).toPandas(), tables.execute(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        assert plain(got) == plain(want), name

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terravox.functions.vectors import angular_diameter_distance
+from terravox.functions import colors
+from terravox.functions.vectors import scaled_distance
 from terravox.operators import fits, grid, neighborhood, octree, points, spatial, surfaces
 from terravox.sources import auto, binary, text, writers
 
@@ -126,8 +127,228 @@ def test_ground_under_and_above(spark):
 
 
 def test_redshift_integral(spark):
-    assert abs(spark.range(1).select(angular_diameter_distance(F.lit(0.0)).alias("d")).first().d) < 1e-12
-    assert 0.3 < spark.range(1).select(angular_diameter_distance(F.lit(1.0)).alias("d")).first().d < 0.5
+    def plain(z):
+        return sum(z / 100 / math.sqrt(0.3 * (1 + i * z / 100) ** 3 + 0.7) for i in range(100)) * 3.0e5 / 71
+
+    for z in (0.0, 0.5, 1.0, 3.0):
+        assert math.isclose(spark.range(1).select(scaled_distance(F.lit(z)).alias("d")).first().d, plain(z), abs_tol=1e-9)
+
+
+def test_colours_of_the_reference(spark):
+    depth = {0.0: None, -1.0: (239, 254, 255), -525.0: (0, 160, 255), -1050.0: (0, 0, 255), -1575.0: (0, 0, 64), -9999.0: (0, 0, 64), -787.5: (0, 80, 255), -1312.5: (0, 0, 159)}
+    for z, want in depth.items():
+        if want:
+            assert tuple(spark.range(1).select(*colors.bathymetry(F.lit(z))).first()) == want
+    for luma, want in ((0.0, (0, 127, 0)), (100.0, (0, 227, 0)), (127.5, (0, 255, 0)), (255.0, (127, 255, 127))):
+        assert tuple(spark.range(1).select(*colors.highlight(F.lit(luma))).first()) == want
+    assert tuple(spark.range(1).select(*colors.ground_colour(F.lit(100.0), F.lit(True))).first()) == (50, 33, 0)
+    assert tuple(spark.range(1).select(*colors.ground_colour(F.lit(100.4), F.lit(False))).first()) == (0, 100, 0)
+    for level, want in ((1, (1, 0, 0)), (3, (1, 0.5, 0)), (4, (0.5, 1, 0)), (5, (0, 1, 0)), (9, (0, 1, 0))):
+        assert tuple(spark.range(1).select(*colors.category_colour(F.lit(level))).first()) == want
+
+
+def brute_thin(p, ids, most):
+    """Subsampling of one node as the plain loops do it."""
+    left, detail = list(range(len(p))), 0.0
+    while len(left) > most:
+        near = {i: min(math.dist(p[i], p[j]) for j in left if j != i) for i in left}
+        gone, count = set(), len(left)
+        for i in sorted(left, key=lambda i: (near[i], ids[i])):
+            if count <= most:
+                break
+            if i not in gone:
+                detail = max(detail, 1.9 * near[i])
+                out = {j for j in left if j != i and j not in gone and math.dist(p[i], p[j]) <= 1.9 * near[i]}
+                gone |= out
+                count -= len(out)
+        left = [i for i in left if i not in gone]
+    return left, detail
+
+
+@pytest.mark.parametrize("shape", ["cube", "sheet", "clusters"])
+def test_thinning_is_the_plain_loop(shape):
+    p = random_points(400, 11)
+    if shape == "sheet":
+        p[:, 2] = 0
+    if shape == "clusters":
+        p = np.vstack([p[:150] * 0.001, p[150:300] + 100, np.full((20, 3), 7.0), [[1e6, 0, 0]]])
+    ids = np.random.default_rng(1).permutation(len(p))
+    for most in (1, 40, 300, 1000):
+        kept, detail = octree.thin(p, ids, most)
+        want, size = brute_thin(p.tolist(), ids.tolist(), most)
+        assert sorted(kept.tolist()) == want and math.isclose(detail, size)
+
+
+def test_thinning_of_a_large_group_is_bounded():
+    import tracemalloc
+
+    p = random_points(32_768, 12)
+    tracemalloc.start()
+    kept, _ = octree.thin(p, np.arange(len(p)), 4096)
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and 0 < len(kept) <= 4096
+    tracemalloc.stop()
+
+
+def lod_tree(spark, n=600):
+    df = cloud(spark, np.vstack([random_points(n, 13), random_points(n, 14) * 0.1, np.full((90, 3), 0.7)])).withColumn("shade", (F.col("id") * 3).cast("int"))
+    cube = (0.0, 0.0, 0.0, 1.0)
+    keyed = df.withColumn("key", octree.octree_key(cube, 5))
+    nodes = octree.node_table(keyed, 5, 30)
+    leaves = octree.assign_leaves(keyed, nodes, 5)
+    return df, cube, nodes, leaves, octree.lod_samples(leaves, nodes, 30)
+
+
+def test_samples_carry_attributes_and_thin_crowded_leaves(spark):
+    df, _, nodes, leaves, lod = lod_tree(spark)
+    assert nodes.where("is_leaf and n > 30").count() > 0
+    of = {r.id: (r.x, r.y, r.z, r.shade) for r in df.collect()}
+    rows = lod.collect()
+    assert rows and all((r.x, r.y, r.z, r.shade) == of[r.id] for r in rows)
+    below = {}  # bottom up by the plain loop
+    own = {}
+    for r in leaves.collect():
+        own.setdefault(r.node_key, {})[r.id] = (r.x, r.y, r.z)
+    for r in nodes.where("is_leaf").collect():
+        points_of = own[r.node_key]
+        if r.n > 30:
+            first = {}
+            for i in sorted(points_of):
+                first.setdefault(points_of[i], i)
+            ids = sorted(first.values())
+            kept, _ = brute_thin([points_of[i] for i in ids], ids, 30)
+            points_of = {ids[k]: points_of[ids[k]] for k in kept}
+        below[r.node_key] = (points_of, 0.0)
+    for r in sorted(nodes.where("not is_leaf").collect(), key=lambda r: -r.level):
+        some = {i: q for k in "01234567" if r.node_key + k in below for i, q in below[r.node_key + k][0].items()}
+        ids = sorted(some)
+        kept, detail = brute_thin([some[i] for i in ids], ids, 30)
+        below[r.node_key] = ({ids[k]: some[ids[k]] for k in kept}, max([detail, *(below[r.node_key + k][1] for k in "01234567" if r.node_key + k in below)]))
+        got = [x for x in rows if x.node_key == r.node_key]
+        assert {x.id for x in got} == set(below[r.node_key][0])
+        assert all(math.isclose(x.detail_size, below[r.node_key][1]) for x in got)
+
+
+@pytest.mark.parametrize("focus", [None, ((0.2, 0.2, 0.2), 0.1, 2.0)])
+def test_the_cut_is_the_recursion(spark, focus):
+    df, cube, nodes, leaves, lod = lod_tree(spark)
+    eye, view, threshold, planes = (-0.5, 0.5, 0.5), (1.0, 0.0, 0.0), 0.15, [((0.0, 1.0, 0.0), 0.2), ((0.0, -1.0, 0.3), -0.8)]
+    table = {r.node_key: r for r in octree.node_boxes(nodes, cube).collect()}
+    detail = {r.node_key: r.detail_size for r in lod.select("node_key", "detail_size").distinct().collect()}
+    shown = {}
+
+    def show(key):
+        r = table.get(key)
+        if r is None:
+            return
+        low, high = [r.min_x, r.min_y, r.min_z], [r[f"min_{c}"] + r.edge for c in "xyz"]
+        for n, o in planes:
+            if sum(a * (h if a > 0 else lo) for a, lo, h in zip(n, low, high, strict=True)) <= o:
+                return
+        centre, radius, weight = focus or (eye, 0, 0)
+        q = [min(max(c, lo), h) for c, lo, h in zip(centre, low, high, strict=True)]
+        depth = sum((a - b) * c for a, b, c in zip(q, eye, view, strict=True))
+        size = detail.get(key, 0.0) / depth if depth > 0 else math.inf
+        away = math.dist(q, centre) - r.edge * math.sqrt(3) / 2
+        if depth > 0 and weight and away > radius:
+            size *= (radius / away) ** weight
+        if size >= threshold and not r.is_leaf:
+            for k in "01234567":
+                show(key + k)
+        else:
+            shown[key] = size
+
+    show("")
+    cut = octree.lod_cut(nodes, lod, cube, eye, view, threshold, planes, focus=focus)
+    got = {r.node_key: r.projected for r in cut.collect()}
+    assert set(got) == set(shown) and 3 < len(got) < len(table)
+    assert all(math.isclose(got[k], shown[k]) for k in got)
+    whole = octree.lod_cut(nodes, lod, cube, eye, view, 0.0)  # refined down to the leaves: every point is shown
+    assert octree.shown_points(whole, lod, leaves).count() == df.count()
+    assert [r.node_key for r in octree.coarsening_order(cut.withColumn("render_pass", F.length("node_key"))).collect()][0] == min(got, key=lambda k: (len(k), got[k], k))
+
+
+def test_normals_of_samples(spark):
+    _, _, _, leaves, lod = lod_tree(spark, 200)
+    rng = np.random.default_rng(15)
+    rows = [(r.id, *(rng.normal(size=3) * rng.random()).tolist()) for r in leaves.select("id").collect()]
+    own = leaves.join(spark.createDataFrame(rows, "id long, nx double, ny double, nz double"), "id")
+    got = {(r.node_key, r.id): np.array([r.nx, r.ny, r.nz]) for r in neighborhood.node_normals(own, lod).collect()}
+    below = {}
+    for r in own.collect():
+        below.setdefault(r.node_key, []).append((r.id, np.array([r.x, r.y, r.z]), np.array([r.nx, r.ny, r.nz]), 0.0))
+    samples = {}
+    for r in lod.collect():
+        samples.setdefault(r.node_key, []).append(r)
+    assert sum(map(len, samples.values())) == len(got)
+    for key in sorted(samples, key=len, reverse=True):
+        children = [c for k in "01234567" for c in below.get(key + k, [])]
+        for r in samples[key]:
+            at = np.array([r.x, r.y, r.z])
+            _, _, mine, size = next(c for c in children if c[0] == r.id)
+            total = sum(n / np.linalg.norm(n) * (1 if n @ mine >= 0 else -1) for _, p, n, _ in children if ((p - at) ** 2).sum() <= (1.5 * r.detail_size) ** 2)
+            want = total / np.linalg.norm(total) * (np.linalg.norm(mine) - size + r.detail_size)
+            assert np.allclose(got[key, r.id], want)
+            below.setdefault(key, []).append((r.id, at, want, r.detail_size))
+
+
+def test_ridges_are_brute_force(spark):
+    rng = np.random.default_rng(16)
+    ridge = np.stack([rng.uniform(-8, 8, 60), rng.normal(0, 0.05, 60), np.full(60, 1.0)], axis=1)
+    p = np.vstack([ridge, rng.uniform(-8, 8, (160, 3)) * [1, 1, 0]])
+    radius = 4.0
+    got = {r.qid: r.ridge for r in neighborhood.ridges(cloud(spark, p), radius).collect()}
+    found = 0
+    for i in range(len(p)):
+        near = p[((p - p[i]) ** 2).sum(1) <= radius**2]
+        centre = near.mean(axis=0)
+        axes = np.linalg.eigh((near - centre).T @ (near - centre) / len(near))[1]
+        n, a, b = axes[:, 0], axes[:, 2], axes[:, 1]
+        n = n * (np.sign(n[2]) or 1)
+        lines = []
+        sides = [near[(near - centre) @ n < 0], near[(near - centre) @ n >= 0]]
+        for side in sides:
+            if len(side) < 2:
+                lines.append((False, 0.0))
+                continue
+            uv = np.stack([(side - p[i]) @ a, (side - p[i]) @ b], axis=1)
+            values, vectors = np.linalg.eigh(np.cov(uv.T, bias=True))
+            lines.append((values[1] >= 0.75 * radius and abs(values[0]) <= 0.333 * radius, abs(vectors[:, 0] @ uv.mean(axis=0))))
+        want = min(map(len, sides)) >= 2 and lines[0][0] != lines[1][0] and (lines[0][1] if lines[0][0] else lines[1][1]) <= 1.0
+        assert got[i] == want
+        found += want
+    assert 0 < found < len(p)
+
+
+def test_picks_end_with_the_primitives(spark):
+    base = dict.fromkeys(binary.PRIMITIVE_COLUMNS)
+    rows = [
+        {**base, "id": 0, "prim_type": 3, "center_x": 0.0, "center_y": 0.0, "center_z": 0.0, "axis_x": 1.0, "axis_y": 0.0, "axis_z": 0.0, "length": 2.0},
+        {**base, "id": 1, "prim_type": 2, "center_x": 0.0, "center_y": 0.0, "center_z": 9.0, "axis_x": 0.0, "axis_y": 0.0, "axis_z": 1.0, "length": 2.0, "radius": 1.0},
+        {**base, "id": 2, "prim_type": 0, "nx": 0.0, "ny": 0.0, "nz": 1.0, "offset": 5.0, **{f"corner{i}_{c}": v for i, p in enumerate([(-1, -1, 5), (1, -1, 5), (-1, 1, 5), (1, 1, 5)]) for c, v in zip("xyz", map(float, p), strict=True)}},
+    ]
+    df = spark.createDataFrame([[r[n] for n in ("id", "prim_type", *binary.PRIMITIVE_COLUMNS)] for r in rows], binary.primitive_schema())
+    at = lambda p: {r.id: r.d for r in df.select("id", fits.primitive_distance(p).alias("d")).collect()}
+    assert math.isclose(at((4.0, 0, 4.0))[0], 5.0) and math.isclose(at((0.5, 0, 2.0))[0], 2.0)
+    assert math.isclose(at((4.0, 0, 14.0))[1], 5.0)
+    assert math.isclose(at((0.5, 0.5, 7.0))[2], 2.0) and math.isclose(at((2.5, 0, 5.0))[2], 3.0)  # 1.5 beyond an edge of length 2
+    assert fits.pick_primitive(df, (0.0, 0.0, 2.0), 2.0).count() == 0 and fits.pick_primitive(df, (0.0, 0.0, 2.0), 2.01).first().id == 0
+
+
+def test_planes_meet_as_solved(spark):
+    rng = np.random.default_rng(17)
+    n = rng.normal(size=(6, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    o = rng.normal(size=6)
+    df = spark.createDataFrame([(i, *map(float, n[i]), float(o[i])) for i in range(6)], "id int, nx double, ny double, nz double, offset double")
+    for r in fits.plane_pairs(df).collect():
+        at, along = np.array([r.px, r.py, r.pz]), np.array([r.dx, r.dy, r.dz])
+        assert np.allclose(n[[r.a, r.b]] @ at, o[[r.a, r.b]]) and np.allclose(n[[r.a, r.b]] @ along, 0) and abs(at @ along) < 1e-9
+    assert fits.plane_pairs(df).count() == 15 and fits.plane_triples(df).count() == 20
+    for r in fits.plane_triples(df).collect():
+        assert np.allclose([r.x, r.y, r.z], np.linalg.solve(n[[r.a, r.b, r.c]], o[[r.a, r.b, r.c]]))
+    lines = spark.createDataFrame([(7, 0.0, 1.0, 2.0, 0.0, 0.0, 1.0)], "line int, cx double, cy double, cz double, ax double, ay double, az double")
+    for r in fits.plane_line(df, lines).collect():
+        assert (r.x, r.y) == (0.0, 1.0) and math.isclose(n[r.plane] @ [r.x, r.y, r.z], o[r.plane], abs_tol=1e-9)
 
 
 def test_selection_and_import(spark):
