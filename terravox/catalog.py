@@ -7,9 +7,11 @@ discount in per cent) and ``events`` (user, hours since the start of 2024, value
 from __future__ import annotations
 
 import math
+import struct
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from terravox.functions import colors, vectors
 from terravox.functions.vectors import vec
 from terravox.operators import fits, grid, neighborhood, octree, points, spatial, surfaces
 from terravox.plans.storage import cut, shared_root
-from terravox.sources import binary, text, writers
+from terravox.sources import auto, binary, text, writers
 from terravox.streaming import extents as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -800,3 +802,184 @@ def text_round_trip(s, d):
 @query(f"WITH {V_SQL} SELECT count(*) AS n, " + ", ".join(f"round({f}({c}), 6) AS {f}_{c}" for c in "xyz" for f in ("min", "max")) + " FROM v")
 def streaming_extents(s, d):
     return streaming.running_extents(s, f"{d}/events.parquet", F.col("user_id").cast("double"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) / 3600000000D"), F.col("value"))
+
+
+# Formats: what one writer writes, its reader gives back
+
+F32 = lambda c: f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+
+
+def _grey_cloud(s, d) -> DataFrame:
+    return E(s, d).select("id", "x", "y", "z", (F.col("label") * 10).alias("r"), (F.col("label") * 20).alias("g"), (F.col("label") * 5).alias("b"), "label")
+
+
+@query(f"WITH {E_SQL} SELECT " + ", ".join(f"round({F32(c)}, 5) AS {c}" for c in "xyz") + f", round({F32('label * 10 * 0.3 + label * 20 * 0.59 + label * 5 * 0.11')}, 3) AS i FROM e")
+def bin_grey_round_trip(s, d):
+    path = _file(s, "grey.bin")
+    writers.write_bin(_grey_cloud(s, d), path)
+    return auto.read_points(s, path).select(*[F.round(c, 5).alias(c) for c in "xyz"], F.round("r", 3).alias("i"))
+
+
+LAS_KIND = np.dtype([("ix", "<i4"), ("iy", "<i4"), ("iz", "<i4"), ("i", "<u2"), ("flags", "u1"), ("class", "u1"), ("rest", "V4"), ("t", "<f8"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")])
+
+
+@query(f"WITH {E_SQL} SELECT round(floor(x / 0.0001 + 0.5) * 0.0001, 6) AS x, round(floor(y / 0.0001 + 0.5) * 0.0001, 6) AS y, CAST(label * 300 AS DOUBLE) AS r, CAST(label * 200 AS DOUBLE) AS g, CAST(label AS DOUBLE) AS b, CAST(label * 7 AS INTEGER) AS intensity, CAST(label AS INTEGER) AS classification, id * 0.5::DOUBLE AS gps_time FROM e WHERE label IN (2, 5)")
+def las_colour_round_trip(s, d):
+    """Point format 3 (time and colour), two classes of it."""
+    path, label = _file(s, "colour.las"), F.col("label")
+    q = writers.las_quantised(E(s, d), 0.0001, (0.0, 0.0, 0.0)).select("ix", "iy", "iz", (label * 7).alias("i"), label.alias("class"), (F.col("id") * 0.5).alias("t"), (label * 300).alias("r"), (label * 200).alias("g"), label.alias("b"))
+    head = writers.las_head(q.count(), 0.0001, (0.0, 0.0, 0.0), (1.0, -1.0) * 3, 3)
+    writers.write_records(q, q.columns, path, head, writers.packed(LAS_KIND))
+    return binary.read_records(s, path, "las", classes=0b100100).select("x", "y", "r", "g", "b", "intensity", "classification", "gps_time")
+
+
+@query(f"WITH {E_SQL} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(label AS DOUBLE) AS r FROM e")
+def xyzi_gzip_round_trip(s, d):
+    path = _file(s, "cloud.xyzi.gz")
+    lines = E(s, d).select(F.concat_ws(" ", *[F.format_string("%.12f", F.col(c)) for c in "xyz"], "label").alias("value"))
+    lines.write.option("compression", "gzip").text(path)
+    return auto.read_points(s, path).select(*[F.round(c, 6).alias(c) for c in "xyz"], "r")
+
+
+@query(f"WITH {E_SQL} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM e")
+def csv_round_trip(s, d):
+    path = _file(s, "cloud.csv")
+    writers.write_text(E(s, d).select(F.concat_ws(",", "id", *[F.format_string("%.12f", F.col(c)) for c in "zyx"]).alias("value")), path)
+    return auto.read_points(s, path, (3, 2, 1)).select(*[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {E_SQL} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM e")
+def blocked_text_round_trip(s, d):
+    path = _file(s, "blocked.txt")
+    line = F.concat_ws(" ", *[F.format_string("%.12f", F.col(c)) for c in "xyz"])
+    blocks = E(s, d).groupBy("label").agg(F.concat_ws("\n", F.count("*").cast("string"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    writers.write_text(blocks.select("value"), path)
+    return text.read_blocked(s, path).select(*[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {E_SQL}, g AS (SELECT {F32('x')} AS dec, {F32('y')} AS ra, {F32('abs(z)')} * 3200 AS z, CAST(label * 3 AS DOUBLE) AS m_vir, label FROM e) SELECT round(dec * z, 4) AS x, round(ra * z, 4) AS y, round(z, 4) AS z, round(label - label * 2 + 1.13, 4) AS r, round((-label - 14.62) * 0.3, 4) AS g, round(label * 3 - label + 0.73, 4) AS b, m_vir FROM g")
+def galaxy_round_trip(s, d):
+    path, label = _file(s, "galaxies.idl"), F.col("label")
+    rows = E(s, d).select(F.col("x").alias("dec"), F.col("y").alias("ra"), F.abs("z").alias("z"), (label * 3).alias("m_vir"), (label * 3).alias("m1"), label.alias("m2"), (label * 2).alias("m3"))
+
+    def record(c: dict) -> bytes:
+        out = np.zeros(len(c["dec"]), binary.GALAXY)
+        for name in ("dec", "ra", "z", "m_vir"):
+            out[name] = c[name]
+        out["abs_sdss"][:, 1], out["abs_sdss"][:, 2], out["abs_sdss"][:, 3] = c["m1"], c["m2"], c["m3"]
+        return out.tobytes()
+
+    writers.write_records(rows, rows.columns, path, struct.pack("<I", rows.count()), record)
+    return binary.read_galaxies(s, path).select(*[F.round(c, 4).alias(c) for c in "xyzrgb"], "m_vir")
+
+
+@query(f"WITH {E_SQL} SELECT round({F32('x')}, 5) AS x, round({F32('y')}, 5) AS y, round({F32('z')}, 5) AS z, CAST(label * 10 AS DOUBLE) AS r, CAST(label * 20 AS DOUBLE) AS g, CAST(label * 5 AS DOUBLE) AS b FROM e")
+def ply_round_trip(s, d):
+    path, rows = _file(s, "cloud.ply"), _grey_cloud(s, d)
+    kind = np.dtype([(c, ">f4") for c in "xyz"] + [(c, "u1") for c in "rgb"])
+    names = "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue"))
+    head = f"ply\nformat binary_big_endian 1.0\nelement vertex {rows.count()}\n{names}end_header\n".encode()
+    writers.write_records(rows, [*"xyzrgb"], path, head, writers.packed(kind))
+    return auto.read_points(s, path).select(*[F.round(c, 5).alias(c) for c in "xyz"], "r", "g", "b")
+
+
+@query(f"WITH {E_SQL} SELECT round({F32('x')}, 5) AS x, round({F32('y')}, 5) AS y, round({F32('z')}, 5) AS z, CAST(label AS DOUBLE) AS g FROM e")
+def octree_file_round_trip(s, d):
+    """A tree of a root and its eight children."""
+    folder = _file(s, "octree")
+    octant = (F.col("x") >= 0).cast("int") + 2 * (F.col("y") >= 0).cast("int") + 4 * (F.col("z") >= 0).cast("int")
+    rows = E(s, d).withColumn("octant", octant).repartitionByRange("octant").sortWithinPartitions("octant")
+    counts = {r.octant: r.n for r in rows.groupBy("octant").agg(F.count("*").alias("n")).collect()}
+    files, name = binary.open_path(folder)
+    files.create_dir(name)
+    index, first = [struct.pack("<QfIQ", 52, 1.0, 0, 0)], 0
+    for k in range(8):
+        index.append(struct.pack("<QfIQ", 0, 0.0, counts.get(k, 0), first))
+        first += counts.get(k, 0)
+    with files.open_output_stream(f"{name}/Index") as out:
+        out.write(bytes(28) + b"".join(index))
+    kind = np.dtype([(c, "<f4") for c in "xyz"] + [(c, "u1") for c in "rgba"])
+    writers.write_records(rows.select("x", "y", "z", F.col("label").alias("g")), ["x", "y", "z", "g"], f"{folder}/Points", struct.pack("<I", 16), writers.packed(kind))
+    return auto.read_points(s, folder).select(*[F.round(c, 5).alias(c) for c in "xyz"], "g")
+
+
+@query(f"WITH {E_SQL} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM e")
+def positions_round_trip(s, d):
+    path = _file(s, "positions")
+    writers.write_text(writers.fixed_lines(E(s, d), "xyz", 6), path)
+    return text.read_positions(s, path)
+
+
+@query(f"WITH {NEAR[5:]} SELECT round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM e JOIN n ON e.id = n.qid WHERE neighbours < 4")
+def outlier_file_round_trip(s, d):
+    path = _file(s, "outliers.bin")
+    found = E(s, d).join(neighborhood.outliers(E(s, d), R, 4), "id").withColumns({c: F.lit(1.0) for c in "rgb"})
+    writers.write_bin(found, path)
+    return auto.read_points(s, path).select(*[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {E_SQL} SELECT round(x, 6) AS x, round(y, 6) AS y, CAST(label AS DOUBLE) AS damage FROM e")
+def attribute_table_round_trip(s, d):
+    path = _file(s, "attributes.csv")
+    E(s, d).select(F.col("id").alias("OBJECT"), F.col("x").alias("POINT_X"), F.col("y").alias("POINT_Y"), F.col("label").alias("DamageID1")).write.option("header", "true").option("quoteAll", "true").csv(path)
+    return text.read_attributes(s, path)
+
+
+@query(f"WITH {E_SQL} SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS id, CAST(4 AS INTEGER) AS prim_type, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(avg(z), 6) AS center_z FROM e GROUP BY label")
+def primitive_file_round_trip(s, d):
+    path = _file(s, "primitives")
+    centres = E(s, d).groupBy("label").agg(*[F.avg(c).alias(f"center_{c}") for c in "xyz"]).withColumn("id", F.col("label").cast("long"))
+    empty = {c: F.lit(None).cast("double") for c in binary.PRIMITIVE_COLUMNS if not c.startswith("center")}
+    writers.write_primitives(centres.withColumns(empty).withColumn("prim_type", F.lit(4)), path)
+    return binary.read_primitives(s, path).select("id", "prim_type", "center_x", "center_y", "center_z")
+
+
+@query(ORACLES["recommended_offset"].replace("(round(", "(round("))
+def offset_file_round_trip(s, d):
+    path, o = _file(s, "offset"), points.recommended_offset(L(s, d)).first()
+    writers.write_offset(tuple(o), path)
+    return s.createDataFrame([binary.read_offset(path)], "offset_x double, offset_y double, offset_z double")
+
+
+@query(f"{COUNTS_SQL} SELECT node_key AS prefix, CAST(n AS BIGINT) AS n FROM c WHERE level = 1")
+def octree_table_round_trip(s, d):
+    path = _file(s, "tree")
+    writers.write_octree_table(_keyed(s, d), _nodes(s, d), path)
+    return s.read.parquet(f"{path}/points").groupBy(F.col("prefix").cast("string").alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@query(f"{LANCZOS_SQL} SELECT gx, gy, floor((z + 1) * 1000 + 0.5) / 1000 AS z FROM z WHERE z IS NOT NULL AND floor((z + 1) * 1000 + 0.5) <> 0")
+def bil_round_trip(s, d):
+    path = _file(s, "grid.bil")
+    writers.write_bil(_grid(s, d), _SHAPE, _ORIGIN, CELL, path, -1.0)
+    return binary.read_bil(s, path)
+
+
+@query(f"{LANCZOS_SQL} SELECT gx, gy, round({F32('z')}, 4) AS z FROM z WHERE z IS NOT NULL")
+def tiles_round_trip(s, d):
+    path = _file(s, "tiles")
+    writers.write_tiles(_grid(s, d), path)
+    return binary.read_tiles(s, path).withColumn("z", F.round("z", 4))
+
+
+@query(f"WITH {L_SQL}, b AS (SELECT class, " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in "xyz") + " FROM l GROUP BY class) SELECT printf('Transform { translation %.6f %.6f %.6f children [ Shape { geometry Box { size %.6f %.6f %.6f } } Shape { geometry Text { string \"%s\" } } ] }', " + ", ".join(f"(lo_{c} + hi_{c}) / 2" for c in "xyz") + ", " + ", ".join(f"hi_{c} - lo_{c}" for c in "xyz") + ", class) AS value FROM b")
+def coverage_lines(s, d):
+    return writers.coverage_boxes(points.extents(L(s, d), "class").withColumnRenamed("class", "name"))
+
+
+@query(f"WITH {E_SQL} SELECT id, round(x, 6) AS x, CASE WHEN label > 6 THEN label ELSE -1 END AS label FROM e")
+def side_file_round_trip(s, d):
+    path = _file(s, "side")
+    writers.write_side(E(s, d).where("label > 6"), ["label"], path)
+    return writers.with_side(E(s, d).select("id", "x"), path).withColumn("label", F.coalesce("label", F.lit(-1)))
+
+
+@query(f"WITH {E_SQL} SELECT id, round({F32('x')}, 6) AS x, round({F32('y')}, 6) AS y, round({F32('z')}, 6) AS z FROM e")
+def single_precision(s, d):
+    return points.import_points(E(s, d)).select("id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY ALL")
+def streaming_counts(s, d):
+    got = streaming.running_counts(s, f"{d}/events.parquet", "ts", "1 day", "1 hour")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -24,6 +24,13 @@ def read(spark: SparkSession, path: str, a: argparse.Namespace) -> DataFrame:
     return cloud if "id" in cloud.columns else cloud.withColumn("id", F.monotonically_increasing_id())
 
 
+def _print(rows: DataFrame) -> None:
+    """All rows, tab separated under their names, without holding them together."""
+    print("\t".join(rows.columns))
+    for r in rows.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in r))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="terravox", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -71,18 +78,18 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     elif a.command == "range":
         clouds = [read(spark, f, a).withColumn("name", F.lit(f)) for f in a.inputs]
         boxes = points.extents(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), clouds), "name", rollup=True)
-        (boxes.drop("n") if a.box_only else boxes).show(1000, False)
+        _print(boxes.drop("n") if a.box_only else boxes)
         if a.show_coverage:
             writers.write_text(writers.coverage_boxes(boxes.where("name is not null")), a.show_coverage)
     elif a.command == "primitives":
         found = binary.read_primitives(spark, a.file)
-        found.show(1000, False)
+        _print(found)
         if a.output:
             writers.write_primitives(found, a.output, only=[int(i) for i in a.indices or []])
     else:
         cloud = read(spark, a.cloud, a)
         if a.command == "similarity":
-            spatial.similarity(cloud, read(spark, a.other, a), float(a.eps)).show()
+            _print(spatial.similarity(cloud, read(spark, a.other, a), float(a.eps)))
             return
         if a.command == "normals":
             out = cloud.join(neighborhood.normals(cloud, a.radius or None, a.neighbors or None).withColumnRenamed("qid", "id"), "id")

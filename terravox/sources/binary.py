@@ -79,6 +79,8 @@ def las_header(head: bytes) -> LasHeader | None:
     kind, length, count = struct.unpack_from("<BHI", head, 104)
     if offset < 227 or kind not in LAS_FORMATS or LAS_FORMATS[kind][0] != length:
         return None
+    if not count and head[24:26] == b"\1\4" and len(head) >= 375:
+        count, = struct.unpack_from("<Q", head, 247)
     d = struct.unpack_from("<12d", head, 131)
     return LasHeader(offset, kind, length, count, d[:3], d[3:6], d[6:])
 
@@ -292,6 +294,71 @@ OLD_NODE = np.dtype([("children", "<u8"), ("detail", "<f4"), ("data", "<u8"), ("
 _LIDAR_POINT = np.dtype([(c, "<f4") for c in "xyz"] + [(c, "u1") for c in "rgba"])
 
 
+def read_bil(spark: SparkSession, path: str, offset: float = 0.0) -> DataFrame:
+    """The vertices (gx, gy, z) of a 32-bit raster of millimetres with a header beside it, by ranges of its rows; 0 is no
+    height."""
+    files, name = open_path(path)
+    with files.open_input_stream(f"{name.rsplit('.', 1)[0]}.hdr") as f:
+        fields = dict(line.split(maxsplit=1) for line in f.read().decode().splitlines() if line.strip())
+    nx, ny = int(fields["NCOLS"]), int(fields["NROWS"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, place = open_path(path)
+        with own.open_input_file(place) as f:
+            for b in batches:
+                for gy in b.column(0).to_pylist():
+                    f.seek((ny - 1 - gy) * nx * 4)
+                    line = np.frombuffer(f.read(nx * 4), "<u4").astype("<i4")
+                    gx = np.flatnonzero(line)
+                    yield pa.RecordBatch.from_arrays([pa.array(gx.astype(np.int32)), pa.array(np.full(len(gx), gy, np.int32)), pa.array(line[gx] / 1000 + offset)], ["gx", "gy", "z"])
+
+    return spark.range(ny).mapInArrow(rows, "gx int, gy int, z double")
+
+
+def read_tiles(spark: SparkSession, path: str, size: tuple[int, int] = (256, 4)) -> DataFrame:
+    """The vertices (gx, gy, z) of a table of big-endian float tiles."""
+
+    def vertices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tx, ty, data in zip(*(b.column(k).to_pylist() for k in ("tile_x", "tile_y", "data")), strict=True):
+                a = np.frombuffer(data, ">f4").reshape(size[::-1]).astype(float)
+                v, u = np.nonzero(a > -3.4e38)
+                yield pa.RecordBatch.from_arrays([pa.array((u + tx * size[0]).astype(np.int32)), pa.array((v + ty * size[1]).astype(np.int32)), pa.array(a[v, u])], ["gx", "gy", "z"])
+
+    return spark.read.parquet(path).select("tile_x", "tile_y", "data").mapInArrow(vertices, "gx int, gy int, z double")
+
+
+def world_file(path: str) -> tuple[float, float, float, float, float, float]:
+    """A, d, b, e, c, f of the world file (.tfw) beside an image: world x = a col + b row + c, y = d col + e row + f,
+    for the centres of pixels, row 0 at the top."""
+    files, name = open_path(path)
+    with files.open_input_stream(name.rsplit(".", 1)[0] + ".tfw") as f:
+        numbers = [float(v) for v in f.read().split()[:6]]
+    if len(numbers) != 6:
+        raise ValueError(f"the world file of {path!r} has no six numbers")
+    return tuple(numbers)
+
+
+def read_images(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Images (img_id by the order of the paths, a, d, b, e, c, f, width, height) with their world files, and their
+    pixels (img_id, col, row, r, g, b). Images are what Spark's image source opens; one task reads one image."""
+    places = [(k, p.rsplit("/", 1)[-1], *world_file(p)) for k, p in enumerate(paths)]
+    known = spark.createDataFrame(places, "img_id int, name string, a double, d double, b double, e double, c double, f double")
+    opened = spark.read.format("image").load(paths).select("image.*").withColumn("name", F.element_at(F.split("origin", "/"), -1))
+    images = known.join(opened.select("name", "width", "height"), "name").drop("name")
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for img, height, width, channels, data in zip(*(b.column(k).to_pylist() for k in ("img_id", "height", "width", "nChannels", "data")), strict=True):
+                a = np.frombuffer(data, "u1").reshape(height, width, channels).astype(np.int16)
+                bgr = [a[:, :, min(k, channels - 1)].ravel() for k in range(3)]
+                n = height * width
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, img, np.int32)), pa.array(np.tile(np.arange(width, dtype=np.int32), height)), pa.array(np.repeat(np.arange(height, dtype=np.int32), width)), *[pa.array(x) for x in reversed(bgr)]], ["img_id", "col", "row", "r", "g", "b"])
+
+    some = opened.join(known.select("img_id", "name"), "name").select("img_id", "height", "width", "nChannels", "data")
+    return images, some.mapInArrow(pixels, "img_id int, col int, row int, r short, g short, b short")
+
+
 def read_octree(spark: SparkSession, path: str, old: bool = False) -> DataFrame:
     """The points of all leaves of an octree: a folder with Index and Points, or, with ``old``, the stem of a
     pair of .oct and .obin files. The index is read on the driver; points by tasks of up to RANGE points."""

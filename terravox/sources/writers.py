@@ -1,17 +1,20 @@
 """Writers. Large outputs are written by tasks; files whose format is one stream of fixed records (LAS, BIN)
-are written in parts that Spark's tasks make and one pass joins; rasters and primitives are small."""
+are written in parts that Spark's tasks make and one pass joins; rasters are written row by row, primitives are few."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.functions.colors import LUMA_SHORT, luma
-from terravox.sources.binary import PRIMITIVE_HEADER, PRIMITIVES, open_path
+from terravox.functions.colors import LUMA_SHORT, clamp_round, luma
+from terravox.sources.binary import LAS_FORMATS, PRIMITIVE_HEADER, PRIMITIVES, open_path
 
 
 def write_octree_table(points: DataFrame, nodes: DataFrame, path: str, prefix: int = 1) -> None:
@@ -36,38 +39,60 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def _stream(cloud: DataFrame, columns: Sequence[str], path: str, head, record) -> int:
-    """Write a header and records, partition after partition, without holding more than one in memory."""
+def write_records(cloud: DataFrame, columns: Sequence[str], path: str, head: bytes, record: Callable[[dict[str, np.ndarray]], bytes]) -> int:
+    """A file of a header and records in the order of the rows' partitions; returns the number of records.
+
+    Every task writes its own part beside the file (a part appears when it is complete, so a task that runs again does no
+    harm); the driver then copies bytes from part to part into one stream, and sees no row."""
     files, name = open_path(path)
-    count = 0
+    folder = f"{name}.parts-{uuid.uuid4().hex}"
+    files.create_dir(folder, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count = TaskContext.get().partitionId(), 0
+        own, _ = open_path(path)
+        temporary = f"{folder}/_{uuid.uuid4().hex}"
+        with own.open_output_stream(temporary) as out:
+            for b in batches:
+                out.write(record({c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}))
+                count += b.num_rows
+        own.move(temporary, f"{folder}/{part:08d}")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([count], pa.int64())], ["part", "n"])
+
+    parts = sorted(cloud.select(*columns).mapInArrow(write, "part long, n long").collect())
     with files.open_output_stream(name) as out:
         out.write(head)
-        for part in _arrays(cloud.select(*columns)):
-            out.write(record(part))
-            count += len(part)
-    return count
+        for part, _ in parts:
+            with files.open_input_stream(f"{folder}/{part:08d}") as f:
+                while chunk := f.read(8 << 20):
+                    out.write(chunk)
+    files.delete_dir(folder)
+    return sum(n for _, n in parts)
+
+
+def packed(kind: np.dtype, names: dict[str, str] | None = None) -> Callable[[dict[str, np.ndarray]], bytes]:
+    """A record maker: fields of ``kind`` from columns of the same names (or those that ``names`` gives); others are 0."""
 
+    def make(columns: dict[str, np.ndarray]) -> bytes:
+        out = np.zeros(len(next(iter(columns.values()))), kind)
+        for c, values in columns.items():
+            out[(names or {}).get(c, c)] = values
+        return out.tobytes()
 
-def _arrays(df: DataFrame, rows: int = 65_536):
-    held = []
-    for r in df.toLocalIterator(prefetchPartitions=True):
-        held.append(tuple(r))
-        if len(held) == rows:
-            yield np.array(held, float)
-            held = []
-    if held:
-        yield np.array(held, float)
+    return make
 
 
 def write_bin(cloud: DataFrame, path: str, colour: bool = False) -> int:
     """K4, K6: the BIN format (intensity is the luma) or its colour form; returns the number of points."""
     n = cloud.count()
-    grey = luma(F.col("r"), F.col("g"), F.col("b"), LUMA_SHORT)
+    xyz = [F.col(c).cast("float").alias(c) for c in "xyz"]
     if colour:
         kind = np.dtype([(c, "<f4") for c in "xyz"] + [(c, "u1") for c in "rgba"])
-        make = lambda a: np.rec.fromarrays([*a.T.astype("f4")[:3], *a.T[3:].astype("u1"), np.full(len(a), 255, "u1")], dtype=kind).tobytes()
-        return _stream(cloud, [*"xyzrgb"], path, struct.pack("<I", n), make)
-    return _stream(cloud.withColumn("i", grey), [*"xyz", "i"], path, struct.pack("<I", n), lambda a: a.astype("<f4").tobytes())
+        rows = cloud.select(*xyz, *[F.col(c).cast("short").alias(c) for c in "rgb"], F.lit(255).cast("short").alias("a"))
+        return write_records(rows, [*"xyzrgba"], path, struct.pack("<I", n), packed(kind))
+    grey = luma(F.col("r"), F.col("g"), F.col("b"), LUMA_SHORT)
+    kind = np.dtype([(c, "<f4") for c in "xyzi"])
+    return write_records(cloud.select(*xyz, grey.cast("float").alias("i")), [*"xyzi"], path, struct.pack("<I", n), packed(kind))
 
 
 def las_quantised(cloud: DataFrame, scale: float, origin: tuple) -> DataFrame:
@@ -75,26 +100,64 @@ def las_quantised(cloud: DataFrame, scale: float, origin: tuple) -> DataFrame:
     return cloud.withColumns({f"i{c}": F.floor((F.col(c).cast("double") - float(o)) / scale + 0.5) for c, o in zip("xyz", origin, strict=True)})
 
 
+#: Points that the older LAS header can count.
+LAS_MOST = (1 << 32) - 1
+
+
+def las_head(n: int, scale: float, origin: tuple, bounds: Sequence[float], point_format: int = 0) -> bytes:
+    """The header of LAS 1.2, or of 1.4, whose count has 64 bits, for more points than that counts. ``bounds`` are max x,
+    min x, max y, min y, max z, min z."""
+    large = n > LAS_MOST
+    size = 375 if large else 227
+    head = bytearray(size)
+    struct.pack_into("<4s", head, 0, b"LASF")
+    struct.pack_into("<BB", head, 24, 1, 4 if large else 2)
+    struct.pack_into("<HI", head, 94, size, size)
+    struct.pack_into("<BHI5I", head, 104, point_format, LAS_FORMATS[point_format][0], 0 if large else n, 0 if large else n, 0, 0, 0, 0)
+    struct.pack_into("<12d", head, 131, *([scale] * 3), *origin, *bounds)
+    if large:
+        struct.pack_into("<2Q", head, 247, n, n)
+    return bytes(head)
+
+
 def write_las(cloud: DataFrame, path: str, scale: float = 0.001, origin: tuple | None = None) -> int:
-    """K3: LAS 1.2 with point format 0; intensity and class are zero, colours are lost. The origin is the centre of the
+    """K3: LAS with point format 0; intensity and class are zero, colours are lost. The origin is the centre of the
     bounds unless given."""
     b = cloud.agg(F.count("*"), *[f(F.col(c).cast("double")) for c in "xyz" for f in (F.max, F.min)]).first()
     n, bounds = b[0], [0.0 if v is None else v for v in b[1:]]
     origin = origin or tuple((bounds[2 * i] + bounds[2 * i + 1]) / 2 for i in range(3))
-    head = bytearray(227)
-    struct.pack_into("<4s", head, 0, b"LASF")
-    struct.pack_into("<BB", head, 24, 1, 2)
-    struct.pack_into("<HI", head, 94, 227, 227)
-    struct.pack_into("<BHI5I", head, 104, 0, 20, n, n, 0, 0, 0, 0)
-    struct.pack_into("<12d", head, 131, *([scale] * 3), *origin, *bounds)
-    kind = np.dtype([("xyz", "<i4", 3), ("rest", "V8")])
+    kind = np.dtype([("ix", "<i4"), ("iy", "<i4"), ("iz", "<i4"), ("rest", "V8")])
+    return write_records(las_quantised(cloud, scale, origin), ["ix", "iy", "iz"], path, las_head(n, scale, origin, bounds), packed(kind))
 
-    def records(a: np.ndarray) -> bytes:
-        out = np.zeros(len(a), kind)
-        out["xyz"] = a
-        return out.tobytes()
 
-    return _stream(las_quantised(cloud, scale, origin), ["ix", "iy", "iz"], path, bytes(head), records)
+def write_side(cloud: DataFrame, columns: Sequence[str], path: str, id_column: str = "id") -> None:
+    """K9: a side file: further columns of a cloud's points (colours, normals) by id, apart from the cloud."""
+    cloud.select(id_column, *columns).write.mode("overwrite").parquet(path)
+
+
+def with_side(cloud: DataFrame, path: str, id_column: str = "id") -> DataFrame:
+    """A cloud with the columns of a side file; points that it doesn't have get nulls."""
+    return cloud.join(cloud.sparkSession.read.parquet(path), id_column, "left")
+
+
+def write_pgm(grid: DataFrame, shape: tuple[int, int], value: str, path: str, white: float | None = None) -> None:
+    """A grey picture of a grid's quality (weights, residuals): north row first, 0 black, ``white`` (the greatest value
+    unless given) 255; vertices without a value are black. Rows reach the driver one by one."""
+    nx, ny = shape
+    top = white or grid.agg(F.max(value)).first()[0] or 1.0
+    grey = clamp_round(F.col(value) * (255.0 / top))
+    rows = grid.where(F.col(value).isNotNull()).groupBy("gy").agg(F.collect_list(F.struct("gx", grey.alias("v"))).alias("row")).orderBy(F.desc("gy"))
+    files, name = open_path(path)
+    at = ny - 1
+    with files.open_output_stream(name) as out:
+        out.write(f"P5\n{nx} {ny}\n255\n".encode())
+        for r in rows.toLocalIterator():
+            out.write(bytes(nx * (at - r.gy)))
+            line = np.zeros(nx, "u1")
+            line[[c.gx for c in r.row]] = [c.v for c in r.row]
+            out.write(line.tobytes())
+            at = r.gy - 1
+        out.write(bytes(nx * (at + 1)))
 
 
 def write_bil(grid: DataFrame, shape: tuple[int, int], origin: tuple, cell: tuple, path: str, offset: float = 0.0) -> None:

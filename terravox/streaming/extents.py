@@ -29,3 +29,14 @@ def running_extents(spark: SparkSession, path: str, x: Column, y: Column, z: Col
     q = extent_stream(arriving).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{root}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def running_counts(spark: SparkSession, path: str, time_column: str, window: str, late: str) -> DataFrame:
+    """(start, n): everything that is at a path now, counted by time window as a stream to the end."""
+    schema = spark.read.parquet(path).schema
+    arriving = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    root = f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    out = f"{root}/counts"
+    q = density_stream(arriving.withColumn(time_column, F.col(time_column).cast("timestamp")), time_column, window, late).select(F.col("window.start").alias("start"), "n").writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{root}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)

@@ -411,3 +411,43 @@ def test_octree_primitives_and_offset_files(spark, tmp_path):
     g = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.5)], "gx int, gy int, z double")
     writers.write_bil(g, (2, 2), (0, 0), (1, 1), str(tmp_path / "g.bil"))
     assert np.frombuffer((tmp_path / "g.bil").read_bytes(), "<u4").tolist() == [0, 2500, 1000, 0]
+
+
+def test_large_las_counts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "LAS_MOST", 100)
+    df = cloud(spark, random_points(300, 18, 10))
+    writers.write_las(df.repartition(3), str(tmp_path / "large.las"))
+    raw = (tmp_path / "large.las").read_bytes()
+    assert raw[24:26] == b"\1\4" and struct.unpack_from("<Q", raw, 247) == (300,) and len(raw) == 375 + 300 * 20
+    got = np.array([tuple(r)[:3] for r in auto.read_points(spark, str(tmp_path / "large.las")).collect()])
+    assert np.allclose(np.sort(got, axis=0), np.sort(np.array([tuple(r)[1:4] for r in df.collect()]), axis=0), atol=6e-4)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["large.las"]  # no parts stay
+
+
+def test_images_with_world_files(spark, tmp_path):
+    import zlib
+
+    def png(path, pixels):
+        h, w, _ = pixels.shape
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        rows = b"".join(b"\0" + r.tobytes() for r in pixels)
+        path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+
+    pixels = np.random.default_rng(19).integers(0, 256, (6, 8, 3), dtype=np.uint8)
+    png(tmp_path / "a.png", pixels)
+    (tmp_path / "a.tfw").write_text("2.0\n0.0\n0.0\n-2.0\n100.0\n50.0\n")
+    images, px = binary.read_images(spark, [str(tmp_path / "a.png")])
+    i = images.first()
+    assert (i.a, i.d, i.b, i.e, i.c, i.f, i.width, i.height) == (2.0, 0.0, 0.0, -2.0, 100.0, 50.0, 8, 6)
+    assert all(tuple(pixels[r["row"], r["col"]]) == (r.r, r.g, r.b) for r in px.collect()) and px.count() == 48
+    df = cloud(spark, [(104.0, 46.0, 0.0), (103.0, 46.0, 0.0), (0.0, 0.0, 0.0)]).withColumns({c: F.lit(1).cast("short") for c in "rgb"})
+    got = {r.id: (r.img_id, r.r, r.g, r.b) for r in surfaces.raster_colour(df, images, px).collect()}
+    assert got[0] == (0, *map(int, pixels[2, 2])) and got[2] == (None, 1, 1, 1)
+    assert got[1] == (0, *[math.floor((int(pixels[2, 1][k]) + int(pixels[2, 2][k])) / 2 + 0.5) for k in range(3)])
+
+
+def test_quality_pictures(spark, tmp_path):
+    g = spark.createDataFrame([(0, 0, 1.0), (1, 2, 4.0), (2, 0, None)], "gx int, gy int, w double")
+    writers.write_pgm(g, (3, 4), "w", str(tmp_path / "q.pgm"))
+    raw = (tmp_path / "q.pgm").read_bytes()
+    assert raw == b"P5\n3 4\n255\n" + bytes([0, 0, 0, 0, 255, 0, 0, 0, 0, 64, 0, 0])
