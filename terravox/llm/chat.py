@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravox.plans.storage import cut
+
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 #: Speakers who set the scene: they are rendered under their own name and are nobody's perspective.
 NARRATORS = ("system",)
@@ -35,32 +37,49 @@ def rotate_perspectives(turns: DataFrame, conversation: str = "conv_id", order:
     Turns follow ``order`` (null last; turns of one number by speaker, then text). Null texts are empty, null speakers
     are named "unknown", null conversations form one dialogue. Markers inside texts and names are broken up, line breaks
     in names become spaces. A dialogue of narrators only has no perspective and no rows. Repeated rows are repeated
-    turns. Other columns, whatever their names, are ignored.
+    turns; a text of any length is one turn; an empty table gives no rows. Other columns, whatever their names, are
+    ignored. Turns of one number, or without one, are ordered by one task.
+
+    Texts move once to be ordered, and once more to meet their perspectives; what differs between perspectives, the
+    places of each speaker's own turns, is joined in as numbers.
     """
     name = F.regexp_replace(_plain(F.coalesce(F.col(f"`{speaker}`").cast("string"), F.lit(UNKNOWN))), "[\\r\\n]+", " ")
     t = turns.select(F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{order}`").alias("turn"), name.alias("speaker"), _plain(F.col(f"`{text}`")).alias("text"))
-    people = t.where(~F.col("speaker").isin(*NARRATORS)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    r = t.join(people, t.conv_id.eqNullSafe(people.c)).drop("c")
-    own = F.col("speaker") == F.col("perspective")
     narrates = F.col("speaker").isin(*NARRATORS)
-    head = F.concat(F.lit(BEGIN), F.when(own, F.lit("assistant")).when(narrates, F.col("speaker")).otherwise(F.concat(F.lit("user name="), F.col("speaker"))), F.lit("\n"))
-    r = r.withColumn("head", head).withColumn("rendered", F.concat("head", "text", F.lit(END + "\n"))).withColumn("n", F.length("rendered").cast("long"))
-    r = r.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit((1 << 53))) / BLOCK))
-    sums = r.groupBy("conv_id", "perspective", "block").agg(F.sum("n").alias("size"))
-    blocks = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("size").over(blocks), F.lit(0))).drop("size")
-    inside = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.asc_nulls_last("turn"), "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
-    keys = sums.toDF("c", "p", "b", "before")
-    r = r.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    r = r.join(keys, r.conv_id.eqNullSafe(keys.c) & (r.perspective == keys.p) & (r.block == keys.b))
-    start = F.col("before") + F.col("inside")
-    first = start + F.length("head")
+    of_other = F.concat(F.lit(BEGIN), F.when(narrates, F.col("speaker")).otherwise(F.concat(F.lit("user name="), F.col("speaker"))), F.lit("\n"))
+    of_own = F.lit(BEGIN + "assistant\n")
+    t = t.withColumn("n", (F.length(of_other) + F.length("text") + len(END) + 1).cast("long"))  # as everyone else's perspective has it
+    t = t.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(1 << 53)) / BLOCK))
+    inside = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_last("turn"), "speaker", "text")
+    earlier = F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = cut(t.withColumn("nth", F.row_number().over(inside)).withColumn("inside", earlier))
+
+    before = lambda w: w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy("conv_id", "block").agg(F.sum("n").alias("size"))
+    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("size").over(before(Window.partitionBy("conv_id"))), F.lit(0)).alias("before"))
+    own = t.where(~narrates).groupBy(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective"), F.col("block").alias("b")).agg(F.sort_array(F.collect_list("nth")).alias("nths"))
+    people = own.select(F.col("c").alias("d"), F.col("perspective").alias("p")).distinct()
+    each = blocks.join(people, blocks.conv_id.eqNullSafe(people.d)).drop("d")
+    each = each.join(own, each.conv_id.eqNullSafe(own.c) & (each.block == own.b) & (each.p == own.perspective), "left").drop("c", "b", "perspective")
+    count = F.coalesce(F.size("nths"), F.lit(0))
+    spoken = F.coalesce(F.sum(F.when(F.col("nths").isNotNull(), count).otherwise(0)).over(before(Window.partitionBy("conv_id", "p"))), F.lit(0))
+    each = each.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.col("p").alias("perspective"), "before", spoken.alias("spoken"), "nths")
+
+    r = t.join(each, t.conv_id.eqNullSafe(each.c) & (t.block == each.b)).drop("c", "b")
+    mine = F.col("speaker") == F.col("perspective")
+    # What each own turn before this one adds to its place.
+    gain = F.length(F.lit("assistant")) - F.length(F.concat(F.lit("user name="), F.col("perspective")))
+    nth = F.col("nth")
+    turns_before = F.col("spoken") + F.coalesce(F.size(F.filter("nths", lambda x: x < nth)), F.lit(0))
+    r = r.withColumn("start", F.col("before") + F.col("inside") + gain * F.when(F.col("nths").isNull(), F.col("spoken")).otherwise(turns_before))
+    r = r.withColumn("end", F.col("start") + F.col("n") + F.when(mine, gain).otherwise(0))
+    first = F.col("start") + F.length(of_own)
     return r.select(
         "conv_id", "perspective", "turn",
-        F.when(own, "assistant").when(narrates, F.col("speaker")).otherwise("user").alias("role"),
-        F.when(~own & ~narrates, F.col("speaker")).alias("name"),
-        start.alias("start"), (start + F.col("n")).alias("end"), "rendered",
-        F.when(own, first).otherwise(start + F.col("n")).alias("mask_start"), F.when(own, first + F.length("text") + len(END)).otherwise(start + F.col("n")).alias("mask_end"),
+        F.when(mine, "assistant").when(narrates, F.col("speaker")).otherwise("user").alias("role"),
+        F.when(~mine & ~narrates, F.col("speaker")).alias("name"),
+        "start", "end", F.concat(F.when(mine, of_own).otherwise(of_other), F.col("text"), F.lit(END + "\n")).alias("rendered"),
+        F.when(mine, first).otherwise(F.col("end")).alias("mask_start"), F.when(mine, first + F.length("text") + len(END)).otherwise(F.col("end")).alias("mask_end"),
     )
 
 

@@ -689,6 +689,32 @@ def test_perspectives(spark):
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_perspectives_are_brute_force(spark, monkeypatch):
+    """Repeated turns, turns without number, ties, null dialogues, narrators and long dialogues, turn by turn."""
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rng = random.Random(15)
+    turns = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(15)]), rng.choice(["ann", "bob", "system", None, "c\nd"]), rng.choice([None, "", "x", prose(rng, 3), "<|"])) for _ in range(160)]
+    turns += turns[:9] + [(4, 0, "system", "only")]
+    got = {}
+    for r in chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("nth", F.lit(1)).withColumn("block", F.lit("b"))).collect():
+        got.setdefault((r.conv_id, r.perspective), []).append((r.start, r.end, r.turn, r.role, r.name, r.rendered, r.mask_start, r.mask_end))
+    name = lambda s: re.sub("[\r\n]+", " ", "unknown" if s is None else s).replace("<|", "< |")
+    want = {}
+    for c in {t[0] for t in turns}:
+        some = sorted(((n is None, n or 0, name(s), (x or "").replace("<|", "< |")) for k, n, s, x in turns if k == c))
+        for p in {s for _, _, s, _ in some} - {"system"}:
+            at, rows = 0, []
+            for none, n, s, x in some:
+                head = "<|im_start|>" + ("assistant" if s == p else s if s == "system" else f"user name={s}") + "\n"
+                rendered = head + x + "<|im_end|>\n"
+                end = at + len(rendered)
+                mask = (at + len(head), end - 1) if s == p else (end, end)
+                rows.append((at, end, None if none else n, "assistant" if s == p else s if s == "system" else "user", None if s in (p, "system") else s, rendered, *mask))
+                at = end
+            want[c, p] = rows
+    assert {k: sorted(v, key=lambda r: r[0]) for k, v in got.items()} == want
+
+
 def test_perspectives_of_many_turns(spark):
     turns = [(1, i, "ab"[i % 2], f"t{i}") for i in range(3000)]
     rows = sorted(chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("perspective = 'a'").collect(), key=lambda r: r.turn)
