@@ -370,8 +370,13 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, id_column:
     placed = shared.select("entry", "node", "n", "rest").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = cut(placed.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("entry"))
     placed = cut(placed.join(mixed, "entry").select("entry", "node", "n", "rest", "component"))
-    left, right = placed.toDF("entry", "a", "na", "ra", "ca"), placed.toDF("entry", "b", "nb", "rb", "cb")
-    apart = left.join(right, (left.entry == right.entry) & (F.col("ca") < F.col("cb")) & can_reach(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb")))
+    # Partners' sizes lie within one class of each other, so holders of very different sizes never meet, and one entry's
+    # holders are spread over the classes.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) if percent < 100 else 1.0) + 1e-9)
+    placed_by = placed.withColumn("class", size_class)
+    left = placed_by.select("entry", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
+    right = placed_by.select("entry", "class", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"))
+    apart = left.join(right, ["entry", "class"]).where((F.col("ca") < F.col("cb")) & can_reach(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb")))
     apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(linked(apart.join(tried, ["a", "b"], "left_anti")))
     # One component for each node: links of the second kind join components of the first.

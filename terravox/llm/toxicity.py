@@ -1,7 +1,7 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, word pairs, triples and pairs with one or two words between, hashed to a fixed number
-of coordinates. Learning rates are per coordinate and an L1 term keeps weights at exactly zero unless evidence adds up,
+Features are the distinct words, word pairs, triples, pairs with one or two words between, and the first bytes of words
+(which the forms of one word share), hashed to a fixed number of coordinates. Learning rates are per coordinate and an L1 term keeps weights at exactly zero unless evidence adds up,
 so the model is a short list of coordinates that is broadcast to score every whole text without a shuffle.
 
 The fit takes a bounded sample of labelled rows (``MAX_LABELLED``, those with the least hash of their id, and of those as
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravox.llm.words import ALNUM, Words, chunks, give_back, gram_hash, ragged, words
+from terravox.llm.words import ALNUM, Words, beginnings, chunks, give_back, gram_hash, ragged, words
 from terravox.plans.storage import bound_batches, cut, discard
 
 #: Labelled rows that a model is fitted on, at most.
@@ -31,6 +31,8 @@ MAX_COORDINATES = 64_000_000
 BITS = 20
 #: Offsets of the words in a feature.
 SHAPES = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
+#: Bytes of the beginnings of words that are features.
+BEGINNINGS = (4, 5, 6, 8)
 
 
 class Settings(NamedTuple):
@@ -41,19 +43,24 @@ class Settings(NamedTuple):
     epochs: int = 4
 
 
-def features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each shape the coordinates of its features in a chunk, and the index of each one's first word."""
+def features(data: np.ndarray, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each kind the coordinates of its features in a chunk, and the index of each one's first word."""
     for seed, shape in enumerate(SHAPES, 1):
         at = ragged(w.first[:-1], np.maximum(np.diff(w.first) - shape[-1], 0))
-        h = gram_hash([w.hashes[at + k] for k in shape], seed)
-        yield ((h >> np.uint64(64 - BITS)) % np.uint64((1 << BITS) - 1)).astype(np.int32), at
+        yield _coordinates(gram_hash([w.hashes[at + k] for k in shape], seed)), at
+    for h, at in beginnings(data, w, ALNUM, BEGINNINGS):
+        yield _coordinates(h), at
+
+
+def _coordinates(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(64 - BITS)) % np.uint64((1 << BITS) - 1)).astype(np.int32)
 
 
 def text_features(texts: pa.Array) -> Iterator[np.ndarray]:
     """The distinct coordinates of each text, the bias among them."""
     for lo, hi, data, off in chunks(texts):
         w = words(data, off, ALNUM)
-        found = list(features(w))
+        found = list(features(data, w))
         bounds = [np.searchsorted(at, w.first) for _, at in found]
         for i in range(hi - lo):
             yield np.append(np.unique(np.concatenate([x[b[i] : b[i + 1]] for (x, _), b in zip(found, bounds, strict=True)])), (1 << BITS) - 1)
@@ -129,7 +136,7 @@ def scores(texts: pa.Array, coordinates: np.ndarray, weights: np.ndarray) -> np.
     for lo, hi, data, off in chunks(texts):
         w = words(data, off, ALNUM)
         found = []
-        for x, at in features(w):
+        for x, at in features(data, w):
             active = np.flatnonzero(dense[x])
             found.append(((np.searchsorted(w.first, at[active], "right") - 1) << BITS) | x[active])
         distinct = np.unique(np.concatenate(found))

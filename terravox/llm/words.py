@@ -153,3 +153,14 @@ def gram_hash(parts: list[np.ndarray], seed: int = 0) -> np.ndarray:
 def sequence_hash(h: np.ndarray) -> int:
     """The hash of one whole sequence of words, of any length."""
     return int(gram_hash([h[k : k + 1] for k in range(len(h))])[0])
+
+
+def beginnings(data: np.ndarray, w: Words, table: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size the hashes of the first so many bytes of all words that have them, and which words those are."""
+    power, inverse = _powers_to(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(table[data] * power[: len(data)], out=total[1:])
+    for size in sizes:
+        of = np.flatnonzero(w.end - w.start >= size)
+        a = w.start[of]
+        yield mix((total[a + size] - total[a]) * inverse[a] + np.uint64((1000 + size) * _BASE % (1 << 64))), of

@@ -424,6 +424,15 @@ def test_ftrl_is_the_naive_one():
     assert np.allclose(got[:40], [weight(i) for i in range(40)]) and not got[40:].any()
 
 
+def test_beginnings_of_words():
+    texts = pa.array(["Abcde abcdx abc", "", "ÀÀab ÀÀac abcde"])
+    (_, _, data, off), = words.chunks(texts)
+    w = words.words(data, off, words.ALNUM)
+    (h, of), (h5, of5) = words.beginnings(data, w, words.ALNUM, (4, 5))
+    assert of.tolist() == [0, 1, 3, 4, 5] and h[0] == h[1] == h[4] != h[2] and h[2] == h[3]
+    assert of5.tolist() == [0, 1, 3, 4, 5] and h5[0] == h5[4] != h5[1]
+
+
 def test_toxicity_sample_is_bounded(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 30) + (" vile words here" if i % 2 else "")) for i in range(80)]
