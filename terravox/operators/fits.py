@@ -1,21 +1,26 @@
 """Least-squares primitives.
 
 Planes and lines are fitted by distributed sums: covariances, then extents and residuals in the fitted frame. Spheres
-and cylinders iterate, so their selections are brought together per group; a selection is what a person marked, and is
-bounded by ``MAX_SELECTION``, checked before grouping.
+and cylinders iterate over sums of the residuals' products, of at most 7 by 7 numbers. A selection of up to
+``MAX_SELECTION`` points, as a person marks it, is brought together for that; of a larger one every iteration sums up
+batches of points in many tasks, and only the sums meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravox.functions.vectors import cross, dot, norm, sub, vec
 from terravox.operators.neighborhood import covariance, with_frame
 
-#: Points of one selection that an iterative fit accepts.
+#: Points of one selection that are brought together.
 MAX_SELECTION = 5_000_000
 
 
@@ -45,96 +50,138 @@ def fit_lines(cloud: DataFrame, by: str) -> DataFrame:
     return s.select(by, "n_points", "rms", *[(F.col(f"c{c}") + mid * F.col(f"frame.a{c}")).alias(f"center_{c}") for c in "xyz"], *[F.col(f"frame.a{c}").alias(f"axis_{c}") for c in "xyz"], ((F.col("hi") - F.col("lo")) * 1.2).alias("length"))
 
 
-def minimise(residuals, start: np.ndarray, tau: float = 1e-3, eps: float = 1e-12, most: int = 1000) -> tuple[np.ndarray, float]:
-    """Levenberg-Marquardt with the gain-ratio damping of Nielsen. ``residuals`` maps parameters to (values,
-    Jacobian). Returns parameters and half the sum of squares."""
+class Sums(NamedTuple):
+    """Of residuals r with the Jacobian J: half the sum of squares, J'r, J'J; and points in range of the last parameter
+    (least and greatest place along the axis) where a fit needs them."""
+
+    f: float
+    g: np.ndarray
+    a: np.ndarray
+    low: float = 0.0
+    high: float = 0.0
+
+
+def _sums(r: np.ndarray, j: np.ndarray, along: np.ndarray | None = None) -> Sums:
+    ends = (float(along.min()), float(along.max())) if along is not None and len(along) else (np.inf, -np.inf) if along is not None else (0.0, 0.0)
+    return Sums(0.5 * float(r @ r), j.T @ r, j.T @ j, *ends)
+
+
+def minimise(sums: Callable[[np.ndarray], Sums], start: np.ndarray, tau: float = 1e-3, eps: float = 1e-12, most: int = 1000) -> tuple[np.ndarray, Sums]:
+    """Levenberg-Marquardt with the gain-ratio damping of Nielsen. ``sums`` gives the sums at some parameters.
+    Returns parameters and their sums."""
     x = np.array(start, float)
-    r, j = residuals(x)
-    a, g, f = j.T @ j, j.T @ r, 0.5 * float(r @ r)
-    mu, nu = tau * float(np.diag(a).max(initial=0.0)) or tau, 2.0
+    s = sums(x)
+    mu, nu = tau * float(np.diag(s.a).max(initial=0.0)) or tau, 2.0
     for _ in range(most):
-        if np.abs(g).max() <= eps:
+        if np.abs(s.g).max() <= eps:
             break
         try:
-            step = np.linalg.solve(a + mu * np.eye(len(x)), -g)
+            step = np.linalg.solve(s.a + mu * np.eye(len(x)), -s.g)
         except np.linalg.LinAlgError:
             mu, nu = mu * nu, nu * 2
             continue
         if np.linalg.norm(step) <= eps * (np.linalg.norm(x) + eps):
             break
-        r2, j2 = residuals(x + step)
-        f2 = 0.5 * float(r2 @ r2)
-        gain = (f - f2) / (0.5 * float(step @ (mu * step - g)))
+        there = sums(x + step)
+        gain = (s.f - there.f) / (0.5 * float(step @ (mu * step - s.g)))
         if gain > 0:
-            x, r, j, f = x + step, r2, j2, f2
-            a, g = j.T @ j, j.T @ r
+            x, s = x + step, there
             mu, nu = mu * max(1 / 3, 1 - (2 * gain - 1) ** 3), 2.0
         else:
             mu, nu = mu * nu, nu * 2
-    return x, f
-
-
-def sphere(points: np.ndarray) -> dict:
-    """Centre, radius and rms of at least four points."""
-    c = points.mean(axis=0)
-
-    def residuals(p: np.ndarray):
-        d = points - (p[:3] + c)
-        r = np.maximum(np.sqrt((d * d).sum(axis=1)), 1e-300)
-        return r - p[3], np.hstack([-d / r[:, None], -np.ones((len(points), 1))])
-
-    x, f = minimise(residuals, np.array([0, 0, 0, 1.0]))
-    return dict(zip(("center_x", "center_y", "center_z"), x[:3] + c, strict=True)) | {"radius": abs(x[3]), "rms": float(np.sqrt(2 * f / len(points)))}
-
-
-def cylinder(points: np.ndarray) -> dict:
-    """Centre, axis, radius, length and rms of at least six points; the best of three starting axes."""
-    c = points.mean(axis=0)
-    p0 = points - c
-    best = None
-    for axis in np.linalg.eigh(np.cov(p0.T))[1].T:
-
-        def residuals(q: np.ndarray):
-            a = q[3:6] / np.linalg.norm(q[3:6])
-            d = p0 - q[:3]
-            t = d @ a
-            e = d - t[:, None] * a
-            r = np.maximum(np.sqrt((e * e).sum(axis=1)), 1e-300)
-            n = e / r[:, None]
-            to_axis = -(t[:, None] * n) / np.linalg.norm(q[3:6])
-            return r - q[6], np.hstack([-n, to_axis - (to_axis @ a)[:, None] * a, -np.ones((len(p0), 1))])
-
-        x, f = minimise(residuals, np.concatenate([[0, 0, 0], axis, [1.0]]))
-        if best is None or f < best[1]:
-            best = x, f
-    x, f = best
+    return x, s
+
+
+def _sphere_sums(points: np.ndarray, x: np.ndarray) -> Sums:
+    d = points - x[:3]
+    r = np.maximum(np.sqrt((d * d).sum(axis=1)), 1e-300)
+    return _sums(r - x[3], np.hstack([-d / r[:, None], -np.ones((len(points), 1))]))
+
+
+def _cylinder_sums(points: np.ndarray, x: np.ndarray) -> Sums:
+    size = np.linalg.norm(x[3:6])
+    a = x[3:6] / size
+    d = points - x[:3]
+    t = d @ a
+    e = d - t[:, None] * a
+    r = np.maximum(np.sqrt((e * e).sum(axis=1)), 1e-300)
+    n = e / r[:, None]
+    to_axis = -(t[:, None] * n) / size
+    return _sums(r - x[6], np.hstack([-n, to_axis - (to_axis @ a)[:, None] * a, -np.ones((len(points), 1))]), t)
+
+
+class Moments(NamedTuple):
+    n: int
+    centre: np.ndarray
+    covariance: np.ndarray
+
+
+def sphere(sums: Callable[[np.ndarray], Sums], m: Moments) -> dict:
+    """Centre, radius and rms of at least four points, whose sums are about their centre."""
+    x, s = minimise(sums, np.array([0, 0, 0, 1.0]))
+    return dict(zip(("center_x", "center_y", "center_z"), x[:3] + m.centre, strict=True)) | {"radius": abs(x[3]), "rms": float(np.sqrt(2 * s.f / m.n))}
+
+
+def cylinder(sums: Callable[[np.ndarray], Sums], m: Moments) -> dict:
+    """Centre, axis, radius, length and rms of at least six points; the best of three starting axes, those of the
+    covariance."""
+    x, s = min((minimise(sums, np.concatenate([[0, 0, 0], axis, [1.0]])) for axis in np.linalg.eigh(m.covariance)[1].T), key=lambda found: found[1].f)
     a = x[3:6] / np.linalg.norm(x[3:6])
+    mid = x[:3] + a * (s.low + s.high) / 2 + m.centre
     a = a if tuple(a[::-1]) > (0, 0, 0) else -a
-    t = (p0 - x[:3]) @ a
-    mid = x[:3] + a * (t.min() + t.max()) / 2 + c
-    return dict(zip(("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z"), (*mid, *a), strict=True)) | {"radius": abs(x[6]), "length": float(np.ptp(t)) * 1.1, "rms": float(np.sqrt(2 * f / len(points)))}
+    return dict(zip(("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z"), (*mid, *a), strict=True)) | {"radius": abs(x[6]), "length": (s.high - s.low) * 1.1, "rms": float(np.sqrt(2 * s.f / m.n))}
+
 
+def _distributed(cloud: DataFrame, centre: np.ndarray, sums_of) -> Callable[[np.ndarray], Sums]:
+    """Sums over all points of a cloud, by batches in the tasks that hold them."""
 
-def _fit_groups(cloud: DataFrame, by: str, fit, least: int, names: tuple[str, ...]) -> DataFrame:
-    too_large = cloud.groupBy(by).count().where(F.col("count") > MAX_SELECTION).limit(1).collect()
-    if too_large:
-        raise ValueError(f"selection {too_large[0][0]!r} has more than {MAX_SELECTION} points")
+    def sums(x: np.ndarray) -> Sums:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s = sums_of(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) - centre, x)
+                yield pa.RecordBatch.from_pydict({"v": [[s.f, s.low, s.high, *s.g, *s.a.ravel()]]})
+
+        k = len(x)
+        width = 3 + k + k * k
+        columns = [(F.min if i == 1 else F.max if i == 2 else F.sum)(F.col("v")[i]).alias(f"v{i}") for i in range(width)]
+        got = np.array(cloud.select("x", "y", "z").mapInArrow(part, "v array<double>").agg(*columns).first(), float)
+        return Sums(got[0], got[3 : 3 + k], got[3 + k :].reshape(k, k), got[1], got[2])
+
+    return sums
+
+
+def _fit_groups(cloud: DataFrame, by: str, fit, sums_of, least: int, names: tuple[str, ...]) -> DataFrame:
     kind = cloud.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, n_points long, " + ", ".join(f"{n} double" for n in names)
+    rows = cloud.select(by, *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    large = covariance(rows, by).where(F.col("n") > MAX_SELECTION).collect()  # there are at most as many as points over MAX_SELECTION
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < least:
             return pd.DataFrame(columns=[by, "n_points", *names])
-        return pd.DataFrame([{by: key[0], "n_points": len(pdf)} | fit(pdf[["x", "y", "z"]].to_numpy(float))])[[by, "n_points", *names]]
-
-    return cloud.select(by, *[F.col(c).cast("double").alias(c) for c in "xyz"]).groupBy(by).applyInPandas(run, f"{by} {kind}, n_points long, " + ", ".join(f"{n} double" for n in names))
+        p = pdf[["x", "y", "z"]].to_numpy(float)
+        m = Moments(len(p), p.mean(axis=0), np.cov(p.T, bias=True))
+        return pd.DataFrame([{by: key[0], "n_points": m.n} | fit(lambda x: sums_of(p - m.centre, x), m)])[[by, "n_points", *names]]
+
+    small = rows
+    for r in large:
+        small = small.where(~F.col(by).eqNullSafe(F.lit(r[by])))
+    out = small.groupBy(by).applyInPandas(run, schema)
+    for r in large:
+        own = rows.where(F.col(by).eqNullSafe(F.lit(r[by])))
+        c = [[r[min(i, j) + max(i, j)] for j in "xyz"] for i in "xyz"]
+        m = Moments(r["n"], np.array([r.cx, r.cy, r.cz]), np.array(c))
+        made = {by: r[by], "n_points": m.n} | fit(_distributed(own, m.centre, sums_of), m)
+        out = out.unionByName(cloud.sparkSession.createDataFrame([[made[f] if f in (by, "n_points") else float(made[f]) for f in (by, "n_points", *names)]], schema))
+    return out
 
 
 def fit_spheres(cloud: DataFrame, by: str) -> DataFrame:
-    return _fit_groups(cloud, by, sphere, 4, ("center_x", "center_y", "center_z", "radius", "rms"))
+    return _fit_groups(cloud, by, sphere, _sphere_sums, 4, ("center_x", "center_y", "center_z", "radius", "rms"))
 
 
 def fit_cylinders(cloud: DataFrame, by: str) -> DataFrame:
-    return _fit_groups(cloud, by, cylinder, 6, ("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z", "radius", "length", "rms"))
+    return _fit_groups(cloud, by, cylinder, _cylinder_sums, 6, ("center_x", "center_y", "center_z", "axis_x", "axis_y", "axis_z", "radius", "length", "rms"))
 
 
 def plane_pairs(planes: DataFrame, id_column: str = "id", parallel: float = 1e-9) -> DataFrame:

@@ -39,10 +39,10 @@ def read_columns(spark: SparkSession, paths: str | Sequence[str], columns: Seque
     t = _lines(spark, paths)
     if header:
         first = t.where("block = 0").groupBy("path").agg(F.min("row").alias("first"))
-        t = t.join(F.broadcast(first), "path", "left").where((F.col("block") > 0) | (F.col("row") - F.col("first") >= header)).drop("first")
+        t = t.join(first, "path", "left").where((F.col("block") > 0) | (F.col("row") - F.col("first") >= header)).drop("first")
     parsed = t.select("path", "block", "row", *_fields(names, columns, r"\s*,\s*" if strict_csv else r"[\s,]+"))
     bad = parsed.where(" or ".join(f"{n} is null" for n in names)).groupBy("path").agg(F.min(F.struct("block", "row")).alias("bad"))
-    kept = parsed.join(F.broadcast(bad), "path", "left").where(F.col("bad").isNull() | (F.struct("block", "row") < F.col("bad")))
+    kept = parsed.join(bad, "path", "left").where(F.col("bad").isNull() | (F.struct("block", "row") < F.col("bad")))
     out = kept.select(*names)
     return out if len(names) == 6 else out.withColumns({c: F.lit(255.0) for c in "rgb"})
 

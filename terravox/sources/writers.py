@@ -200,15 +200,17 @@ def write_tiles(grid: DataFrame, path: str, size: tuple[int, int] = (256, 4)) ->
 
 def write_primitives(primitives: DataFrame, path: str, program: str = "terravox", only: Sequence[int] | None = None) -> int:
     """A primitive file, or the subset with the given ids; the header names the writing program."""
-    rows = (primitives if only is None else primitives.where(F.col("id").isin(list(only)))).orderBy("id").collect()
+    rows = (primitives if only is None else primitives.where(F.col("id").isin(list(only)))).orderBy("id")
     files, name = open_path(path)
     with files.open_output_stream(name) as out:
         head = program.encode()[: 38 - len(PRIMITIVE_HEADER)] + PRIMITIVE_HEADER
         out.write(head.ljust(38) + b"\n\0")
-        for r in rows:
+        count = 0
+        for r in rows.toLocalIterator():
             names, form = PRIMITIVES[r.prim_type]
             out.write(struct.pack("<i", r.prim_type) + struct.pack(form, *[r[n] for n in names]))
-    return len(rows)
+            count += 1
+    return count
 
 
 def coverage_boxes(extents: DataFrame) -> DataFrame:

@@ -87,6 +87,22 @@ def test_fits_of_known_shapes(spark):
     assert math.isclose(plane.nz, 1) and math.isclose(plane.offset, 5) and plane.rms < 1e-9 and plane.n_points == 12
 
 
+def test_large_selections_are_fitted_by_sums(spark, monkeypatch):
+    rng = np.random.default_rng(20)
+    v = rng.normal(size=(200, 3))
+    ball = v / np.linalg.norm(v, axis=1)[:, None] * 2 + [1, 2, 3] + rng.normal(0, 0.01, (200, 3))
+    t, h = rng.random(200) * 2 * math.pi, rng.random(200) * 5
+    tube = np.stack([1.5 * np.cos(t) + 1, 1.5 * np.sin(t) - 1, h], axis=1)
+    df = cloud(spark, np.vstack([ball, tube, ball[:50]])).withColumn("g", F.when(F.col("id") < 200, 0).when(F.col("id") < 400, 1))  # the last group's key is null
+    together = [{r.g: r.asDict() for r in f(df, "g").collect()} for f in (fits.fit_spheres, fits.fit_cylinders)]
+    monkeypatch.setattr(fits, "MAX_SELECTION", 60)
+    for whole, f, g in zip(together, (fits.fit_spheres, fits.fit_cylinders), (0, 1), strict=True):
+        apart = {r.g: r.asDict() for r in f(df.repartition(3).where(F.col("g").eqNullSafe(g) | F.col("g").isNull()), "g").collect()}
+        assert set(apart) == {g, None}
+        for k in apart:
+            assert all(math.isclose(apart[k][n], whole[k][n], abs_tol=1e-5) for n in whole[k] if n != "g")
+
+
 def test_leaves_cover_every_point_once(spark):
     df = cloud(spark, np.vstack([random_points(300, 6), np.full((50, 3), 0.25)]))
     cube = octree.root_cube(df)
