@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams is held against every training window.
 
 The words of the benchmark, lower-cased and joined by single blanks, go to every task together with the sorted 64-bit
-hashes of their windows, in blocks of at most BLOCK_BYTES of benchmark text (or one longer item): about four times the
+hashes of their windows, in blocks of at most BLOCK_BYTES of benchmark text (or one longer item): about six times the
 text, so what is broadcast has a bound whatever the benchmark's size. A window whose hash is in the set is compared
 word by word before it counts. With one block the scan, the verdict and the cut are one pass without a shuffle. With
 several, each block is one pass that leaves only the texts it hits, by their MD5; these are joined back once.
@@ -23,7 +23,7 @@ from terravox.plans.storage import bound_batches, cut
 #: Words in a window.
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 22
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
