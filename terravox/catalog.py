@@ -547,7 +547,7 @@ def _e_tree(s, d):
 def _l_tree(s, d):
     """The leaves' points, nodes and samples of the largest cloud; the id is a hash of the row."""
     keyed = _keyed(s, d).withColumn("id", F.xxhash64("x", "y", "z", "class"))
-    nodes = _nodes(s, d)
+    nodes = cut(_nodes(s, d))
     leaves = cut(octree.assign_leaves(keyed, nodes, LEVEL))
     return leaves, nodes, octree.lod_samples(leaves, nodes, 500)
 

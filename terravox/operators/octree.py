@@ -177,6 +177,7 @@ def lod_samples(leaf_points: DataFrame, nodes: DataFrame, most: int, id_column:
     a group never has more than eight times ``most`` rows. Leaves give their own points and detail size 0; a leaf at the
     depth bound with more than ``most`` points is thinned first, coincident points (the least id of each place stays) even
     before its points come together."""
+    nodes = cut(nodes)  # read once for every level
     deepest = nodes.agg(F.max("level")).first()[0] or 0
     fixed = ["node_key", "level", "id", "x", "y", "z", "detail_size"]
     extra = [c for c in leaf_points.columns if c not in (*fixed, id_column, "key")]
