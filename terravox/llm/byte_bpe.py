@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.words import _powers_to, give_back, mix, ragged
+from terravox.llm.words import _powers_to, free_name, give_back, mix, ragged
 from terravox.plans.storage import bound_batches
 
 #: Distinct pre-tokens whose ids a worker remembers; beyond it starts anew. It bounds memory, not results.
@@ -260,7 +260,8 @@ def _digests(texts: pa.Array, path: str, pattern: str) -> pa.Array:
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, text_column: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids (array<int>); null texts count as empty, empty texts have no ids."""
+    """``docs`` with a column of token ids (array<int>), replaced if it is there; null texts count as empty, empty texts have
+    no ids, a text of any length is encoded whole, all other columns and repeated rows stay, an empty table gives no rows."""
     bound_batches(docs.sparkSession)
     return docs.withColumn(to, F.arrow_udf(lambda t: _encoded(t, path, pattern), "array<int>")(F.col(f"`{text_column}`").cast("string")))
 
@@ -275,10 +276,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_column: str = "tex
     """``docs`` with ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by one space) and ``decoded_sha256`` (of the
     bytes that the ids decode to).
 
-    Null texts count as empty; empty texts have no ids. Columns of these names are replaced, all others stay; repeated
-    rows give repeated results.
+    Null texts count as empty; empty texts have no ids; a text of any length is encoded whole. Columns of these names are
+    replaced, all others stay, whatever their names; repeated rows give repeated results; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     coded = F.arrow_udf(lambda t: _digests(t, path, pattern), "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col(f"`{text_column}`").cast("string"))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return docs.withColumn("__coded", coded).select(*own, "__coded.n_tokens", "__coded.ids_sha256", "__coded.decoded_sha256")
+    name = free_name(docs.columns, "_coded")
+    return docs.withColumn(name, coded).select(*own, f"{name}.n_tokens", f"{name}.ids_sha256", f"{name}.decoded_sha256")

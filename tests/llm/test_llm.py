@@ -684,6 +684,23 @@ def test_copies_are_no_boilerplate(spark):
     assert not any("Welcome" in got[i] for i in range(20, 30))
 
 
+# 8: further rows of byte-level BPE
+
+
+def test_round_trip_of_odd_rows(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    long = "long words " * 30_000 + "x" * 50_000
+    rows = [(1, "same"), (1, "same"), (None, None), (2, ""), (3, long), (4, "\x00 \u2028 \U0001f600")]
+    df = table(spark, rows).withColumn("n_tokens", F.lit("clash")).withColumn("_coded", F.lit("own")).withColumn("__coded", F.lit(5))
+    got = byte_bpe.round_trip(df, path, pattern).collect()
+    assert len(got) == len(rows) and all(r._coded == "own" and r["__coded"] == 5 for r in got)
+    for r in got:
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+        assert (r.n_tokens == 0) == (not r.text)
+    assert len({r.ids_sha256 for r in got if r.doc_id == 1}) == 1
+    assert byte_bpe.round_trip(df.limit(0), path, pattern).count() == 0
+
+
 # 2: chat
 
 
