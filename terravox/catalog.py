@@ -826,11 +826,27 @@ LAS_KIND = np.dtype([("ix", "<i4"), ("iy", "<i4"), ("iz", "<i4"), ("i", "<u2"),
 @query(f"WITH {E_SQL} SELECT round(floor(x / 0.0001 + 0.5) * 0.0001, 6) AS x, round(floor(y / 0.0001 + 0.5) * 0.0001, 6) AS y, CAST(label * 300 AS DOUBLE) AS r, CAST(label * 200 AS DOUBLE) AS g, CAST(label AS DOUBLE) AS b, CAST(label * 7 AS INTEGER) AS intensity, CAST(label AS INTEGER) AS classification, id * 0.5::DOUBLE AS gps_time FROM e WHERE label IN (2, 5)")
 def las_colour_round_trip(s, d):
     """Point format 3 (time and colour), two classes of it."""
+    return binary.read_records(s, _colour_las(s, d), "las", classes=0b100100).select("x", "y", "r", "g", "b", "intensity", "classification", "gps_time")
+
+
+def _colour_las(s, d) -> str:
     path, label = _file(s, "colour.las"), F.col("label")
     q = writers.las_quantised(E(s, d), 0.0001, (0.0, 0.0, 0.0)).select("ix", "iy", "iz", (label * 7).alias("i"), label.alias("class"), (F.col("id") * 0.5).alias("t"), (label * 300).alias("r"), (label * 200).alias("g"), label.alias("b"))
     head = writers.las_head(q.count(), 0.0001, (0.0, 0.0, 0.0), (1.0, -1.0) * 3, 3)
     writers.write_records(q, q.columns, path, head, writers.packed(LAS_KIND))
-    return binary.read_records(s, path, "las", classes=0b100100).select("x", "y", "r", "g", "b", "intensity", "classification", "gps_time")
+    return path
+
+
+@query(f"WITH {E_SQL}, q AS (SELECT " + ", ".join(f"floor({c} / 0.0001 + 0.5) * 0.0001 AS {c}" for c in "xyz") + ", CAST(label * 7 AS INTEGER) AS intensity, CAST(label AS INTEGER) AS classification, CAST(label * 300 AS DOUBLE) AS r, CAST(label * 200 AS DOUBLE) AS g, CAST(label AS DOUBLE) AS b FROM e) SELECT count(*) AS n, " + ", ".join(f"{f'round({k}({c}), 6)' if c in 'xyzrgb' else f'{k}({c})'} AS {k}_{c}" for c in ("x", "y", "z", "intensity", "classification", "r", "g", "b") for k in ("min", "max")) + " FROM q")
+def las_profile(s, d):
+    return binary.las_profile(s, _colour_las(s, d))
+
+
+@query(f"WITH {E_SQL} SELECT CAST(0 AS INTEGER) AS format, count(*) AS n, " + ", ".join(f"round({k}({c}), 6) AS {k}_{c}" for c in "xyz" for k in ("min", "max")) + " FROM e")
+def las_header_profile(s, d):
+    path = _file(s, "plain.las")
+    writers.write_las(E(s, d), path)
+    return binary.las_headers(s, [path]).drop("path")
 
 
 @query(f"WITH {E_SQL} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(label AS DOUBLE) AS r FROM e")
