@@ -71,6 +71,13 @@ def bound_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) ->
     more than it is set to). Rows with whole texts are wide; the default batch of 10,000 of them, or 64 MB, takes hundreds
     of megabytes in a worker. Plans read these settings when they run, so they can't be put back before."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(name, str(most + 1)) or str(most + 1)
-        if not now.strip("bB").lstrip("-").isdigit() or int(now.strip("bB")) <= 0 or int(now.strip("bB")) > most:
+        now = _number(spark.conf.get(name, None) or spark.conf.get(name))
+        if now <= 0 or now > most:
             spark.conf.set(name, str(most))
+
+
+def _number(setting: str) -> int:
+    """A number or size as Spark writes it: 1024, 64m, 67108864b."""
+    value = setting.strip().lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(value[-1:], 0)
+    return int(value[:-1] if unit else value) << unit if unit else int(value)

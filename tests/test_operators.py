@@ -467,3 +467,19 @@ def test_quality_pictures(spark, tmp_path):
     writers.write_pgm(g, (3, 4), "w", str(tmp_path / "q.pgm"))
     raw = (tmp_path / "q.pgm").read_bytes()
     assert raw == b"P5\n3 4\n255\n" + bytes([0, 0, 0, 0, 255, 0, 0, 0, 0, 64, 0, 0])
+
+
+def test_batches_are_only_ever_bounded_further(spark):
+    from terravox.plans.storage import bound_batches
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {n: spark.conf.get(n) for n in (rows, size)}
+    try:
+        for given, want in (("64m", str(8 << 20)), ("1m", "1m"), ("67108864b", str(8 << 20)), ("4096", "4096")):
+            spark.conf.set(rows, "500")
+            spark.conf.set(size, given)
+            bound_batches(spark)
+            assert spark.conf.get(rows) == "500" and spark.conf.get(size).removesuffix("b") in (want, str((1 << 20)) if given == "1m" else want)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
