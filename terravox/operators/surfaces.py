@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terravox.functions.colors import clamp_round
-from terravox.operators.spatial import capsule_join
+from terravox.operators import blocks
+from terravox.operators.spatial import _side, capsule_join
 
 
 def image_footprints(images: DataFrame) -> DataFrame:
@@ -81,25 +85,92 @@ def below_counts(cloud: DataFrame, radius: float, tolerance: float, id_column: s
     return cloud.select(F.col(id_column).alias("qid")).join(found, "qid", "left").select("qid", F.coalesce("below", F.lit(0)).alias("below"))
 
 
+def _capsules(cloud: DataFrame, radius: float, tolerance: float, max_angle: float, id_column: str, ordered: bool) -> DataFrame:
+    """(qid, ground) of a sweep of the points below every point. The span of the directions to them only grows, so a point
+    is settled as soon as it reaches ``max_angle``, mostly after few of them."""
+    below, above = np.array([radius, radius, np.inf]), np.array([radius, radius, max(0.0, -tolerance)])
+    sectors = max(8, 2 * math.ceil(360 / (360 - max_angle))) if max_angle < 360 else 8
+
+    def begin(q: pa.Table) -> dict:
+        p = blocks.xyz(q)
+        state = {"qid": q.column("qid").combine_chunks(), "p": p, "open": blocks.close_groups(p), "ground": np.ones(len(p), bool)}
+        if ordered:
+            return state | {"first": np.full(len(p), np.nan), "least": np.zeros(len(p)), "most": np.zeros(len(p))}
+        return state | {"least": np.full((len(p), sectors), np.inf), "most": np.full((len(p), sectors), -np.inf)}
+
+    def hits(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries and points in the capsules below them but not straight below, and the directions."""
+        dx, dy = p[None, :, 0] - q[:, None, 0], p[None, :, 1] - q[:, None, 1]
+        r2 = dx * dx + dy * dy
+        row, col = np.nonzero(r2 <= radius * radius)
+        top = q[row, 2] - tolerance - radius
+        dz = p[col, 2] - top
+        good = ((p[col, 2] <= top) | (r2[row, col] + dz * dz <= radius * radius)) & ((dx[row, col] != 0) | (dy[row, col] != 0))
+        row, col = row[good], col[good]
+        return row, col, np.arctan2(dy[row, col], dx[row, col])
+
+    def widest(state: dict, own: np.ndarray) -> np.ndarray:
+        """Spans by the least and greatest direction in each sector: a gap inside one is too narrow to matter."""
+        least, most = state["least"][own], state["most"][own]
+        before = np.maximum.accumulate(most, axis=1)
+        gap = np.where(np.isfinite(least[:, 1:]) & np.isfinite(before[:, :-1]), least[:, 1:] - before[:, :-1], 0.0).max(axis=1)
+        return 360 - np.maximum(gap, (360 - before[:, -1]) + least.min(axis=1))
+
+    def take(state: dict, own: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Take points into the state of some queries; spans, nan without a direction."""
+        row, _, angle = hits(state["p"][own], p)
+        if not ordered:
+            angle = np.degrees(angle)
+            sector = np.clip(np.floor((angle + 180) / 360 * sectors).astype(np.int64), 0, sectors - 1)
+            np.minimum.at(state["least"], (own[row], sector), angle)
+            np.maximum.at(state["most"], (own[row], sector), angle)
+            return widest(state, own)
+        found, at = np.unique(row, return_index=True)  # rows are ascending, and so are the points of each
+        new = np.isnan(state["first"][own[found]])
+        state["first"][own[found[new]]] = angle[at[new]]
+        off = angle - state["first"][own[row]]
+        turn = np.degrees(np.arctan2(np.sin(off), np.cos(off)))
+        np.minimum.at(state["least"], own[row], turn)
+        np.maximum.at(state["most"], own[row], turn)
+        return state["most"][own] - state["least"][own]
+
+    def feed(state: dict, points: np.ndarray) -> None:
+        first, size = 0, 64
+        while first < len(points) and state["open"]:
+            some, still = points[first : first + size], []
+            for own in state["open"]:
+                near = some[blocks.within(some, state["p"][own], below, above)]
+                for k in range(0, len(near), blocks.PAIRS // len(own)):
+                    span = take(state, own, near[k : k + blocks.PAIRS // len(own)])
+                    state["ground"][own[span >= max_angle]] = False
+                    own = own[~(span >= max_angle)]
+                    if not len(own):
+                        break
+                if len(own):
+                    still.append(own)
+            first, size = first + size, min(4 * size, blocks.PAIRS // 128)
+            if len(still) < len(state["open"]) or sum(map(len, still)) < 64 * len(still):  # few are left in most groups
+                left = np.concatenate(still) if still else np.empty(0, np.int64)
+                still = [left[g] for g in blocks.close_groups(state["p"][left])] if len(left) else []
+            state["open"] = still
+
+    def end(state: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([state["qid"], pa.array(state["ground"])], ["qid", "ground"])
+
+    rows = _side(cloud, id_column, "qid")
+    placed = rows.where(blocks.finite("x", "y", "z"))
+    swept = blocks.sweep(placed, placed, below, above, begin, feed, end, f"qid {rows.schema['qid'].dataType.simpleString()}, ground boolean", ["qid"] if ordered else [])
+    return swept.unionByName(rows.where(~blocks.finite("x", "y", "z")).select("qid", F.lit(True).alias("ground")))
+
+
 def classify_ground(cloud: DataFrame, radius: float = 1.0, tolerance: float = 0.0, max_angle: float = 270.0, id_column: str = "id") -> DataFrame:
     """(qid, ground): a point is ground unless points in the capsule below it surround it: the directions to them,
     projected to the horizontal, span more than ``max_angle`` degrees (360 less the widest gap between neighbouring
     directions, whatever their order). Points straight below span nothing."""
-    found = capsule_join(cloud, cloud, radius, tolerance, id_column).where("px <> x or py <> y")
-    angle = F.degrees(F.atan2(F.col("py") - F.col("y"), F.col("px") - F.col("x")))
-    w = Window.partitionBy("qid").orderBy("angle")
-    a = found.select("qid", angle.alias("angle")).distinct()
-    gaps = a.withColumn("gap", F.col("angle") - F.lag("angle").over(w)).groupBy("qid").agg(F.max("gap").alias("gap"), (360 - F.max("angle") + F.min("angle")).alias("wrap"))
-    span = gaps.select("qid", (360 - F.greatest(F.coalesce("gap", F.lit(0.0)), F.col("wrap"))).alias("span"))
-    return cloud.select(F.col(id_column).alias("qid")).join(span, "qid", "left").select("qid", F.coalesce(F.col("span") < max_angle, F.lit(True)).alias("ground"))
+    return _capsules(cloud, radius, tolerance, max_angle, id_column, ordered=False)
 
 
 def ordered_ground(cloud: DataFrame, radius: float = 1.0, tolerance: float = 0.0, max_angle: float = 270.0, id_column: str = "id") -> DataFrame:
     """A18 in its order-dependent form: points below are taken by ascending id; the first gives the axis, each further one
     extends the widest angle on its side; ground while the two angles together stay below ``max_angle`` degrees."""
-    found = capsule_join(cloud, cloud, radius, tolerance, id_column).where("px <> x or py <> y")
-    angles = found.select("qid", "nid", F.atan2(F.col("py") - F.col("y"), F.col("px") - F.col("x")).alias("angle"))
-    off = F.col("angle") - F.first("angle").over(Window.partitionBy("qid").orderBy("nid"))
-    turns = angles.select("qid", F.degrees(F.atan2(F.sin(off), F.cos(off))).alias("turn"))
-    span = turns.groupBy("qid").agg((F.greatest(F.max("turn"), F.lit(0.0)) - F.least(F.min("turn"), F.lit(0.0))).alias("span"))
-    return cloud.select(F.col(id_column).alias("qid")).join(span, "qid", "left").select("qid", F.coalesce(F.col("span") < max_angle, F.lit(True)).alias("ground"))
+    return _capsules(cloud, radius, tolerance, max_angle, id_column, ordered=True)

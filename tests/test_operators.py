@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terravox.functions import colors
 from terravox.functions.vectors import scaled_distance
-from terravox.operators import fits, grid, neighborhood, octree, points, spatial, surfaces
+from terravox.operators import blocks, fits, grid, neighborhood, octree, points, spatial, surfaces
 from terravox.sources import auto, binary, text, writers
 
 
@@ -142,6 +142,40 @@ def test_ground_under_and_above(spark):
         assert not got[0] and all(got[i] for i in range(1, 13))
 
 
+def brute_ground(p, radius, tolerance, ordered):
+    """Ground by all pairs, directions as the two definitions take them."""
+    out = []
+    for i in range(len(p)):
+        dx, dy = p[:, 0] - p[i, 0], p[:, 1] - p[i, 1]
+        r2, top = dx * dx + dy * dy, p[i, 2] - tolerance - radius
+        hit = (r2 <= radius * radius) & ((p[:, 2] <= top) | (r2 + (p[:, 2] - top) ** 2 <= radius * radius)) & ((dx != 0) | (dy != 0))
+        a = np.arctan2(dy[hit], dx[hit])
+        if not len(a):
+            out.append(True)
+        elif ordered:
+            turn = np.degrees(np.arctan2(np.sin(a - a[0]), np.cos(a - a[0])))
+            out.append(bool(turn.max() - turn.min() < 270))
+        else:
+            a = np.unique(np.degrees(a))
+            out.append(bool(360 - max(np.diff(a).max(initial=0.0), 360 - a[-1] + a[0]) < 270))
+    return out
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_ground_keeps_no_pairs(spark, monkeypatch, ordered):
+    """Many blocks, brute force, points without a place; and no step that moves or sorts pairs."""
+    monkeypatch.setattr(blocks, "SWEPT", 40)
+    p = np.vstack([np.random.default_rng(5).normal(0, 0.13, (700, 3)), np.full((9, 3), 0.2)])
+    rows = [(i, *map(float, v)) for i, v in enumerate(p)] + [(len(p), None, 0.0, 0.0), (len(p) + 1, math.nan, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    out = (surfaces.ordered_ground if ordered else surfaces.classify_ground)(df, 0.15, 0.01, 270.0)
+    got = {r.qid: r.ground for r in out.collect()}
+    want = brute_ground(p, 0.15, 0.01, ordered)
+    assert got == dict(enumerate([*want, True, True])) and 0 < sum(want) < len(p)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+
+
 def test_redshift_integral(spark):
     def plain(z):
         return sum(z / 100 / math.sqrt(0.3 * (1 + i * z / 100) ** 3 + 0.7) for i in range(100)) * 3.0e5 / 71
