@@ -148,7 +148,7 @@ def _capsules(cloud: DataFrame, radius: float, tolerance: float, max_angle: floa
                         break
                 if len(own):
                     still.append(own)
-            first, size = first + size, min(4 * size, blocks.PAIRS // 128)
+            first, size = first + size, min(4 * size, 8192)
             if len(still) < len(state["open"]) or sum(map(len, still)) < 64 * len(still):  # few are left in most groups
                 left = np.concatenate(still) if still else np.empty(0, np.int64)
                 still = [left[g] for g in blocks.close_groups(state["p"][left])] if len(left) else []

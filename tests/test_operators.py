@@ -369,6 +369,16 @@ def test_ridges_are_brute_force(spark):
     assert 0 < found < len(p)
 
 
+def test_ridges_keep_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SWEPT", 40)
+    test_ridges_are_brute_force(spark)
+    rows = [(i, *map(float, v)) for i, v in enumerate(random_points(200, 3))] + [(200, None, 0.0, 0.0)]
+    out = neighborhood.ridges(spark.createDataFrame(rows, "id long, x double, y double, z double").where("x is null or x < 2"), 0.3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted(r.qid for r in out.collect()) == list(range(200))
+
+
 def test_picks_end_with_the_primitives(spark):
     base = dict.fromkeys(binary.PRIMITIVE_COLUMNS)
     rows = [
