@@ -24,10 +24,11 @@ def write_octree_table(points: DataFrame, nodes: DataFrame, path: str, prefix: i
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
 
 
-def text_lines(cloud: DataFrame, offset: tuple = (0.0, 0.0, 0.0), digits: int = 12) -> DataFrame:
-    """K2: lines "x y z r g b" in source coordinates, as the only column ``value``."""
-    xyz = [(F.col(c).cast("double") + float(o)) for c, o in zip("xyz", offset, strict=True)]
-    return cloud.select(F.format_string(f"%.{digits}g %.{digits}g %.{digits}g %d %d %d", *xyz, *[F.col(c).cast("int") for c in "rgb"]).alias("value"))
+def text_lines(cloud: DataFrame, offset: tuple = (0.0, 0.0, 0.0)) -> DataFrame:
+    """K2: lines "x y z r g b" in source coordinates, as the only column ``value``. The reference writes 12 significant
+    digits, which moves points; here a coordinate has the digits that it takes to read the same number back."""
+    xyz = [(F.col(c).cast("double") + float(o)).cast("string") for c, o in zip("xyz", offset, strict=True)]
+    return cloud.select(F.format_string("%s %s %s %d %d %d", *xyz, *[F.col(c).cast("int") for c in "rgb"]).alias("value"))
 
 
 def fixed_lines(cloud: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:

@@ -417,6 +417,15 @@ def test_selection_and_import(spark):
     assert (r.x, r.y, r.z, r.r, r.g, r.b, r.a) == (2.0, 2.0, 3.0, 255, 0, 3, 255)
 
 
+def test_text_export_keeps_coordinates(spark, tmp_path):
+    """100.01234549999 has 14 digits; of 12 the sixth decimal came out one too high."""
+    p = [(100.01234549999, -1.5e-12, 0.0), (1 / 3, 1e22, -123456.789012345)]
+    df = cloud(spark, p).withColumns({c: F.lit(7) for c in "rgb"})
+    writers.write_text(writers.text_lines(df), f"file://{tmp_path}/lines.xyzrgb")
+    got = text.read_plain(spark, f"file://{tmp_path}/lines.xyzrgb", colour=True)
+    assert sorted((r.x, r.y, r.z) for r in got.collect()) == sorted(p)
+
+
 def test_text_readers(spark, tmp_path):
     (tmp_path / "a.xyzi").write_text("# c\n1 2 3 4\n\nbad line\n5 6 7 8\n")
     assert [tuple(r) for r in auto.read_points(spark, str(tmp_path / "a.xyzi")).collect()] == [(1, 2, 3, 4, 4, 4), (5, 6, 7, 8, 8, 8)]
