@@ -63,6 +63,14 @@ def test_rows(spark, name):
     assert entry_module.queries()[name](spark, DATA).count() > 0
 
 
+def test_brush_of_points_far_out(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings AS SELECT i AS vec_id, [i * 0.1 - 0.3, 0.01, 0.02]::FLOAT[] AS embedding, 0 AS label FROM range(10) t(i)")
+    c.execute(f"COPY embeddings TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    got, want = catalog.QUERIES["brush_select"](spark, str(tmp_path)).toPandas(), c.execute(catalog.ORACLES["brush_select"]).df()
+    assert plain(got) == plain(want) and got["selected"].isna().sum() > 0
+
+
 def test_queries_read_whole_tables(spark):
     e = catalog.E(spark, DATA)
     rows, labels = e.count(), e.select("label").distinct().count()
