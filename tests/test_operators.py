@@ -45,6 +45,24 @@ def test_knn_is_brute_force(spark, k):
         assert [got[i, r + 1] for r in range(k)] == sorted(range(len(p)), key=lambda j: (d2[j], j))[:k]
 
 
+def test_knn_of_crowds_keeps_few_pairs(spark, monkeypatch):
+    """Several blocks, a crowd at one place, a far point, rows without a place; no join, and few rows to be ranked."""
+    monkeypatch.setattr(blocks, "MET", 64)
+    p = np.vstack([random_points(600, 4), np.full((300, 3), 0.5), random_points(300, 5, 1e-6) + 0.3, [[1e6, 0, 0]]])
+    rows = [(i, *map(float, v)) for i, v in enumerate(p)] + [(len(p), None, 0.0, 0.0), (len(p) + 1, math.nan, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    for f, allowed in ((lambda: spatial.knn_join(df, df, 3), lambda i, j, d2: True), (lambda: spatial.knn_join(df, df, 3, but="coincident"), lambda i, j, d2: d2 > 0), (lambda: spatial.knn_join(df, df, 3, but="same"), lambda i, j, d2: i != j)):
+        out = f()
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.qid, r["rank"]): r.nid for r in out.collect()}
+        assert len(got) == 3 * len(p)
+        for i in range(0, len(p), 7):
+            d = p - p[i]
+            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            want = sorted((j for j in range(len(p)) if allowed(i, j, d2[j])), key=lambda j: (d2[j], j))[:3]
+            assert [got[i, r] for r in (1, 2, 3)] == want
+
+
 def test_nearest_of_coincident_points(spark):
     p = [(0, 0, 0), (0, 0, 0), (1, 0, 0)]
     other = {r.qid: (r.nid, r.d2) for r in spatial.nearest_other(cloud(spark, p)).collect()}
