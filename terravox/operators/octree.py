@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravox.operators import blocks
 from terravox.plans.storage import cut
 
 Cube = tuple[float, float, float, float]  #: least corner and edge
@@ -106,38 +107,53 @@ def box_prefixes(cube: Cube, low: tuple, high: tuple, level: int) -> Column:
 
 
 #: Points of the blocks among which neighbours are searched.
-_BLOCK = 48
-
-
-def _blocks(points: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Points in blocks by halving the longer side again and again; indices and bounds of each."""
-    done, todo = [], [np.arange(len(points))]
-    while todo:
-        some = todo.pop()
-        if len(some) <= _BLOCK:
-            done.append(some)
-            continue
-        axis = int(np.argmax(np.ptp(points[some], axis=0)))
-        order = np.argpartition(points[some, axis], len(some) // 2)
-        todo += [some[order[: len(some) // 2]], some[order[len(some) // 2 :]]]
-    return done, np.array([points[b].min(axis=0) for b in done]), np.array([points[b].max(axis=0) for b in done])
-
-
-def nearest_distances(points: np.ndarray, blocks: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Distance of each point to the nearest other. A block's points look into the blocks that may be nearer than what
-    they found in their own."""
-    out = np.full(len(points), np.inf)
-    for k, own in enumerate(blocks):
-        p = points[own]
-        d2 = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(d2, np.inf)
-        best = d2.min(axis=1)
-        gap = np.maximum(0.0, np.maximum(low - high[k], low[k] - high))
-        others = np.flatnonzero((gap * gap).sum(axis=1) <= best.max())
-        for o in others[others != k].tolist():
-            q = points[blocks[o]]
-            best = np.minimum(best, ((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2).min(axis=1))
-        out[own] = np.sqrt(best)
+_BLOCK = 32
+
+
+class _Places:
+    """Points in the blocks of a k-d tree, to find those near to others; the work grows little faster than the points."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        layout = blocks.tree(points, -(-len(points) // _BLOCK))
+        self.block, size = layout.block(points), layout.blocks
+        self.members = np.argsort(self.block, kind="stable")
+        self.starts = np.searchsorted(self.block[self.members], np.arange(size + 1))
+        low, high = np.full((2 * size, 3), np.inf), np.full((2 * size, 3), -np.inf)
+        np.minimum.at(low, size + self.block, points)
+        np.maximum.at(high, size + self.block, points)
+        for node in range(size - 1, 0, -1):
+            low[node], high[node] = np.minimum(low[2 * node], low[2 * node + 1]), np.maximum(high[2 * node], high[2 * node + 1])
+        self.boxes = blocks.Boxes(low, high, np.diff(self.starts))
+        #: Points to look at together, so that their pairs stay few: all of a crowd at one place are in one block.
+        self.step = int(min(4096, max(64, (1 << 17) // max(1, int(np.diff(self.starts).max())))))
+
+    def pairs(self, some: np.ndarray, row: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``some`` and the points of the blocks they are to meet, with their squared distances."""
+        size = self.starts[block + 1] - self.starts[block]
+        row = np.repeat(row, size)
+        other = self.members[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[block], size)]
+        d = self.points[some[row]] - self.points[other]
+        return row, other, (d * d).sum(axis=1)
+
+    def near(self, some: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All points within the radius of each of ``some``, themselves included."""
+        row, other, d2 = self.pairs(some, *self.boxes.reached(self.points[some], radius * radius))
+        good = d2 <= radius[row] * radius[row]
+        return row[good], other[good], d2[good]
+
+
+def nearest_distances(places: _Places) -> np.ndarray:
+    """Distance of each point to the nearest other: in its own block, and then in those that may have a nearer one."""
+    out = np.full(len(places.points), np.inf)
+    for first in range(0, len(out), places.step):
+        some = places.members[first : first + places.step]
+        best = np.full(len(some), np.inf)
+        for look in (lambda: (np.arange(len(some)), places.block[some]), lambda: places.boxes.reached(places.points[some], best)):
+            row, other, d2 = places.pairs(some, *look())
+            apart = other != some[row]
+            np.minimum.at(best, row[apart], d2[apart])
+        out[some] = np.sqrt(best)
     return out
 
 
@@ -149,22 +165,27 @@ def thin(points: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, fl
     is in proportion to the points."""
     left, detail = np.arange(len(points)), 0.0
     while len(left) > most:
-        p = points[left]
-        blocks, low, high = _blocks(p)
-        near = nearest_distances(p, blocks, low, high)
+        places = _Places(points[left])
+        near = nearest_distances(places)
         alive, count = np.ones(len(left), bool), len(left)
-        for i in np.lexsort((ids[left], near)).tolist():
-            if not alive[i]:
-                continue
-            radius = 1.9 * near[i]
-            detail = max(detail, float(radius))
-            gap = np.maximum(0.0, np.maximum(low - p[i], p[i] - high))
-            some = np.concatenate([blocks[b] for b in np.flatnonzero((gap * gap).sum(axis=1) <= radius * radius).tolist()])
-            d = p[some] - p[i]
-            gone = some[(d * d).sum(axis=1) <= radius * radius]
-            count -= int(alive[gone].sum()) - 1
-            alive[gone] = False
-            alive[i] = True
+        order = np.lexsort((ids[left], near))
+        for first in range(0, len(order), places.step):
+            some = order[first : first + places.step]
+            some = some[alive[some]]
+            row, other, _ = places.near(some, 1.9 * near[some])
+            by = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[by], np.arange(len(some) + 1)).tolist()
+            other = other[by]
+            for k, i in enumerate(some.tolist()):
+                if not alive[i]:
+                    continue
+                detail = max(detail, float(1.9 * near[i]))
+                gone = other[ends[k] : ends[k + 1]]
+                count -= int(alive[gone].sum()) - 1
+                alive[gone] = False
+                alive[i] = True
+                if count <= most:
+                    break
             if count <= most:
                 break
         left = left[alive]

@@ -257,6 +257,18 @@ def test_thinning_of_a_large_group_is_bounded():
     tracemalloc.stop()
 
 
+def test_thinning_looks_at_few_pairs(monkeypatch):
+    """Pairs looked at grow with the points, on a lattice with many equal coordinates."""
+    looked, plain_pairs = [], octree._Places.pairs
+    monkeypatch.setattr(octree._Places, "pairs", lambda *a: (looked.append(len((out := plain_pairs(*a))[0])), out)[1])
+    rng, per_point = np.random.default_rng(2), []
+    for n in (4000, 16000):
+        looked.clear()
+        octree.thin(np.stack([rng.integers(0, 4, n), rng.uniform(0, 4, n), rng.integers(0, 4, n)], axis=1).astype(float), np.arange(n), 500)
+        per_point.append(sum(looked) / n)
+    assert per_point[1] < 2 * per_point[0]
+
+
 def lod_tree(spark, n=600):
     df = cloud(spark, np.vstack([random_points(n, 13), random_points(n, 14) * 0.1, np.full((90, 3), 0.7)])).withColumn("shade", (F.col("id") * 3).cast("int"))
     cube = (0.0, 0.0, 0.0, 1.0)
